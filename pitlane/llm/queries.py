@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprints, neardup, secrets, sentencepieces
-from .common import table
+from .common import shared_folder, table
+from .shards import ShardStore, load_in_arrivals
 
 
 def vocabulary_path() -> str:
@@ -27,6 +30,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base_spans")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ShardStore(spark, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", target_bytes=64 << 20)
+    stored = load_in_arrivals(store, table(spark, sf_dir, "documents"), "doc_id", arrivals=8)
+    tiers = F.broadcast(spark.createDataFrame([(run, tier) for run, tier, _ in store.runs()] or [("", 0)], "run string, tier int"))  # fewer runs than fan_in in each tier
+    version = F.lit(store.versions()[-1]).cast("long")
+    return stored.join(tiers, "run").select("doc_id", "n_chars", F.sha2("text", 256).alias("text_sha256"), "run", "file", "tier", version.alias("version"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
     near = {f"near_{x}": fingerprints.containment(F.col("sketch"), F.col(f"{x}_sketch")) for x in ("edited", "next")}
@@ -43,4 +54,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_secret_scan, op8_fingerprints, op9_minhash_near_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_secret_scan, op7_sharding, op8_fingerprints, op9_minhash_near_dedup, op10_decontamination)}
