@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, neardup, secrets, sentencepieces
+from . import decontaminate, fingerprints, langid, neardup, quality, secrets, sentencepieces
 from .common import shared_folder, table
 from .shards import ShardStore, load_in_arrivals
 
@@ -19,6 +19,22 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: Grades of rated documents: toxic, of low quality, good. Documents stay if the last is likelier than not.
+GRADES, GOOD, LEAST_PROBABILITY = 3, 2, 0.5
+
+
+def graded(labels: DataFrame) -> DataFrame:
+    """doc_id, grade of the labels table; null if a rating that decides is."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, graded(table(spark, sf_dir, "labels")), GRADES)
+    return quality.judge(docs, model, ["doc_id"], keep_from=GOOD).withColumn("kept", F.col("tail_probability") >= LEAST_PROBABILITY)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentencepieces.encode_decode(table(spark, sf_dir, "documents"), ["doc_id"], vocabulary_path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
@@ -30,6 +46,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base_spans")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.fit(docs.where("not held_out"), "doc_id", "text", "lang")
+    return langid.predict(docs, model, ["doc_id", "held_out"])
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ShardStore(spark, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", target_bytes=64 << 20)
     stored = load_in_arrivals(store, table(spark, sf_dir, "documents"), "doc_id", arrivals=8)
@@ -54,4 +76,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_secret_scan, op7_sharding, op8_fingerprints, op9_minhash_near_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_sentencepiece, op4_secret_scan, op6_language_id, op7_sharding, op8_fingerprints, op9_minhash_near_dedup, op10_decontamination)}
