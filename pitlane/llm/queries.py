@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, neardup, quality, secrets, sentencepieces
+from . import decontaminate, fingerprints, langid, neardup, quality, secrets, sentencepieces, urls, wrappers
 from .common import shared_folder, table
 from .shards import ShardStore, load_in_arrivals
 
@@ -35,6 +35,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model, ["doc_id"], keep_from=GOOD).withColumn("kept", F.col("tail_probability") >= LEAST_PROBABILITY)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentencepieces.encode_decode(table(spark, sf_dir, "documents"), ["doc_id"], vocabulary_path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
@@ -46,6 +50,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base_spans")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.fit(docs.where("not held_out"), "doc_id", "text", "lang")
@@ -76,4 +84,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_sentencepiece, op4_secret_scan, op6_language_id, op7_sharding, op8_fingerprints, op9_minhash_near_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_sentencepiece, op4_secret_scan, op5_html_extraction, op6_language_id, op7_sharding, op8_fingerprints, op9_minhash_near_dedup, op10_decontamination)}
