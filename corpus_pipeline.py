@@ -1,17 +1,67 @@
-"""From raw documents to token statistics: the corpus operators as stages."""
+"""From raw documents to token statistics: the corpus operators as stages.
+
+Each stage is a function of (spark, docs, sf_dir) that returns what the next one takes as docs. All
+but the last return the columns of documents, in their order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pitlane.llm import decontaminate, neardup, quality, queries, secrets, sentencepieces
+from pitlane.llm.common import cut, small
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier of the top grade than not; those with toxic words or of low quality go.
+
+    Texts are scored beside the row they came with, so repeated rows and null ids are judged by
+    their own text.
+    """
+    model = quality.fit(docs, queries.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), queries.GRADES)
+    judged = quality.judge(docs, model, docs.columns, keep_from=queries.GOOD)
+    return judged.where(F.col("tail_probability") >= queries.LEAST_PROBABILITY).select(docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document of the least doc_id; documents with a null id stay."""
+    dropped = cut(neardup.classes(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
+    return docs.join(small(dropped, 16), "doc_id", "left_anti").select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by the benchmark."""
+    found = decontaminate.find_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns)
+    return decontaminate.verdicts(found, docs.columns).where("not contaminated").select(docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret's span replaced by a mark, n_chars being that of the new text."""
+    found = secrets.scan(docs, base="_base", spans="_spans")
+    text = secrets.redacted(F.col("text"), F.col("_spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids, n_tokens, and whether decoding gives the text back."""
+    out = sentencepieces.encode_decode(docs, ["doc_id", "lang", "source", "text"], queries.vocabulary_path)
+    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"), "agrees")
 
-from pitlane.llm import queries
 
-STAGES = []
+STAGES = [
+    ("quality classifier", good_quality),
+    ("near-duplicates", one_of_near_copies),
+    ("decontamination", without_benchmark),
+    ("secret scan", without_secrets),
+    ("sentencepiece", encoded),
+]
+#: The classifier is no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut(stage(spark, docs, sf_dir))
     return docs
