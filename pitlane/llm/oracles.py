@@ -1,3 +1,76 @@
-"""DuckDB SQL for the numbered queries that SQL can express."""
+"""DuckDB SQL for the numbered queries that SQL can express on whole tables."""
 
-SQL: dict[str, str] = {}
+from .urls import PATTERNS
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_URLS = f"""
+WITH parts AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_AZ}) AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules(rule, verdict, on_host, on_path) AS (
+  VALUES ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
+         ('www.example.com/en/', 'allow', 'www.example.com', '/en/'), ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')),
+patterns(pattern, inside) AS (
+  VALUES {", ".join(f"('{r.name}', '(?is)(^|[^a-z0-9])' || '{r.name.replace('-', '[-_]')}' || '([^a-z0-9]|$)')" for r in PATTERNS)}),
+best AS (
+  SELECT host, path, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = on_host OR ends_with(host, '.' || on_host)) AND starts_with(path, on_path)
+  GROUP BY host, path),
+hits AS (
+  SELECT host, path, min(pattern) AS pattern
+  FROM (SELECT DISTINCT host, path FROM parts WHERE host <> '') JOIN patterns ON regexp_matches(host || path, inside)
+  GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN pattern IS NOT NULL THEN 'block' END, 'allow') AS verdict, pattern
+FROM parts LEFT JOIN best USING (host, path) LEFT JOIN hits USING (host, path)
+"""
+
+_SHINGLED = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common, any_value(a.n) AS nx, any_value(b.n) AS ny
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM pairs WHERE 100 * common >= 85 * (nx + ny - common)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reached.doc_id, sides.y FROM reached JOIN sides ON reached.r = sides.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sets s JOIN (SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id) c USING (doc_id)
+"""
+
+_DECONTAMINATED = r"""
+WITH item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, len, win FROM (
+    SELECT item, least(len(w), 13) AS len, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i:i + 12], ' '))) AS win
+    FROM item_words WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT len FROM windows),
+doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+spans AS (
+  SELECT doc_id, lens.len AS len, unnest(range(1, len(w) - lens.len + 2)) AS i, unnest(list_transform(range(1, len(w) - lens.len + 2), lambda i: array_to_string(w[i:i + lens.len - 1], ' '))) AS win
+  FROM doc_words JOIN lens ON len(w) >= lens.len),
+hits AS (SELECT s.doc_id, s.i, s.len, w.item FROM spans s JOIN windows w ON s.len = w.len AND s.win = w.win),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + len)) AS p FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit > 0 AND 20 * h.n_hit >= len(d.w), false) AS contaminated
+FROM doc_words d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op2_url_filter": _URLS, "op9_minhash_near_dedup": _SHINGLED, "op10_decontamination": _DECONTAMINATED}
