@@ -6,24 +6,27 @@ neighbouring pairs on the agenda. Entries whose symbols have changed since are s
 that is no piece becomes byte pieces.
 
 Texts are cut before each run of U+2581 (the vocabulary's mark for a space) and around line feeds
-where no piece spans such a place, so that merges stay inside a cut; cuts that repeat come from a
-cache of bounded size. Each Arrow batch is encoded by the sentencepiece library as well, and the
+where no piece spans such a place, and a cut once more between any two characters that stand together
+in no piece, so that merges stay inside a part. What repeats comes from a cache of bounded size, which
+drops what was used longest ago. Each Arrow batch is encoded by the sentencepiece library as well, and the
 column ``agrees`` tells whether the ids are the same.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Cuts that a Python worker remembers at most; beyond, the cache starts anew.
-CACHE_ENTRIES = 400_000
+#: Cuts that a Python worker remembers in each of two generations: a full younger one replaces the older.
+CACHE_ENTRIES = 200_000
+#: Longer cuts aren't remembered.
+CACHED_CHARS = 64
 #: Code points that go through one call of the library at most, unless one text is longer.
 CHUNK_CHARS = 4_000_000
 
@@ -49,59 +52,86 @@ class MergeVocabulary:
         inside = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         line = any("\n" in p for p in self.ids)
         self.cuts = re.compile(r"(?s).+" if inside else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if line else rf"\n+|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-        self.cache: dict[str, list[int]] = {}
+        self.together = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self._pairs()
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+
+    def _pairs(self) -> None:
+        """Numbers for symbols (pieces, and characters that are none), and for each pair of them that makes a piece its rank and number."""
+        chars = {c for p in self.ids for c in p} - self.ids.keys()
+        self.number = {p: i for i, p in enumerate([*self.ids, *chars])}
+        self.id_of = [*self.ids.values()] + [-1] * len(chars)
+        ranks = {c: r for r, c in enumerate(sorted(set(self.cost.values())))}
+        self.pair: dict[int, tuple[int, int]] = {}
+        for p in self.ids:
+            for i in range(1, len(p)):
+                left, right = self.number.get(p[:i]), self.number.get(p[i:])
+                if left is not None and right is not None:
+                    self.pair[left << 20 | right] = ranks[self.cost[p]], self.number[p]
 
     def merged(self, text: str) -> list[int]:
-        """Ids of one cut, by the agenda."""
-        if text in self.ids and len(text) == 1:
-            return [self.ids[text]]
-        part: list[str | None] = list(text)
-        n, cost = len(part), self.cost
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = part[i] + part[i + 1]
-            if pair in cost:
-                agenda.append((cost[pair], i, pair))
-        heapq.heapify(agenda)
-        while agenda:
-            _, i, pair = heapq.heappop(agenda)
-            left = part[i]
-            if left is None or (j := after[i]) >= n or len(left) + len(part[j]) != len(pair) or left + part[j] != pair:
-                continue
-            part[i], part[j] = pair, None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (new := pair + part[k]) in cost:
-                    heapq.heappush(agenda, (cost[new], i, new))
-            if (h := before[i]) >= 0 and (new := part[h] + pair) in cost:
-                heapq.heappush(agenda, (cost[new], h, new))
+        """Ids of one part, by the agenda: of entries rank * length + place, the least comes first."""
+        n, pair, number = len(text), self.pair.get, self.number.get
+        part = [number(c, -1) for c in text]
+        if n > 1:
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            agenda = [found[0] * n + i for i in range(n - 1) if (found := pair(part[i] << 20 | part[i + 1]))]
+            heapify(agenda)
+            while agenda:
+                rank, i = divmod(heappop(agenda), n)
+                left = part[i]
+                if left is None or (j := after[i]) >= n or not (found := pair(left << 20 | part[j])) or found[0] != rank:
+                    continue  # a symbol of this entry has been merged since
+                part[i], part[j] = new, _ = found[1], None
+                after[i] = k = after[j]
+                if k < n:
+                    before[k] = i
+                    if found := pair(new << 20 | part[k]):
+                        heappush(agenda, found[0] * n + i)
+                if (h := before[i]) >= 0 and (found := pair(part[h] << 20 | new)):
+                    heappush(agenda, found[0] * n + h)
         out: list[int] = []
-        for p in part:
-            if p is not None:
-                if p in self.ids:
-                    out.append(self.ids[p])
+        for i, x in enumerate(part):
+            if x is not None:
+                if x >= 0 and (piece := self.id_of[x]) >= 0:
+                    out.append(piece)
                 else:
-                    out.extend(self.bytes[b] for b in p.encode())
+                    out.extend(self.bytes[b] for b in text[i].encode())
         return out
 
+    def remembered(self, cut: str) -> list[int]:
+        """Ids of a cut that the younger generation doesn't hold, which then does."""
+        ids = self.old.get(cut)
+        if ids is None:
+            together, start, ids = self.together, 0, []
+            for i in range(1, len(cut)):
+                if cut[i - 1 : i + 1] not in together:
+                    ids += self._part(cut[start:i])
+                    start = i
+            ids = ids + self._part(cut[start:]) if start else self.merged(cut)
+        self._keep(cut, ids)
+        return ids
+
+    def _part(self, part: str) -> list[int]:
+        ids = self.young.get(part) or self.old.get(part)
+        if ids is None:
+            ids = self.merged(part)
+            self._keep(part, ids)
+        return ids
+
+    def _keep(self, cut: str, ids: list[int]) -> None:
+        if len(cut) <= CACHED_CHARS:
+            if len(self.young) >= CACHE_ENTRIES:
+                self.old, self.young = self.young, {}
+            self.young[cut] = ids
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text, without an end id. A space is put before a text that isn't empty."""
         out: list[int] = []
-        if not text:
-            return out
-        cache, extend = self.cache, out.extend
-        for cut in self.cuts.findall(SPACE + text.replace(" ", SPACE)):
-            try:
-                extend(cache[cut])
-            except KeyError:
-                ids = self.merged(cut)
-                if len(cut) < 64:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    cache[cut] = ids
-                extend(ids)
+        if text:
+            for cut in self.cuts.findall(SPACE + text.replace(" ", SPACE)):
+                out += self.young.get(cut) or self.remembered(cut)
         return out
 
 
