@@ -13,7 +13,6 @@ of languages alone, and it can be broadcast. Texts are judged where they lie, wi
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -95,28 +94,24 @@ class Scorer(dict):
 
     def __init__(self, model: dict[str, dict[str, dict[str, int]]]):
         super().__init__()
-        self.model = model
         self.langs = sorted({x for level in model.values() for by in level.values() for x in by})
-        self.logs = {}
-        for level, items in model.items():
-            total = Counter()
-            for by in items.values():
-                total.update(by)
-            self.logs[level] = {x: math.log(total[x] + SMOOTHING * (len(items) + 1)) for x in self.langs}
+        self.logs = {level: self._logs(items) for level, items in model.items()}
+        self.place = {level: {item: i for i, item in enumerate(items)} for level, items in model.items()}
         self.table = np.zeros((CACHE_ENTRIES + 1, len(self.langs)))
 
-    def _log(self, level: str, item: str) -> np.ndarray:
-        by, logs = self.model[level][item], self.logs[level]
-        return np.array([math.log(by.get(x, 0) + SMOOTHING) - logs[x] for x in self.langs])
+    def _logs(self, items: dict[str, dict[str, int]]) -> np.ndarray:
+        """Log frequencies of a level's items, a row for each."""
+        counts = np.array([[by.get(x, 0) for x in self.langs] for by in items.values()], float).reshape(len(items), len(self.langs))
+        return np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * (len(items) + 1))
 
     def _scored(self, word: str) -> np.ndarray:
-        if word in self.model["0"]:
-            return self._log("0", word)
+        if (row := self.place["0"].get(word)) is not None:
+            return self.logs["0"][row]
         for n in range(LONGEST, 0, -1):
-            held = self.model[str(n)]
-            known = [g for g in grams_of(word, n) if g in held]
+            place = self.place[str(n)]
+            known = [place[g] for g in grams_of(word, n) if g in place]
             if known:
-                return np.mean([self._log(str(n), g) for g in known], axis=0)
+                return self.logs[str(n)][known].sum(axis=0) / len(known)
         return np.zeros(len(self.langs))
 
     def __missing__(self, word: str) -> int:
