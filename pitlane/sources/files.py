@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 LOG_SCHEMA = "user_id long, video_id int, date int, time_ms long, tab int, duration_ms double, long_view int"
 
@@ -48,7 +47,7 @@ def read_signal(spark: SparkSession, path: str, expected: int) -> DataFrame | No
     return df
 
 
-LEDGER = T.StructType.fromDDL("run string, iteration int, family string, decision string, valid double, seconds double, detail string")
+LEDGER = "run string, iteration int, family string, decision string, valid double, seconds double, detail string"
 
 
 def append_ledger(df: DataFrame, path: str, clip: int = 800) -> None:
@@ -57,7 +56,7 @@ def append_ledger(df: DataFrame, path: str, clip: int = 800) -> None:
     out.write.mode("append").json(path)
 
 
-def read_ledger(spark: SparkSession, path: str, schema: T.StructType = LEDGER) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, schema: str = LEDGER) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
