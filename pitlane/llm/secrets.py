@@ -76,9 +76,7 @@ def _placed(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
 def peak_entropy(candidate: Column, alphabet: str, window: int = WINDOW) -> Column:
     """Largest Shannon entropy, in bits, of any window of the candidate (characters of the alphabet alone); null if it is shorter."""
     term = F.array(*[F.lit(float(c * math.log2(c)) if c else 0.0) for c in range(window + 2)])
-    place = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
     start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
-    steps = F.transform(place, lambda c, i: F.struct(c.alias("enters"), F.when(i >= window, F.get(place, i - window)).otherwise(-1).alias("leaves"), i.alias("i")))
 
     def step(s: Column, x: Column) -> Column:
         entering, leaving = F.get(s.counts, x.enters), F.get(s.counts, x.leaves)
@@ -87,7 +85,13 @@ def peak_entropy(candidate: Column, alphabet: str, window: int = WINDOW) -> Colu
         counts = F.transform(s.counts, lambda c, k: c + (k == x.enters).cast("int") - (k == x.leaves).cast("int"))
         return F.struct(counts.alias("counts"), total.alias("sum"), F.when(x.i >= window - 1, F.least(s.least, total)).otherwise(s.least).alias("least"))
 
-    return F.aggregate(steps, start, step, lambda s: F.when(s.least < float("inf"), F.round(math.log2(window) - s.least / window, 9)))
+    def peak(place: Column) -> Column:
+        steps = F.transform(place, lambda c, i: F.struct(c.alias("enters"), F.when(i >= window, F.get(place, i - window)).otherwise(-1).alias("leaves"), i.alias("i")))
+        return F.aggregate(steps, start, step, lambda s: F.when(s.least < float("inf"), F.round(math.log2(window) - s.least / window, 9)))
+
+    # an array of one array binds the places to a name; as a plain expression they would be made anew for each character
+    places = F.array(F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1))
+    return F.element_at(F.transform(places, peak), 1)
 
 
 def _long_enough(spans: Column, least: int) -> Column:
