@@ -32,7 +32,7 @@ BITS = 18
 STEPS, HISTORY, DECAY = 30, 8, 1e-4
 #: Lengths of the beginnings of longer words that count besides the words.
 BEGINNINGS = (4, 5)
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
 

@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Cuts that a Python worker remembers in each of two generations: a full younger one replaces the older.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 #: Longer cuts aren't remembered.
 CACHED_CHARS = 64
 #: Code points that go through one call of the library at most, unless one text is longer.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 class MergeVocabulary:

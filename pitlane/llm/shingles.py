@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once, unless one text is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -42,8 +42,11 @@ class _Hashes:
     def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each word, and how many words each text has. Texts are data[bounds[i]:bounds[i+1]]."""
         n = len(data)
-        if len(self.up) <= n:
-            self.up, self.down = _powers(n, _BASE), _powers(n, pow(_BASE, -1, 2**64))
+        up, down = self.up, self.down
+        if len(up) <= n:
+            up, down = _powers(n, _BASE), _powers(n, pow(_BASE, -1, 2**64))
+            if n <= CHUNK_BYTES:  # those of one longer text aren't kept
+                self.up, self.down = up, down
         space = _IS_SPACE[data]
         edge = np.zeros(n + 1, bool)  # a word can't go on from one text to the next
         edge[bounds] = True
@@ -51,8 +54,8 @@ class _Hashes:
         starts = np.flatnonzero(word & (edge[:n] | np.concatenate(([True], space[:-1]))))
         ends = np.flatnonzero(word & (edge[1:] | np.concatenate((space[1:], [True])))) + 1
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * self.up[:n], out=total[1:])
-        hashes = mixed((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        np.cumsum(_BYTE[data] * up[:n], out=total[1:])
+        hashes = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         return hashes, np.diff(np.searchsorted(starts, bounds))
 
 
