@@ -245,15 +245,15 @@ def test_language_held_out_accuracy_and_edges(spark):
 def test_quality_separates_grades(spark):
     rng = random.Random(8)
     rows, rated = [], []
-    for i in range(300):
+    for i in range(1500):
         y = i % 3
         words = [f"w{rng.randrange(200)}" for _ in range(40)] + [["vile"], ["%%%"], []][y]
         rng.shuffle(words)
         rows.append((i, " ".join(words)))
         rated.append((i, y))
     docs, labels = table(spark, rows), spark.createDataFrame([*rated, (None, 1), (5000, 2), (1, None)], "doc_id long, grade int")
-    model = quality.fit(docs.where("doc_id < 240"), labels.where("doc_id < 240 or doc_id is null"), 3)
-    out = {r.doc_id: r for r in quality.judge(docs.where("doc_id >= 240"), model, ["doc_id"], keep_from=2).collect()}
+    model = quality.fit(docs.where("doc_id < 1440"), labels.where("doc_id < 1440 or doc_id is null"), 3)
+    out = {r.doc_id: r for r in quality.judge(docs.where("doc_id >= 1440"), model, ["doc_id"], keep_from=2).collect()}
     assert all((r.tail_probability >= 0.5) == (i % 3 == 2) for i, r in out.items())
     mean = [sum(r.expected_grade for i, r in out.items() if i % 3 == y) for y in range(3)]
     assert mean == sorted(mean) and model.thresholds[0] < model.thresholds[1]
