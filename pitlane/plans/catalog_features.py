@@ -514,9 +514,9 @@ def pit10(spark, d):
     return rows.select("row_id", F.round(rate, 9).alias("rate"), F.round(rate - smoothed_rate(F.col("u_pos"), F.col("u_lab"), 0.4), 9).alias("above_base"))
 
 
-@query("pit11_preferred_duration", W + "SELECT r.row_id, CAST(count(x.row_id) AS BIGINT) AS pref_n, round(avg(x.duration_ms), 4) AS pref_mean, round(stddev_pop(x.duration_ms), 3) AS pref_std FROM log r LEFT JOIN log x ON x.user_id = r.user_id AND x.date <= r.hz AND x.long_view = 1 GROUP BY 1")
+@query("pit11_preferred_duration", W + "SELECT r.row_id, CAST(count(x.row_id) AS BIGINT) AS pref_n, round(avg(x.duration_ms), 9) AS pref_mean, round(stddev_pop(x.duration_ms), 3) AS pref_std FROM log r LEFT JOIN log x ON x.user_id = r.user_id AND x.date <= r.hz AND x.long_view = 1 GROUP BY 1")
 def pit11(spark, d):
-    return pit.preferred_value(log(spark, d), ["user_id"], "duration_ms").select("row_id", "pref_n", F.round("pref_mean", 4).alias("pref_mean"), F.round("pref_std", 3).alias("pref_std"))
+    return pit.preferred_value(log(spark, d), ["user_id"], "duration_ms").select("row_id", "pref_n", F.round("pref_mean", 9).alias("pref_mean"), F.round("pref_std", 3).alias("pref_std"))
 
 
 @query("pit12_earlier_days", W + ", daily AS (SELECT video_id, date, count(*) AS n, sum(long_view) AS p FROM log GROUP BY ALL) SELECT r.row_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(coalesce(sum(p), 0) AS BIGINT) AS pos FROM log r LEFT JOIN daily x ON x.video_id = r.video_id AND x.date < r.date GROUP BY 1")
