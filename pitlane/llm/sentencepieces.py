@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
-The encoder keeps an agenda (a heap) of adjacent symbol pairs whose concatenation is a piece. The
+The encoder keeps an agenda of adjacent symbol pairs whose concatenation is a piece: a heap for a
+long part, and for short ones a row of a table, many of which are worked off side by side. The
 pair of the highest score is merged first, the leftmost among equals; a merge puts the two new
 neighbouring pairs on the agenda. Entries whose symbols have changed since are skipped. What is left
 that is no piece becomes byte pieces.
 
 Texts are cut before each run of U+2581 (the vocabulary's mark for a space) and around line feeds
-where no piece spans such a place, and a cut once more between any two characters that stand together
-in no piece, so that merges stay inside a part. What repeats comes from a cache of bounded size, which
+where no piece spans such a place, and a long cut once more between any two characters that stand
+together in no piece, so that merges stay inside a part. What repeats comes from a cache of bounded size, which
 drops what was used longest ago. Each Arrow batch is encoded by the sentencepiece library as well, and the
 column ``agrees`` tells whether the ids are the same.
 """
@@ -15,9 +16,12 @@ column ``agrees`` tells whether the ids are the same.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,10 @@ SPACE = "▁"
 CACHE_ENTRIES = 200_000
 #: Longer cuts aren't remembered.
 CACHED_CHARS = 64
+#: Parts whose agendas are worked off side by side.
+AGENDAS = 2048
+#: The rank of a pair of symbols that makes no piece.
+NO_RANK = np.iinfo(np.int32).max
 #: Code points that go through one call of the library at most, unless one text is longer.
 CHUNK_CHARS = 1_000_000
 
@@ -54,8 +62,15 @@ class MergeVocabulary:
         self.cuts = re.compile(r"(?s).+" if inside else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if line else rf"\n+|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
         self.together = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self._pairs()
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.keys = np.array([*sorted(self.pair), np.iinfo(np.int64).max])
+        self.ranks, self.news = np.array([*map(self.pair.get, self.keys[:-1].tolist()), (NO_RANK, 0)], np.int32).T.copy()
+        self.id_array = np.array([*self.id_of, -1], np.int32)  # the last one is that of symbol -1
+        self.number_of = np.full(sys.maxunicode + 1, -1, np.int32)
+        for c, x in self.number.items():
+            if len(c) == 1:
+                self.number_of[ord(c)] = x
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _pairs(self) -> None:
         """Numbers for symbols (pieces, and characters that are none), and for each pair of them that makes a piece its rank and number."""
@@ -70,8 +85,8 @@ class MergeVocabulary:
                 if left is not None and right is not None:
                     self.pair[left << 20 | right] = ranks[self.cost[p]], self.number[p]
 
-    def merged(self, text: str) -> list[int]:
-        """Ids of one part, by the agenda: of entries rank * length + place, the least comes first."""
+    def merged(self, text: str) -> bytes:
+        """Ids of one part (each of four bytes), by the agenda: of entries rank * length + place, the least comes first."""
         n, pair, number = len(text), self.pair.get, self.number.get
         part = [number(c, -1) for c in text]
         if n > 1:
@@ -98,41 +113,94 @@ class MergeVocabulary:
                     out.append(piece)
                 else:
                     out.extend(self.bytes[b] for b in text[i].encode())
+        return np.array(out, np.int32).tobytes()
+
+    def merged_together(self, parts: list[str]) -> list[bytes]:
+        """Ids of many short parts: an agenda for each, of which every round takes the first entry.
+
+        An agenda is a row of ranks, one at each symbol's place; its least entry, the leftmost among
+        equals, is merged in all rows at once.
+        """
+        out = [b""] * len(parts)
+        order = np.argsort(list(map(len, parts)), kind="stable").tolist()
+        for lo in range(0, len(order), AGENDAS):
+            at = order[lo : lo + AGENDAS]
+            for i, ids in zip(at, self._block([parts[i] for i in at]), strict=True):
+                out[i] = ids
         return out
 
-    def remembered(self, cut: str) -> list[int]:
-        """Ids of a cut that the younger generation doesn't hold, which then does."""
-        ids = self.old.get(cut)
-        if ids is None:
-            together, start, ids = self.together, 0, []
-            for i in range(1, len(cut)):
-                if cut[i - 1 : i + 1] not in together:
-                    ids += self._part(cut[start:i])
-                    start = i
-            ids = ids + self._part(cut[start:]) if start else self.merged(cut)
-        self._keep(cut, ids)
-        return ids
-
-    def _part(self, part: str) -> list[int]:
-        ids = self.young.get(part) or self.old.get(part)
-        if ids is None:
-            ids = self.merged(part)
-            self._keep(part, ids)
-        return ids
-
-    def _keep(self, cut: str, ids: list[int]) -> None:
-        if len(cut) <= CACHED_CHARS:
-            if len(self.young) >= CACHE_ENTRIES:
-                self.old, self.young = self.young, {}
-            self.young[cut] = ids
+    def _found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair of symbols (NO_RANK of one that makes no piece), and the number of its piece."""
+        key = left.astype(np.int64) << 20 | right
+        at = np.searchsorted(self.keys, key)
+        hit = self.keys[at] == key
+        return np.where(hit, self.ranks[at], NO_RANK), self.news[at]
+
+    def _block(self, parts: list[str]) -> list[bytes]:
+        lengths = np.array([len(p) for p in parts])
+        n = int(lengths.max())
+        inside = np.arange(n) < lengths[:, None]
+        part = np.full((len(parts), n + 1), -1, np.int32)
+        part[:, :n][inside] = self.number_of[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+        strange = (part[:, :n] < 0) & inside
+        ranks, news = self._found(part[:, :-1], part[:, 1:])
+        after = np.tile(np.arange(1, n + 2, dtype=np.int32), (len(parts), 1))
+        before = after - 2
+        alive = inside.copy()
+        rows = np.arange(len(parts))
+        while True:
+            i = ranks[rows].argmin(1)
+            going = ranks[rows, i] < NO_RANK
+            rows, i = rows[going], i[going]
+            if not len(rows):
+                break
+            j = after[rows, i]
+            k = after[rows, j]
+            part[rows, i] = new = news[rows, i]
+            alive[rows, j], ranks[rows, j] = False, NO_RANK
+            after[rows, i], before[rows, np.minimum(k, n)] = k, i
+            ranks[rows, i], news[rows, i] = self._found(new, part[rows, np.minimum(k, n)])
+            h = before[rows, i]
+            r, x, i = rows[h >= 0], new[h >= 0], h[h >= 0]
+            ranks[r, i], news[r, i] = self._found(part[r, i], x)
+        ids = np.where(alive, self.id_array[part[:, :n]], np.int32(0))
+        odd = (strange | (ids < 0)).any(axis=1)
+        flat, ends = ids[alive].tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        return [self.merged(p) if o else flat[lo:hi] for p, o, lo, hi in zip(parts, odd.tolist(), [0, *ends], ends, strict=False)]
+
+    def _shorter(self, cut: str) -> list[str]:
+        """A long cut's parts, between characters that stand together in no piece."""
+        bounds = [0, *(i for i in range(1, len(cut)) if cut[i - 1 : i + 1] not in self.together), len(cut)]
+        return [cut[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Puts the ids of all wanted parts into the younger generation."""
+        wanted.difference_update(self.young)
+        self.young.update((c, self.old[c]) for c in wanted & self.old.keys())
+        wanted.difference_update(self.young)
+        short = [c for c in wanted if len(c) <= CACHED_CHARS]
+        self.young.update(zip(short, self.merged_together(short), strict=True))
+        self.young.update((c, self.merged(c)) for c in wanted if len(c) > CACHED_CHARS)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text (each of four bytes), without an end id. A space is put before a text that isn't empty."""
+        if len(self.young) >= CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        cuts = [self.cuts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        wanted = set(chain.from_iterable(cuts))
+        long = {c: self._shorter(c) for c in wanted if len(c) > CACHED_CHARS}
+        self._learn(wanted.difference(long).union(*long.values()))
+        forgotten = set(long).union(p for parts in long.values() for p in parts if len(p) > CACHED_CHARS)
+        for c, parts in long.items():
+            self.young[c] = b"".join([self.young[p] for p in parts])
+        out = [b"".join(map(self.young.__getitem__, c)) for c in cuts]
+        for c in forgotten:
+            del self.young[c]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text, without an end id. A space is put before a text that isn't empty."""
-        out: list[int] = []
-        if text:
-            for cut in self.cuts.findall(SPACE + text.replace(" ", SPACE)):
-                out += self.young.get(cut) or self.remembered(cut)
-        return out
+        """Ids of one text, as encode_all finds them."""
+        return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()
 
 
 _LOADED: dict[str, MergeVocabulary] = {}
@@ -159,7 +227,7 @@ def encode_decode(df: DataFrame, keep: list[str], model: str | Callable[[], str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _loaded(model)
-        tail = [vocabulary.eos] if end_id else []
+        tail = np.array([vocabulary.eos] if end_id else [], np.int32).tobytes()
         for whole in batches:
             start = 0
             lengths = pa.compute.utf8_length(whole.column("t")).to_pylist() if whole.num_rows else []
@@ -171,12 +239,14 @@ def encode_decode(df: DataFrame, keep: list[str], model: str | Callable[[], str]
                 batch = whole.slice(start, stop - start)
                 start = stop
                 texts = batch.column("t").to_pylist()
-                ids = [vocabulary.encode(t) + tail for t in texts]
+                made = [x + tail for x in vocabulary.encode_all(texts)]
+                ends = np.cumsum([0, *map(len, made)]) // 4
+                flat = np.frombuffer(b"".join(made), np.int32)
+                ids = [x.tolist() for x in np.split(flat, ends[1:-1])]
                 agrees = [a == b for a, b in zip(ids, vocabulary.library.encode(texts, add_eos=end_id, num_threads=1), strict=True)] if check else [None] * len(ids)
-                decoded = vocabulary.library.decode(ids, num_threads=1) if ids else []
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], names=[*batch.schema.names[:-1], "ids", "decoded", "agrees"]
-                )
+                decoded = vocabulary.library.decode(ids, num_threads=1)
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], listed, pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], names=[*batch.schema.names[:-1], "ids", "decoded", "agrees"])
 
     kinds = ", ".join(f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     out = source.mapInArrow(run, f"{kinds}{', ' * bool(keep)}ids array<int>, decoded string, agrees boolean")
