@@ -23,6 +23,7 @@ A cluster of n nodes costs n**2 / BLOCK rows of sets. Its blocks bound each task
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -153,7 +154,7 @@ def _links(docs: DataFrame, members: DataFrame, doc_id: str, text: str, k: int,
 
         at, held = None, ([], [], [])
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("cluster", "x", "y", "node", "side", "s")), strict=True):
+            for row in chain.from_iterable(zip(*(b.slice(i, 64).column(c).to_pylist() for c in ("cluster", "x", "y", "node", "side", "s")), strict=True) for i in range(0, b.num_rows, 64)):
                 if row[:3] != at:
                     if len(held[0]) > 1:
                         yield done()

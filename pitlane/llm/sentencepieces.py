@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,7 +231,7 @@ def encode_decode(df: DataFrame, keep: list[str], model: str | Callable[[], str]
         tail = np.array([vocabulary.eos] if end_id else [], np.int32).tobytes()
         for whole in batches:
             start = 0
-            lengths = pa.compute.utf8_length(whole.column("t")).to_pylist() if whole.num_rows else []
+            lengths = pc.utf8_length(whole.column("t")).to_pylist() if whole.num_rows else []
             while start < whole.num_rows:
                 stop, chars = start, 0
                 while stop < whole.num_rows and (stop == start or chars + lengths[stop] <= CHUNK_CHARS):

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once, unless one text is longer.
 CHUNK_BYTES = 1 << 20
@@ -63,14 +64,13 @@ _HASHES = _Hashes()
 
 
 def sets_of(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
-    """Of each text the sorted distinct hashes of its shingles of ``k`` words.
+    """Of each text (an array of binary) the sorted distinct hashes of its shingles of ``k`` words.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Fewer than ``k`` words
     make one shingle, none (or null) an empty set.
     """
-    texts = texts.cast(pa.large_binary())
     start, rows = 0, len(texts)
-    lengths = np.array([x or 0 for x in pa.compute.binary_length(texts).to_pylist()], np.int64)
+    lengths = np.array([x or 0 for x in pc.binary_length(texts).to_pylist()], np.int64)
     while start < rows:
         stop = max(start + 1, start + int(np.searchsorted(np.cumsum(lengths[start:]), CHUNK_BYTES, "right")))
         data = np.frombuffer(b"".join(x.as_py() or b"" for x in texts.slice(start, stop - start)), np.uint8)
