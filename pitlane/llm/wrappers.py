@@ -12,9 +12,14 @@ of pages folds what it has of a host, salted groups fold those results, and one
 folds the rest; what meets is wrappers, which are as large as a template, not as its pages. Pages
 then join their host's wrapper and are parsed where they lie.
 
-A wrapper's slots are fields. A field is main text unless an element around it is layout by its name,
-role, class or id (navigation, header, footer, aside, form, advert, notice, comments ...); where the
-wrapper has an article or main element, its fields lie inside one.
+Parsing aligns each text with a slot of the wrapper. A text that stands in one slot on most of the
+different pages that fill it is template, whatever its tags; only mismatching text is a field. Texts
+are counted by hash in the whole table, as a repeated part has many in one slot. So hosts of fewer
+than LEAST_PAGES different pages have no template text.
+
+Among fields, rules on tags choose: a field is main text unless an element around it is layout by its
+name, role, class or id (navigation, header, footer, aside, form, advert, notice, comments ...); where
+the page has an article or main element, its fields lie inside one.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +39,8 @@ from .common import BROADCAST_BYTES, cut
 #: Wrappers of one host with more nodes than this stop learning: further pages are parsed by the rules on elements alone.
 MOST_NODES = 2_000
 SALTS = 16
+#: Text is template if so many different pages, and more than half of those that fill its slot, have it there.
+LEAST_PAGES = 3
 
 #: Elements by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -269,23 +277,47 @@ def reduced(nodes: list) -> list:
     return [node for tree in _folded(out) for node in tree]
 
 
-def fields(wrapper: list) -> dict[tuple[str, ...], bool]:
-    """Places of slots (the open elements around them) -> whether the slot is main text."""
-    places: set[tuple[str, ...]] = set()
+def compiled(wrapper: list) -> list[tuple]:
+    """(kind, number of the slot or None, what the element holds) of each tree, marks aside."""
+    slots = 0
 
-    def walk(nodes: list, path: tuple[str, ...]) -> None:
-        for x in nodes:
-            if not isinstance(x, str):
-                walk(x[1], path)
-            elif x == SLOT:
-                places.add(path)
-            elif x.startswith("</"):
-                path = path[:-1]
+    def of(nodes: list) -> list[tuple]:
+        nonlocal slots
+        out = []
+        for tree in _trees(nodes):
+            core = _core(tree)
+            if core[0] == SLOT:
+                out.append((SLOT, slots, None))
+                slots += 1
             else:
-                path = (*path, x[1:])
-
-    walk(wrapper, ())
-    return {p: main_text(p, any(is_main(q) for q in places)) for p in places}
+                closed = len(core) > 1 and isinstance(core[-1], str) and core[-1].startswith("</")
+                out.append((core[0], None, of(core[1:-1] if closed else core[1:])))
+        return out
+
+    return of(wrapper)
+
+
+def aligned_slots(tokens: list[str], wrapper: list[tuple]) -> list[int | None]:
+    """Of each text of a page, the slot of its host's wrapper that it fills; None where the wrapper doesn't know the way to it."""
+    out: list[int | None] = []
+    name, level, at = "", wrapper, 0
+    around: list[tuple] = []
+    for t in tokens:
+        if t.startswith("</"):
+            if any(x[0] == t[2:] for x in around) or name == t[2:]:
+                while around:
+                    left, (name, level, at) = name, around.pop()
+                    if left == t[2:]:
+                        break
+            continue
+        i = next((i for i in range(at, len(level)) if level[i][0] == t), None)
+        at = at if i is None else i
+        if t == SLOT:
+            out.append(None if i is None else level[i][1])
+        else:
+            around.append((name, level, at))
+            name, level, at = t[1:].rstrip("!"), [] if i is None else level[i][2], 0
+    return out
 
 
 def is_main(place: tuple[str, ...]) -> bool:
@@ -293,7 +325,7 @@ def is_main(place: tuple[str, ...]) -> bool:
 
 
 def main_text(place: tuple[str, ...], has_main: bool) -> bool:
-    """Whether a slot at this place is main text, on a page whose wrapper has an article or main element or not."""
+    """Whether a slot at this place is main text, on a page with an article or main element or not."""
     if has_main and not is_main(place):
         return False
     first = next((i for i, e in enumerate(place) if e in MAIN), len(place))
@@ -303,15 +335,17 @@ def main_text(place: tuple[str, ...], has_main: bool) -> bool:
     return len(layout) == len(inner)
 
 
-def extract(source: str | None, wrapper: dict[tuple[str, ...], bool]) -> str:
-    """Main text of a page: its main fields in page order, joined by one space."""
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def extract(source: str | None, wrapper: list[tuple], template: set[tuple[int, int]]) -> str:
+    """Main text of a page: its main fields in page order, joined by one space. template: slots and hashes of text that is none."""
     page = Page(source or "")
     has_main = any(is_main(p) for p in page.inside)
     out = []
-    for text, place in zip(page.texts, page.inside, strict=True):
-        at = wrapper.get(place)
-        # a page may lack the element that its host's pages mostly have; then the rules see that page alone
-        if main_text(place, has_main) if at is None or not has_main else at:
+    for text, place, slot in zip(page.texts, page.inside, aligned_slots(page.tokens, wrapper), strict=True):
+        if main_text(place, has_main) and not (template and slot is not None and (slot, _hash(text)) in template):
             out.append(text)
     return " ".join(out)
 
@@ -371,29 +405,71 @@ def _host(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)).alias("host")
 
 
+def _with_wrapper(rows: DataFrame, wrappers: DataFrame, size: int, columns: list[str]) -> DataFrame:
+    return rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left").select(*columns)
+
+
+def _size(wrappers: DataFrame) -> int:
+    return wrappers.agg(F.coalesce(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in wrappers.columns), F.lit(64))), F.lit(0))).first()[0]
+
+
+class _Known:
+    """Wrappers by their JSON, so that each is compiled once."""
+
+    def __init__(self):
+        self.held: dict = {}
+
+    def __call__(self, w: str | None, template: str | None = None) -> tuple[list, set]:
+        if (w, template) not in self.held:
+            if len(self.held) > 1_000:
+                self.held.clear()
+            self.held[w, template] = compiled(json.loads(w)) if w else [], {tuple(x) for x in json.loads(template)} if template else set()
+        return self.held[w, template]
+
+
+def templates(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, w, template: with each wrapper the (slot, hash) of text that is template, as JSON, or null. rows: host, html."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
+        for b in batches:
+            out: set[tuple] = set()
+            for host, source, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                page = Page(source or "")
+                key = _hash("\0".join(page.texts))
+                for text, slot in zip(page.texts, aligned_slots(page.tokens, known(w)[0]), strict=True):
+                    if slot is not None:
+                        out.add((host, slot, _hash(text), key))
+                        out.add((host, slot, None, key))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["host", "slot", "text", "page"])
+
+    # copies of a page count once
+    met = _with_wrapper(rows, wrappers, _size(wrappers), ["host", "html", "w"]).mapInArrow(run, "host string, slot int, text long, page long").distinct()
+    counts = cut(met.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES))
+    whole = counts.where("text is null").select("host", "slot", F.col("n").alias("pages"))
+    same = counts.where("text is not null").join(whole, ["host", "slot"]).where(F.col("n") * 2 > F.col("pages"))
+    found = same.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("slot").cast("long"), "text")))).alias("template"))
+    return wrappers.join(found, "host", "left").select("host", "w", "template")
+
+
 def main_texts(pages: DataFrame, keep: list[str], url: str = "url", source: str = "html") -> DataFrame:
     """Columns ``keep``, and text: the main text of each page.
 
     A null or empty page has an empty text; so has one without any main field. Repeated rows stay.
     An empty table gives an empty one. Columns outside ``keep`` are dropped, so their names can't clash.
     """
-    wrappers = cut(infer(pages, url, source))
-    size = wrappers.agg(F.coalesce(F.sum(F.length("w") + F.length("host") + 64), F.lit(0))).first()[0]
+    plain = pages.select(_host(url), F.col(source).cast("string").alias("html"))
+    wrappers = cut(templates(plain, cut(infer(pages, url, source))))
     names = [f"k{i}" for i in range(len(keep))]
     rows = pages.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], _host(url), F.col(source).cast("string").alias("html"))
-    rows = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left").select(*names, "html", "w")
+    rows = _with_wrapper(rows, wrappers, _size(wrappers), [*names, "html", "w", "template"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        known = _Known()
         for b in batches:
-            texts = []
-            for page, w in zip(b.column("html").to_pylist(), b.column("w").to_pylist(), strict=True):
-                if w not in known:
-                    if len(known) > 1_000:
-                        known.clear()
-                    known[w] = fields(json.loads(w)) if w else {}
-                texts.append(extract(page, known[w]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.string())], names=[*names, "text"])
+            pages = zip(*(b.column(c).to_pylist() for c in ("html", "w", "template")), strict=True)
+            texts = [extract(page, *known(w, template)) for page, w, template in pages]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(texts, pa.string())], names=[*names, "text"])
 
     kinds = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
     out = rows.mapInArrow(run, f"{kinds}text string")

@@ -25,6 +25,20 @@ def test_article_without_its_frame(spark):
     assert got == {i: f"First part of {i} & more " + "Second bold part" * (i % 3 + 1) for i in range(12)}
 
 
+def test_boilerplate_without_telling_tags(spark):
+    """Constant text of a host is template, also in a repeated part and in an optional one; copies and single pages prove nothing."""
+    menu = "<div><p>Start here</p></div><div><ul><li>Cars</li><li>Boats</li></ul></div>"
+    plain = lambda i, extra="": f"<html><body>{menu}{extra}<div><p>Story {i} begins</p><p>and ends {i}</p></div><div><p>Our company since 1990</p></div></body></html>"
+    optional = "<section><p>Try our paper</p></section>"
+    rows = [(i, f"https://a.example/{i}", plain(i, optional if i % 4 == 0 else "")) for i in range(16)]
+    rows += [(100 + i, "https://copies.example/", plain(7)) for i in range(8)] + [(200, "https://one.example/", plain(8))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in wrappers.main_texts(df, ["page_id"]).collect()}
+    assert {i: got[i] for i in range(16)} == {i: f"Story {i} begins and ends {i}" for i in range(16)}
+    whole = "Start here Cars Boats Story {0} begins and ends {0} Our company since 1990"
+    assert all(got[100 + i] == whole.format(7) for i in range(8)) and got[200] == whole.format(8)
+
+
 def test_pages_edges(spark):
     rows = [(1, None, page("Only words here")), (2, "https://b.example/", None), (3, "https://b.example/", ""), (None, "no host", page("Twice")), (None, "no host", page("Twice")), (5, "https://b.example/z", "<p"), (6, "https://c.example/", page("long " * 60_000))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("w", F.lit(0)).withColumn("text", F.lit("x")).withColumn("host", F.lit("h"))
