@@ -16,7 +16,6 @@ from ..streaming.prefix import streaming_prefix
 from . import context as candidates
 from .catalog import BASE, OFFICIAL, POP, SCHEDULE, log, popularity, query, rounded_summary
 
-LAST = SCHEDULE[-2:]
 FIT_END = OFFICIAL.days("train")[1]
 
 
@@ -32,7 +31,7 @@ def scored(spark, d, scores: DataFrame) -> DataFrame:
 
 @query("mf01_als")
 def mf01(spark, d):
-    return scored(spark, d, models.als_scores(log(spark, d), LAST))
+    return scored(spark, d, models.als_scores(log(spark, d), SCHEDULE))
 
 
 @query("mf02_dot", f"WITH {BASE} SELECT row_id, round(tab * hour + duration_ms * 2, 6) AS score FROM log")
@@ -42,14 +41,14 @@ def mf02(spark, d):
 
 @query("mod02_windowed_fm")
 def mod02(spark, d):
-    fm = models.fm_scores(["tab", "tag", "author_id"], factors=4, iterations=5)
-    return scored(spark, d, models.by_window(log(spark, d), LAST, fm, "long_view", FIT_END, 200))
+    fm = models.fm_scores(["tab", "tag", "author_id"], factors=4)
+    return scored(spark, d, models.by_window(log(spark, d), SCHEDULE, fm, "long_view", FIT_END, 200))
 
 
 @query("mod03_propensity")
 def mod03(spark, d):
-    fm = models.fm_scores(["tab", "tag"], "is_click", factors=4, iterations=5)
-    return scored(spark, d, models.by_window(log(spark, d), LAST[:1], fm, "is_click", FIT_END, 200))
+    fm = models.fm_scores(["tab", "tag"], "is_click", factors=4)
+    return scored(spark, d, models.by_window(log(spark, d), SCHEDULE, fm, "is_click", FIT_END, 200))
 
 
 @query("mod07_sequences", f"WITH {BASE}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time_ms DESC, row_id DESC) AS n FROM log WHERE date <= {FIT_END}) SELECT user_id, CAST(count(*) AS BIGINT) AS slen, string_agg(CAST(video_id + 1 AS VARCHAR), ',' ORDER BY n DESC) AS seq FROM x WHERE n <= 32 GROUP BY 1")
@@ -71,7 +70,7 @@ FEATURES = ["item_rate", "item_logn", "user_rate", "user_logn", "item_tab_rate",
 
 @query("mod09_gbt")
 def mod09(spark, d):
-    return scored(spark, d, models.by_window(feature_rows(spark, d), LAST[:1], models.gbt_scores(FEATURES, iterations=5), "long_view", FIT_END, 200))
+    return scored(spark, d, models.by_window(feature_rows(spark, d), SCHEDULE, models.gbt_scores(FEATURES), "long_view", FIT_END, 200))
 
 
 @query("mod10_experts")
@@ -79,7 +78,7 @@ def mod10(spark, d):
     rows = feature_rows(spark, d)
     out = None
     for name, cols in (("item", ["item_rate", "item_logn"]), ("user", ["user_rate", "user_logn"])):
-        s = models.by_window(rows, LAST[:1], models.gbt_scores(cols, iterations=3), "long_view", FIT_END, 200)
+        s = models.by_window(rows, SCHEDULE, models.gbt_scores(cols), "long_view", FIT_END, 200)
         part = scored(spark, d, s).withColumn("expert", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

@@ -35,3 +35,26 @@ def test_loop_keeps_outcomes_out(spark):
     ledger = {r.candidate: r for r in catalog.QUERIES["ctx01_candidate_loop"](spark, SF).collect()}
     assert ledger["leak"].decision == "error" and "OutcomeColumnError" in ledger["leak"].detail
     assert ledger["item"].valid > 0
+
+
+@pytest.mark.parametrize("name", ["mf01_als", "mod02_windowed_fm", "mod03_propensity", "mod09_gbt", "mod10_experts"])
+def test_learners_score_every_window(spark, monkeypatch, name):
+    """All rows get a score, the training rows too; learners run for their default iterations, and are stubs here but for ALS."""
+    from pitlane.operators import models
+
+    asked = []
+
+    def stub(*args, iterations=10, **kwargs):
+        def fit_score(past, rows):
+            asked.append(iterations)
+            return rows.withColumn("score", rows["duration_ms"].cast("double"))
+
+        return fit_score
+
+    monkeypatch.setattr(models, "fm_scores", stub)
+    monkeypatch.setattr(models, "gbt_scores", stub)
+    sizes = {r.split: r["count"] for r in catalog.log(spark, SF).where("split is not null").groupBy("split").count().collect()}
+    got = catalog.QUERIES[name](spark, SF).collect()
+    assert set(sizes) == {"train", "valid", "test"} and set(asked) <= {10}
+    for expert in {r.asDict().get("expert") for r in got}:
+        assert {r.split: r.rows_n for r in got if r.asDict().get("expert") == expert} == sizes
