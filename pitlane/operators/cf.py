@@ -11,13 +11,19 @@ def edges(df: DataFrame, user: str = "user_id", item: str = "video_id") -> DataF
     return df.select(F.col(user).alias("u"), F.col(item).alias("i")).distinct()
 
 
-def cooccurrence(e: DataFrame, most_items: int = 1_000) -> DataFrame:
-    """i, j, n for i != j: users of both. A user of more than ``most_items`` items says nothing of any pair, and would make their square of rows, so is an error of the input."""
-    heavy = e.groupBy("u").count().where(F.col("count") > most_items).count()
-    if heavy:
-        raise ValueError(f"{heavy} users have more than {most_items} items; drop them or raise most_items")
-    other = e.select("u", F.col("i").alias("j"))
-    return e.join(other, "u").where("i <> j").groupBy("i", "j").agg(F.count("*").alias("n"))
+def cooccurrence(e: DataFrame, block_items: int = 1_000) -> DataFrame:
+    """i, j, n for i != j: users of both.
+
+    The items of a user of more than ``block_items`` are dealt into blocks of about as many; each pair
+    of the user's blocks is a key of its own, so that one user's pairs are made by many tasks. The rows
+    of a user of one block aren't copied.
+    """
+    heavy = e.groupBy("u").count().where(F.col("count") > block_items).select("u", F.ceil(F.col("count") / block_items).cast("int").alias("_blocks"))
+    blocks = F.coalesce("_blocks", F.lit(1))
+    rows = e.join(heavy, "u", "left").select("u", "i", F.pmod(F.xxhash64("i"), blocks).cast("int").alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
+    left = rows.withColumnsRenamed({"_own": "_a", "_other": "_b"})
+    right = rows.withColumnsRenamed({"i": "j", "_own": "_b", "_other": "_a"})
+    return left.join(right, ["u", "_a", "_b"]).where("i <> j").groupBy("i", "j").agg(F.count("*").alias("n"))
 
 
 def item_counts(e: DataFrame) -> DataFrame:

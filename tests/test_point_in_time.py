@@ -113,3 +113,17 @@ def test_guards(spark):
     with pytest.raises(ValueError):
         keys.require_within(df, 20231231)
     assert keys.require_within(df, 20240101) is df
+
+
+def test_cooccurrence_of_heavy_users(spark):
+    """A user of more items than a block holds is counted, and exactly."""
+    from collections import Counter
+
+    from pitlane.operators import cf
+
+    basket = {1: range(37), 2: range(30, 45), 3: [1], 4: [2, 36]}
+    e = spark.createDataFrame([(u, i) for u, items in basket.items() for i in items], "u int, i int")
+    want = Counter((i, j) for items in basket.values() for i in items for j in items if i != j)
+    assert {(r.i, r.j): r.n for r in cf.cooccurrence(e, 5).collect()} == want
+    long = spark.range(1_100).selectExpr("1 as u", "id as i")
+    assert cf.cooccurrence(long).count() == 1_100 * 1_099
