@@ -3,7 +3,9 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range, and at least the smallest
 hash there is. So the sketch of two texts' shingles together is that of their sketches together
 (``merged``), and what two sketches share, divided by the size of one of them, estimates how much of
-that text the other contains, however unequal the two are.
+that text the other contains, however unequal the two are. A sketch of the least hash alone, above the
+threshold, shares nothing with a sketch of hashes below it, whatever the texts share; pairs with such a
+sketch are settled on all hashes of both texts (``near``).
 
 All of it is DataFrame expressions. The texts are shuffled once, to find each one's successor.
 """
@@ -36,15 +38,38 @@ def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
     return bounded(F.concat(a, b), scale)
 
 
-def sketched(df: DataFrame, text: str, out: str, k: int = SHINGLE, scale: int = SCALE) -> DataFrame:
-    """``df`` with the sketch of a text column: words are runs of other than ASCII white space, lower-cased; fewer than ``k`` are one shingle."""
-    words, hashed = f"{out}__words", f"{out}__hashes"
+def hashed(df: DataFrame, text: str, out: str, k: int = SHINGLE) -> DataFrame:
+    """``df`` with the shingle hashes of a text column: words are runs of other than ASCII white space, lower-cased; fewer than ``k`` are one shingle."""
+    words = f"{out}__words"
     df = df.withColumn(words, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     df = df.withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
     many = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
     few = F.transform(F.array(F.array_join(F.transform(words, lambda h: h.cast("string")), " ")), lambda s: F.xxhash64(s))
-    df = df.withColumn(hashed, F.when(F.size(words) >= k, many).when(F.size(words) > 0, few).otherwise(F.array().cast("array<bigint>")))
-    return df.withColumn(out, bounded(F.col(hashed), scale)).drop(words, hashed)
+    return df.withColumn(out, F.when(F.size(words) >= k, many).when(F.size(words) > 0, few).otherwise(F.array().cast("array<bigint>"))).drop(words)
+
+
+def sketched(df: DataFrame, text: str, out: str, k: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+    """``df`` with the sketch of a text column's hashed() shingles."""
+    hashes = f"{out}__hashes"
+    return hashed(df, text, hashes, k).withColumn(out, bounded(F.col(hashes), scale)).drop(hashes)
+
+
+def is_fallback(sketch: Column, scale: int = SCALE) -> Column:
+    """Whether a sketch is the least hash alone, as none is below the threshold."""
+    return (F.size(sketch) > 0) & (F.element_at(sketch, F.when(F.size(sketch) > 0, 1)) >= _below(scale))
+
+
+def near(df: DataFrame, a: tuple[str, str], others: dict[str, tuple[str, str]], k: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+    """``df`` with the containment() of ``a`` and each of ``others``, given as (text, sketch); of all hashes where one sketch of the two is a fallback. Only such rows' texts are hashed again."""
+    asks = {n: is_fallback(F.col(a[1]), scale) | is_fallback(F.col(sketch), scale) for n, (_, sketch) in others.items()}
+    any_asks = F.greatest(*asks.values(), F.lit(False))
+    texts = {"_a": F.when(any_asks, F.col(a[0])), **{f"_o_{n}": F.when(asks[n], F.col(text)) for n, (text, _) in others.items()}}
+    df = df.withColumns({f"{c}_text": x for c, x in texts.items()})
+    for c in texts:
+        df = hashed(df, f"{c}_text", f"{c}_all", k).withColumn(f"{c}_all", F.array_distinct(f"{c}_all"))
+    exact = {n: containment(F.array_sort("_a_all"), F.array_sort(f"_o_{n}_all")) for n in others}
+    df = df.withColumns({n: F.when(asks[n], exact[n]).otherwise(containment(F.col(a[1]), F.col(sketch))) for n, (_, sketch) in others.items()})
+    return df.drop(*[f"{c}_{x}" for c in texts for x in ("text", "all")])
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -95,7 +120,7 @@ def with_next(df: DataFrame, key: str, carried: list[str], order: list[str]) ->
 
 
 def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, scale: int = SCALE) -> DataFrame:
-    """doc_id, n_chars, edited, sketch, edited_sketch, next_sketch: a row for each row of ``docs``.
+    """doc_id, n_chars, edited, sketch, edited_sketch, next_sketch, near_edited, near_next: a row for each row of ``docs``.
 
     edited: the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document by ascending doc_id, the first after the last. A null text counts as empty, whose sketch
@@ -106,6 +131,7 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = with_next(sketched(rows, "text", "sketch", k, scale), "id", ["text", "sketch"], ["text"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))).drop("text", "next_text")
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
     rows = sketched(rows, "edited", "edited_sketch", k, scale)
-    return rows.select(F.col("id").alias(doc_id), "n_chars", "edited", "sketch", "edited_sketch", "next_sketch")
+    rows = near(rows, ("text", "sketch"), {"near_edited": ("edited", "edited_sketch"), "near_next": ("next_text", "next_sketch")}, k, scale)
+    return rows.select(F.col("id").alias(doc_id), "n_chars", "edited", "sketch", "edited_sketch", "next_sketch", "near_edited", "near_next")

@@ -70,8 +70,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
-    near = {f"near_{x}": fingerprints.containment(F.col("sketch"), F.col(f"{x}_sketch")) for x in ("edited", "next")}
-    return pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("sketch")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), *[c.alias(n) for n, c in near.items()])
+    return pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("sketch")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,6 +230,27 @@ def test_sketches_merge_and_estimate(spark):
     assert len(sketch_of(spark, ["only four words here"])[0]) == 1 and sketch_of(spark, ["", "  "]) == [[], []]
 
 
+def test_short_texts_in_long_ones_equal_brute_force(spark):
+    """Where a sketch has no hash below the threshold, containment is that of all shingles."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        long = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        at = rng.randrange(280)
+        rows += [(2 * i, " ".join(long[at : at + 5 + i % 12])), (2 * i + 1, " ".join(long))]
+    out = fingerprints.edited_pairs(table(spark, rows)).collect()
+    text, fallbacks = dict(rows), 0
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    below = -(2**63) + 2**64 // fingerprints.SCALE
+    for r in out:
+        own = shingles(text[r.doc_id])
+        for other, sketch, got in ((shingles(r.edited), r.edited_sketch, r.near_edited), (shingles(text[(r.doc_id + 1) % 80]), r.next_sketch, r.near_next)):
+            if min(r.sketch) >= below or min(sketch) >= below:
+                fallbacks += 1
+                assert got == pytest.approx(len(own & other) / min(len(own), len(other)))
+    assert fallbacks > 20 and all(r.near_next == 1 for r in out if r.doc_id % 2 == 0)
+
+
 def test_language_held_out_accuracy_and_edges(spark):
     docs = real(spark).withColumn("out", langid.held_out(F.col("doc_id")))
     model = langid.fit(docs.where("not out"), "doc_id", "text", "lang")
