@@ -16,8 +16,16 @@ _BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[32, *range(9, 14)]] = True
+
+def _bytes(chosen) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chosen)] = True
+    return out
+
+
+#: Bytes between words: ASCII white space; or all of ASCII but letters and digits.
+SPACES = _bytes([32, *range(9, 14)])
+NO_WORD = _bytes(b for b in range(128) if not chr(b).isalnum())
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -35,32 +43,64 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 class _Hashes:
-    """Word hashes by prefix sums of a polynomial modulo 2**64, whose odd base has an inverse."""
+    """Word hashes by prefix sums of a polynomial modulo 2**64, whose odd base has an inverse; A-Z count as a-z."""
 
-    def __init__(self):
+    def __init__(self, between: np.ndarray):
+        self.between = between
         self.up = self.down = np.ones(1, np.uint64)
 
+    def _places(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin and end. A word can't go on from one text to the next."""
+        n = len(data)
+        space = self.between[data]
+        edge = np.zeros(n + 1, bool)
+        edge[bounds] = True
+        word = ~space
+        starts = np.flatnonzero(word & (edge[:n] | np.concatenate(([True], space[:-1]))))
+        return starts, np.flatnonzero(word & (edge[1:] | np.concatenate((space[1:], [True])))) + 1
+
+    def counts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """How many words each text has."""
+        return np.diff(np.searchsorted(self._places(data, bounds)[0], bounds)) if len(data) else np.zeros(len(bounds) - 1, np.int64)
+
     def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each word, and how many words each text has. Texts are data[bounds[i]:bounds[i+1]]."""
         n = len(data)
+        if not n:
+            return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
         up, down = self.up, self.down
         if len(up) <= n:
             up, down = _powers(n, _BASE), _powers(n, pow(_BASE, -1, 2**64))
             if n <= CHUNK_BYTES:  # those of one longer text aren't kept
                 self.up, self.down = up, down
-        space = _IS_SPACE[data]
-        edge = np.zeros(n + 1, bool)  # a word can't go on from one text to the next
-        edge[bounds] = True
-        word = ~space
-        starts = np.flatnonzero(word & (edge[:n] | np.concatenate(([True], space[:-1]))))
-        ends = np.flatnonzero(word & (edge[1:] | np.concatenate((space[1:], [True])))) + 1
+        starts, ends = self._places(data, bounds)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * up[:n], out=total[1:])
         hashes = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         return hashes, np.diff(np.searchsorted(starts, bounds))
 
 
-_HASHES = _Hashes()
+def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes of neighbouring texts (an array of binary, null being empty), CHUNK_BYTES at once or one longer text, and the bounds of each."""
+    start, rows = 0, len(texts)
+    lengths = np.array([x or 0 for x in pc.binary_length(texts).to_pylist()], np.int64)
+    while start < rows:
+        stop = max(start + 1, start + int(np.searchsorted(np.cumsum(lengths[start:]), CHUNK_BYTES, "right")))
+        data = np.frombuffer(b"".join(x.as_py() or b"" for x in texts.slice(start, stop - start)), np.uint8)
+        yield data, np.concatenate(([0], np.cumsum(lengths[start:stop])))
+        start = stop
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words, before mixed()."""
+    m = max(0, len(words) - k + 1)
+    full = np.zeros(m, np.uint64)
+    for i in range(k):
+        full += words[i : i + m] * _PLACE[i]
+    return full
+
+
+_HASHES = _Hashes(SPACES)
 
 
 def sets_of(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
@@ -69,25 +109,18 @@ def sets_of(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Fewer than ``k`` words
     make one shingle, none (or null) an empty set.
     """
-    start, rows = 0, len(texts)
-    lengths = np.array([x or 0 for x in pc.binary_length(texts).to_pylist()], np.int64)
-    while start < rows:
-        stop = max(start + 1, start + int(np.searchsorted(np.cumsum(lengths[start:]), CHUNK_BYTES, "right")))
-        data = np.frombuffer(b"".join(x.as_py() or b"" for x in texts.slice(start, stop - start)), np.uint8)
-        bounds = np.concatenate(([0], np.cumsum(lengths[start:stop])))
-        words, counts = _HASHES.words(data, bounds) if len(data) else (np.zeros(0, np.uint64), np.zeros(stop - start, np.int64))
-        m = max(0, len(words) - k + 1)
-        full = np.zeros(m, np.uint64)
-        for i in range(k):
-            full += words[i : i + m] * _PLACE[i]
-        full = mixed(full)
+    for data, bounds in chunks(texts):
+        words, counts = _HASHES.words(data, bounds)
+        full = mixed(shingle_hashes(words, k))
         at = 0
         for c in counts.tolist():
             if c >= k:
                 yield np.unique(full[at : at + c - k + 1])
             elif c:
-                yield mixed(np.array([(words[at : at + c] * _PLACE[:c]).sum(dtype=np.uint64) + _U(c)]))
+                yield mixed(shingle_hashes(words[at : at + c], c) + _U(c))
             else:
                 yield np.zeros(0, np.uint64)
             at += c
-        start = stop
+
+
+WORDS = _Hashes(NO_WORD)

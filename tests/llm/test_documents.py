@@ -48,15 +48,15 @@ def words10(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(AZ))
 
 
-@pytest.mark.parametrize("block", [500_000, 40])
-def test_decontamination_equals_brute_force(spark, block):
+@pytest.mark.parametrize("shingles_held", [500_000, 700])
+def test_decontamination_equals_brute_force(spark, shingles_held):
     docs = real(spark).select("doc_id", "text").unionByName(table(spark, clash=False)).collect()
-    bench = [*[(r.item_id, r.text) for r in real(spark, "benchmark").collect()], (900, "one"), (901, None), (902, "..."), (903, "c D e")]
+    bench = [*[(r.item_id, r.text) for r in real(spark, "benchmark").collect()], (900, "one"), (900, "one"), (None, "e f"), (903, "word " * 40), (901, None), (902, "..."), (903, "c D e")]
     windows = defaultdict(set)
     for i, t in bench:
         w = words10(t)
         for p in range(max(1, len(w) - 12) if w else 0):
-            windows[tuple(w[p : p + 13])].add(str(i))
+            windows[tuple(w[p : p + 13])].add("" if i is None else str(i))
     want = []
     for d in docs:
         w, hit, items = words10(d.text), set(), set()
@@ -67,7 +67,7 @@ def test_decontamination_equals_brute_force(spark, block):
                     items |= windows[x]
         want.append((d.doc_id, len(w), len(hit), ",".join(sorted(items)), bool(hit) and 20 * len(hit) >= len(w)))
     rows = spark.createDataFrame([(d.doc_id, d.text) for d in docs], "doc_id long, text string").withColumn("hits", F.lit(1))
-    found = decontaminate.find_windows(rows, spark.createDataFrame(bench, "item_id long, text string"), ["doc_id"], block_windows=block)
+    found = decontaminate.find_windows(rows, spark.createDataFrame(bench, "item_id long, text string"), ["doc_id"], filter_shingles=shingles_held)
     got = [(r.doc_id, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in decontaminate.verdicts(found, ["doc_id"]).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
