@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted
 
 
-def _stars(pairs: DataFrame) -> DataFrame:
-    """Of directed rows (u, v): each row with m, the least of u and of all that u points to."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+def _stars(pairs: DataFrame, n: int) -> DataFrame:
+    """Of ``n`` directed rows (u, v): each row with m, the least of u and of all that u points to.
+
+    The minima are made before the shuffle in part, so a hot node is one row of each task. Its links
+    don't meet in a task either, for its minimum is sent to where they lie.
+    """
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+    return join_counted(pairs, least.withColumn("m", F.least("u", "m")), "u", n)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -19,8 +23,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Links are undirected; repeated ones, links of a node to itself and those with a null end change
     nothing. No node's links are gathered: each round is two minima by node, joined back to the
-    links, so a hot node's links stay spread, and AQE splits its join. The rounds end when the links
-    are stars, after about the logarithm of the longest path.
+    links, and a hot node's links stay where they are. The rounds end when the links are stars, after
+    about the logarithm of the longest path.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u") != F.col("v"))
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -31,6 +35,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = seen
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _stars(large)
+        large = _stars(both, 2 * seen[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _stars(large, seen[0])  # of a link at most one side is larger, so these are no more than the links
         edges = cut(small.select("u", F.col("m").alias("v")).unionByName(small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
