@@ -5,10 +5,10 @@ frequency of its character n-grams of the greatest length, from ``LONGEST`` down
 knows any of them. The language of the highest sum is predicted; the score is the share of that
 language when the mean log frequencies per word are turned into shares (a softmax).
 
-What is learned: counts over at most about ``SAMPLE_DOCS`` documents of each language, drawn by a hash
-of the document id (a bounded sample of labelled rows), of which the ``WORDS`` most frequent words and
-the ``GRAMS`` most frequent n-grams of each length are kept. So the model's size depends on the number
-of languages alone, and it can be broadcast. Texts are judged where they lie, without a shuffle.
+What is learned: all words and n-grams of at most about ``SAMPLE_DOCS`` documents of each language,
+drawn by a hash of the document id (a bounded sample of labelled rows). The model holds a 64-bit hash
+and a count by language for each, so its size depends on the sample alone, and it can be broadcast.
+Texts are judged where they lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,28 +16,37 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, small
 
 SAMPLE_DOCS = 4_000
-WORDS, GRAMS, LONGEST = 20_000, 5_000, 5
+LONGEST = 5
 SMOOTHING = 0.5
 CACHE_ENTRIES = 300_000
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    words = _WORD.findall((text or "").lower())
-    return words if any(w.isalpha() for w in words[:8]) else [w for w in words if any(map(str.isalpha, w))]
+def runs_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters and of numbers that are no digits, such as fractions."""
+    return _RUN.findall((text or "").lower())
+
+
+def is_word(run: str) -> bool:
+    """Whether a run has a letter; others say nothing of a language."""
+    return any(map(str.isalpha, run))
+
+
+def hash_of(item: str) -> int:
+    return xxhash.xxh3_64_intdigest(item.encode("utf-8", "surrogatepass"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -50,9 +59,33 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, lang: str, sample_docs: int = SAMPLE_DOCS) -> dict[str, dict[str, dict[str, int]]]:
-    """{"0": words, "1".."LONGEST": n-grams} -> word or n-gram -> language -> count, of rows with a language and a text."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+@dataclass(frozen=True)
+class Level:
+    """Words, or n-grams of one length: sorted hashes, and a row of log frequencies for each."""
+
+    hashes: np.ndarray
+    logs: np.ndarray
+
+    def rows(self, items: list[str]) -> np.ndarray:
+        """Places of those of the items that the level knows."""
+        wanted = np.fromiter(map(hash_of, items), np.uint64, len(items))
+        at = np.searchsorted(self.hashes, wanted)
+        inside = at < len(self.hashes)
+        at, wanted = at[inside], wanted[inside]
+        return at[self.hashes[at] == wanted]
+
+
+@dataclass(frozen=True)
+class Model:
+    """Languages in order, and a level for words (0) and for n-grams of 1 to LONGEST characters."""
+
+    langs: list[str]
+    levels: list[Level]
+
+
+def fit(docs: DataFrame, doc_id: str, text: str, lang: str, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """The model of rows with a language and a text. Repeated rows count each; an empty table gives a model without languages."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
     sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
     chance = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
     sample = rows.join(small(sizes, 64), "lang").where(chance * F.col("n") < sample_docs).select("lang", "text")
@@ -61,85 +94,81 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, sample_docs: int = S
         seen: Counter = Counter()
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.update((lang, w) for w in words_of(text))
-        yield _batch((lang, 0, w, n) for (lang, w), n in seen.items())
+                seen.update((lang, w) for w in runs_of(text))
+        yield pa.RecordBatch.from_pylist([{"lang": lang, "item": w, "c": n} for (lang, w), n in seen.items() if is_word(w)], schema=pa.schema([("lang", pa.string()), ("item", pa.string()), ("c", pa.int64())]))
 
-    def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            seen: Counter = Counter()
             for lang, word, count in zip(*(b.column(c).to_pylist() for c in ("lang", "item", "c")), strict=True):
+                seen[lang, 0, hash_of(word)] += count
                 for n in range(1, LONGEST + 1):
                     for g in grams_of(word, n):
-                        seen[lang, n, g] += count
-        yield _batch((*k, c) for k, c in seen.items())
+                        seen[lang, n, hash_of(g)] += count
+            columns = list(zip(*((*k, c) for k, c in seen.items()), strict=True)) or [[], [], [], []]
+            kinds = (pa.string(), pa.int32(), pa.uint64(), pa.int64())
+            lang, n, h, c = (pa.array(x, t) for x, t in zip(columns, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([lang, n, h.view(pa.int64()), c], names=["lang", "n", "h", "c"])
 
-    kinds = "lang string, n int, item string, c long"
-    words = cut(sample.mapInArrow(counted, kinds).groupBy("lang", "n", "item").agg(F.sum("c").alias("c")))
-    grams = words.mapInArrow(shorter, kinds).groupBy("lang", "n", "item").agg(F.sum("c").alias("c"))
-    place = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "item"))  # over a bounded sample's words
-    kept = words.unionByName(grams).where("c > 1 or n > 0").withColumn("place", place).where(F.col("place") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS))
-    model: dict[str, dict[str, dict[str, int]]] = {str(n): {} for n in range(LONGEST + 1)}
-    for r in kept.toLocalIterator():
-        model[str(r.n)].setdefault(r.item, {})[r.lang] = r.c
-    return model
+    words = sample.mapInArrow(counted, "lang string, item string, c long").groupBy("lang", "item").agg(F.sum("c").alias("c"))
+    kept = words.mapInArrow(hashed, "lang string, n int, h long, c long").groupBy("lang", "n", "h").agg(F.sum("c").alias("c")).toArrow()
+    lang, n, h, c = (kept.column(x).to_numpy(zero_copy_only=False) for x in ("lang", "n", "h", "c"))
+    langs = sorted(set(lang.tolist()))
+    place = np.searchsorted(np.array(langs, object), lang) if langs else np.zeros(0, int)
+    return Model(langs, [_level(h[n == i].view(np.uint64), place[n == i], c[n == i], len(langs)) for i in range(LONGEST + 1)])
 
 
-def _batch(rows: Iterator[tuple[str, int, str, int]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "n", "item", "c"])
+def _level(hashes: np.ndarray, lang: np.ndarray, counts: np.ndarray, langs: int) -> Level:
+    items, at = np.unique(hashes, return_inverse=True)
+    table = np.zeros((len(items), langs))
+    np.add.at(table, (at, lang), counts)
+    return Level(items, (np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * (len(items) + 1))).astype(np.float32))
 
 
 class Scorer(dict):
-    """word -> row of ``table``, which has log frequencies by language; rows are made as words are met."""
+    """run -> row of ``table``: log frequencies by language, and a 1 for a word; rows are made as runs are met."""
 
-    def __init__(self, model: dict[str, dict[str, dict[str, int]]]):
+    def __init__(self, model: Model):
         super().__init__()
-        self.langs = sorted({x for level in model.values() for by in level.values() for x in by})
-        self.logs = {level: self._logs(items) for level, items in model.items()}
-        self.place = {level: {item: i for i, item in enumerate(items)} for level, items in model.items()}
-        self.table = np.zeros((CACHE_ENTRIES + 1, len(self.langs)))
-
-    def _logs(self, items: dict[str, dict[str, int]]) -> np.ndarray:
-        """Log frequencies of a level's items, a row for each."""
-        counts = np.array([[by.get(x, 0) for x in self.langs] for by in items.values()], float).reshape(len(items), len(self.langs))
-        return np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * (len(items) + 1))
+        self.langs, self.levels = model.langs, model.levels
+        self.table = np.zeros((CACHE_ENTRIES + 1, len(self.langs) + 1))
 
     def _scored(self, word: str) -> np.ndarray:
-        if (row := self.place["0"].get(word)) is not None:
-            return self.logs["0"][row]
-        for n in range(LONGEST, 0, -1):
-            place = self.place[str(n)]
-            known = [place[g] for g in grams_of(word, n) if g in place]
-            if known:
-                return self.logs[str(n)][known].sum(axis=0) / len(known)
+        for n in (0, *range(LONGEST, 0, -1)):
+            known = self.levels[n].rows(grams_of(word, n) if n else [word])
+            if len(known):
+                return self.levels[n].logs[known].mean(axis=0, dtype=float)
         return np.zeros(len(self.langs))
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, run: str) -> int:
         row = len(self)
-        self.table[row] = self._scored(word)
-        self[word] = row
+        self.table[row] = [*self._scored(run), 1] if is_word(run) else 0
+        self[run] = row
         return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for i in range(0, len(words), 100_000):
-            part = words[i : i + 100_000]
+        runs = runs_of(text)
+        total = np.zeros(len(self.langs) + 1)
+        for i in range(0, len(runs), 100_000):
+            part = runs[i : i + 100_000]
             if len(self) + len(part) > CACHE_ENTRIES:
                 self.clear()
             total += self.table[list(map(self.__getitem__, part))].sum(axis=0)
+        total, words = total[:-1], total[-1]
+        if not words or not self.langs:
+            return UNKNOWN, 0.0
         best = int(total.argmax())
-        shares = np.exp((total - total[best]) / len(words))
+        shares = np.exp((total - total[best]) / words)
         return self.langs[best], float(1 / shares.sum())
 
 
-def predict(docs: DataFrame, model: dict[str, dict[str, dict[str, int]]], keep: list[str], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep``, and lang_pred, score, for each row.
 
     A text that is null or without a letter gets "und" and 0; so does every text if the model has no
-    language. Equal sums go to the first language by name. Columns outside ``keep`` are dropped.
+    language. Equal sums go to the first language by name. Repeated rows stay, each with the same
+    result. An empty table gives an empty one. Columns outside ``keep`` are dropped, so their names
+    can't clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"k{i}" for i in range(len(keep))]

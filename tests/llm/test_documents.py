@@ -1,11 +1,13 @@
 """Edge cases and brute force of the operators on documents."""
 
 import hashlib
+import math
 import random
 import re
 import string
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,8 +172,6 @@ def test_secrets_equal_brute_force(spark):
 
 
 def entropy(window):
-    import math
-
     return -sum(window.count(c) / len(window) * math.log2(window.count(c) / len(window)) for c in set(window))
 
 
@@ -259,10 +259,81 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert n > 20 and right / n > 0.95
     edges = langid.predict(table(spark), model, ["doc_id", "text"]).collect()
     assert len(edges) == len(EDGES) and all((r.lang_pred == "und") == (not (r.text or "").strip()) for r in edges) and all(0 <= r.score <= 1 for r in edges)
-    assert langid.predict(table(spark, [(1, "12 34 ½"), (2, "a")]), {str(n): {} for n in range(6)}, ["doc_id"]).where("lang_pred = 'und'").count() == 2
+    none = langid.fit(docs.where("false"), "doc_id", "text", "lang")
+    assert langid.predict(table(spark, [(1, "12 34 ½"), (2, "a")]), none, ["doc_id"]).where("lang_pred = 'und'").count() == 2
+    assert langid.predict(table(spark, [(1, "½ " * 9), (2, "½ " * 9 + "x"), (2, "½ " * 9 + "x")]), model, ["doc_id"]).where("lang_pred = 'und'").count() == 1
     assert langid.predict(table(spark, []), model, ["doc_id"]).collect() == []
 
 
+def test_language_equals_brute_force(spark):
+    """Scores worked out word by word from plain counts; runs without a letter count nowhere, wherever they stand."""
+    taught = [(1, "The cat sat on the mat ½ and the dog", "en"), (2, "le chat et le chien ½ sur la table", "fr"), (3, "the end", "en"), (4, "la fin", "fr"), (4, "la fin", "fr"), (5, None, "en"), (6, "x", None)]
+    asked = ["the cat", "chienne mate", "½ ½ ½ ½ ½ ½ ½ ½ ½ le tableau", "le tableau ½", "zzqq", "Ünï ½", "½", "", None]
+    words_of = lambda t: [w for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if any(c.isalpha() for c in w)]
+    counts = [defaultdict(lambda: [0, 0]) for _ in range(6)]
+    for _, t, lang in taught:
+        for w in words_of(t) if lang else []:
+            for n in range(6):
+                for g in langid.grams_of(w, n) if n else [w]:
+                    counts[n][g][lang == "fr"] += 1
+
+    def logs(n, g):
+        sums = [sum(c[i] for c in counts[n].values()) for i in (0, 1)]
+        return [math.log(counts[n][g][i] + 0.5) - math.log(sums[i] + 0.5 * (len(counts[n]) + 1)) for i in (0, 1)]
+
+    want = []
+    for t in asked:
+        total, words = [0.0, 0.0], words_of(t)
+        for w in words:
+            for n in (0, 5, 4, 3, 2, 1):
+                known = [g for g in (langid.grams_of(w, n) if n else [w]) if g in counts[n]]
+                if known:
+                    total = [total[i] + sum(logs(n, g)[i] for g in known) / len(known) for i in (0, 1)]
+                    break
+        best = int(total[1] > total[0])
+        want.append((("en", "fr")[best], 1 / (1 + math.exp((total[1 - best] - total[best]) / len(words)))) if words else ("und", 0.0))
+    model = langid.fit(spark.createDataFrame(taught, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(table(spark, list(enumerate(asked))), model, ["doc_id"]).collect()}
+    for i, (lang, score) in enumerate(want):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-5)
+    assert got[2][0] == got[3][0] and got[2][1] == pytest.approx(got[3][1])
+
+
+def test_quality_equals_brute_force(spark):
+    """The loss and its gradients are those of plain formulas and of finite differences; judged rows those of the formula."""
+    rng = np.random.default_rng(3)
+    weights, gaps = rng.normal(0, 0.3, 1 << quality.BITS), np.array([-0.4, 0.2, -1.0])
+    xs = [np.unique(rng.integers(0, 50, rng.integers(0, 9))) for _ in range(12)]
+    ys = rng.integers(0, 4, 12)
+
+    def loss(w, t):
+        out = 0.0
+        for x, y in zip(xs, ys, strict=True):
+            below = [0.0, *(1 / (1 + math.exp(-(b - w[x].sum()))) for b in t), 1.0]
+            out -= math.log(below[y + 1] - below[y])
+        return out
+
+    t = quality._thresholds(gaps)
+    assert list(t) == pytest.approx([-0.4, -0.4 + math.exp(0.2), -0.4 + math.exp(0.2) + math.exp(-1.0)])
+    value, by_weight, by_threshold = quality._loss(quality.Model(weights, t), xs, ys)
+    assert value == pytest.approx(loss(weights, t))
+    for i in range(50):
+        step = np.zeros(1 << quality.BITS)
+        step[i] = 1e-5
+        assert by_weight[i] == pytest.approx((loss(weights + step, t) - loss(weights - step, t)) / 2e-5, abs=1e-5)
+    for i in range(3):
+        step = np.eye(3)[i] * 1e-5
+        assert by_threshold[i] == pytest.approx((loss(weights, t + step) - loss(weights, t - step)) / 2e-5, abs=1e-5)
+    rows = [(1, "vile words"), (1, "vile words"), (2, None), (3, ""), (4, "Words words vile"), (5, "long " * 30_000)]
+    got = quality.judge(table(spark, rows), quality.Model(weights, t), ["doc_id", "text"], keep_from=2).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        score = float(weights.astype(np.float32)[quality.Tokens().of(r.text)].sum())
+        below = [1 / (1 + math.exp(-(b - score))) for b in t]
+        assert r.expected_grade == pytest.approx(sum(1 - b for b in below), abs=1e-5) and r.tail_probability == pytest.approx(1 - below[1], abs=1e-5)
+    assert quality.judge(table(spark, []), quality.Model(weights, t), ["doc_id"]).collect() == []
+
+
 def test_quality_separates_grades(spark):
     rng = random.Random(8)
     rows, rated = [], []
