@@ -12,15 +12,21 @@ All of it is DataFrame expressions. The texts are shuffled once, to find each on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_BYTES
+
 SHINGLE = 5
 #: One hash in SCALE is kept.
 SCALE = 8
-#: Rows that a bucket of neighbouring ids is to hold; buckets are at most BUCKETS, so that their heads can be broadcast.
-BUCKET_ROWS, BUCKETS, CELLS = 512, 65_536, 64
+#: Rows that a bucket of neighbouring ids is to hold; buckets are at most BUCKETS, so that their heads (96 bytes each in a hash table) can be broadcast.
+BUCKET_ROWS, BUCKETS, CELLS = 512, BROADCAST_BYTES // 96, 64
+#: Bytes of carried columns that a task of the ordering shuffle is to read.
+TASK_BYTES = 64 << 20
 
 
 def _below(scale: int) -> Column:
@@ -83,16 +89,18 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(df: DataFrame, key: str, carried: list[str], order: list[str]) -> DataFrame:
+def with_next(df: DataFrame, key: str, carried: list[str], order: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``df`` with next_<c> for each carried column: of the row after it by ascending ``key``, of the first row after the last.
 
     Ties of the key are ordered by ``order``, null keys come first. Ids are cut into cells at their
     quantiles and cells into buckets of equal width, so that a bucket holds about BUCKET_ROWS rows
     wherever ids are dense; the head of the bucket after it is added to each bucket, and a window
-    over the bucket does the rest. So rows are shuffled once. A single row is its own successor.
+    over the bucket does the rest. So rows are shuffled once, into tasks of about TASK_BYTES. A single
+    row is its own successor. ``prepare`` adds columns to carry, to each row once, before that. Rows
+    of one id are ordered by one task, which spills what it can't hold.
     """
     points = [i / CELLS for i in range(CELLS + 1)]
-    stats = df.agg(F.count("*").alias("n"), F.percentile_approx(F.col(key), points, 10_000).alias("q")).first()
+    stats = df.agg(F.count("*").alias("n"), F.percentile_approx(F.col(key), points, 10_000).alias("q"), sum((F.sum(F.octet_length(c)) for c in order), F.lit(0)).alias("bytes")).first()
     edges = sorted({int(x) for x in stats.q or [0]})
     lows = edges[:-1] or edges
     per = max(1, -(-min(BUCKETS, -(-stats.n // BUCKET_ROWS)) // len(lows)))
@@ -113,9 +121,13 @@ def with_next(df: DataFrame, key: str, carried: list[str], order: list[str]) ->
     heads = heads.select("head", F.when(F.col("own").isNull(), F.col("before._cell")).otherwise(F.col("_cell")).alias("_cell"), F.coalesce("own", "before.last").alias("_sub"))
 
     rows = df.withColumns(placed).withColumn("_ghost", F.lit(0))
-    ghosts = df.join(F.broadcast(heads), df[key].eqNullSafe(heads["head"])).drop("head").withColumn("_ghost", F.lit(1))  # at most BUCKETS + CELLS heads
+    ghosts = df.join(F.broadcast(heads), df[key].eqNullSafe(heads["head"]))  # at most BUCKETS + CELLS heads
+    ghosts = ghosts.groupBy("_cell", "_sub").agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("x")).select("x.*", "_cell", "_sub").withColumn("_ghost", F.lit(1))
+    both = rows.unionByName(ghosts)
+    both = prepare(both) if prepare else both
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(stats.bytes or 0) // TASK_BYTES))
     by = W.partitionBy("_cell", "_sub").orderBy("_ghost", key, *order)
-    out = rows.unionByName(ghosts).withColumn("_next", F.lead(F.struct(*carried)).over(by)).where("_ghost = 0")
+    out = both.repartition(parts, "_cell", "_sub").withColumn("_next", F.lead(F.struct(*carried)).over(by)).where("_ghost = 0")
     return out.withColumns({f"next_{c}": F.col(f"_next.{c}") for c in carried}).drop("_cell", "_sub", "_ghost", "_next")
 
 
@@ -129,7 +141,7 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     columns' names can't clash.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(sketched(rows, "text", "sketch", k, scale), "id", ["text", "sketch"], ["text"])
+    rows = with_next(rows, "id", ["text", "sketch"], ["text"], lambda d: sketched(d, "text", "sketch", k, scale))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
     rows = sketched(rows, "edited", "edited_sketch", k, scale)

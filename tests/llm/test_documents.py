@@ -197,8 +197,9 @@ def sketch_of(spark, texts):
 
 
 def test_fingerprints_edges_and_order(spark):
-    rows = [(d, t) for d, t in EDGES if d != 9]
+    rows = EDGES
     out = fingerprints.edited_pairs(table(spark, rows)).collect()
+    assert all(r.near_edited == 1 and r.near_next == 1 for r in out if r.doc_id == 2) and all(0 <= min(r.near_edited, r.near_next) and max(r.near_edited, r.near_next) <= 1 for r in out)
     assert len(out) == len(rows)
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want = []
@@ -251,6 +252,41 @@ def test_short_texts_in_long_ones_equal_brute_force(spark):
     assert fallbacks > 20 and all(r.near_next == 1 for r in out if r.doc_id % 2 == 0)
 
 
+def test_sketches_equal_brute_force(spark):
+    """Sketches, their digests and likenesses of the query, from shingle hashes that Spark gives one text at a time."""
+    rng = random.Random(12)
+    words = [f"W{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 2, 4, 5, 6, 30, 200])))) for i in range(60)]
+    rows += [(60, rows[5][1].upper()), (61, "é " + rows[7][1])]
+    hashed = {}
+
+    def hashes(texts):
+        todo = [t for t in set(texts) if t not in hashed]
+        df = spark.createDataFrame([(t, [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if (w := t.lower().split()) else []) for t in todo], "t string, s array<string>")
+        each = F.transform("s", lambda x: F.when(F.size(F.split(x, " ")) == 5, F.xxhash64(*[F.xxhash64(F.get(F.split(x, " "), i)) for i in range(5)])).otherwise(F.xxhash64(F.array_join(F.transform(F.split(x, " "), lambda w: F.xxhash64(w).cast("string")), " "))))
+        hashed.update((r.t, set(r.h)) for r in df.select("t", each.alias("h")).collect())
+
+    below = -(2**63) + 2**64 // fingerprints.SCALE
+    kept = lambda h: sorted(x for x in h if x < below) or sorted(h)[:1]
+    out = {r.doc_id: r for r in fingerprints.edited_pairs(table(spark, rows)).collect()}
+    texts = dict(rows)
+    hashes([*texts.values(), *(r.edited for r in out.values())])
+    for i, r in out.items():
+        nxt = texts[(i + 1) % len(texts)]
+        assert r.edited == texts[i][: len(texts[i]) - len(texts[i]) // 2] + nxt[: len(texts[i]) // 2]
+        for other, sketch, near in ((r.edited, r.edited_sketch, r.near_edited), (nxt, r.next_sketch, r.near_next)):
+            a, b = hashed[texts[i]], hashed[other]
+            assert list(r.sketch) == kept(a) and list(sketch) == kept(b)
+            if not (a and b and min(kept(a)) < below and min(kept(b)) < below):
+                x, y = a, b
+            else:
+                x, y = set(kept(a)), set(kept(b))
+            assert near == pytest.approx(1.0 if x == y else len(x & y) / min(len(x), len(y)) if x and y else 0.0)
+    ids = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ids.select(fingerprints.as_text(F.array(F.lit(-1), F.lit(255)).cast("array<bigint>")).alias("x")).first().x
+    assert got == "f" * 16 + "0" * 14 + "ff"
+
+
 def test_language_held_out_accuracy_and_edges(spark):
     docs = real(spark).withColumn("out", langid.held_out(F.col("doc_id")))
     model = langid.fit(docs.where("not out"), "doc_id", "text", "lang")
