@@ -59,39 +59,75 @@ CLASSES = (
 _SPANS = "array<struct<kind:string,start:bigint,stop:bigint,found:string>>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value made once: an array of one binds it to a name, where a plain expression would be made anew for each use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, op) -> Column:
+    """Of an array of longs (none below 0) what ``op`` makes of each and all before it.
+
+    Chunks of about the root of the length are folded apart, so that no fold copies a long array.
+    """
+
+    def folded(chunk: Column, start: Column) -> Column:
+        return F.slice(F.aggregate(chunk, F.array(start), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x)))), F.lit(2), F.size(chunk))
+
+    def of(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), op))
+        starts = F.aggregate(totals, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+        return F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), folded))
+
+    def chunked(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return _bound(F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda i: F.slice(v, i * size + 1, size)), of)
+
+    return _bound(values, lambda v: F.when(F.size(v) > 0, chunked(v)).otherwise(v))
+
+
 def _placed(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """All matches as spans; ``found`` is the text of ``group``."""
-    whole, part, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
-    pieces = F.zip_with(F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"))), part, lambda p, f: F.struct(p.gap.alias("gap"), p.size.alias("size"), f.alias("found")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("spans"))
 
-    def step(s: Column, p: Column) -> Column:
-        begin = s.at + p.gap
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + p["size"]).alias("stop"), p.found.alias("found"))
-        return F.struct((begin + F.coalesce(p["size"], F.lit(0))).alias("at"), F.when(p["size"].isNull(), s.spans).otherwise(F.concat(s.spans, F.array(span))).alias("spans"))
+    def spans(m: Column) -> Column:
+        gaps = F.transform(F.slice(m.gaps, F.lit(1), F.size(m.whole)), lambda g: F.length(g).cast("long"))
+        sizes = F.transform(m.whole, lambda w: F.length(w).cast("long"))
+        stops = _running(F.zip_with(gaps, sizes, lambda g, n: g + n), lambda a, b: a + b)
+        found = m.whole if group == 0 else m.part
+        ends = F.zip_with(stops, sizes, lambda stop, n: F.struct(F.lit(kind).alias("kind"), (stop - n).alias("start"), stop.alias("stop")))
+        return F.zip_with(ends, found, lambda e, f: F.struct(e.kind.alias("kind"), e.start.alias("start"), e.stop.alias("stop"), f.alias("found")))
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda s: s.spans)).otherwise(F.array().cast(_SPANS))
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("gaps")]
+    parts += [F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part")] * (group != 0)
+    return F.when(text.rlike(pattern), _bound(F.struct(*parts), spans)).otherwise(F.array().cast(_SPANS))
 
 
 def peak_entropy(candidate: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits, of any window of the candidate (characters of the alphabet alone); null if it is shorter."""
+    """Largest Shannon entropy, in bits, of any window of the candidate (characters of the alphabet alone); null if it is shorter.
+
+    Counts are packed into a few longs, so a step changes two of them.
+    """
+    bits = (window + 1).bit_length()
+    per = 60 // bits
     term = F.array(*[F.lit(float(c * math.log2(c)) if c else 0.0) for c in range(window + 2)])
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(alphabet) // per)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
+    word, shift = lambda c: F.floor(c / per).cast("int"), lambda c: (c % per * bits).cast("int")
 
     def step(s: Column, x: Column) -> Column:
-        entering, leaving = F.get(s.counts, x.enters), F.get(s.counts, x.leaves)
-        moves = (x.leaves >= 0) & (x.leaves != x.enters)
-        total = s["sum"] + F.when(x.leaves == x.enters, 0.0).otherwise(F.get(term, entering + 1) - F.get(term, entering)) + F.when(moves, F.get(term, leaving - 1) - F.get(term, leaving)).otherwise(0.0)
-        counts = F.transform(s.counts, lambda c, k: c + (k == x.enters).cast("int") - (k == x.leaves).cast("int"))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(x.i >= window - 1, F.least(s.least, total)).otherwise(s.least).alias("least"))
+        count = lambda c: F.call_function("shiftright", F.get(s.counts, word(c)), shift(c)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        entering, leaving = count(x.enters), count(x.leaves)
+        grown = F.get(term, entering + 1) - F.get(term, entering)
+        total = s["sum"] + grown + F.when(x.leaves >= 0, F.get(term, leaving - 1) - F.get(term, leaving)).otherwise(0.0)
+        one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))
+        counts = F.transform(s.counts, lambda c, k: c + F.when(k == word(x.enters), one(x.enters)).otherwise(0) - F.when((x.leaves >= 0) & (k == word(x.leaves)), one(x.leaves)).otherwise(0))
+        same = x.leaves == x.enters
+        total = F.when(same, s["sum"]).otherwise(total)
+        return F.struct(F.when(same, s.counts).otherwise(counts).alias("counts"), total.alias("sum"), F.when(x.i >= window - 1, F.least(s.least, total)).otherwise(s.least).alias("least"))
 
     def peak(place: Column) -> Column:
         steps = F.transform(place, lambda c, i: F.struct(c.alias("enters"), F.when(i >= window, F.get(place, i - window)).otherwise(-1).alias("leaves"), i.alias("i")))
         return F.aggregate(steps, start, step, lambda s: F.when(s.least < float("inf"), F.round(math.log2(window) - s.least / window, 9)))
 
-    # an array of one array binds the places to a name; as a plain expression they would be made anew for each character
-    places = F.array(F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1))
-    return F.element_at(F.transform(places, peak), 1)
+    return _bound(F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1), peak)
 
 
 def _long_enough(spans: Column, least: int) -> Column:
@@ -131,10 +167,16 @@ def scan(df: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...]
         keyed = F.array_sort(F.transform(a, lambda s: F.struct(s.start.alias("start"), F.array_position(rank, s.kind).alias("rank"), s.stop.alias("stop"), s.kind.alias("kind"))))
         return F.transform(keyed, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.stop.alias("stop")))
 
-    out = df.withColumn(base, F.concat(*fixed))
-    extra = F.filter(F.concat(*added), lambda s: ~F.exists(F.col(base), lambda b: (b.start <= s.start) & (b.stop >= s.stop))) if added else F.array().cast(_SPANS)
-    out = out.withColumn(spans, F.concat(F.col(base), extra))
-    return out.withColumns({base: ordered(F.col(base)), spans: ordered(F.col(spans))})
+    out = df.withColumn(base, ordered(F.concat(*fixed)))
+    extra = F.concat(*added) if added else F.array().cast(_SPANS)
+    known = _bound(F.struct(F.col(f"{base}.start").alias("starts"), _running(F.col(f"{base}.stop"), lambda a, b: F.greatest(a, b)).alias("stops"), extra.alias("extra")), lambda k: F.filter(k.extra, lambda s: ~_inside(s, k.starts, k.stops)))
+    return out.withColumn(spans, ordered(F.concat(F.transform(F.col(base), lambda s: s.withField("found", F.lit(""))), known)))
+
+
+def _inside(span: Column, starts: Column, stops: Column) -> Column:
+    """Whether a span lies inside one of those of sorted ``starts``; stops: the greatest stop up to each. By binary search."""
+    at = F.aggregate(F.array(*[F.lit(1 << p) for p in range(30, -1, -1)]), F.lit(0), lambda at, p: F.when((F.size(starts) - at >= p) & (F.get(starts, at + p - 1) <= span.start), at + p).otherwise(at))
+    return F.coalesce(F.get(stops, at - 1) >= span.stop, F.lit(False))
 
 
 def counted(spans: Column, kind: str) -> Column:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -171,6 +172,40 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.scan(table(spark, [])).collect() == []
 
 
+def test_many_secrets_in_one_text_and_repeated_rows(spark):
+    """16,000 matches of one text take no time of their square; op4's columns are those of brute force."""
+    rng = random.Random(3)
+    many = " ".join(f"token=Ab{i}xyz{i} " + "".join(rng.choice("0123456789abcdef") for _ in range(33)) for i in range(8_000))
+    rows = [(1, many), (1, many), *SECRETS[1:]]
+    began = time.time()
+    out = secrets.scan(table(spark, rows)).select("doc_id", "base_spans", "spans").collect()
+    assert time.time() - began < 60 and sorted(r.doc_id for r in out) == sorted(i for i, _ in rows)
+    big = [r for r in out if r.doc_id == 1]
+    assert big[0] == big[1]
+    want = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(many) if len(m[2]) >= 8] + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]{32,}", many)]
+    assert [tuple(s) for s in big[0].base_spans] == [(k, a, b) for a, _, b, k in sorted(want)] and len(want) > 15_000
+
+
+def test_op4_columns_equal_brute_force(spark):
+    for r in queries.op4_secret_scan(spark, SF).join(real(spark).select("doc_id", "text"), "doc_id").collect():
+        t = r.text or ""
+        found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+        found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        base = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(f[3] == k for f in found) for k in ("assign", "access", "hex")]
+        # candidates of both classes, windows counted anew
+        extra = []
+        for i, c in enumerate(secrets.CLASSES):
+            for m in re.finditer(c.pattern, t):
+                x = m[0]
+                if all(re.search(n, x) for n in c.needs) and not any(re.search(a, x) for a in secrets.ALLOWED) and max(entropy((x.lower() if c.fold_case else x)[j : j + 24]) for j in range(len(x) - 23)) >= c.threshold - 1e-9:
+                    if not any(a <= m.start() and m.end() <= b for a, _, b, _ in found):
+                        extra.append((m.start(), 3 + i, m.end(), c.kind))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found + extra))
+
+
 def entropy(window):
     return -sum(window.count(c) / len(window) * math.log2(window.count(c) / len(window)) for c in set(window))
 
