@@ -15,9 +15,11 @@ needs a committer or a catalogue for that step.)
 from __future__ import annotations
 
 import math
+import time
 import uuid
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _RUN = r"/data/([^/]+)/[^/]+$"
@@ -65,14 +67,22 @@ class ShardStore:
         context.rename(self._at(aside), self._at("manifest", f"v{version:08d}"), options)
         return version
 
-    def _write(self, rows: DataFrame) -> tuple[str, DataFrame]:
-        """A new run, in no manifest yet, and its files."""
-        run = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/data/{run}")
+    def _new_run(self, version: int) -> str:
+        """The version that a run is written for, and what tells writers apart."""
+        return f"{version:08d}-{uuid.uuid4().hex}"
+
+    def _files(self, run: str) -> DataFrame:
+        """Rows of the manifest for a run that is on disk and in no manifest yet."""
         files = self.spark.read.parquet(f"{self.path}/data/{run}").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
         files = files.groupBy("file", "bytes").agg(F.count("*").alias("rows"))
         whole = files.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first().b
-        return run, files.select(F.lit(run).alias("run"), F.lit(self._tier(whole)).alias("tier"), "file", "bytes", "rows")
+        return files.select(F.lit(run).alias("run"), F.lit(self._tier(whole)).alias("tier"), "file", "bytes", "rows")
+
+    def _write(self, rows: DataFrame, version: int) -> DataFrame:
+        """A new run, in no manifest yet: its files."""
+        run = self._new_run(version)
+        rows.write.parquet(f"{self.path}/data/{run}")
+        return self._files(run)
 
     def _tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(1, size) / self.base_bytes, self.fan_in)))
@@ -84,9 +94,36 @@ class ShardStore:
         version that has no new files.
         """
         last = (self.versions() or [0])[-1]
-        _, files = self._write(rows)
+        return self._append(self._write(rows, last + 1), last)
+
+    def _append(self, files: DataFrame | None, last: int) -> int:
         before = self.manifest(last) if last else None
-        return self._commit(files if before is None else before.unionByName(files), last + 1)
+        both = [x for x in (before, files) if x is not None]
+        empty = self.spark.createDataFrame([], "run string, tier int, file string, bytes long, rows long")
+        return self._commit(both[0].unionByName(both[1]) if len(both) == 2 else (both or [empty])[0], last + 1)
+
+    def append_arrivals(self, rows: DataFrame, arrival: Column, arrivals: int) -> int:
+        """Appends rows of arrival 0, 1, ... one after the other, compacting after each; the newest version.
+
+        The rows are read and written once, each arrival to a folder of its own, which is then moved
+        to its place as a run. Rows of a null arrival, or of one out of range, come with the first.
+        """
+        name = _free("arrival", rows.columns)
+        staged = f"staged/{uuid.uuid4().hex}"
+        part = F.coalesce(F.when(arrival.between(0, arrivals - 1), arrival), F.lit(0)).cast("int")
+        rows.withColumn(name, part).write.partitionBy(name).parquet(f"{self.path}/{staged}")
+        fs, version = self._fs(), 0
+        fs.mkdirs(self._at("data"))
+        for i in range(arrivals):
+            last, files = (self.versions() or [0])[-1], None
+            if fs.exists(self._at(staged, f"{name}={i}")):
+                run = self._new_run(last + 1)
+                fs.rename(self._at(staged, f"{name}={i}"), self._at("data", run))
+                files = self._files(run)
+            self._append(files, last)
+            version = self.compact()
+        fs.delete(self._at(staged), True)
+        return version
 
     def compact(self) -> int:
         """Merges full tiers, smallest first, until none is full; returns the newest version."""
@@ -100,7 +137,7 @@ class ShardStore:
                 return version
             merging = tiers[full[0]]
             rows = self.spark.read.parquet(*[f"{self.path}/data/{run}" for run, _ in merging])
-            _, files = self._write(rows.coalesce(max(1, round(sum(s for _, s in merging) / self.target_bytes))))
+            files = self._write(rows.coalesce(max(1, round(sum(s for _, s in merging) / self.target_bytes))), version + 1)
             rest = self.manifest(version).where(~F.col("run").isin([run for run, _ in merging]))
             # a merged run counts as above the tier it came from, even where it packs smaller
             files = files.withColumn("tier", F.greatest("tier", F.lit(full[0] + 1)))
@@ -109,48 +146,47 @@ class ShardStore:
     def snapshot(self, version: int | None = None) -> DataFrame | None:
         """All rows of a version, with columns run and file added; None if the version has no files.
 
-        Stored columns named run or file would clash; rename them before appending.
+        Stored columns keep their names: an added one whose name is taken gets underscores behind it
+        until it is free.
         """
         runs = [run for run, _, _ in self.runs(version)]
         if not runs:
             return None
         rows = self.spark.read.parquet(*[f"{self.path}/data/{run}" for run in runs])
-        return rows.withColumns({"run": F.regexp_extract("_metadata.file_path", _RUN, 1), "file": F.col("_metadata.file_name")})
+        return rows.withColumns({_free("run", rows.columns): F.regexp_extract("_metadata.file_path", _RUN, 1), _free("file", rows.columns): F.col("_metadata.file_name")})
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes runs that none of the newest ``keep`` versions has, and older versions; returns how many runs went.
+    def vacuum(self, keep: int = 1, older_than: timedelta = timedelta(days=7)) -> int:
+        """Deletes all versions but the newest ``keep``, and runs that these don't have; returns how many runs went.
 
-        Only for when no writer is at work, since a run is on disk before its version is.
+        A run is on disk before its version is, so runs younger than ``older_than`` stay: they may be
+        those of a writer at work.
         """
         fs, versions = self._fs(), self.versions()
         kept = {run for v in versions[-keep:] for run, _, _ in self.runs(v)}
-        gone = 0
-        for x in fs.listStatus(self._at("data")):
-            if x.getPath().getName() not in kept:
-                gone += fs.delete(x.getPath(), True)
+        before, gone = (time.time() - older_than.total_seconds()) * 1000, 0
         for v in versions[:-keep]:
             fs.delete(self._at("manifest", f"v{v:08d}"), True)
+        for x in fs.listStatus(self._at("data")):
+            if x.getPath().getName() not in kept and x.getModificationTime() <= before:
+                gone += fs.delete(x.getPath(), True)
         return gone
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def load_in_arrivals(store: ShardStore, df: DataFrame, key: str, arrivals: int) -> DataFrame:
     """Appends ``df`` to the store in ``arrivals`` ranges of a numeric key, compacting after each; the snapshot.
 
-    Ranges come from the key's quantiles, so that Parquet statistics prune each arrival's read where
-    the key is sorted. Null keys come with the first arrival. An empty table gives its own columns
-    with run and file, without rows.
+    Ranges come from the key's quantiles. Null keys come with the first arrival, rows of one key
+    together; repeated rows and texts of any length are stored as they are. Every version stays
+    readable until vacuum(). An empty table gives its own columns with run and file, without rows.
     """
     points = [i / arrivals for i in range(1, arrivals)]
-    edges = df.agg(F.percentile_approx(F.col(key), points, 10_000).alias("q")).first().q or []
-    lows = [None, *sorted(set(edges))]
-    for low, high in zip(lows, [*lows[1:], None], strict=True):
-        part = F.lit(True) if low is None else F.col(key) >= low
-        if high is not None:
-            part = part & (F.col(key) < high)
-        if low is None:
-            part = part | F.col(key).isNull()
-        store.append(df.where(part))
-        store.compact()
-    store.vacuum()
+    edges = sorted(set(df.agg(F.percentile_approx(F.col(key), points, 10_000).alias("q")).first().q or []))
+    store.append_arrivals(df, F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(key))) if edges else F.lit(0), arrivals)
     out = store.snapshot()
-    return out if out is not None else df.withColumns({"run": F.lit(""), "file": F.lit("")})
+    return out if out is not None else df.withColumns({_free(c, df.columns): F.lit("") for c in ("run", "file")})

@@ -1,6 +1,7 @@
 """HTML extraction, URL filters and sharding on small tables, edge cases included."""
 
 from collections import Counter
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,12 +69,43 @@ def test_host_rules(spark, url, expected):
 def test_shards_keep_every_row(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
-    rows = docs.unionByName(extra).unionByName(docs.limit(5))
+    long = spark.createDataFrame([(10**9, "x" * 3_000_000, "en", "web", 3_000_000)], docs.schema)
+    rows = docs.unionByName(extra).unionByName(docs.limit(5)).unionByName(long).withColumns({"run": F.lit("r"), "file_": F.lit(1), "ARRIVAL": F.lit(7)})
     store = ShardStore(spark, str(tmp_path / "store"), target_bytes=1 << 20, base_bytes=1 << 12, fan_in=2)
-    got = load_in_arrivals(store, rows, "doc_id", arrivals=5).select(docs.columns)
+    got = load_in_arrivals(store, rows, "doc_id", arrivals=5)
+    assert {"run", "run_", "file", "file_"} <= set(got.columns)
+    got = got.select(rows.columns)
     assert got.exceptAll(rows).count() == 0 and rows.exceptAll(got).count() == 0
-    tiers = Counter(tier for _, tier, _ in store.runs())
-    assert max(tiers.values()) < 2 and len(store.versions()) == 1
+    # every version is there: the first has the lowest ids and the null ones
+    first = store.snapshot(1).agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    assert first[0] < 200 and first[1] == 3 and len(store.versions()) > 5
+
+
+def test_compaction_by_size(spark, tmp_path):
+    """Runs of one tier are merged, others are left; versions tell what was when, and a young run without a version outlives vacuum()."""
+    store = ShardStore(spark, str(tmp_path / "store"), target_bytes=1 << 14, base_bytes=1 << 10, fan_in=3)
+    noise = lambda n, seed: spark.range(n).select(F.xxhash64("id", F.lit(seed)).alias("x")).coalesce(1)
+    store.append(noise(20_000, 0))
+    large = store.runs()
+    for i in range(1, 4):
+        store.append(noise(300, i))
+    before, version = {run for run, _, _ in store.runs()}, store.versions()[-1]
+    store.compact()
+    after = {run: tier for run, tier, _ in store.runs()}
+    assert large[0][0] in after and len(after) == 2 and len(before) == 4 and store.snapshot().count() == 20_900
+    tier, small = large[0][1], min(t for _, t, _ in store.runs(version))
+    assert sorted(after.values()) == sorted([tier, small + 1]) and {run for run, _, _ in store.runs(version)} == before
+    store.append(noise(6_000, 9))
+    merged = store._write(noise(4_000, 10), 99)
+    assert store.vacuum() == 0 and merged.count() == 1 and len(store.versions()) == 1
+    assert store.vacuum(older_than=timedelta(0)) == 4 and store.snapshot().count() == 26_900
+
+
+def test_compacted_files_are_of_target_size(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "store"), target_bytes=1 << 16, base_bytes=1 << 10, fan_in=4)
+    load_in_arrivals(store, spark.range(60_000).select(F.xxhash64("id").alias("x")).repartition(3), "x", arrivals=4)
+    files = [r.bytes for r in store.manifest().collect()]
+    assert len(files) > 2 and all(0.5 < b / (1 << 16) < 2 for b in files)
 
 
 def test_shards_of_nothing_and_second_writer(spark, tmp_path):
