@@ -1,6 +1,6 @@
 """DuckDB SQL for the numbered queries that SQL can express on whole tables."""
 
-from .urls import PATTERNS
+from .urls import BLOCKED_EXPRESSIONS, BLOCKED_WORDS
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -14,7 +14,8 @@ rules(rule, verdict, on_host, on_path) AS (
   VALUES ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
          ('www.example.com/en/', 'allow', 'www.example.com', '/en/'), ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')),
 patterns(pattern, inside) AS (
-  VALUES {", ".join(f"('{r.name}', '(?is)(^|[^a-z0-9])' || '{r.name.replace('-', '[-_]')}' || '([^a-z0-9]|$)')" for r in PATTERNS)}),
+  VALUES {", ".join(f"('{w}', '(?is)(^|[^a-z0-9])' || '{w.replace('-', '[-_]')}' || '([^a-z0-9]|$)')" for w in BLOCKED_WORDS)},
+         {", ".join(f"('{literals}', '{expression}')" for literals, expression in BLOCKED_EXPRESSIONS)}),
 best AS (
   SELECT host, path, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
   FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = on_host OR ends_with(host, '.' || on_host)) AND starts_with(path, on_path)

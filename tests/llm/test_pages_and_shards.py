@@ -1,14 +1,17 @@
 """HTML extraction, URL filters and sharding on small tables, edge cases included."""
 
+import random
+import re
 from collections import Counter
 from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from pitlane.llm import queries, urls, wrappers
+from pitlane.llm import oracles, queries, urls, wrappers
 from pitlane.llm.shards import ShardStore, load_in_arrivals
 
+from ..compare import connect, same
 from ..conftest import SF
 
 MENU = "<header><h1>Site</h1></header><nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>Topics</a></li></ul></nav>"
@@ -66,6 +69,57 @@ def test_host_rules(spark, url, expected):
     assert (row.host, row.path, row.rule, row.verdict) == expected
 
 
+def brute_verdicts(urls_, lines):
+    """Every rule tried on every URL."""
+    hosts = [(k, r) for k, _, r in (x.partition(" ") for x in lines) if k in ("allow", "block")]
+    words = [r for k, _, r in (x.partition(" ") for x in lines) if k == "block-words"]
+    regexes = [tuple(r.split("\t")) for k, _, r in (x.partition(" ") for x in lines) if k == "block-regex"]
+    patterns = [(w, re.compile(r"(?i)(?<![a-z0-9])" + w.replace("-", "[-_]") + r"(?![a-z0-9])")) for w in words] + [(a, re.compile(b)) for a, b in regexes]
+    out = []
+    for url in urls_:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(r), r, k) for k, r in hosts if host and (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        best = max(fits, default=None)
+        found = min((n for n, p in patterns if host and p.search(host + path)), default=None)
+        out.append((url, host, path, best and best[1], found, best[2] if best else "block" if found is not None else "allow"))
+    return out
+
+
+def test_thousands_of_rules_equal_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    host = lambda: ".".join([*rng.sample(words, rng.randint(1, 2)), rng.choice(["com", "net", "org"])])
+    lines = {f"{rng.choice(['allow', 'block'])} {h}/{rng.choice(['', 'a/', 'a', 'b/c/', 'W1'])}" for h in (host() for _ in range(1500))}
+    lines = {next(x for x in sorted(lines) if x.partition(" ")[2] == r) for r in {x.partition(" ")[2] for x in lines}}  # one verdict a rule
+    lines |= {f"block-words {'-'.join(rng.sample(words, rng.randint(1, 3)))}" for _ in range(800)}
+    lines |= {f"block-regex {w} end\t/{w}/[0-9]+/end$" for w in rng.sample(words, 100)} | {"block-regex \t/[0-9]{5}$", "block net/"}
+    (tmp_path / "rules.txt").write_text("# a list\n\n" + "\n".join(sorted(lines)) + "\n" + sorted(lines)[0] + "\n")
+    made = [f"http{rng.choice(['', 's'])}://{host()}{rng.choice(['', '/', '/a/', '/ab', '/b/c/', '/W1x', '/12345', '?a=w3', '#w4'])}{rng.choice(['', '/'.join(rng.sample(words, 2)), '_'.join(rng.sample(words, 3)), rng.choice(words) + '/12/end'])}" for _ in range(400)]
+    made += [made[0], None, "", "x", "http://", "https://W1.COM/A", "http://é.com/ü?x", "http://w1.com/" + "w2/" * 20_000]
+    rows = spark.createDataFrame([(i, u, "x", 3) for i, u in enumerate(made)], "page_id long, url string, rule string, token int")
+    got = urls.judge(rows, rules=urls.read_rules(spark, str(tmp_path / "rules.txt"))).orderBy("page_id").collect()
+    assert [(r.url, r.host, r.path, r.rule, r.pattern, r.verdict) for r in got] == brute_verdicts(made, sorted(lines)) and got[0].token == 3
+    assert len({r.verdict for r in got if r.rule}) == 2 and sum(r.pattern is not None for r in got) > 20
+    assert urls.judge(rows.limit(0)).count() == 0
+    (tmp_path / "bad.txt").write_text("deny all\n")
+    with pytest.raises(Exception, match="no rule: deny all"):
+        urls.read_rules(spark, str(tmp_path / "bad.txt")).collect()
+
+
+def test_own_rules_and_sql(spark):
+    lines = [*(f"{r.verdict} {r.name}" for r in urls.LISTED), *(f"block-words {w}" for w in urls.BLOCKED_WORDS), *(f"block-regex {a}\t{b}" for a, b in urls.BLOCKED_EXPRESSIONS)]
+    made = ["http://ads.doubleclick.net/x", "http://doubleclick.network/", "http://adserver.a.org/", "http://a.org/wp-login.php", "http://a.org/cgi-bin/x", "http://a.org/x;PHPSESSID=1", "http://a.org/calendar/2020/2021/", "http://a.org/page/1/page/2", "http://a.org/online_pharmacy/", "http://casino.org", "http://casinos.org", "http://a.org/adult", "http://example.com/en/porn"]
+    rows = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    got = [(r.url, r.host, r.path, r.rule, r.pattern, r.verdict) for r in urls.judge(rows).orderBy("page_id").collect()]
+    assert got == brute_verdicts(made, lines) and sum(g[5] == "block" for g in got) == 11
+
+
+@pytest.mark.parametrize("name", ["op2_url_filter", "op9_minhash_near_dedup", "op10_decontamination"])
+def test_query_equals_its_sql(spark, name):
+    same(queries.QUERIES[name](spark, SF), connect(SF), oracles.SQL[name])
+
+
 def test_shards_keep_every_row(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
