@@ -18,8 +18,9 @@ are counted by hash in the whole table, as a repeated part has many in one slot.
 than LEAST_PAGES different pages have no template text.
 
 Among fields, rules on tags choose: a field is main text unless an element around it is layout by its
-name, role, class or id (navigation, header, footer, aside, form, advert, notice, comments ...); where
-the page has an article or main element, its fields lie inside one.
+name, role, class or id (navigation, header, footer, aside, form, advert, notice, comments ...). Where
+the page has an article or main element, its fields lie inside one; where it has none, lists of links
+alone are menus.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import json
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,24 +38,26 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, cut
 
-#: Wrappers of one host with more nodes than this stop learning: further pages are parsed by the rules on elements alone.
-MOST_NODES = 2_000
+#: Two levels of so many pairs of trees are aligned by the longest common sequence; larger ones in one sweep, which may make more parts optional.
+LCS_PAIRS = 250_000
+#: Elements nested deeper than this lend their text to the slots of the last level, so that no page is too deep.
+DEPTH = 150
 SALTS = 16
 #: Text is template if so many different pages, and more than half of those that fill its slot, have it there.
 LEAST_PAGES = 3
 
 #: Elements by their part in a page.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("math mrow mi mn mo mtext mfrac msup msub msubsup msqrt mroot mover munder mspace semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button head title".split())
+SILENT = frozenset("script style noscript template iframe object svg canvas audio video select textarea button head title".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 LAYOUT = frozenset("nav header footer aside form menu dialog fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MAIN = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|header|masthead|footer|cookies?|consent|notice|notices|alert|disclaimer|popup|modal|newsletter|subscribe|signup|login|form|search|share|sharing|social|related|recommended|comment|comments|commentlist|disqus|respond|reply|replies|widget|toolbar|pagination|pager|skip|hidden)(?:[^a-z]|$)"
-)
+NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adbox adslot banner banners sponsor sponsors sponsored promo promos promotion promotions nav navs navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar aside header masthead footer cookie cookies consent gdpr notice notices alert alerts disclaimer popup modal newsletter subscribe signup login form forms search searchbox share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies widget widgets toolbar pagination pager skip hidden".split())
+#: What a name may have beside those: "site-header", "related-posts", "ad-slot-2", but not "related-work".
+BESIDE = frozenset("a and area article articles bar block bottom box button buttons center column container content cookie desktop fixed float for global google group head icons inner item items label left link links list main medium mega mobile module more news outer page panel pages post posts primary rail right row secondary section site slot small stories sticky text thread title to top unit us user users wrap wrapper zone".split())
 
 _PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</\s*([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -61,30 +65,59 @@ _BARE = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.I)
 SLOT = "#"
 
 
+def is_layout_name(names: str) -> bool:
+    """Whether a class or id says that its element is layout: a word of NAMES, alone or beside others of them, of BESIDE and numbers."""
+    for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split():
+        parts = [p for p in re.split(r"[^a-z]+", name) if p]
+        if not NAMES.isdisjoint(parts) and all(p in NAMES or p in BESIDE for p in parts):
+            return True
+    return False
+
+
+class Place(NamedTuple):
+    """What stands around a slot: whether an article or main element, how many layout elements, and how many of these are headers inside the former."""
+
+    main: bool = False
+    layout: int = 0
+    inner: int = 0
+
+    def within(self, element: str) -> Place:
+        layout = element.endswith("!") or element in LAYOUT
+        return Place(self.main or element in MAIN, self.layout + layout, self.inner + (self.main and element == "header"))
+
+
 class Page:
-    """tokens: "<name" or "<name!" (layout by its attributes), "</name", "#". texts: of the slots, decoded. inside: of each slot, the open elements."""
+    """tokens: "<name" or "<name!" (layout by its attributes), "</name", "#". texts: of the slots, decoded. inside: of each slot, its place. links: whether a slot is a list of links alone."""
 
     def __init__(self, source: str):
         self.tokens: list[str] = []
         self.texts: list[str] = []
-        self.inside: list[tuple[str, ...]] = []
+        self.inside: list[Place] = []
+        self.links: list[bool] = []
         self.open: list[str] = []
+        self._places = [Place()]
+        self._silent = 0
         self._text: list[str] = []
+        self._anchors, self._in_link, self._bare = 0, False, False
         self._read(source)
 
     def _flush(self) -> None:
         text = " ".join(html.unescape("".join(self._text)).split())
         self._text.clear()
-        if text and not any(t.rstrip("!") in SILENT for t in self.open):
+        if text and not self._silent:
             self.tokens.append(SLOT)
             self.texts.append(text)
-            self.inside.append(tuple(self.open))
+            self.inside.append(self._places[-1])
+            self.links.append(not self._bare and self._anchors > ("li" not in self.open[-1:]))
+        self._anchors, self._bare = int(self._in_link), False
 
     def _close(self, to: int) -> None:
         self._flush()
         while len(self.open) > to:
             name = self.open.pop().rstrip("!")
-            if name not in INLINE:
+            self._places.pop()
+            self._silent -= name in SILENT
+            if name not in INLINE and len(self.open) < DEPTH:
                 self.tokens.append("</" + name)
 
     def _start(self, name: str, attributes: str) -> None:
@@ -96,17 +129,22 @@ class Page:
                 self._flush()
             return
         given = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-        words = " ".join(given.get(k, "") for k in ("class", "id"))
-        named = NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", words).lower())
-        marked = bool(named) and name not in ("html", "body", *MAIN) or given.get("role", "").lower() in ROLES or given.get("aria-hidden") == "true" or bool(_BARE.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+        named = is_layout_name(" ".join(given.get(k, "") for k in ("class", "id")))
+        marked = named and name not in ("html", "body", *MAIN) or given.get("role", "").lower() in ROLES or given.get("aria-hidden") == "true" or bool(_BARE.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+        if name == "a":
+            self._anchors, self._in_link = self._anchors + 1, True
         if name in INLINE and not marked:
             return
         self._flush()
         if name in CLOSES_P or name in ("li", "dd", "dt", "tr", "td", "th", "option"):
             self._implied(name)
-        self.tokens.append(f"<{name}{'!' * marked}")
-        if not attributes.rstrip().endswith("/") or name not in ("svg", "math"):
-            self.open.append(name + "!" * marked)
+        if name == "svg" and attributes.rstrip().endswith("/"):
+            return
+        if len(self.open) < DEPTH and name not in INLINE:
+            self.tokens.append(f"<{name}{'!' * marked}")
+        self.open.append(name + "!" * marked)
+        self._places.append(self._places[-1].within(self.open[-1]))
+        self._silent += name in SILENT
 
     def _implied(self, name: str) -> None:
         """Closes a paragraph, list item or cell that a new one ends."""
@@ -124,13 +162,15 @@ class Page:
         at, n = 0, len(source)
         while at < n:
             found = _PIECE.search(source, at)
+            text = source[at : found.start() if found else n]
+            self._text.append(text)
+            self._bare = self._bare or not self._in_link and bool(text.strip())
             if not found:
-                self._text.append(source[at:])
                 break
-            self._text.append(source[at : found.start()])
             at = found.end()
             if found[1]:
                 name = found[1].lower()
+                self._in_link = self._in_link and name != "a"
                 if name in ("p", "br"):
                     self._text.append(" ")
                 held = [i for i, t in enumerate(self.open) if t.rstrip("!") == name]
@@ -233,37 +273,54 @@ def aligned(a: list, b: list) -> list:
     if a == b:
         return a
     xs, ys = _folded(_trees(a)), _folded(_trees(b))
-    n, m = len(xs), len(ys)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _kind(xs[i]) == _kind(ys[j]) else max(best[i + 1][j], best[i][j + 1])
     out: list[list] = []
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and _kind(xs[i]) == _kind(ys[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-            marks = _mark(xs[i]) + _mark(ys[j])
-            out.append(_wrapped(_same(_core(xs[i]), _core(ys[j])), "+" in marks or "*" in marks, "?" in marks or "*" in marks))
+    for x, y in [*_common([_kind(t) for t in xs], [_kind(t) for t in ys]), (len(xs), len(ys))]:
+        out += [_wrapped(_core(t), _mark(t) in ("+", "*"), True) for t in (*xs[i:x], *ys[j:y])]
+        if x < len(xs):
+            marks = _mark(xs[x]) + _mark(ys[y])
+            out.append(_wrapped(_same(_core(xs[x]), _core(ys[y])), "+" in marks or "*" in marks, "?" in marks or "*" in marks))
+        i, j = x + 1, y + 1
+    return [node for tree in _folded(out) for node in tree]
+
+
+def _common(xs: list[str], ys: list[str]) -> list[tuple[int, int]]:
+    """Places of a common sequence, in order: the longest one, unless there are more than LCS_PAIRS pairs. Any common sequence gives an expression that both sides match."""
+    head = next((i for i, (x, y) in enumerate(zip(xs, ys, strict=False)) if x != y), min(len(xs), len(ys)))
+    out = [(i, i) for i in range(head)]
+    n, m = len(xs), len(ys)
+    if (n - head) * (m - head) > LCS_PAIRS:
+        where: dict[str, list[int]] = {}
+        for j in range(m - 1, head - 1, -1):
+            where.setdefault(ys[j], []).append(j)  # the next one is last
+        j = head
+        for i in range(head, n):
+            places = where.get(xs[i], [])
+            while places and places[-1] < j:
+                places.pop()
+            if places and places[-1] - j <= n - i:  # no leap that leaves more of the other side out than is left here
+                j = places[-1] + 1
+                out.append((i, j - 1))
+        return out
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, head - 1, -1):
+        for j in range(m - 1, head - 1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if xs[i] == ys[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = head
+    while i < n and j < m:
+        if xs[i] == ys[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(_wrapped(_core(xs[i]), _mark(xs[i]) in ("+", "*"), True))
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append(_wrapped(_core(ys[j]), _mark(ys[j]) in ("+", "*"), True))
             j += 1
-    return [node for tree in _folded(out) for node in tree]
-
-
-def _nodes(w: list) -> int:
-    return sum(1 if isinstance(x, str) else 1 + _nodes(x[1]) for x in w)
+    return out
 
 
 def joined(a: list | None, b: list) -> list:
-    """The wrapper of what both stand for; ``a`` where that would be too large."""
-    if a is None:
-        return aligned(b, b[:0]) if _nodes(b) > MOST_NODES else reduced(b)
-    out = aligned(a, reduced(b))
-    return a if _nodes(out) > MOST_NODES else out
+    """The wrapper of what both stand for."""
+    return reduced(b) if a is None else aligned(a, reduced(b))
 
 
 def reduced(nodes: list) -> list:
@@ -320,19 +377,11 @@ def aligned_slots(tokens: list[str], wrapper: list[tuple]) -> list[int | None]:
     return out
 
 
-def is_main(place: tuple[str, ...]) -> bool:
-    return any(e in MAIN for e in place)
-
-
-def main_text(place: tuple[str, ...], has_main: bool) -> bool:
-    """Whether a slot at this place is main text, on a page with an article or main element or not."""
-    if has_main and not is_main(place):
-        return False
-    first = next((i for i, e in enumerate(place) if e in MAIN), len(place))
-    layout = [e for i, e in enumerate(place) if e.endswith("!") or e in LAYOUT]
-    # a header of the article itself holds its title
-    inner = [e for e in place[first + 1 :] if e == "header"] if has_main else []
-    return len(layout) == len(inner)
+def main_text(place: Place, has_main: bool, links: bool) -> bool:
+    """Whether a slot at this place is main text, on a page with an article or main element or not. A header of the article itself holds its title."""
+    if has_main:
+        return place.main and place.layout == place.inner
+    return not place.layout and not links
 
 
 def _hash(text: str) -> int:
@@ -342,10 +391,10 @@ def _hash(text: str) -> int:
 def extract(source: str | None, wrapper: list[tuple], template: set[tuple[int, int]]) -> str:
     """Main text of a page: its main fields in page order, joined by one space. template: slots and hashes of text that is none."""
     page = Page(source or "")
-    has_main = any(is_main(p) for p in page.inside)
+    has_main = any(p.main for p in page.inside)
     out = []
-    for text, place, slot in zip(page.texts, page.inside, aligned_slots(page.tokens, wrapper), strict=True):
-        if main_text(place, has_main) and not (template and slot is not None and (slot, _hash(text)) in template):
+    for text, place, links, slot in zip(page.texts, page.inside, page.links, aligned_slots(page.tokens, wrapper), strict=True):
+        if main_text(place, has_main, links) and not (template and slot is not None and (slot, _hash(text)) in template):
             out.append(text)
     return " ".join(out)
 
@@ -456,7 +505,9 @@ def main_texts(pages: DataFrame, keep: list[str], url: str = "url", source: str
     """Columns ``keep``, and text: the main text of each page.
 
     A null or empty page has an empty text; so has one without any main field. Repeated rows stay.
-    An empty table gives an empty one. Columns outside ``keep`` are dropped, so their names can't clash.
+    Pages of any length, depth or variety are read whole. Of alignments that are equally long, that
+    which goes on with the wrapper's side is taken. An empty table gives an empty one. Columns outside
+    ``keep`` are dropped, so their names can't clash.
     """
     plain = pages.select(_host(url), F.col(source).cast("string").alias("html"))
     wrappers = cut(templates(plain, cut(infer(pages, url, source))))

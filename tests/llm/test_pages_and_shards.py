@@ -43,6 +43,60 @@ def test_boilerplate_without_telling_tags(spark):
     assert all(got[100 + i] == whole.format(7) for i in range(8)) and got[200] == whole.format(8)
 
 
+def as_regex(nodes):
+    """The wrapper as a regular expression over its tokens, each closed by a space."""
+    return "".join(re.escape(x + " ") if isinstance(x, str) else f"(?:{as_regex(x[1])}){x[0]}" for x in nodes)
+
+
+def random_tree(rng, depth):
+    out = []
+    for _ in range(rng.randint(0, 4)):
+        name = rng.choice("abc")
+        out += ["#"] if depth == 0 or rng.random() < 0.3 else [f"<{name}", *random_tree(rng, depth - 1), f"</{name}"]
+    return out
+
+
+@pytest.mark.parametrize("pairs", [wrappers.LCS_PAIRS, 0])
+def test_wrappers_match_all_their_pages(monkeypatch, pairs):
+    """Whatever the pages and the alignment, the union-free expression accepts each page that it was made of, and folding its parts does so too."""
+    monkeypatch.setattr(wrappers, "LCS_PAIRS", pairs)
+    rng = random.Random(21)
+    for _ in range(150):
+        pages = [random_tree(rng, 3) for _ in range(4)]
+        parts = [wrappers.joined(wrappers.joined(None, a), b) for a, b in (pages[:2], pages[2:])]
+        for w in (*parts, wrappers.joined(*parts)):
+            mine = pages[:2] if w is parts[0] else pages[2:] if w is parts[1] else pages
+            for p in mine:
+                assert re.fullmatch(as_regex(w), "".join(t + " " for t in p))
+
+
+def test_alignment_is_as_long_as_can_be():
+    """The longest common sequence, against trying all of them."""
+    rng = random.Random(5)
+    for _ in range(300):
+        xs, ys = ([rng.choice("abc") for _ in range(rng.randint(0, 6))] for _ in range(2))
+        of = lambda v: {tuple(v[i] for i in range(len(v)) if mask >> i & 1) for mask in range(1 << len(v))}
+        got = wrappers._common(xs, ys)
+        assert [xs[i] for i, _ in got] == [ys[j] for _, j in got] and len(got) == max(map(len, of(xs) & of(ys)))
+        assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
+
+
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("<article><div class='notice-board'>Kept one</div><section class='related-work'>Kept two</section><div class='related-posts'>no</div><p>Then <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>", "Kept one Kept two Then x=1"),
+        ("<div class='siteHeader'>no</div><div><a>Home</a><a>About</a></div><ul><li><a>One</a></li><li><a>Two</a></li></ul><div><p>Story with a <a>link</a></p><p><a>A line of its own</a></p></div><div id='ad-slot-2'>no</div>", "Story with a link A line of its own"),
+        ("<article><header><h1>Title</h1></header><p>Body &amp; soul</p><ul><li><a>Source</a></li></ul><div class='comments'><p>no</p></div><button>no</button></article><main><p>More</p></main>", "Title Body & soul Source More"),
+        ("<article>" + "<div>" * 3_000 + "deep" + "</div>" * 3_000 + "<p>after</p></article>", "deep after"),
+        ("<article>" + "<p>a</p><div>b</div>" * 4_000 + "</article>", ("a b " * 4_000).strip()),
+    ],
+)
+def test_main_text_of_odd_pages(source, expected):
+    page = wrappers.Page(source)
+    w = wrappers.joined(wrappers.joined(None, page.tokens), wrappers.Page("<div><p>x</p></div>" * 2_000).tokens)
+    assert wrappers.extract(source, wrappers.compiled(w), set()) == expected
+
+
 def test_pages_edges(spark):
     rows = [(1, None, page("Only words here")), (2, "https://b.example/", None), (3, "https://b.example/", ""), (None, "no host", page("Twice")), (None, "no host", page("Twice")), (5, "https://b.example/z", "<p"), (6, "https://c.example/", page("long " * 60_000))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("w", F.lit(0)).withColumn("text", F.lit("x")).withColumn("host", F.lit("h"))
