@@ -58,6 +58,7 @@ class MergeVocabulary:
                 self.ids[piece] = i
                 self.cost[piece] = -sp.get_score(i)
         self.eos = sp.eos_id()
+        self._check()
         inside = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         line = any("\n" in p for p in self.ids)
         self.cuts = re.compile(r"(?s).+" if inside else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if line else rf"\n+|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
@@ -73,6 +74,14 @@ class MergeVocabulary:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _check(self) -> None:
+        """An error for a model of other rules than these: no normalisation, a space before each text, all white space kept, no symbols of the user's own."""
+        sp = self.library
+        own = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and sp.get_score(i) == 0]
+        odd = "Ａﬁ①é  e\u0301\t x "
+        if sp.decode(sp.encode(odd)) != odd or sp.encode("x", out_type=str)[0][:1] != SPACE or len(own) > 1:
+            raise ValueError("this model normalises texts, adds no space before them or has symbols of its own, which the agenda doesn't know")
+
     def _pairs(self) -> None:
         """Numbers for symbols (pieces, and characters that are none), and for each pair of them that makes a piece its rank and number."""
         chars = {c for p in self.ids for c in p} - self.ids.keys()
