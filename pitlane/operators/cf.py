@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -69,10 +70,23 @@ def frozen_scores(df: DataFrame, schedule: list[tuple[int, int, int]], label: st
     return out
 
 
-def causal_scores(df: DataFrame, sims: DataFrame, label: str = "long_view", user: str = "user_id", item: str = "video_id") -> DataFrame:
-    """row_id, cf_sum, cf_hist_n: similarities to the user's positives strictly earlier in (time, row)."""
-    past = df.where(F.col(label) == 1).select(F.col(user).alias("u"), F.col(item).alias("i"), F.col("time_ms").alias("_t"), F.col("row_id").alias("_r"))
-    earlier: Column = (F.col("_t") < F.col("time_ms")) | (F.col("_t") == F.col("time_ms")) & (F.col("_r") < F.col("row_id"))
-    rows = df.select("row_id", "time_ms", F.col(user).alias("u"), F.col(item).alias("j"))
-    met = rows.join(past, "u").where(earlier).join(sims, ["i", "j"], "left").groupBy("row_id").agg(F.sum("sim").alias("cf_sum"), F.count("*").alias("cf_hist_n"))
-    return rows.select("row_id").join(met, "row_id", "left").select("row_id", F.coalesce("cf_sum", F.lit(0.0)).alias("cf_sum"), F.coalesce("cf_hist_n", F.lit(0)).alias("cf_hist_n"))
+def causal_scores(df: DataFrame, sims: DataFrame, label: str = "long_view", user: str = "user_id", item: str = "video_id", block_rows: int = 2_000) -> DataFrame:
+    """row_id, cf_sum, cf_hist_n: similarities to the user's positives strictly earlier in (time, row).
+
+    The history's length is a running count. A row meets its user's past item by item; the past and
+    the rows of a user of more than ``block_rows`` are dealt into blocks of about as many, each pair
+    of which is a key of its own.
+    """
+    before = W.partitionBy("u").orderBy("_t", "_r").rowsBetween(W.unboundedPreceding, -1)
+    rows = df.select(F.col("row_id").alias("_r"), F.col("time_ms").alias("_t"), F.col(user).alias("u"), F.col(item).alias("j"), F.col(label).alias("_y"))
+    sizes = rows.groupBy("u").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
+    heavy = sizes.where("_blocks > 1")
+    blocks = F.coalesce("_blocks", F.lit(1))
+    dealt = rows.join(heavy, "u", "left").withColumn("_own", F.pmod(F.xxhash64("_r"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
+    past = dealt.where("_y = 1").select("u", F.col("j").alias("i"), F.col("_t").alias("_pt"), F.col("_r").alias("_pr"), F.col("_own").alias("_b"), F.col("_other").alias("_a"))
+    asked = dealt.withColumnsRenamed({"_own": "_a", "_other": "_b"}).drop("_y")
+    earlier: Column = (F.col("_pt") < F.col("_t")) | (F.col("_pt") == F.col("_t")) & (F.col("_pr") < F.col("_r"))
+    met = asked.join(past, ["u", "_a", "_b"]).where(earlier).groupBy("_r", "i", "j").agg(F.count("*").alias("_k")).join(sims, ["i", "j"])
+    sums = met.groupBy("_r").agg(F.sum(F.col("_k") * F.col("sim")).alias("cf_sum"))
+    known = rows.select("_r", F.coalesce(F.sum("_y").over(before), F.lit(0)).cast("long").alias("cf_hist_n"))
+    return known.join(sums, "_r", "left").select(F.col("_r").alias("row_id"), F.coalesce("cf_sum", F.lit(0.0)).alias("cf_sum"), "cf_hist_n")

@@ -37,6 +37,14 @@ def inversions(df: DataFrame, group: list[str], label: str, score: str, attribut
     return negatives.groupBy(attribute).agg(F.sum(loss).alias("loss"))
 
 
+def pair_counts(df: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
+    """group, n_pairs (positive, negative), n_inverted (the negative's score is greater). No pair is made: rows are counted by score first, and each score adds the positives below it."""
+    counts = df.groupBy(*group, score).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_n"))
+    below = F.coalesce(F.sum("_p").over(W.partitionBy(*group).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = counts.withColumn("_below", below).groupBy(*group).agg((F.sum("_p") * F.sum("_n")).cast("long").alias("n_pairs"), F.sum(F.col("_n") * F.col("_below")).cast("long").alias("n_inverted"))
+    return out
+
+
 def pairs(df: DataFrame, group: list[str], label: str, columns: list[str]) -> DataFrame:
     """All pairs of a positive and a negative of one list, with the columns of both as p_ and n_. For short lists."""
     pos = df.where(F.col(label) == 1).select(*group, *[F.col(c).alias(f"p_{c}") for c in columns])

@@ -39,6 +39,13 @@ def grid(df: DataFrame, a: str, b: str, label: str, group: list[str], points: in
     return out.select((F.col("candidate") / (points - 1)).alias("weight"), "primary")
 
 
+def better_members(df: DataFrame, slack: dict[str, float], base: str, label: str, group: list[str]) -> list[str]:
+    """Of the members named in ``slack`` those whose primary exceeds that of ``base`` less their slack; all are scored in one job."""
+    names = [base, *slack]
+    primary = {names[r.candidate]: r.primary for r in scored_by(df, [{m: 1.0} for m in names], label, group).collect()}
+    return [m for m, s in slack.items() if primary[m] > primary[base] - s]
+
+
 def _best(df: DataFrame, candidates: list[dict[str, float]], label: str, group: list[str]) -> tuple[float, int]:
     r = scored_by(df, candidates, label, group).orderBy(F.desc(F.round("primary", 12)), "candidate").first()
     return r.primary, r.candidate

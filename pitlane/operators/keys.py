@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,6 +45,41 @@ def guard_outcomes(df: DataFrame, outcomes: tuple[str, ...] = OUTCOMES) -> DataF
     return df
 
 
+def guard_copies(matrix: DataFrame, log: DataFrame, outcomes: tuple[str, ...] = OUTCOMES, key: str = "row_id") -> DataFrame:
+    """``matrix``, or an error if a column of it separates an outcome's two values exactly, whatever its name.
+
+    A column is taken for a copy (or a renaming of values) if on none of its values both outcomes
+    occur while it has fewer values than a hundredth of the rows.
+    """
+    names = [c for c in matrix.columns if c != key]
+    held = [c for c in outcomes if c in log.columns]
+    rows = matrix.join(log.select(key, *[F.col(o).alias(f"_o_{o}") for o in held]), key)
+    values = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in names])
+    each = rows.select(F.explode(values).alias("x"), *[f"_o_{o}" for o in held]).groupBy("x.name", "x.value")
+    each = each.agg(F.count("*").alias("n"), *[f(f"_o_{o}").alias(f"{n}_{o}") for o in held for n, f in (("low", F.min), ("high", F.max))])
+    mixed = lambda o: F.count_if(F.col(f"low_{o}") < F.col(f"high_{o}"))
+    varied = lambda o: F.min(f"low_{o}") < F.max(f"high_{o}")  # noqa: E731  an outcome of one value can't be told
+    for r in each.groupBy("name").agg(F.count("*").alias("values"), F.sum("n").alias("n"), *[((mixed(o) == 0) & varied(o)).alias(f"told_{o}") for o in held]).collect():  # a row a column
+        bad = [o for o in held if r[f"told_{o}"]]
+        if bad and 1 < r["values"] <= max(2, r.n // 100):
+            raise OutcomeColumnError(f"{r.name} tells the outcome {', '.join(bad)} of its own row")
+    return matrix
+
+
+@dataclass(frozen=True)
+class FieldSpec:
+    """A categorical field: its name, and an expression of its values over a row."""
+
+    name: str
+    value: Column
+
+
+def encoded_fields(df: DataFrame, in_train: Column, fields: list[FieldSpec]) -> tuple[DataFrame, int]:
+    """encoded() of fields given as expressions: ``df`` with <name>_id of each, and the number of slots."""
+    rows = df.withColumns({f.name: f.value for f in fields})
+    return encoded(rows, rows.where(in_train), [f.name for f in fields])
+
+
 def window_horizon(date: Column, schedule: list[tuple[int, int, int]]) -> Column:
     """The horizon of the last window of the schedule that holds the date; -1 where none does."""
     out = F.lit(-1)
@@ -54,16 +94,46 @@ def range_joined(df: DataFrame, schedule: DataFrame, date: str = "date") -> Data
     return df.join(s, df[date].between(s.lo, s.hi), "left").withColumn("horizon", F.coalesce("horizon", F.lit(-1))).drop("lo", "hi")
 
 
+def join_on(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``df`` joined with ``other`` on keys of which null equals null."""
+    named = other.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in other.columns if c not in on])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return df.join(named, same, how).drop(*[f"_on_{c}" for c in on])
+
+
+def numbered(distinct: DataFrame, keys: list[str], out: str, cells: int = 64) -> DataFrame:
+    """Distinct key tuples with their place in order, from 0; nulls come first.
+
+    Edges come from a sample by hash of about 1,000 keys; keys are numbered inside a cell between two
+    edges, and the sizes of the cells before it are added. So no single task sorts all keys.
+    """
+    every = max(1, distinct.count() // 1_000)
+    sample = distinct.where(F.pmod(F.xxhash64(*keys), F.lit(every)) == 0).select(*keys).orderBy(*keys).collect()
+    edges = sample[:: max(1, len(sample) // cells)]
+    kinds = [distinct.schema[k].dataType for k in keys]
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, e, kinds, strict=True)]) for e in edges]) if edges else None
+    cell = F.size(F.filter(bounds, lambda e: e <= F.struct(*keys))) if edges else F.lit(0)
+    rows = distinct.withColumn("_cell", cell)
+    placed = rows.withColumn("_place", F.row_number().over(W.partitionBy("_cell").orderBy(*keys)))
+    return _after_cells(placed, rows).withColumn(out, F.col("_place").cast("long") - 1 + F.col("_before")).drop("_cell", "_place", "_before")
+
+
+def _after_cells(placed: DataFrame, rows: DataFrame) -> DataFrame:
+    """``placed`` with _before: the rows of all cells before the row's own."""
+    sizes = rows.groupBy("_cell").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # over the cells alone
+    return placed.join(F.broadcast(before), "_cell")
+
+
 def factorised(df: DataFrame, keys: list[str], out: str = "key_id") -> DataFrame:
-    """``df`` with dense ids, from 0, of the distinct key tuples in their order."""
-    distinct = df.select(*keys).distinct()
-    ids = distinct.withColumn(out, F.dense_rank().over(W.orderBy(*keys)).cast("long") - 1)  # over distinct keys, not rows
-    return df.join(ids, keys)
+    """``df`` with dense ids, from 0, of the distinct key tuples in their order; a null is a value, the first one."""
+    return join_on(df, numbered(df.select(*keys).distinct(), keys, out), keys)
 
 
 def vocabulary(train: DataFrame, column: str) -> DataFrame:
-    """value, code: the sorted distinct values of the training rows, numbered from 0."""
-    return train.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct().withColumn("code", F.dense_rank().over(W.orderBy("value")).cast("long") - 1)
+    """value, code: the sorted distinct values of the training rows but null, numbered from 0."""
+    values = train.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
+    return numbered(values, ["value"], "code")
 
 
 def encoded(df: DataFrame, train: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
@@ -79,9 +149,24 @@ def encoded(df: DataFrame, train: DataFrame, columns: list[str]) -> tuple[DataFr
 
 
 def quantile_edges(train: DataFrame, column: str, n: int) -> list[float]:
-    """The n - 1 inner quantiles, with linear interpolation."""
-    points = F.array(*[F.lit(i / n) for i in range(1, n)])
-    return list(train.agg(F.percentile(F.col(column), points).alias("q")).first().q or [])
+    """The n - 1 inner quantiles, exact, with linear interpolation; nulls and NaN don't count, and without any value there are none.
+
+    Values are counted first and numbered by cells, so neither one task nor one hash map gets them all.
+    """
+    x = F.col(column).cast("double")
+    counts = train.select(x.alias("x")).where(x.isNotNull() & ~F.isnan(x)).groupBy("x").agg(F.count("*").alias("n"))
+    placed = _cells_of(counts, "x", 64)
+    upto = F.sum("n").over(W.partitionBy("_cell").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    sizes = placed.select("_cell", "n").groupBy("_cell").agg(F.sum("n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # over the cells alone
+    total = sizes.agg(F.sum("_n")).first()[0]
+    if not total:
+        return []
+    places = [(total - 1) * i / n for i in range(1, n)]
+    wanted = F.array(*[F.lit(p).cast("long") for p in sorted({q for h in places for q in (math.floor(h), math.ceil(h))})])
+    known = placed.withColumn("_upto", upto).join(F.broadcast(sizes.drop("_n")), "_cell").withColumn("_upto", F.col("_upto") + F.col("_before"))
+    held = known.select("x", F.filter(wanted, lambda w: (w < F.col("_upto")) & (w >= F.col("_upto") - F.col("n"))).alias("w")).where(F.size("w") > 0)
+    at = {w: r.x for r in held.collect() for w in r.w}  # two values for each of n - 1 places at most
+    return [at[math.floor(h)] + (h - math.floor(h)) * (at[math.ceil(h)] - at[math.floor(h)]) for h in places]
 
 
 def bucketed(df: DataFrame, column: str, edges: list[float], out: str, inclusive: bool = False) -> DataFrame:
@@ -94,13 +179,15 @@ def global_rank(df: DataFrame, key: str, tie: str, out: str = "rank", cells: int
     The key's range is cut at approximate quantiles; rows are ranked inside a cell, and the sizes of the
     cells before it are added. So no single task sorts all rows. Null keys come first.
     """
-    edges = sorted(set(df.agg(F.percentile_approx(F.col(key).cast("double"), [i / cells for i in range(1, cells)], 10_000).alias("q")).first().q or []))
-    cell = F.when(F.col(key).isNull(), -1).otherwise(count_below(edges, F.col(key).cast("double"), True))
-    rows = df.withColumn("_cell", cell)
-    sizes = rows.groupBy("_cell").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # over ``cells`` rows
+    rows = _cells_of(df, key, cells)
     placed = rows.withColumn("_place", F.row_number().over(W.partitionBy("_cell").orderBy(key, tie)))
-    return placed.join(F.broadcast(before), "_cell").withColumn(out, F.col("_place") - 1 + F.col("_before")).drop("_cell", "_place", "_before")
+    return _after_cells(placed, rows).withColumn(out, F.col("_place") - 1 + F.col("_before")).drop("_cell", "_place", "_before")
+
+
+def _cells_of(df: DataFrame, key: str, cells: int) -> DataFrame:
+    """``df`` with _cell: between which approximate quantiles of a numeric key the row lies; -1 for null."""
+    edges = sorted(set(df.agg(F.percentile_approx(F.col(key).cast("double"), [i / cells for i in range(1, cells)], 10_000).alias("q")).first().q or []))
+    return df.withColumn("_cell", F.when(F.col(key).isNull(), -1).otherwise(count_below(edges, F.col(key).cast("double"), True) if edges else F.lit(0)))
 
 
 def rank_deciles(df: DataFrame, key: str, tie: str, out: str = "decile", n: int = 10) -> DataFrame:

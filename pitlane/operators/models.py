@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,53 +15,172 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import calendar_date, day_index
+from . import metrics, pit, windows
 from .diagnostics import pairs
 
 Schedule = list[tuple[int, int, int]]
 
 
-def by_window(df: DataFrame, schedule: Schedule, fit_score: Callable[[DataFrame, DataFrame], DataFrame], label: str, fit_end: int, least: int, cold: Column | None = None) -> DataFrame:
+def by_window(df: DataFrame, schedule: Schedule, fit_score: Callable[[DataFrame, DataFrame], DataFrame], label: str, fit_end: int, least: int) -> DataFrame:
     """row_id, score: each window's rows scored by what was fitted up to min(horizon, fit_end).
 
-    Fewer than ``least`` rows give 0, labels of one class their mean.
+    Fewer than ``least`` rows give 0, labels of one class their mean. ``df`` is read for each window,
+    so a long plan behind it should be stored first.
     """
+    ends = [min(horizon, fit_end) for _, _, horizon in schedule]
+    seen = df.agg(*[a for i, end in enumerate(ends) for a in (F.count_if(F.col("date") <= end).alias(f"n{i}"), F.avg(F.when(F.col("date") <= end, F.col(label))).alias(f"m{i}"))]).first()
     out = None
-    for lo, hi, horizon in schedule:
-        rows = df.where(F.col("date").between(lo, hi))
-        past = df.where(F.col("date") <= min(horizon, fit_end))
-        n, mean = past.agg(F.count("*"), F.avg(label)).first()
+    for i, (lo, hi, _) in enumerate(schedule):
+        rows, n, mean = df.where(F.col("date").between(lo, hi)), seen[f"n{i}"], seen[f"m{i}"]
         if n < least or mean in (0.0, 1.0):
             part = rows.select("row_id", F.lit(0.0 if n < least else float(mean)).alias("score"))
         else:
-            part = fit_score(past, rows).select("row_id", F.col("score").cast("double").alias("score"))
+            part = fit_score(df.where(F.col("date") <= ends[i]), rows).select("row_id", F.col("score").cast("double").alias("score"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@dataclass(frozen=True)
+class Trained:
+    """model: the best one. budget: its iterations. curve: (budget, primary) of each that was tried."""
+
+    model: PipelineModel
+    budget: int
+    curve: list[tuple[int, float]]
+
+
+#: learner(budget, seed): an unfitted pipeline whose probability column scores.
+Learner = Callable[[int, int], Pipeline]
+
+
+def train(past: DataFrame, valid: DataFrame, learner: Learner, label: str = "long_view", budgets: tuple[int, ...] = (2, 5, 10), patience: int = 4, seed: int = 0, least: float = 1e-5) -> Trained:
+    """Fits with growing numbers of iterations until ``patience`` in a row gain no primary on ``valid``."""
+    best, value, curve = None, -1.0, []
+    known = past.withColumn(label, F.col(label).cast("double"))
+    for budget in budgets:
+        model = learner(budget, seed).fit(known)
+        scored = predict(model, valid).join(valid.select("row_id", "user_id", label), "row_id")
+        primary = metrics.evaluate(scored, label, "score").first().primary
+        curve.append((budget, primary))
+        if primary > value + least:
+            best, value = Trained(model, budget, curve), primary
+        elif len(curve) - 1 - [b for b, _ in curve].index(best.budget) >= patience:
+            break
+    return best
+
+
+def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """row_id, score."""
+    return model.transform(rows).select("row_id", vector_to_array("probability")[1].cast("double").alias("score"))
+
+
+def fm_learner(columns: list[str], label: str = "long_view", factors: int = 8, step: float = 0.05) -> Learner:
+    return lambda budget, seed: Pipeline(stages=[*_categorical(columns), FMClassifier(labelCol=label, factorSize=factors, maxIter=budget, stepSize=step, seed=seed, solver="adamW")])
+
+
+def gbt_learner(features: list[str], label: str = "long_view", depth: int = 4, **params) -> Learner:
+    return lambda budget, seed: Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), GBTClassifier(labelCol=label, maxIter=budget, maxDepth=depth, seed=seed, **params)])
+
+
+def mean_scores(parts: list[DataFrame]) -> DataFrame:
+    """row_id, score: the mean over scores of several seeds."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("row_id").agg(F.avg("score").alias("score")) if len(parts) > 1 else out
+
+
+def refit_scores(df: DataFrame, learner: Learner, label: str = "long_view", seeds: tuple[int, ...] = (0, 1, 2), tau: float = 14.0, strict: bool = True, budgets: tuple[int, ...] = (2, 5, 10)) -> DataFrame:
+    """row_id, score of all rows of ``df`` (with split train, valid, test), the mean over seeds.
+
+    Models are fitted on training rows, the later the likelier drawn: exp(-days to the last one / tau),
+    by a hash of the row, as FMClassifier takes no weights. The number of iterations is that of the
+    best primary on the validation rows. Permissive: test rows are scored by models refitted on
+    training and validation rows for the median number of iterations.
+    """
+    day = F.datediff(calendar_date(F.col("date")), F.lit("1970-01-01").cast("date"))
+    last = df.where("split = 'train'").agg(F.max(day)).first()[0] or 0
+
+    def drawn(parts: list[str], seed: int) -> DataFrame:
+        chance = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+        return df.where(F.col("split").isin(parts) & (chance < F.exp(F.least(day - last, F.lit(0)) / tau)))
+
+    fits = [train(drawn(["train"], s), df.where("split = 'valid'"), learner, label, budgets, seed=s) for s in seeds]
+    scores = mean_scores([predict(f.model, df) for f in fits])
+    if strict:
+        return scores
+    budget, test = sorted(f.budget for f in fits)[len(fits) // 2], df.where("split = 'test'")
+    again = [learner(budget, s).fit(drawn(["train", "valid"], s).withColumn(label, F.col(label).cast("double"))) for s in seeds]
+    late = mean_scores([predict(m, test) for m in again])
+    return scores.join(test.select("row_id"), "row_id", "left_anti").unionByName(late)
+
+
+#: The key families of each expert.
+EXPERTS = {
+    "context": {"tab": ["tab"]},
+    "item": {"item": ["video_id"], "author": ["author_id"], "item_tab": ["video_id", "tab"]},
+    "user": {"user_tab": ["user_id", "tab"], "user_dur": ["user_id", "dur_bucket"], "user": ["user_id"]},
+}
+
+
+def expert_matrix(df: DataFrame, subspace: str, prior: float, label: str = "long_view", horizon: str = "hz") -> tuple[DataFrame, list[str]]:
+    """Rows of ``df`` with the columns of one family of features and their deviations within (user, horizon); and their names.
+
+    context: nothing of item or user; item: nothing of the user; user: nothing of the item.
+    """
+    if subspace not in EXPERTS:
+        raise ValueError(f"{subspace} is none of {', '.join(EXPERTS)}")
+    families = EXPERTS[subspace]
+    rows = pit.frozen_prefixes(df, families, label, horizon)
+    base = ["row_id", "user_id", "date", "split", label, horizon]
+    extra = [F.log1p("duration_ms").alias("log_duration"), F.col("hour").cast("double").alias("hour"), (day_index(F.col("date")) - day_index(F.col(horizon))).cast("double").alias("staleness")] if subspace == "context" else []
+    rows = rows.select(*base, *pit.rate_columns(families, prior), *extra)
+    names = [c for c in rows.columns if c not in base]
+    return rows.withColumns({f"{c}_dev": windows.deviation(["user_id", horizon], c) for c in names}), [*names, *(f"{c}_dev" for c in names)]
+
+
+def decomposition(rows: DataFrame, sources: dict[str, list[str]], label: str = "long_view", group: list[str] | None = None, budget: int = 10) -> DataFrame:
+    """source, place, standalone, cumulative, marginal: of sources of columns in their order, by primary on the validation rows.
+
+    standalone: the first column of the source as a score. cumulative: trees on the columns of this
+    source and those before it, with their deviations within the group (user and horizon), fitted on
+    the training rows. marginal: what the source adds to the cumulative primary, null for the first.
+    """
+    valid, out, columns, before = rows.where("split = 'valid'"), [], [], None
+    for i, (source, own) in enumerate(sources.items()):
+        alone = metrics.evaluate(valid, label, own[0]).first().primary
+        columns += own
+        matrix = rows.select("row_id", "user_id", "split", label, *columns, *[windows.deviation(group or ["user_id", "hz"], c).alias(f"{c}_dev") for c in columns])
+        scores = expert_scores(matrix, [*columns, *(f"{c}_dev" for c in columns)], label, budget)
+        both = metrics.evaluate(valid.join(scores, "row_id"), label, "score").first().primary
+        out.append((source, i, alone, both, None if before is None else both - before))
+        before = both
+    return rows.sparkSession.createDataFrame(out, "source string, place int, standalone double, cumulative double, marginal double")
+
+
+def expert_scores(rows: DataFrame, names: list[str], label: str = "long_view", budget: int = 10, seed: int = 0) -> DataFrame:
+    """row_id, score of all rows by trees fitted on the training rows of an expert's matrix."""
+    model = gbt_learner(names, label)(budget, seed).fit(rows.where("split = 'train'").withColumn(label, F.col(label).cast("double")))
+    return predict(model, rows)
+
+
 def _categorical(columns: list[str]) -> list:
     return [StringIndexer(inputCols=columns, outputCols=[f"{c}_ix" for c in columns], handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=[f"{c}_ix" for c in columns], outputCols=[f"{c}_hot" for c in columns], handleInvalid="keep"), VectorAssembler(inputCols=[f"{c}_hot" for c in columns], outputCol="features")]
 
 
 def fm_scores(columns: list[str], label: str = "long_view", factors: int = 8, iterations: int = 10, seed: int = 0, step: float = 0.05) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """A factorisation machine over one-hot columns."""
-
-    def fit_score(past: DataFrame, rows: DataFrame) -> DataFrame:
-        fm = FMClassifier(labelCol=label, factorSize=factors, maxIter=iterations, stepSize=step, seed=seed, solver="adamW")
-        model = Pipeline(stages=[*_categorical(columns), fm]).fit(past.withColumn(label, F.col(label).cast("double")))
-        return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
-
-    return fit_score
+    return _fitted(fm_learner(columns, label, factors, step), label, iterations, seed)
 
 
-def gbt_scores(features: list[str], label: str = "long_view", iterations: int = 10, depth: int = 4, seed: int = 0) -> Callable[[DataFrame, DataFrame], DataFrame]:
+def gbt_scores(features: list[str], label: str = "long_view", iterations: int = 10, depth: int = 4, seed: int = 0, **params) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """Boosted trees over numeric columns."""
+    return _fitted(gbt_learner(features, label, depth, **params), label, iterations, seed)
 
-    def fit_score(past: DataFrame, rows: DataFrame) -> DataFrame:
-        gbt = GBTClassifier(labelCol=label, maxIter=iterations, maxDepth=depth, seed=seed)
-        model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), gbt]).fit(past.withColumn(label, F.col(label).cast("double")))
-        return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
 
-    return fit_score
+def _fitted(learner: Learner, label: str, iterations: int, seed: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    return lambda past, rows: predict(learner(iterations, seed).fit(past.withColumn(label, F.col(label).cast("double"))), rows)
 
 
 def importances(past: DataFrame, features: list[str], label: str = "long_view", top: int = 10, iterations: int = 10, seed: int = 0) -> DataFrame:
@@ -87,6 +208,35 @@ def als_scores(df: DataFrame, schedule: Schedule, label: str = "long_view", rank
     return out
 
 
+def attention_scores(df: DataFrame, schedule: Schedule, label: str = "long_view", rank: int = 16, length: int = 32, least: int = 500, seed: int = 0) -> DataFrame:
+    """row_id, score: target attention of a row's item over the last ``length`` positives of its user up to the window's horizon.
+
+    Items are vectors of implicit factors. The score is the mean of the item's products with those of
+    the history, weighted by their softmax: what is alike counts most. 0 without a history, for an
+    unknown item, or with fewer than ``least`` positives.
+    """
+    out = None
+    for lo, hi, horizon in schedule:
+        rows = df.where(F.col("date").between(lo, hi)).select("row_id", "user_id", "video_id")
+        past = df.where((F.col("date") <= horizon) & (F.col(label) == 1))
+        known = past.groupBy(F.col("user_id").cast("int").alias("user_id"), "video_id").agg(F.lit(1.0).alias("one"))
+        if known.count() < least:
+            part = rows.select("row_id", F.lit(0.0).alias("score"))
+        else:
+            als = ALS(userCol="user_id", itemCol="video_id", ratingCol="one", implicitPrefs=True, rank=rank, regParam=0.05, alpha=40.0, maxIter=6, seed=seed)
+            items = als.fit(known).itemFactors.select(F.col("id").alias("video_id"), F.col("features").alias("_v"))
+            last = windows.top_k(past, ["user_id"], [F.desc("time_ms"), F.desc("row_id")], length).select("user_id", "video_id")
+            history = last.join(items, "video_id").groupBy("user_id").agg(F.collect_list("_v").alias("_h"))  # ``length`` vectors at most
+            met = rows.join(items, "video_id", "left").join(history, "user_id", "left")
+            alike = F.transform("_h", lambda h: F.aggregate(F.zip_with("_v", h, lambda a, b: (a * b).cast("double")), F.lit(0.0), lambda s, x: s + x))
+            met = met.select("row_id", F.when(F.col("_v").isNotNull(), alike).alias("_a"))
+            e = F.transform("_a", lambda x: F.exp(x - F.array_max("_a")))
+            total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+            part = met.select("row_id", F.coalesce(total(F.zip_with(e, "_a", lambda w, x: w * x)) / total(e), F.lit(0.0)).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def fm_logit(bias: Column, weights: list[Column], vectors: list[Column], k: int) -> Column:
     """bias + sum of weights + half of (square of the summed vectors - sum of their squares)."""
     pairs_ = F.lit(0.0)
@@ -102,46 +252,99 @@ def recency_weight(date_age: Column, tau: float, mean: Column) -> Column:
     return F.exp(-date_age / tau) / mean
 
 
-def loss_values(df: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
-    """loss, value of a fixed score: bce, bpr (mean over pairs), bpr_gauc (pairs weighted as GAUC does), listnet."""
+def loss_values(df: DataFrame, group: list[str], label: str, score: str, tie: str = "row_id", k: int = 5) -> DataFrame:
+    """loss, value of a fixed score; all but bce over lists with both labels.
+
+    bce: mean over rows. bpr: the mean pair loss of a list, averaged over lists. bpr_gauc: pairs
+    weighted by 1 / negatives of the list, over all positives. listnet: cross entropy of the softmax,
+    by positive. lambda_ndcg: pairs weighted by what swapping them changes in nDCG at ``k``. primary:
+    half of bpr_gauc and half of lambda_ndcg. Pair losses have no closed form, so these make the
+    pairs of each list: lists are those of a user's day or week, not of all time.
+    """
     s, y = F.col(score), F.col(label)
-    softplus = F.greatest(s, F.lit(0.0)) + F.log1p(F.exp(-F.abs(s)))
-    bce = df.agg(F.avg(softplus - y * s).alias("value")).select(F.lit("bce").alias("loss"), "value")
-    met = pairs(df, group, label, [score])
-    gap = F.col(f"p_{score}") - F.col(f"n_{score}")
-    pair_loss = F.greatest(-gap, F.lit(0.0)) + F.log1p(F.exp(-F.abs(gap)))
-    bpr = met.agg(F.avg(pair_loss).alias("value")).select(F.lit("bpr").alias("loss"), "value")
-    lists = met.groupBy(*group).agg(F.avg(pair_loss).alias("_l")).join(df.groupBy(*group).agg(F.sum(label).alias("_w")), group)
-    weighted = lists.agg((F.sum(F.col("_l") * F.col("_w")) / F.sum("_w")).alias("value")).select(F.lit("bpr_gauc").alias("loss"), "value")
+    softplus = lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    bce = df.agg(F.avg(softplus(s) - y * s).alias("bce"))
     by = W.partitionBy(*group)
+    place = F.row_number().over(by.orderBy(F.desc(score), tie))
     shifted = s - F.max(score).over(by)
-    net = df.select(*group, y.alias("_y"), shifted.alias("_s"), F.sum(label).over(by).alias("_p")).where("_p > 0")
-    per = net.groupBy(*group).agg((F.log(F.sum(F.exp("_s"))) - F.sum(F.col("_y") / F.col("_p") * F.col("_s"))).alias("_l"))
-    listnet = per.agg(F.avg("_l").alias("value")).select(F.lit("listnet").alias("loss"), "value")
-    return bce.unionByName(bpr).unionByName(weighted).unionByName(listnet)
+    rows = df.select(*group, label, score, F.when(place <= k, 1 / F.log2(place + 1)).otherwise(0.0).alias("_gain"), shifted.alias("_s"), F.sum(label).over(by).alias("_p"), F.sum(1 - y).over(by).alias("_n")).where("_p > 0 and _n > 0")
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_p"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    net = rows.groupBy(*group, "_p", "_n").agg(((F.sum("_p") / F.count("*") * F.log(F.sum(F.exp("_s"))) - F.sum(y * F.col("_s"))) / F.first("_p")).alias("_net"))
+    met = pairs(rows, group, label, [score, "_gain"])
+    loss = softplus(F.col(f"n_{score}") - F.col(f"p_{score}"))
+    per = met.groupBy(*group).agg(F.sum(loss).alias("_l"), F.sum(loss * F.abs(F.col("p__gain") - F.col("n__gain"))).alias("_g"))
+    lists = net.join(per, group)
+    means = lists.agg(
+        F.avg(F.col("_l") / (F.col("_p") * F.col("_n"))).alias("bpr"),
+        (F.sum(F.col("_l") / F.col("_n")) / F.sum("_p")).alias("bpr_gauc"),
+        F.avg("_net").alias("listnet"),
+        F.avg(F.col("_g") / ideal / (F.col("_p") * F.col("_n"))).alias("lambda_ndcg"),
+    )
+    one = bce.crossJoin(means).withColumn("primary", (F.col("bpr_gauc") + F.col("lambda_ndcg")) / 2)  # one row each
+    return one.unpivot([], ["bce", "bpr", "bpr_gauc", "listnet", "lambda_ndcg", "primary"], "loss", "value")
 
 
 #: Hyper-parameters that a candidate may set, and their bounds.
-ALLOWED = {"learning_rate": (0.005, 0.3), "num_leaves": (7, 255), "min_child_samples": (5, 2000), "feature_fraction": (0.3, 1.0), "lambda_l2": (0.0, 100.0), "n_estimators": (10, 600)}
+ALLOWED = {
+    "learning_rate": (0.005, 0.3),
+    "num_leaves": (7, 255),
+    "min_data_in_leaf": (20, 2000),
+    "feature_fraction": (0.3, 1.0),
+    "bagging_fraction": (0.3, 1.0),
+    "bagging_freq": (0, 10),
+    "lambda_l1": (0.0, 10.0),
+    "lambda_l2": (0.0, 10.0),
+    "max_depth": (-1, 16),
+    "min_gain_to_split": (0.0, 1.0),
+}
 
 
 def clipped_params(given: dict) -> dict:
-    """Known parameters, clipped to their bounds; whole bounds stay whole numbers, what is no number goes."""
-    out = {}
+    """The parameters clipped to their bounds; whole bounds stay whole numbers. An unknown name, or a value that is no number, is an error."""
     for k, v in given.items():
-        if k in ALLOWED and isinstance(v, (int, float)) and not isinstance(v, bool) and v == v:
-            lo, hi = ALLOWED[k]
-            out[k] = type(lo)(min(max(v, lo), hi))
+        if k not in ALLOWED:
+            raise ValueError(f"{k} can't be set; it must be one of {', '.join(ALLOWED)}")
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or v != v:
+            raise ValueError(f"{k} must be a number, not {v!r}")
+    return {k: type(ALLOWED[k][0])(min(max(v, ALLOWED[k][0]), ALLOWED[k][1])) for k, v in given.items()}
+
+
+def clipped_table(given: DataFrame) -> DataFrame:
+    """name, value, finding of proposed parameters (name, value): clipped, or null and UNKNOWN."""
+    rows = given.sparkSession.createDataFrame([(k, float(lo), float(hi), isinstance(lo, int)) for k, (lo, hi) in ALLOWED.items()], "name string, lo double, hi double, whole boolean")
+    both = given.join(F.broadcast(rows), "name", "left")
+    value = F.when(F.col("lo").isNotNull() & ~F.isnan("value"), F.least(F.greatest("value", "lo"), F.col("hi")))
+    value = F.when(F.col("whole"), F.floor(value + F.when(value < 0, 1).otherwise(0)).cast("double")).otherwise(value)
+    return both.select("name", value.alias("value"), F.when(value.isNull(), "UNKNOWN").when(value != F.col("value"), "CLIPPED").otherwise("OK").alias("finding"))
+
+
+def tree_params(given: dict) -> dict:
+    """Arguments of Spark's boosted trees for clipped_params(); those that they have no counterpart of are left out."""
+    p, out = clipped_params(given), {}
+    names = {"learning_rate": "stepSize", "min_data_in_leaf": "minInstancesPerNode", "bagging_fraction": "subsamplingRate", "min_gain_to_split": "minInfoGain"}
+    out = {names[k]: v for k, v in p.items() if k in names}
+    if p.get("max_depth", -1) > 0:
+        out["depth"] = min(p["max_depth"], 12)
+    elif "num_leaves" in p:
+        out["depth"] = max(1, math.ceil(math.log2(p["num_leaves"])))
+    if "feature_fraction" in p:
+        out["featureSubsetStrategy"] = str(p["feature_fraction"])
     return out
 
 
+def late_only(history: Column, least: int = 10) -> Column:
+    """Weight 1 for rows whose history has at least ``least`` items, else 0."""
+    return (F.coalesce(history, F.lit(0)) >= least).cast("double")
+
+
 def history_match(train: DataFrame, evaluated: DataFrame, bucket: str, low: float = 0.2, high: float = 5.0) -> DataFrame:
     """bucket, weight: share of the bucket among evaluated rows over that among training rows, clipped, with mean 1 over training rows."""
     t = train.groupBy(bucket).agg(F.count("*").alias("_t"))
     e = evaluated.groupBy(bucket).agg(F.count("*").alias("_e"))
     whole = W.partitionBy()  # over buckets, of which there are few
-    both = t.join(e, bucket, "left").withColumn("_e", F.coalesce("_e", F.lit(0)))
-    ratio = (F.col("_e") / F.sum("_e").over(whole)) / (F.col("_t") / F.sum("_t").over(whole))
+    total = e.agg(F.coalesce(F.sum("_e"), F.lit(0)).alias("_all"))
+    both = t.join(e, bucket, "left").withColumn("_e", F.coalesce("_e", F.lit(0))).crossJoin(F.broadcast(total))  # one row
+    ratio = (F.col("_e") / F.greatest("_all", F.lit(1))) / (F.col("_t") / F.sum("_t").over(whole))
     both = both.withColumn("_r", F.least(F.greatest(ratio, F.lit(low)), F.lit(high)))
     mean = F.sum(F.col("_r") * F.col("_t")).over(whole) / F.sum("_t").over(whole)
     return both.select(bucket, (F.col("_r") / mean).alias("weight"))

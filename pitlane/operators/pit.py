@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import day_index, smoothed_rate
+from .keys import join_on
 
 
 def causal_prefix(df: DataFrame, keys: list[str], label: str, labelled: Column, order: tuple[str, str] = ("time_ms", "row_id")) -> DataFrame:
@@ -35,13 +36,20 @@ def _daily(df: DataFrame, keys: list[str], values: dict[str, Column], date: str)
 def frozen_sums(df: DataFrame, keys: list[str], values: dict[str, Column], horizon: str = "hz", date: str = "date") -> DataFrame:
     """``df`` with, for each name, the sum of its value over the key's rows dated up to the row's horizon; 0 without any.
 
-    Plan by join: daily sums meet the distinct horizons, of which a schedule has few.
+    Plan by join: daily sums meet the distinct horizons, of which a schedule has few. A null key is a
+    key like any other; a row without a horizon knows nothing.
     """
-    daily = _daily(df, keys, values, date)
+    return _with_known(df, _known(df, keys, values, horizon, date), keys, values, horizon)
+
+
+def _known(df: DataFrame, keys: list[str], values: dict[str, Column], horizon: str, date: str) -> DataFrame:
     horizons = F.broadcast(df.select(horizon).distinct())  # a row for each window of the schedule
-    known = daily.join(horizons, F.col(date) <= F.col(horizon)).groupBy(*keys, horizon).agg(*[F.sum(n).alias(n) for n in values])
-    out = df.join(known, [*keys, horizon], "left")
-    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in values})
+    daily = _daily(df, keys, values, date)
+    return daily.join(horizons, F.col(date) <= F.col(horizon)).groupBy(*keys, horizon).agg(*[F.sum(n).alias(n) for n in values])
+
+
+def _with_known(df: DataFrame, known: DataFrame, keys: list[str], values: dict[str, Column], horizon: str) -> DataFrame:
+    return join_on(df, known, [*keys, horizon], "left").withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in values})
 
 
 def frozen_sums_by_union(df: DataFrame, keys: list[str], values: dict[str, Column], horizon: str = "hz", date: str = "date") -> DataFrame:
@@ -50,8 +58,7 @@ def frozen_sums_by_union(df: DataFrame, keys: list[str], values: dict[str, Colum
     probes = df.select(*keys, horizon).distinct().select(*keys, F.col(horizon).alias("_d"), F.lit(1).alias("_probe"), *[F.lit(None).alias(n) for n in values])
     running = W.partitionBy(*keys).orderBy("_d", "_probe").rowsBetween(W.unboundedPreceding, 0)
     both = daily.unionByName(probes).withColumns({n: F.sum(n).over(running) for n in values}).where("_probe = 1")
-    out = df.join(both.withColumnRenamed("_d", horizon).drop("_probe"), [*keys, horizon], "left")
-    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in values})
+    return _with_known(df, both.withColumnRenamed("_d", horizon).drop("_probe"), keys, values, horizon)
 
 
 def frozen_prefix(df: DataFrame, keys: list[str], label: str = "long_view", labelled: Column | None = None, horizon: str = "hz", by_union: bool = False, out: tuple[str, str] = ("lab", "pos")) -> DataFrame:
@@ -61,6 +68,18 @@ def frozen_prefix(df: DataFrame, keys: list[str], label: str = "long_view", labe
     return (frozen_sums_by_union if by_union else frozen_sums)(df, keys, values, horizon)
 
 
+def frozen_prefixes(df: DataFrame, families: dict[str, list[str]], label: str = "long_view", horizon: str = "hz", date: str = "date") -> DataFrame:
+    """``df`` with <family>_lab and <family>_pos of each family of keys: frozen_prefix() of many, all made from ``df`` itself.
+
+    The plan grows by one aggregate and one join for each family.
+    """
+    out = df
+    for name, by in families.items():
+        values = {f"{name}_lab": F.lit(1).cast("long"), f"{name}_pos": F.col(label).cast("long")}
+        out = _with_known(out, _known(df, by, values, horizon, date), by, values, horizon)
+    return out
+
+
 def frozen_prefix_decayed(df: DataFrame, keys: list[str], label: str = "long_view", half_life: float = 7.0, horizon: str = "hz", date: str = "date", out: tuple[str, str] = ("dlab", "dpos")) -> DataFrame:
     """frozen_prefix with each day weighing 2 ** -(days from it to the horizon / half_life).
 
@@ -94,10 +113,14 @@ FAMILIES = {
 def family_features(df: DataFrame, families: dict[str, list[str]] | None = None, prior: float = 0.0, horizon: str = "hz", label: str = "long_view") -> DataFrame:
     """row_id, and <family>_rate and <family>_logn of each family, frozen at the row's horizon."""
     families = FAMILIES if families is None else families
-    for name, keys in families.items():
-        df = frozen_prefix(df, keys, label, horizon=horizon, out=(f"_{name}_lab", f"_{name}_pos"))
-    feats = [c for n in families for c in (smoothed_rate(F.col(f"_{n}_pos"), F.col(f"_{n}_lab"), prior).alias(f"{n}_rate"), F.log1p(F.col(f"_{n}_lab")).alias(f"{n}_logn"))]
-    return df.select("row_id", *feats)
+    used = dict.fromkeys(["row_id", "date", horizon, label, *(k for by in families.values() for k in by)])
+    rows = frozen_prefixes(df.select(*used), families, label, horizon)
+    return rows.select("row_id", *rate_columns(families, prior))
+
+
+def rate_columns(families, prior: float, alpha: float = 20.0) -> list[Column]:
+    """<family>_rate and <family>_logn of frozen_prefixes()."""
+    return [c for n in families for c in (smoothed_rate(F.col(f"{n}_pos"), F.col(f"{n}_lab"), prior, alpha).alias(f"{n}_rate"), F.log1p(F.col(f"{n}_lab")).alias(f"{n}_logn"))]
 
 
 def earlier_days(df: DataFrame, keys: list[str], values: dict[str, Column], date: str = "date") -> DataFrame:
@@ -106,7 +129,7 @@ def earlier_days(df: DataFrame, keys: list[str], values: dict[str, Column], date
     daily = _daily(df, keys, values, date).withColumn("_day", day)
     before = W.partitionBy(*keys).orderBy("_day").rangeBetween(W.unboundedPreceding, -1)
     known = daily.select(*keys, date, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in values])
-    return df.join(known, [*keys, date])
+    return join_on(df, known, [*keys, date])
 
 
 def preferred_value(df: DataFrame, keys: list[str], x: str, label: str = "long_view", horizon: str = "hz") -> DataFrame:

@@ -64,6 +64,11 @@ def shuffled_labels(df: DataFrame, label: str, seed: int, parts: int = 64) -> Da
     return rows.withColumn("_place", place).join(labels, ["_part", "_place"]).drop("_part", "_place")
 
 
+def shuffle_finding(primary: Column, floor: float = 0.52) -> Column:
+    """BLOCK for a pipeline whose primary stays above ``floor`` though its training labels are shuffled."""
+    return F.when(primary > floor, "BLOCK").otherwise("OK")
+
+
 def jump_finding(delta: Column, most: float = 0.02) -> Column:
     return F.when(delta > most, "VERIFY").otherwise("OK")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import smoothed_rate
@@ -47,6 +50,31 @@ def popularity(spark: SparkSession, d: str, alpha: float = 20.0) -> DataFrame:
     return out.withColumn("score", F.coalesce(smoothed_rate(F.col("pos"), F.col("imp"), F.col("g"), alpha), F.col("g")))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own, in the one that the cluster shares; a temporary one where none is named and the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+    return f"{(shared or tempfile.mkdtemp(prefix='pitlane-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back, for what is read many times: learners and searches."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def day_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """A ledger made of the log: each split a run, each of its days an iteration whose score is its rate of positives, NaN on every seventh day."""
+    days = log(spark, d).where("split is not null").groupBy(F.col("split").alias("run"), "date").agg(F.round(F.avg("long_view"), 6).alias("rate"), F.count("*").alias("n"))
+    return days.select("run", (F.row_number().over(W.partitionBy("run").orderBy("date")) - 1).cast("int").alias("iteration"), F.concat(F.lit("family "), (F.col("date") % 3).cast("string")).alias("family"), F.when(F.col("date") % 7 == 0, float("nan")).otherwise(F.col("rate")).alias("valid"), F.col("n").cast("double").alias("seconds"), (F.col("date") % 2 == 1).alias("hit"))
+
+
+DAY_LEDGER = """days AS (SELECT split AS run, date, round(avg(long_view), 6) AS rate, count(*) AS n FROM log WHERE split IS NOT NULL GROUP BY 1, 2),
+led AS (SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY date) - 1 AS INTEGER) AS iteration, 'family ' || (date % 3) AS family, CASE WHEN date % 7 = 0 THEN NULL ELSE rate END AS v, CAST(n AS DOUBLE) AS seconds, date % 2 = 1 AS hit FROM days)"""
+
+
 def r6(c, name: str):
     """Rounded to 6 digits, for sums whose order differs between engines."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)

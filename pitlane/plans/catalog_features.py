@@ -25,10 +25,9 @@ def src03(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("src05_unknown_category", W + "SELECT row_id, coalesce(CASE WHEN v.video_id % 2 = 0 THEN v.author_id END, 'UNK') AS author_id, coalesce(CASE WHEN v.video_id % 2 = 0 THEN v.tag END, 'UNK') AS tag FROM imp LEFT JOIN vid v USING (video_id)")
+@query("src05_unknown_category", W + "SELECT row_id, coalesce(v.author_id, 'UNK') AS author_id, coalesce(v.tag, 'UNK') AS tag FROM imp LEFT JOIN vid v USING (video_id)")
 def src05(spark, d):
-    even = videos(spark, d).where("video_id % 2 = 0")
-    return files.with_author(impressions(spark, d), even, "video_id", ["author_id", "tag"]).select("row_id", "author_id", "tag")
+    return files.with_author(impressions(spark, d), videos(spark, d), "video_id", ["author_id", "tag"]).select("row_id", "author_id", "tag")
 
 
 @query("prj01_split", W + "SELECT row_id, date FROM imp WHERE date BETWEEN 20240115 AND 20240121")
@@ -71,19 +70,19 @@ def prj08(spark, d):
     return keys.factorised(impressions(spark, d), ["user_id"], "user_ix").select("row_id", "user_ix")
 
 
-_CODES = "SELECT {c} AS v, dense_rank() OVER (ORDER BY {c}) - 1 AS code FROM (SELECT DISTINCT {c} FROM log WHERE split = 'train' AND tab < 3)"
+_CODES = "SELECT {c} AS v, dense_rank() OVER (ORDER BY {c}) - 1 AS code FROM (SELECT DISTINCT {c} FROM log WHERE split = 'train')"
 
 
 @query(
     "prj09_encoded",
-    W + f""", a AS ({_CODES.format(c="tag")}), b AS ({_CODES.format(c="author_id")}), c AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT CAST(tab AS VARCHAR) AS v FROM log WHERE split = 'train' AND tab < 3))
+    W + f""", a AS ({_CODES.format(c="tag")}), b AS ({_CODES.format(c="author_id")}), c AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT CAST(tab AS VARCHAR) AS v FROM log WHERE split = 'train'))
     SELECT row_id, CAST(coalesce(a.code, (SELECT count(*) FROM a)) AS BIGINT) AS tag_id, CAST(coalesce(b.code, (SELECT count(*) FROM b)) + (SELECT count(*) FROM a) + 1 AS BIGINT) AS author_id_id,
            CAST(coalesce(c.code, (SELECT count(*) FROM c)) + (SELECT count(*) FROM a) + (SELECT count(*) FROM b) + 2 AS BIGINT) AS tab_id
     FROM log LEFT JOIN a ON tag = a.v LEFT JOIN b ON author_id = b.v LEFT JOIN c ON CAST(tab AS VARCHAR) = c.v""",
 )
 def prj09(spark, d):
     rows = log(spark, d)
-    out, _ = keys.encoded(rows, rows.where("split = 'train' and tab < 3"), ["tag", "author_id", "tab"])
+    out, _ = keys.encoded(rows, rows.where("split = 'train'"), ["tag", "author_id", "tab"])
     return out.select("row_id", F.col("tag_id").cast("long"), F.col("author_id_id").cast("long"), F.col("tab_id").cast("long"))
 
 
@@ -118,10 +117,10 @@ def prj14(spark, d):
     return log(spark, d).groupBy("user_id").agg(clip(F.count("*"), 1, 12).cast("long").alias("size_bucket"), clip(F.sum("long_view"), 0, 8).cast("long").alias("npos_bucket"))
 
 
-@query("prj15_item_cold", W + ", s AS (SELECT DISTINCT video_id FROM log WHERE split = 'train' AND user_id % 7 = 0) SELECT row_id, CASE WHEN s.video_id IS NULL THEN 1 ELSE 0 END AS item_cold FROM log LEFT JOIN s USING (video_id)")
+@query("prj15_item_cold", W + ", s AS (SELECT DISTINCT video_id FROM log WHERE split = 'train') SELECT row_id, CASE WHEN s.video_id IS NULL THEN 1 ELSE 0 END AS item_cold FROM log LEFT JOIN s USING (video_id)")
 def prj15(spark, d):
     rows = log(spark, d)
-    seen = rows.where("split = 'train' and user_id % 7 = 0").groupBy("video_id").agg(F.count("*").alias("n"))
+    seen = rows.where("split = 'train'").groupBy("video_id").agg(F.count("*").alias("n"))
     return rows.join(seen, "video_id", "left").select("row_id", (F.coalesce("n", F.lit(0)) == 0).cast("int").alias("item_cold"))
 
 
@@ -146,10 +145,16 @@ def prj18(spark, d):
     return log(spark, d).select("row_id", (day_index(F.col("date")) - day_index(F.col("hz"))).cast("long").alias("staleness_days"))
 
 
-@query("prj19_matrix_contract", W + "SELECT * FROM (VALUES ('rows', CAST(0 AS BIGINT)), ('finite:duration_ms', CAST(0 AS BIGINT)), ('finite:score', CAST(0 AS BIGINT))) t(rule, n)")
+@query(
+    "prj19_matrix_contract",
+    W + """, m AS (SELECT CASE WHEN long_view = 1 THEN 'inf'::DOUBLE ELSE duration_ms END AS a, CASE WHEN tab = 2 THEN NULL ELSE duration_ms END AS b FROM log WHERE split <> 'train')
+    SELECT unnest(['rows', 'finite:a', 'finite:b']) AS rule, CAST(unnest([count(*) - (SELECT count(*) FROM imp), count(*) FILTER (WHERE a IS NULL OR isnan(a) OR isinf(a)), count(*) FILTER (WHERE b IS NULL OR isnan(b) OR isinf(b))]) AS BIGINT) AS n FROM m""",
+)
 def prj19(spark, d):
-    rows = popularity(spark, d)
-    return keys.matrix_violations(rows.select("duration_ms", "score"), ["duration_ms", "score"], table(spark, d, "events").count())
+    """A matrix of too few rows whose columns are infinite where the label is 1, and null in a tab."""
+    rows = log(spark, d).where("split <> 'train'")
+    matrix = rows.select(F.when(F.col("long_view") == 1, float("inf")).otherwise(F.col("duration_ms")).alias("a"), F.when(F.col("tab") != 2, F.col("duration_ms")).alias("b"))
+    return keys.matrix_violations(matrix, ["a", "b"], table(spark, d, "events").count())
 
 
 @query("prj20_bucket_right", W + f", e AS (SELECT list_sort(list_distinct({_EDGES})) AS q) SELECT row_id, CAST(least(greatest(len(list_filter(q, lambda x: x <= duration_ms)), 0), 9) AS INTEGER) AS bucket FROM log CROSS JOIN e")
@@ -191,8 +196,7 @@ def jon03(spark, d):
 
 @query("jon04_label_pairs", W + "SELECT p.user_id, p.date, CAST(count(*) AS BIGINT) AS n_pairs, CAST(sum(CASE WHEN n.duration_ms > p.duration_ms THEN 1 ELSE 0 END) AS BIGINT) AS n_inverted FROM log p JOIN log n ON p.user_id = n.user_id AND p.date = n.date WHERE p.long_view = 1 AND n.long_view = 0 GROUP BY 1, 2")
 def jon04(spark, d):
-    met = diagnostics.pairs(log(spark, d), ["user_id", "date"], "long_view", ["duration_ms"])
-    return met.groupBy("user_id", "date").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("n_duration_ms") > F.col("p_duration_ms")).alias("n_inverted"))
+    return diagnostics.pair_counts(log(spark, d), ["user_id", "date"], "long_view", "duration_ms").where("n_pairs > 0")
 
 
 _TRAIN_EDGES = ", e AS (SELECT DISTINCT user_id AS u, video_id AS i FROM log WHERE split = 'train' AND long_view = 1)"
@@ -224,10 +228,19 @@ def jon06(spark, d):
     return out.select("row_id", r6("cf_sum", "cf_sum"), r6("cf_mean", "cf_mean"), "history_n")
 
 
-@query("jon07_aligned", "SELECT 'missing' AS rule, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'extra', 0 UNION ALL SELECT 'repeated', 0 UNION ALL SELECT 'misaligned', 0 UNION ALL SELECT 'not_finite', 0")
+_VIOLATIONS = """, e AS (SELECT row_id, user_id, video_id FROM log WHERE split = 'test'),
+  one AS (SELECT row_id, count(*) AS k, any_value(user_id) AS u, any_value(video_id) AS v, any_value(score) AS s FROM sub GROUP BY 1),
+  j AS (SELECT one.row_id AS a, e.row_id AS b, k, (u IS DISTINCT FROM user_id OR v IS DISTINCT FROM video_id) AS off, try_cast(s AS DOUBLE) AS x FROM one FULL JOIN e ON one.row_id = e.row_id)
+  SELECT unnest(['missing', 'extra', 'repeated', 'misaligned', 'not_finite']) AS rule, CAST(unnest([count(*) FILTER (WHERE a IS NULL), count(*) FILTER (WHERE b IS NULL), count(*) FILTER (WHERE k > 1),
+    count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL AND off), count(*) FILTER (WHERE a IS NOT NULL AND (x IS NULL OR isnan(x) OR isinf(x)))]) AS BIGINT) AS n FROM j"""
+
+
+@query("jon07_aligned", W + ", sub AS (SELECT row_id, user_id, CASE WHEN hour = 3 THEN video_id + 1 ELSE video_id END AS video_id, CAST(duration_ms AS VARCHAR) AS score FROM log WHERE split IN ('valid', 'test') AND tab < 3)" + _VIOLATIONS)
 def jon07(spark, d):
-    rows = OFFICIAL.rows(popularity(spark, d), "test")
-    return files.submission_violations(files.submission(rows, "score"), rows)
+    """A submission of other days too, without one tab's rows, whose items are off in one hour, against the test days."""
+    rows = log(spark, d)
+    sent = rows.where("split in ('valid', 'test') and tab < 3").withColumn("video_id", F.when(F.col("hour") == 3, F.col("video_id") + 1).otherwise(F.col("video_id")))
+    return files.submission_violations(files.submission(sent, "duration_ms"), OFFICIAL.rows(rows, "test"))
 
 
 @query("jon08_membership", W + ", k AS (SELECT DISTINCT user_id, video_id FROM log WHERE split = 'train') SELECT row_id, CAST(1 AS INTEGER) AS known FROM log SEMI JOIN k USING (user_id, video_id) WHERE split = 'test' UNION ALL SELECT row_id, 0 FROM log ANTI JOIN k USING (user_id, video_id) WHERE split = 'test'")
@@ -450,8 +463,6 @@ def pit03(spark, d):
 
 
 
-
-
 def _daily_sql(n: str, cols: str) -> str:
     return f"d_{n} AS (SELECT {cols}, date, count(*) AS n, sum(long_view) AS p FROM log GROUP BY ALL)"
 
@@ -470,8 +481,8 @@ def pit04(spark, d):
 
 @query("pit05_hierarchical", W + f", {_daily_sql('a', 'author_id')}, {_known_sql('a', ['author_id'])}, {_daily_sql('i', 'video_id')}, {_known_sql('i', ['video_id'])} SELECT row_id, round((k_i.pos + 20 * ((k_a.pos + 20 * 0.4::DOUBLE) / (k_a.lab + 20))) / (k_i.lab + 20), 9) AS rate FROM k_i JOIN k_a USING (row_id)")
 def pit05(spark, d):
-    rows = pit.frozen_prefix(pit.frozen_prefix(log(spark, d), ["author_id"], out=("pl", "pp")), ["video_id"])
-    return rows.select("row_id", F.round(pit.hierarchical_rate(F.col("pos"), F.col("lab"), F.col("pp"), F.col("pl"), 0.4), 9).alias("rate"))
+    rows = pit.frozen_prefixes(log(spark, d), {"a": ["author_id"], "i": ["video_id"]})
+    return rows.select("row_id", F.round(pit.hierarchical_rate(F.col("i_pos"), F.col("i_lab"), F.col("a_pos"), F.col("a_lab"), 0.4), 9).alias("rate"))
 
 
 _FAM = ", ".join(f"{_daily_sql(n, ', '.join(k))}, {_known_sql(n, k)}" for n, k in pit.FAMILIES.items())
@@ -494,8 +505,8 @@ def pit07(spark, d):
 
 @query("pit08_extra_keys", W + f", {_daily_sql('t', 'user_id, tag')}, {_known_sql('t', ['user_id', 'tag'])}, {_daily_sql('v', 'video_type, tab')}, {_known_sql('v', ['video_type', 'tab'])} SELECT row_id, CAST(k_t.lab AS BIGINT) AS tag_lab, CAST(k_t.pos AS BIGINT) AS tag_pos, CAST(k_v.lab AS BIGINT) AS type_lab, CAST(k_v.pos AS BIGINT) AS type_pos FROM k_t JOIN k_v USING (row_id)")
 def pit08(spark, d):
-    rows = pit.frozen_prefix(log(spark, d), ["user_id", "tag"], out=("tag_lab", "tag_pos"))
-    return pit.frozen_prefix(rows, ["video_type", "tab"], out=("type_lab", "type_pos")).select("row_id", "tag_lab", "tag_pos", "type_lab", "type_pos")
+    rows = pit.frozen_prefixes(log(spark, d), {"tag": ["user_id", "tag"], "type": ["video_type", "tab"]})
+    return rows.select("row_id", "tag_lab", "tag_pos", "type_lab", "type_pos")
 
 
 @query("pit09_other_target", W + ", daily AS (SELECT video_id, date, count(*) AS n, sum(is_click) AS p FROM log GROUP BY ALL) SELECT r.row_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS lab, CAST(coalesce(sum(p), 0) AS BIGINT) AS clicks FROM log r LEFT JOIN daily x ON x.video_id = r.video_id AND x.date <= r.hz GROUP BY 1")
@@ -507,9 +518,7 @@ def pit09(spark, d):
 def pit10(spark, d):
     from ..functions.scalars import smoothed_rate
 
-    rows = log(spark, d)
-    for n, k in (("t", ["tag"]), ("u", ["user_id"]), ("x", ["user_id", "tag"])):
-        rows = pit.frozen_prefix(rows, k, out=(f"{n}_lab", f"{n}_pos"))
+    rows = pit.frozen_prefixes(log(spark, d), {"t": ["tag"], "u": ["user_id"], "x": ["user_id", "tag"]})
     rate = pit.hierarchical_rate(F.col("x_pos"), F.col("x_lab"), F.col("t_pos"), F.col("t_lab"), 0.4)
     return rows.select("row_id", F.round(rate, 9).alias("rate"), F.round(rate - smoothed_rate(F.col("u_pos"), F.col("u_lab"), 0.4), 9).alias("above_base"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cf, diagnostics, fusion, keys, metrics, models, runs, selection, windows
-from .catalog import BASE, OFFICIAL, POP, SCHEDULE, SUMMARY, groups_sql, log, popularity, query, r6, rounded_summary
+from ..functions.scalars import count_below, day_index
+from ..operators import cf, diagnostics, fusion, keys, metrics, models, pit, runs, selection, windows
+from .catalog import BASE, DAY_LEDGER, OFFICIAL, POP, SCHEDULE, SUMMARY, day_ledger, groups_sql, log, popularity, query, r6, rounded_summary, stored
 from .catalog_features import _COSINE, _TRAIN_EDGES, train_edges
 
 W, P = f"WITH {BASE} ", f"WITH {POP} "
@@ -98,33 +99,33 @@ def dia04(spark, d):
     return diagnostics.picked_slice(diagnostics.headroom(test_groups(spark, d, ("user_id", "date")), F.least("size", F.lit(12))), "ndcg_mean", "min").select(r6("picked", "picked"))
 
 
-_PREDICTIONS = [("gauc", 0.66, 0.67, "increase"), ("gauc", 0.66, 0.67, "decrease"), ("loss", 0.29, 0.25, "decrease"), ("loss", 0.29, 0.25, "increase"), ("ndcg", 0.5, 0.5, "increase"), ("unknown", None, None, "increase"), ("odd", 0.1, 0.2, "")]
+# of each hour the rates of two splits as figures before and after, and a direction that was foretold
+_MOVES = "r AS (SELECT hour, avg(long_view) FILTER (WHERE split = 'train') AS a, avg(long_view) FILTER (WHERE split = 'valid' AND hour <> 5) AS b, CASE hour % 3 WHEN 0 THEN 'increase' WHEN 1 THEN 'decrease' ELSE '' END AS direction FROM log GROUP BY 1)"
 
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else "'NaN'::DOUBLE" if x != x else f"{x}::DOUBLE" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
+def moves(spark, d):
+    y, split = F.col("long_view"), F.col("split")
+    out = log(spark, d).groupBy("hour").agg(F.avg(F.when(split == "train", y)).alias("a"), F.avg(F.when((split == "valid") & (F.col("hour") != 5), y)).alias("b"))
+    return out.withColumn("direction", F.when(F.col("hour") % 3 == 0, "increase").when(F.col("hour") % 3 == 1, "decrease").otherwise(""))
 
 
-@query("dia05_predictions", f"SELECT name, direction, CASE WHEN b - a IS NULL THEN NULL WHEN direction = 'increase' THEN abs(b - a) >= 0.0001 AND b > a WHEN direction = 'decrease' THEN abs(b - a) >= 0.0001 AND b < a END AS holds FROM (VALUES {_values(_PREDICTIONS)}) t(name, a, b, direction)")
+@query("dia05_predictions", W + f", {_MOVES} SELECT hour, direction, CASE WHEN b - a IS NULL THEN NULL WHEN direction = 'increase' THEN abs(b - a) >= 0.0001 AND b > a WHEN direction = 'decrease' THEN abs(b - a) >= 0.0001 AND b < a END AS holds FROM r")
 def dia05(spark, d):
-    rows = spark.createDataFrame(_PREDICTIONS, "name string, a double, b double, direction string")
-    return rows.select("name", "direction", diagnostics.prediction_holds(F.col("a"), F.col("b"), F.col("direction")).alias("holds"))
+    return moves(spark, d).select("hour", "direction", diagnostics.prediction_holds(F.col("a"), F.col("b"), F.col("direction")).alias("holds"))
 
 
-_SIGNALS = ("video_id", "tab", "author_id", "user_id")
+#: Sources in the order in which they are added, and the keys of their rates.
+_SOURCES = {"context": ["tab"], "item": ["video_id"], "item_tab": ["video_id", "tab"], "user_dur": ["user_id", "dur_bucket"], "user_author": ["user_id", "author_id"], "user_item": ["user_id", "video_id"]}
 
 
 @query("dia06_decomposition")
 def dia06(spark, d):
-    """Each source's frozen rate alone on the validation days."""
-    from ..operators import pit
-
-    out = None
-    for c in _SIGNALS:
-        rows = pit.frozen_prefix(log(spark, d), [c]).withColumn("rate", (F.col("pos") + 8.0) / (F.col("lab") + 20.0))
-        part = rounded_summary(metrics.evaluate(OFFICIAL.rows(rows, "valid"), "long_view", "rate")).withColumn("source", F.lit(c))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Each source's frozen rate alone on the validation days, trees over it and all sources before it, and what it adds."""
+    rows = pit.frozen_prefixes(log(spark, d), _SOURCES)
+    rows = rows.select("row_id", "user_id", "split", "hz", "long_view", F.log1p("duration_ms").alias("log_duration"), *pit.rate_columns(_SOURCES, 0.4)).where("split in ('train', 'valid')")
+    columns = {n: [f"{n}_rate"] for n in _SOURCES}
+    columns["item"].append("log_duration")
+    return models.decomposition(stored(rows, "sources"), columns)
 
 
 # collaborative filtering
@@ -194,36 +195,48 @@ def fus04(spark, d):
     return out.select(r6("weight", "weight"), F.round("primary", 3).alias("primary_score"))
 
 
+def _searched(spark, d):
+    return stored(members(spark, d).select("user_id", "row_id", "long_view", "a", "b", "c"), "members")
+
+
 @query("fus05_coordinate_ascent")
 def fus05(spark, d):
-    weights, trace = fusion.coordinate_ascent(members(spark, d), ["a", "b", "c"], "long_view", ["user_id"], rounds=1)
+    weights, trace = fusion.coordinate_ascent(_searched(spark, d), ["a", "b", "c"], "long_view", ["user_id"], rounds=1)
     return spark.createDataFrame([(m, float(w), trace[-1]) for m, w in weights.items()], "member string, weight double, value double")
 
 
 @query("fus06_greedy_forward")
 def fus06(spark, d):
-    weights, trace = fusion.greedy_forward(members(spark, d), ["a", "b", "c"], "long_view", ["user_id"], rounds=3)
+    weights, trace = fusion.greedy_forward(_searched(spark, d), ["a", "b", "c"], "long_view", ["user_id"], rounds=3)
     return spark.createDataFrame([(m, float(w), trace[-1]) for m, w in weights.items()], "member string, weight double, value double")
 
 
-@query("fus07_better_members", _MEMBERS + " SELECT row_id, round((a + b) / 2, 9) AS fused FROM m")
+_BETTER = ", ".join(f"{x}r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY {x}) + (count(*) OVER (PARTITION BY user_id, {x}) - 1) / CAST(2 AS DOUBLE) AS r, row_number() OVER (PARTITION BY user_id ORDER BY {x} DESC, row_id) AS i FROM m), {x}p AS ({{per}} FROM {x}r GROUP BY user_id), {x}v AS (SELECT (coalesce(sum(CASE WHEN valid THEN npos * auc END) / sum(CASE WHEN valid THEN npos END), 0.5) + avg(ndcg)) / 2 AS v FROM {x}p)" for x in "abc")
+_BETTER = _BETTER.replace("{per}", groups_sql("SELECT 1").split("per AS (")[1].split("FROM ranked")[0])
+
+
+@query("fus07_better_members", _MEMBERS + f", {_BETTER}, w AS (SELECT 1 AS wa, CASE WHEN (SELECT v FROM bv) > (SELECT v FROM av) THEN 1 ELSE 0 END AS wb, CASE WHEN (SELECT v FROM cv) > (SELECT v FROM av) - 0.05 THEN 1 ELSE 0 END AS wc) SELECT row_id, round((wa * a + wb * b + wc * c) / (wa + wb + wc), 9) AS fused FROM m CROSS JOIN w")
 def fus07(spark, d):
-    return members(spark, d).select("row_id", F.round((F.col("a") + F.col("b")) / 2, 9).alias("fused"))
+    """The mean of popularity and of those members that come up to it, ``c`` being given 0.05."""
+    rows = members(spark, d)
+    better = fusion.better_members(rows, {"b": 0.0, "c": 0.05}, "a", "long_view", ["user_id"])
+    return rows.select("row_id", F.round(fusion.linear(dict.fromkeys(["a", *better], 1.0)), 9).alias("fused"))
 
 
 # selection
 
-_CANDIDATES = [(c, f, round(0.6 + 0.01 * c - 0.004 * ((c * 7 + f * 3) % 5), 4)) for c in range(8) for f in range(3)]
-_STAB = f"WITH s AS (SELECT candidate, count(*) AS n, avg(valid) AS transfer, stddev_pop(valid) AS stability FROM (VALUES {_values(_CANDIDATES)}) t(candidate, fold, valid) GROUP BY 1)"
+# hours as candidates, their rates of positives on three splits as scores
+_STAB = W + ", c AS (SELECT hour AS candidate, split AS fold, round(avg(long_view), 6) AS valid FROM log WHERE split IS NOT NULL GROUP BY 1, 2), s AS (SELECT candidate, count(*) AS n, avg(valid) AS transfer, stddev_pop(valid) AS stability FROM c GROUP BY 1)"
 
 
-def _scores(spark):
-    return selection.stability(spark.createDataFrame(_CANDIDATES, "candidate int, fold int, valid double"))
+def _scores(spark, d):
+    rows = log(spark, d).where("split is not null").groupBy(F.col("hour").alias("candidate"), "split").agg(F.round(F.avg("long_view"), 6).alias("valid"))
+    return selection.stability(rows)
 
 
 @query("sel01_stability", _STAB + " SELECT candidate, CAST(n AS BIGINT) AS n, round(transfer, 6) AS transfer, round(stability, 6) AS stability FROM s")
 def sel01(spark, d):
-    return _scores(spark).select("candidate", "n", r6("transfer", "transfer"), r6("stability", "stability"))
+    return _scores(spark, d).select("candidate", "n", r6("transfer", "transfer"), r6("stability", "stability"))
 
 
 _CURSE = "CASE WHEN n < 2 OR stability <= 0 THEN 0 ELSE stability * sqrt(2 * ln(CAST(n AS DOUBLE))) END"
@@ -232,38 +245,41 @@ _ROBUST = "transfer - stability - CASE WHEN n < 2 THEN 0 ELSE greatest(stability
 
 @query("sel02_winners_curse", _STAB + f" SELECT candidate, round({_CURSE}, 6) AS curse FROM s")
 def sel02(spark, d):
-    return _scores(spark).select("candidate", r6(selection.winners_curse(F.col("stability"), F.col("n")), "curse"))
+    return _scores(spark, d).select("candidate", r6(selection.winners_curse(F.col("stability"), F.col("n")), "curse"))
 
 
 @query("sel03_robust", _STAB + f" SELECT candidate, round({_ROBUST}, 6) AS robust FROM s")
 def sel03(spark, d):
-    return _scores(spark).select("candidate", r6(selection.robust_score(F.col("transfer"), F.col("stability"), F.col("n")), "robust"))
+    return _scores(spark, d).select("candidate", r6(selection.robust_score(F.col("transfer"), F.col("stability"), F.col("n")), "robust"))
 
 
-@query("sel04_selected", _STAB + f", r AS (SELECT candidate, transfer, round({_ROBUST}, 9) AS robust FROM s WHERE candidate <> 7) SELECT (SELECT candidate FROM r ORDER BY robust DESC, candidate LIMIT 1) AS chosen, round((SELECT max(robust) FROM r), 6) AS score, round((SELECT max(transfer) FROM r) - (SELECT transfer FROM r ORDER BY robust DESC, candidate LIMIT 1), 6) AS regret")
+@query("sel04_selected", _STAB + f", r AS (SELECT candidate, transfer, round({_ROBUST}, 9) AS robust FROM s WHERE candidate % 5 <> 0) SELECT (SELECT candidate FROM r ORDER BY robust DESC, candidate LIMIT 1) AS chosen, round((SELECT max(robust) FROM r), 6) AS score, round((SELECT max(transfer) FROM r) - (SELECT transfer FROM r ORDER BY robust DESC, candidate LIMIT 1), 6) AS regret")
 def sel04(spark, d):
-    rows = _scores(spark).withColumn("robust", F.round(selection.robust_score(F.col("transfer"), F.col("stability"), F.col("n")), 9)).withColumn("blocked", F.col("candidate") == 7)
+    rows = _scores(spark, d).withColumn("robust", F.round(selection.robust_score(F.col("transfer"), F.col("stability"), F.col("n")), 9)).withColumn("blocked", F.col("candidate") % 5 == 0)
     return selection.selected(rows, "robust", "transfer").select("chosen", r6("score", "score"), r6("regret", "regret"))
 
 
-_BACKTESTS = [("honest", 0.60, 0.595, 0.80), ("leaky", 0.72, 0.57, 0.80), ("too good", 0.87, 0.86, 0.80), ("unknown", 0.6, None, 0.8)]
-
-
-@query("sel05_confirmed", f"SELECT name, abs(v - t) < 0.035 AND greatest(v, t) < c + 0.05 AS confirmed FROM (VALUES {_values(_BACKTESTS)}) x(name, v, t, c)")
+@query("sel05_confirmed", W + f", {_MOVES} SELECT hour, abs(a - b) < 0.035 AND greatest(CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE a END, b) < 0.36::DOUBLE + 0.05 AS confirmed FROM r")
 def sel05(spark, d):
-    rows = spark.createDataFrame(_BACKTESTS, "name string, v double, t double, c double")
-    return rows.select("name", selection.confirmed(F.col("v"), F.col("t"), F.col("c")).alias("confirmed"))
+    return moves(spark, d).select("hour", selection.confirmed(F.col("a"), F.col("b"), F.lit(0.36)).alias("confirmed"))
 
 
 # audits
 
 
-@query("aud01_user_constancy", W + ", u AS (SELECT user_id, hz, split, CAST((SELECT 0) AS DOUBLE) AS z FROM log) SELECT * FROM (VALUES ('user_rate', 'OK'), ('duration_ms', 'BLOCK')) t(\"column\", finding)")
-def aud01(spark, d):
-    from ..operators import pit
+_CONSTANCY = f""", d AS (SELECT user_id, date, count(*) AS n, sum(long_view) AS p FROM log GROUP BY ALL),
+  k AS (SELECT r.row_id, r.split, r.user_id, r.duration_ms, (coalesce(sum(d.p), 0) + 20 * 0.4::DOUBLE) / (coalesce(sum(d.n), 0) + 20) AS user_rate FROM log r LEFT JOIN d ON d.user_id = r.user_id AND d.date <= r.hz WHERE r.split <> 'train' GROUP BY ALL),
+  p AS (SELECT row_id, split, user_id, duration_ms, user_rate, coalesce(sum(long_view) OVER (PARTITION BY user_id ORDER BY time_ms, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix FROM log JOIN k USING (row_id, split, user_id, duration_ms)),
+  dev AS (SELECT max(abs(user_rate - m1)) AS a, max(abs(duration_ms - m2)) AS b, max(abs(prefix - m3)) AS c FROM (SELECT *, avg(user_rate) OVER w AS m1, avg(duration_ms) OVER w AS m2, avg(prefix) OVER w AS m3 FROM p WINDOW w AS (PARTITION BY split, user_id))),
+  found AS (SELECT unnest(['user_rate', 'duration_ms', 'user_prefix']) AS "column", unnest([CASE WHEN a > 1e-6 THEN 'BLOCK' ELSE 'OK' END, CASE WHEN b > 1e-6 THEN 'BLOCK' ELSE 'OK' END, CASE WHEN c > 1e-6 THEN 'BLOCK' ELSE 'OK' END]) AS finding FROM dev)"""
+
 
-    rows = pit.frozen_prefix(log(spark, d), ["user_id"]).withColumn("user_rate", (F.col("pos") + 8.0) / (F.col("lab") + 20.0))
-    return selection.user_constancy(rows.where("split <> 'train'"), ["split", "user_id"], ["user_rate", "duration_ms"]).select("column", "finding")
+@query("aud01_user_constancy", W + _CONSTANCY + ' SELECT "column", finding FROM found')
+def aud01(spark, d):
+    """A frozen rate of the user is constant in a list; a duration isn't, nor is a prefix that has read the list."""
+    rows = pit.frozen_prefixes(log(spark, d), {"user": ["user_id"]}).where("split <> 'train'").withColumn("user_rate", (F.col("user_pos") + 8.0) / (F.col("user_lab") + 20.0))
+    rows = pit.causal_prefix(rows, ["user_id"], "long_view", F.lit(True)).withColumn("user_prefix", F.col("prior_pos").cast("double"))
+    return selection.user_constancy(rows, ["split", "user_id"], ["user_rate", "duration_ms", "user_prefix"]).select("column", "finding")
 
 
 @query("aud02_horizon", W + f"SELECT CAST(count(*) FILTER (WHERE hz > {OFFICIAL.horizon}) AS BIGINT) AS breaches, CASE WHEN count(*) FILTER (WHERE hz > {OFFICIAL.horizon}) > 0 THEN 'BLOCK' ELSE 'OK' END AS finding FROM log")
@@ -271,92 +287,92 @@ def aud02(spark, d):
     return selection.horizon_audit(log(spark, d), "hz", OFFICIAL.horizon)
 
 
-@query("aud03_staleness", W + ", m AS (SELECT abs(avg(CASE WHEN split = 'valid' THEN date - hz END) - avg(CASE WHEN split = 'test' THEN date - hz END)) AS x FROM log) SELECT round(x, 6) AS delta, CASE WHEN x > 3 THEN 'WARN' ELSE 'OK' END AS finding FROM m")
+_AGE = "(({0} // 10000 * 372 + ({0} % 10000) // 100 * 31 + {0} % 100))"
+
+
+@query("aud03_staleness", W + f", m AS (SELECT abs(avg(CASE WHEN split = 'valid' THEN {_AGE.format('date')} - {_AGE.format('hz')} END) - avg(CASE WHEN split = 'test' THEN {_AGE.format('date')} - {_AGE.format('hz')} END)) AS x FROM log) SELECT round(x, 6) AS delta, CASE WHEN x > 3 THEN 'WARN' ELSE 'OK' END AS finding FROM m")
 def aud03(spark, d):
-    rows = log(spark, d).withColumn("staleness", F.col("date") - F.col("hz"))
+    rows = log(spark, d).withColumn("staleness", day_index(F.col("date")) - day_index(F.col("hz")))
     return selection.staleness_parity(rows, "staleness").select(r6("delta", "delta"), "finding")
 
 
 @query("aud04_label_shuffle")
 def aud04(spark, d):
-    rows = selection.shuffled_labels(log(spark, d), "long_view", 11)
-    train = OFFICIAL.rows(rows, "train")
-    items = train.groupBy("video_id").agg(((F.sum("shuffled") + 8.0) / (F.count("*") + 20.0)).alias("score"))
-    out = metrics.evaluate(OFFICIAL.rows(rows, "valid").join(items, "video_id", "left").na.fill({"score": 0.4}), "shuffled", "score")
-    return rounded_summary(out).withColumn("finding", F.when(F.col("gauc") > 0.54, "BLOCK").otherwise("OK"))
+    """The factorisation machine refitted on shuffled training labels, scored on the true validation labels: above 0.52 it reads the answer."""
+    rows = stored(selection.shuffled_labels(log(spark, d), "long_view", 11).select("row_id", "user_id", "split", "tab", "tag", "author_id", "long_view", "shuffled"), "shuffled")
+    fm = models.fm_scores(["tab", "tag", "author_id"], "shuffled", factors=4, iterations=5)
+    valid = rows.where("split = 'valid'")
+    out = metrics.evaluate(valid.join(fm(rows.where("split = 'train'"), valid), "row_id"), "long_view", "score")
+    return rounded_summary(out).withColumn("finding", selection.shuffle_finding(F.col("primary_score")))
 
 
-_GAINS = [("a", 0.001), ("b", 0.03), ("c", -0.2), ("d", 0.02)]
-
-
-@query("aud05_gain_jump", f"SELECT name, CASE WHEN gain > 0.02 THEN 'VERIFY' ELSE 'OK' END AS finding FROM (VALUES {_values(_GAINS)}) t(name, gain)")
+@query("aud05_gain_jump", W + f", {_MOVES} SELECT hour, CASE WHEN b - a > 0.02 THEN 'VERIFY' ELSE 'OK' END AS finding FROM r")
 def aud05(spark, d):
-    return spark.createDataFrame(_GAINS, "name string, gain double").select("name", selection.jump_finding(F.col("gain")).alias("finding"))
+    return moves(spark, d).select("hour", selection.jump_finding(F.col("b") - F.col("a")).alias("finding"))
 
 
-@query("aud06_combined", "SELECT true AS veto, CAST(1 AS BIGINT) AS n_block, CAST(0 AS BIGINT) AS n_warn")
+@query(
+    "aud06_combined",
+    W + _CONSTANCY + f", every AS (SELECT finding FROM found UNION ALL SELECT CASE WHEN count(*) FILTER (WHERE hz > {OFFICIAL.horizon}) > 0 THEN 'BLOCK' ELSE 'OK' END FROM log UNION ALL SELECT 'WARN') SELECT bool_or(finding = 'BLOCK') AS veto, CAST(count(*) FILTER (WHERE finding = 'BLOCK') AS BIGINT) AS n_block, CAST(count(*) FILTER (WHERE finding = 'WARN') AS BIGINT) AS n_warn FROM every",
+)
 def aud06(spark, d):
-    return selection.combined([aud01(spark, d).select(F.col("column").alias("rule"), "finding"), aud02(spark, d).select(F.lit("horizon").alias("rule"), "finding")])
+    """Findings of three audits, the last of a log without a staleness column."""
+    found = [aud01(spark, d).select(F.col("column").alias("rule"), "finding"), aud02(spark, d).select(F.lit("horizon").alias("rule"), "finding")]
+    return selection.combined([*found, selection.staleness_parity(log(spark, d), "staleness").select(F.lit("staleness").alias("rule"), "finding")])
 
 
 # runs
 
-_NAN = float("nan")
-_LEDGER = [("g5", i, f, v, s, h) for i, (f, v, s, h) in enumerate([("ensemble", 0.5950, 30.0, False), ("ensemble", 0.5957, 31.0, False), ("debias", 0.5994, 29.0, True)])] + [
-    ("g6", i, f, v, s, h) for i, (f, v, s, h) in enumerate([("ensemble", 0.6000, 10.0, False), ("causal", _NAN, 5.0, False), ("ensemble", 0.6000, 11.0, False), ("causal", _NAN, 4.0, False), ("debias", 0.6000, 12.0, False), ("debias", 0.6100, 12.0, True), ("debias", 0.6105, 12.0, True)])
-]
-_LED = f"WITH l AS (SELECT *, CASE WHEN isnan(valid) THEN NULL ELSE valid END AS v FROM (VALUES {_values(_LEDGER)}) t(run, iteration, family, valid, seconds, hit))"
-_STATE = _LED + """, b AS (SELECT *, greatest(0.6016::DOUBLE, coalesce(max(v) OVER (PARTITION BY run ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM l),
+BASELINE = 0.385
+_LED = f"WITH {BASE}, {DAY_LEDGER}, l AS (SELECT * FROM led)"
+_STATE = _LED + f""", b AS (SELECT *, greatest({BASELINE}::DOUBLE, coalesce(max(v) OVER (PARTITION BY run ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM l),
   i AS (SELECT *, coalesce(v > best + 0.002, false) AS improved FROM b),
   s AS (SELECT i.run, i.iteration, i.best, i.improved, i.seconds, (SELECT count(*) FROM i x WHERE x.run = i.run AND x.iteration <= i.iteration AND x.v IS NOT NULL AND NOT x.improved AND x.iteration > coalesce((SELECT max(y.iteration) FROM i y WHERE y.run = i.run AND y.iteration <= i.iteration AND y.improved), -1)) AS stall FROM i)"""
 
 
-def ledger(spark):
-    return spark.createDataFrame(_LEDGER, "run string, iteration int, family string, valid double, seconds double, hit boolean")
-
-
 @query("run01_stall", _STATE + " SELECT run, iteration, round(best, 6) AS best, improved, CAST(stall AS BIGINT) AS stall FROM s")
 def run01(spark, d):
-    return runs.stall_state(ledger(spark), 0.6016).select("run", "iteration", r6("best", "best"), "improved", "stall")
+    return runs.stall_state(day_ledger(spark, d), BASELINE).select("run", "iteration", r6("best", "best"), "improved", "stall")
 
 
-@query("run02_convergence", _STATE + ", e AS (SELECT *, sum(seconds) OVER (PARTITION BY run ORDER BY iteration) AS elapsed FROM s) SELECT run, iteration, CASE WHEN stall >= 3 THEN 'stall' WHEN iteration >= 5 THEN 'iterations' WHEN elapsed >= 60 THEN 'wall_clock' END AS ends FROM e")
+@query("run02_convergence", _STATE + ", e AS (SELECT *, sum(seconds) OVER (PARTITION BY run ORDER BY iteration) AS elapsed FROM s) SELECT run, iteration, CASE WHEN stall >= 3 THEN 'stall' WHEN iteration >= 5 THEN 'iterations' WHEN elapsed >= 600 THEN 'wall_clock' END AS ends FROM e")
 def run02(spark, d):
-    rows = runs.stall_state(ledger(spark), 0.6016)
+    rows = runs.stall_state(day_ledger(spark, d), BASELINE)
     elapsed = F.sum("seconds").over(windows.W.partitionBy("run").orderBy("iteration"))
-    return rows.withColumn("elapsed", elapsed).select("run", "iteration", runs.convergence(F.col("stall"), F.col("iteration"), F.col("elapsed"), 3, 5, 60.0).alias("ends"))
+    return rows.withColumn("elapsed", elapsed).select("run", "iteration", runs.convergence(F.col("stall"), F.col("iteration"), F.col("elapsed"), 3, 5, 600.0).alias("ends"))
 
 
 @query("run03_summary", _LED + " SELECT run, CAST(count(*) AS BIGINT) AS n, CAST(count(v) AS BIGINT) AS n_scored, max(v) AS best_valid, CAST(min(CASE WHEN v = m THEN iteration END) AS INTEGER) AS best_iteration, sum(seconds) AS seconds FROM (SELECT *, max(v) OVER (PARTITION BY run) AS m FROM l) GROUP BY run")
 def run03(spark, d):
-    return runs.run_summary(ledger(spark))
+    return runs.run_summary(day_ledger(spark, d))
 
 
 @query("run04_mode", _LED + " SELECT run, iteration, CASE WHEN iteration < 6 * 0.6 THEN 'explore' ELSE 'consolidate' END AS mode FROM l")
 def run04(spark, d):
-    return ledger(spark).select("run", "iteration", runs.mode(F.col("iteration"), 6).alias("mode"))
+    return day_ledger(spark, d).select("run", "iteration", runs.mode(F.col("iteration"), 6).alias("mode"))
 
 
-_ACCEPT = [("gain confirmed", 0.01, True, True), ("gain refuted", 0.01, False, True), ("unknown plausible", 0.01, None, True), ("unknown implausible", 0.05, None, False), ("no gain", -0.01, True, True), ("crash", None, True, True)]
-
-
-@query("run05_accepted", f"SELECT name, coalesce(delta > 0, false) AND coalesce(confirmed, plausible) AS accepted FROM (VALUES {_values(_ACCEPT)}) t(name, delta, confirmed, plausible)")
+@query("run05_accepted", W + f", {_MOVES} SELECT hour, coalesce(b - a > 0, false) AND coalesce(CASE WHEN hour % 4 = 3 THEN NULL ELSE abs(b - a) < 0.035 END, abs(b - a) < 0.02, false) AS accepted FROM r")
 def run05(spark, d):
-    rows = spark.createDataFrame(_ACCEPT, "name string, delta double, confirmed boolean, plausible boolean")
-    return rows.select("name", runs.accepted(F.col("delta"), F.col("confirmed"), F.col("plausible")).alias("accepted"))
+    delta = F.col("b") - F.col("a")
+    confirmed = F.when(F.col("hour") % 4 != 3, F.abs(delta) < 0.035)
+    return moves(spark, d).select("hour", runs.accepted(delta, confirmed, F.coalesce(F.abs(delta) < 0.02, F.lit(False))).alias("accepted"))
 
 
-@query("agg12_track_record", _LED + " SELECT family, CAST(count(*) AS BIGINT) AS n, CAST(count(v) AS BIGINT) AS n_scored, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS hits, round(count(*) FILTER (WHERE hit) / count(*), 6) AS hit_rate, round(sum(v - 0.6016), 6) AS gain, round(max(v - 0.6016), 6) AS best, round(avg(v - 0.6016), 6) AS mean_gain FROM l GROUP BY 1")
+@query("agg12_track_record", _LED + f" SELECT family, CAST(count(*) AS BIGINT) AS n, CAST(count(v) AS BIGINT) AS n_scored, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS hits, round(count(*) FILTER (WHERE hit) / count(*), 6) AS hit_rate, round(sum(v - {BASELINE}), 6) AS gain, round(max(v - {BASELINE}), 6) AS best, round(avg(v - {BASELINE}), 6) AS mean_gain FROM l GROUP BY 1")
 def agg12(spark, d):
-    return runs.track_record(ledger(spark), 0.6016).select("family", "n", "n_scored", "hits", *[r6(c, c) for c in ("hit_rate", "gain", "best", "mean_gain")])
+    return runs.track_record(day_ledger(spark, d), BASELINE).select("family", "n", "n_scored", "hits", *[r6(c, c) for c in ("hit_rate", "gain", "best", "mean_gain")])
 
 
 @query("mod05_losses", W + """, x AS (SELECT *, duration_ms / 100 AS s FROM log WHERE split = 'test'),
-  p AS (SELECT a.user_id, a.date, a.s - b.s AS gap FROM x a JOIN x b ON a.user_id = b.user_id AND a.date = b.date AND a.long_view = 1 AND b.long_view = 0),
-  l AS (SELECT user_id, date, avg(greatest(-gap, 0) + ln(1 + exp(-abs(gap)))) AS v FROM p GROUP BY 1, 2), w AS (SELECT user_id, date, sum(long_view) AS w, max(s) AS m FROM x GROUP BY 1, 2),
-  n AS (SELECT user_id, date, ln(sum(exp(s - m))) - sum(long_view / w * (s - m)) AS v FROM x JOIN w USING (user_id, date) WHERE w > 0 GROUP BY 1, 2)
-  SELECT 'bce' AS loss, round(avg(greatest(s, 0) + ln(1 + exp(-abs(s))) - long_view * s), 6) AS value FROM x UNION ALL SELECT 'bpr', round(avg(greatest(-gap, 0) + ln(1 + exp(-abs(gap)))), 6) FROM p
-  UNION ALL SELECT 'bpr_gauc', round(sum(v * w) / sum(w), 6) FROM l JOIN w USING (user_id, date) UNION ALL SELECT 'listnet', round(avg(v), 6) FROM n""")
+  g AS (SELECT *, sum(long_view) OVER w AS np, sum(1 - long_view) OVER w AS nn, max(s) OVER w AS m, row_number() OVER (PARTITION BY user_id, date ORDER BY s DESC, row_id) AS i FROM x WINDOW w AS (PARTITION BY user_id, date)),
+  e AS (SELECT *, CASE WHEN i <= 5 THEN 1 / log2(i + 1) ELSE 0 END AS gain FROM g WHERE np > 0 AND nn > 0),
+  p AS (SELECT a.user_id, a.date, a.np, a.nn, greatest(b.s - a.s, 0) + ln(1 + exp(-abs(b.s - a.s))) AS l, abs(a.gain - b.gain) AS w FROM e a JOIN e b ON a.user_id = b.user_id AND a.date = b.date AND a.long_view = 1 AND b.long_view = 0),
+  per AS (SELECT user_id, date, any_value(np) AS np, any_value(nn) AS nn, sum(l) AS l, sum(l * w) AS lw FROM p GROUP BY 1, 2),
+  net AS (SELECT user_id, date, (any_value(np) * ln(sum(exp(s - m))) - sum(long_view * (s - m))) / any_value(np) AS v FROM e GROUP BY 1, 2),
+  v AS (SELECT (SELECT avg(greatest(s, 0) + ln(1 + exp(-abs(s))) - long_view * s) FROM x) AS bce, (SELECT avg(l / (np * nn)) FROM per) AS bpr, (SELECT sum(l / nn) / sum(np) FROM per) AS gauc, (SELECT avg(v) FROM net) AS net,
+    (SELECT avg(lw / (np * nn) / list_sum(list_transform(range(1, CAST(least(np, 5) AS BIGINT) + 1), lambda j: 1 / log2(j + 1)))) FROM per) AS ndcg)
+  SELECT unnest(['bce', 'bpr', 'bpr_gauc', 'listnet', 'lambda_ndcg', 'primary']) AS loss, round(unnest([bce, bpr, gauc, net, ndcg, (gauc + ndcg) / 2]), 6) AS value FROM v""")
 def mod05(spark, d):
     rows = OFFICIAL.rows(log(spark, d), "test").withColumn("s", F.col("duration_ms") / 100)
     return models.loss_values(rows, ["user_id", "date"], "long_view", "s").select("loss", r6("value", "value"))
@@ -369,10 +385,23 @@ def mod04w(spark, d):
     return rows.crossJoin(F.broadcast(mean)).select("row_id", r6(models.recency_weight(F.col("age"), 14.0, F.col("m")), "weight"))
 
 
-@query("mod08_history_match", None)
+_BINS = "[1, 3, 6, 10, 16, 24]"
+
+
+@query(
+    "mod08_history_weights",
+    W + f""", h AS (SELECT r.row_id, r.split, CAST(count(x.row_id) AS BIGINT) AS n FROM log r LEFT JOIN log x ON x.user_id = r.user_id AND x.long_view = 1 AND x.date <= r.hz GROUP BY 1, 2),
+  b AS (SELECT *, len(list_filter({_BINS}, lambda e: e <= n)) AS bin FROM h WHERE split IN ('train', 'test')), t AS (SELECT bin, count(*) AS t FROM b WHERE split = 'train' GROUP BY 1), v AS (SELECT bin, count(*) AS v FROM b WHERE split = 'test' GROUP BY 1),
+  r AS (SELECT t.bin, t, least(greatest((coalesce(v, 0) / (SELECT sum(v) FROM v)) / (t / sum(t) OVER ()), 0), 8) AS r FROM t LEFT JOIN v USING (bin)), w AS (SELECT bin, r / (sum(r * t) OVER () / sum(t) OVER ()) AS w FROM r)
+  SELECT row_id, n AS history_n, CASE WHEN n >= 10 THEN 1.0::DOUBLE ELSE 0.0 END AS late_only, round(w, 6) AS hist_match FROM b JOIN w USING (bin) WHERE split = 'train'""",
+)
 def mod08(spark, d):
-    rows = keys.bucketed(log(spark, d), "duration_ms", [1.0, 10.0, 50.0, 100.0], "b")
-    return models.history_match(OFFICIAL.rows(rows, "train"), OFFICIAL.rows(rows, "test"), "b")
+    """Weights of training rows by the length of their history: late_only, and hist_match to the test rows."""
+    rows = pit.frozen_prefix(log(spark, d), ["user_id"]).select("row_id", "split", F.col("pos").alias("history_n"))
+    rows = rows.withColumn("bin", count_below([1, 3, 6, 10, 16, 24], F.col("history_n"), True))
+    train = rows.where("split = 'train'")
+    weights = models.history_match(train, rows.where("split = 'test'"), "bin", 0.0, 8.0)
+    return train.join(F.broadcast(weights), "bin").select("row_id", "history_n", models.late_only(F.col("history_n")).alias("late_only"), r6("weight", "hist_match"))
 
 
 @query("mod01_fm_logit", W + ", x AS (SELECT row_id, CAST(tab AS DOUBLE) AS a, CAST(hour AS DOUBLE) AS b, duration_ms AS c FROM log) SELECT row_id, round(0.1::DOUBLE + (0.2::DOUBLE * a + 0.3::DOUBLE * b) + (a * b + a * c + b * c), 5) AS logit FROM x")

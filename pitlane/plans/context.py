@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from ..functions.scalars import smoothed_rate
 from ..operators import cf, keys, models, pit, windows
 from ..operators.metrics import evaluate
-from ..sources.impressions import Fold
+from ..sources.impressions import OUTCOMES, Fold
 
 
 @dataclass(frozen=True)
 class Context:
-    """``rows`` has no outcome column; labels are reached through frozen aggregates alone, which know each row's horizon."""
+    """``rows`` has no outcome column; outcomes are reached through the methods alone, which know each row's horizon. ``_log`` is the context's own."""
 
-    log: DataFrame
+    _log: DataFrame
     fold: Fold
     video: DataFrame
     user: DataFrame
@@ -33,7 +33,15 @@ class Context:
 
     @property
     def rows(self) -> DataFrame:
-        return self.log.drop("long_view", "is_click", self.label)
+        return self._log.drop(*OUTCOMES, self.label)
+
+    @property
+    def fit_end(self) -> int:
+        return self.fold.days("train")[1]
+
+    def part(self, name: str) -> DataFrame:
+        """rows of train, valid or test."""
+        return self.fold.rows(self.rows, name)
 
     def video_attr(self, name: str) -> DataFrame:
         return self.rows.select("row_id", "video_id").join(self.video.select("video_id", name), "video_id", "left").select("row_id", name)
@@ -41,33 +49,64 @@ class Context:
     def user_attr(self, name: str) -> DataFrame:
         return self.rows.select("row_id", "user_id").join(self.user.select("user_id", name), "user_id", "left").select("row_id", name)
 
-    def frozen_prefix(self, by: list[str]) -> DataFrame:
-        """row_id, lab, pos."""
-        log = self.log
-        for c in by:
+    def labels_visible(self) -> DataFrame:
+        """row_id, label: -1 after the fold's horizon."""
+        return self._log.select("row_id", keys.visible_label(F.col(self.label), F.col("date"), self.fold.horizon).alias("label"))
+
+    def _with(self, columns: list[str]) -> DataFrame:
+        """The log with attributes of items and users that it lacks."""
+        log = self._log
+        for c in columns:
             for side, key in ((self.video, "video_id"), (self.user, "user_id")):
                 if c not in log.columns and c in side.columns:
                     log = log.join(side.select(key, c), key, "left")
-        return pit.frozen_prefix(log, by, self.label).select("row_id", "lab", "pos")
+        return log
+
+    def frozen_prefix(self, by: list[str]) -> DataFrame:
+        """row_id, lab, pos."""
+        return pit.frozen_prefix(self._with(by), by, self.label).select("row_id", "lab", "pos")
 
     def rate(self, by: list[str], name: str, prior: float = 0.4) -> DataFrame:
         return self.frozen_prefix(by).select("row_id", smoothed_rate(F.col("pos"), F.col("lab"), prior).alias(name))
 
+    def baseline_score(self, columns: tuple[str, ...] = ("tab", "tag", "author_id"), factors: int = 4) -> DataFrame:
+        """row_id, score of factorisation machines, each window's fitted before it."""
+        return models.by_window(self._with(list(columns)), self.schedule, models.fm_scores(list(columns), self.label, factors), self.label, self.fit_end, 200)
+
+    def auxiliary_signal(self, name: str, columns: tuple[str, ...] = ("tab", "tag"), factors: int = 4) -> DataFrame:
+        """row_id, score: the propensity of another feedback, as baseline_score() is that of the label. The feedback itself is an outcome."""
+        if name not in OUTCOMES:
+            raise ValueError(f"{name} is no feedback of the log")
+        return models.by_window(self._with(list(columns)), self.schedule, models.fm_scores(list(columns), name, factors), name, self.fit_end, 200)
+
+    def refit_score(self, columns: tuple[str, ...] = ("tab", "tag", "author_id"), strict: bool = True, seeds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+        return models.refit_scores(self._with(list(columns)), models.fm_learner(list(columns), self.label, 4), self.label, seeds, strict=strict)
+
+    def din_score(self) -> DataFrame:
+        """row_id, score: attention of the row's item over its user's last positives."""
+        return models.attention_scores(self._log, self.schedule, self.label)
+
+    def expert_score(self, subspace: str, prior: float = 0.4) -> DataFrame:
+        log = self._with(["author_id"]).withColumn("dur_bucket", F.floor(F.col("duration_ms") / 25).cast("int"))
+        rows, names = models.expert_matrix(log, subspace, prior, self.label)
+        return models.expert_scores(rows, names, self.label)
+
     def cf_score(self) -> DataFrame:
-        return cf.frozen_scores(self.log, self.schedule, self.label)
+        return cf.frozen_scores(self._log, self.schedule, self.label, similarity=cf.idf_cosine)
 
     def mf_score(self) -> DataFrame:
-        return models.als_scores(self.log, self.schedule, self.label)
+        return models.als_scores(self._log, self.schedule, self.label)
 
     def within_user_deviation(self, matrix: DataFrame, columns: list[str]) -> DataFrame:
         joined = matrix.join(self.rows.select("row_id", "user_id", "split"), "row_id")
         return joined.select("row_id", *columns, *[windows.deviation(["split", "user_id"], c).alias(f"{c}_dev") for c in columns])
 
     def check(self, matrix: DataFrame) -> list[str]:
-        """Names of the columns of a valid matrix: row_id and numbers, no outcome among them, a row for each row of the log."""
+        """Names of the columns of a valid matrix: row_id and numbers, no outcome among them by name or by value, a row for each row of the log."""
         keys.guard_outcomes(matrix)
+        keys.guard_copies(matrix, self._log)
         names = [c for c in matrix.columns if c != "row_id"]
-        bad = keys.matrix_violations(matrix, names, self.log.count()).where("n <> 0").collect()
+        bad = keys.matrix_violations(matrix, names, self._log.count()).where("n <> 0").collect()
         if bad:
             raise ValueError("; ".join(f"{r.rule}: {r.n}" for r in bad))
         return names
@@ -75,11 +114,14 @@ class Context:
 
 @dataclass(frozen=True)
 class Candidate:
-    """build(context) gives row_id and columns; mode "scores" takes the first column as the score, "features" fits trees on them."""
+    """build(context) gives row_id and columns, or these and a dict of tree parameters (models.ALLOWED).
+
+    Mode "scores" takes the first column as the score, "features" fits trees on all of them.
+    """
 
     name: str
     family: str
-    build: Callable[[Context], DataFrame]
+    build: Callable[[Context], DataFrame | tuple[DataFrame, dict]]
     mode: str = "scores"
 
 
@@ -88,12 +130,14 @@ def run_candidate(context: Context, candidate: Candidate, part: str = "valid") -
     began = time.time()
     entry = {"candidate": candidate.name, "family": candidate.family, "valid": None, "detail": ""}
     try:
-        matrix = candidate.build(context)
+        built = candidate.build(context)
+        matrix, given = built if isinstance(built, tuple) else (built, {})
+        params = models.tree_params(given)
         names = context.check(matrix)
-        rows = context.log.join(matrix, "row_id")
+        rows = context._log.join(matrix, "row_id")
         if candidate.mode == "features":
-            last = [w for w in context.schedule if w[0] == context.fold.days(part)[0]]
-            scored = models.by_window(rows, last, models.gbt_scores(names, context.label), context.label, context.fold.days("train")[1], 200)
+            fit_score = models.gbt_scores(names, context.label, **params)
+            scored = fit_score(context.fold.rows(rows, "train"), context.fold.rows(rows, part))
             rows, score = rows.join(scored, "row_id"), "score"
         else:
             score = names[0]
@@ -131,3 +175,9 @@ def by_tab(context: Context) -> DataFrame:
 
 def by_author(context: Context) -> DataFrame:
     return context.rate(["author_id"], "author_rate")
+
+
+def trees(context: Context) -> tuple[DataFrame, dict]:
+    """Features, and parameters of the trees on them."""
+    matrix = context.rate(["video_id"], "item_rate").join(context.rate(["video_id", "tab"], "item_tab_rate"), "row_id")
+    return matrix, {"learning_rate": 0.2, "num_leaves": 8, "min_data_in_leaf": 50}

@@ -2,28 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+STATE = "k {kind}, n long, pos long"
+
+
+def batch_prefix(batch: DataFrame, state: DataFrame | None) -> DataFrame:
+    """row_id, prior_n, prior_pos of a batch (k, row_id, y, t): counts of the state and of the batch's rows before it by (t, row_id).
+
+    One window over the batch, which spills what a hot key needs; a null key is a key, a null label counts as 0.
+    """
+    before = W.partitionBy("k").orderBy("t", "row_id").rowsBetween(W.unboundedPreceding, -1)
+    rows = batch.select("k", "row_id", F.count("*").over(before).alias("prior_n"), F.coalesce(F.sum(F.coalesce("y", F.lit(0))).over(before), F.lit(0)).alias("prior_pos"))
+    if state is None:
+        return rows.select("row_id", "prior_n", "prior_pos")
+    held = state.select(F.col("k").alias("_k"), "n", "pos")
+    both = rows.join(held, F.col("k").eqNullSafe(F.col("_k")), "left")
+    return both.select("row_id", *[(F.col(f"prior_{c}") + F.coalesce(c, F.lit(0))).cast("long").alias(f"prior_{c}") for c in ("n", "pos")])
+
+
+def next_state(batch: DataFrame, state: DataFrame | None) -> DataFrame:
+    """k, n, pos of all rows so far."""
+    new = batch.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.coalesce("y", F.lit(0))).cast("long").alias("pos"))
+    return new if state is None else new.unionByName(state).groupBy("k").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
 
 
-def streaming_prefix(stream: DataFrame, key: str, label: str, time_column: str, late: str = "1 hour") -> DataFrame:
-    """row_id, prior_n, prior_pos: of each row of a stream with columns row_id, ``key``, ``label`` and an event time.
+def start_prefix(stream: DataFrame, key: str, label: str, time_column: str, path: str, **trigger) -> StreamingQuery:
+    """Starts a query that writes row_id, prior_n, prior_pos of each row of a stream to ``path``/rows, a folder for each batch.
 
-    State is two numbers for each key. Rows of a batch are taken in order of (event time, row_id); a row
-    that comes in a later batch than one it precedes sees that one as earlier, and rows later than the
-    watermark are dropped.
+    The state, two numbers for each key, is a table for each batch, ``path``/state. A batch that is run
+    again after a failure reads the state before it and replaces what it wrote, so each row is counted
+    once. Rows of a batch are taken in order of (event time, row_id); a row that comes in a later batch
+    than one it precedes sees that one as earlier.
     """
+    rows = stream.select(F.col(key).alias("k"), "row_id", F.col(label).cast("long").alias("y"), F.col(time_column).alias("t"))
+    schema = STATE.format(kind=rows.schema["k"].dataType.simpleString())
 
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, pos = state.get if state.exists else (0, 0)
-        rows = pd.concat(batches).sort_values(["t", "row_id"])
-        known = rows["y"].fillna(0).astype("int64")
-        out = pd.DataFrame({"row_id": rows["row_id"], "prior_n": n + pd.RangeIndex(len(rows)).to_numpy(), "prior_pos": pos + known.cumsum() - known})
-        state.update((n + len(rows), pos + int(known.sum())))
-        yield out
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state = spark.read.schema(schema).parquet(f"{path}/state/v{number - 1}") if number else None
+        batch_prefix(batch, state).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        next_state(batch, state).write.mode("overwrite").parquet(f"{path}/state/v{number}")
 
-    rows = stream.withWatermark(time_column, late).select(F.col(key).alias("k"), "row_id", F.col(label).cast("long").alias("y"), F.col(time_column).alias("t"))
-    return rows.groupBy("k").applyInPandasWithState(step, "row_id long, prior_n long, prior_pos long", "n long, pos long", "append", "NoTimeout")
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from pitlane.plans import catalog
 
@@ -33,28 +34,32 @@ def test_searches_never_lose(spark):
 
 def test_loop_keeps_outcomes_out(spark):
     ledger = {r.candidate: r for r in catalog.QUERIES["ctx01_candidate_loop"](spark, SF).collect()}
-    assert ledger["leak"].decision == "error" and "OutcomeColumnError" in ledger["leak"].detail
-    assert ledger["item"].valid > 0
+    assert ledger["leak"].decision == "error" and "OutcomeColumnError: watched_seconds tells the outcome long_view" in ledger["leak"].detail
+    assert ledger["item"].valid > 0 and ledger["trees"].valid > 0
 
 
-@pytest.mark.parametrize("name", ["mf01_als", "mod02_windowed_fm", "mod03_propensity", "mod09_gbt", "mod10_experts"])
-def test_learners_score_every_window(spark, monkeypatch, name):
+@pytest.mark.parametrize("name", ["mf01_als", "mod01_fm_early_stopping", "mod02_windowed_fm", "mod03_propensity", "mod04_refit", "mod07_target_attention", "mod09_gbt", "mod10_experts"])
+def test_learners_score_every_row(spark, monkeypatch, name):
     """All rows get a score, the training rows too; learners run for their default iterations, and are stubs here but for ALS."""
     from pitlane.operators import models
 
     asked = []
 
-    def stub(*args, iterations=10, **kwargs):
-        def fit_score(past, rows):
-            asked.append(iterations)
-            return rows.withColumn("score", rows["duration_ms"].cast("double"))
+    class Stub:
+        def __init__(self, budget, seed):
+            asked.append(budget)
 
-        return fit_score
+        def fit(self, past):
+            return self
 
-    monkeypatch.setattr(models, "fm_scores", stub)
-    monkeypatch.setattr(models, "gbt_scores", stub)
+        def transform(self, rows):
+            return rows
+
+    monkeypatch.setattr(models, "fm_learner", lambda *args, **kwargs: Stub)
+    monkeypatch.setattr(models, "gbt_learner", lambda *args, **kwargs: Stub)
+    monkeypatch.setattr(models, "predict", lambda model, rows: rows.select("row_id", F.col("row_id").cast("double").alias("score")))
     sizes = {r.split: r["count"] for r in catalog.log(spark, SF).where("split is not null").groupBy("split").count().collect()}
-    got = catalog.QUERIES[name](spark, SF).collect()
-    assert set(sizes) == {"train", "valid", "test"} and set(asked) <= {10}
-    for expert in {r.asDict().get("expert") for r in got}:
-        assert {r.split: r.rows_n for r in got if r.asDict().get("expert") == expert} == sizes
+    got = [r.asDict() for r in catalog.QUERIES[name](spark, SF).collect()]
+    assert set(sizes) == {"train", "valid", "test"} and (max(asked, default=10) == 10)
+    for part in {(r.get("expert"), r.get("strict")) for r in got}:
+        assert {r["split"]: r["rows_n"] for r in got if (r.get("expert"), r.get("strict")) == part} == sizes
