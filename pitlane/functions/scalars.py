@@ -42,3 +42,19 @@ def smoothed_rate(positives: Column, labelled: Column, prior: Column | float, al
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def hashed_unit(x: Column, seed: int) -> Column:
+    """A number from 0 to 1 made of a whole number by multiplications and shifts modulo 2**31, which any SQL can repeat."""
+    m = 1 << 31
+    h = (F.pmod(x.cast("long"), F.lit(m)) * 1_103_515_245 + (seed * 12_345 + 1)) % m
+    h = (h.bitwiseXOR(F.shiftright(h, 15)) * 1_566_083_941) % m
+    return h.bitwiseXOR(F.shiftright(h, 13)) / float(m)
+
+
+def hashed_unit_sql(x: str, seed: int) -> str:
+    """hashed_unit() in DuckDB's SQL."""
+    m = 1 << 31
+    h = f"((({x}) % {m} * 1103515245 + {seed * 12_345 + 1}) % {m})"
+    h = f"((xor({h}, {h} >> 15) * 1566083941) % {m})"
+    return f"(xor({h}, {h} >> 13) / {m}::DOUBLE)"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hashed_unit
+
 
 def stable_rank(group: list[str], score: str, tie: str, descending: bool = True) -> Column:
     """Place in the group from 1, ties by the row's place."""
@@ -81,7 +83,7 @@ def bucket_quantile_target(bucket: str, x: str, tie: str) -> Column:
 
 def random_sample(df: DataFrame, group: list[str], n: int, seed: int, row_id: str = "row_id") -> DataFrame:
     """At most ``n`` rows of each group, drawn by a hash of their id: the same rows at every run."""
-    return top_k(df, group, [F.xxhash64(row_id, F.lit(seed)), F.col(row_id)], n)
+    return top_k(df, group, [hashed_unit(F.col(row_id), seed), F.col(row_id)], n)
 
 
 def history_rank_weight(rank: Column, total: Column | int) -> Column:

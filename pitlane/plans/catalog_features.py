@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, count_below, day_index
+from ..functions.scalars import clip, count_below, day_index, hashed_unit_sql
 from ..operators import cf, diagnostics, keys, models, pit, windows
 from ..sources import files
 from ..sources.impressions import impressions, table, users, videos
@@ -423,7 +423,7 @@ def win12(spark, d):
     return OFFICIAL.rows(log(spark, d), "train").select("row_id", F.round(windows.bucket_quantile_target("dur_bucket", "duration_ms", "row_id"), 9).alias("target"))
 
 
-@query("win13_random_sample")
+@query("win13_random_sample", W + f"SELECT user_id, row_id FROM log QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {hashed_unit_sql('row_id', 7)}, row_id) <= 10")
 def win13(spark, d):
     return windows.random_sample(log(spark, d), ["user_id"], 10, 7).select("user_id", "row_id")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import count_below, day_index
+from ..functions.scalars import count_below, day_index, hashed_unit, hashed_unit_sql
 from ..operators import cf, diagnostics, fusion, keys, metrics, models, pit, runs, selection, windows
 from .catalog import BASE, DAY_LEDGER, OFFICIAL, POP, SCHEDULE, SUMMARY, day_ledger, groups_sql, log, popularity, query, r6, rounded_summary, stored
 from .catalog_features import _COSINE, _TRAIN_EDGES, train_edges
@@ -51,10 +51,9 @@ def met05(spark, d):
     return test_groups(spark, d, ("user_id", "date")).select("user_id", "date", "size", "npos", r6("auc", "auc"), r6("ndcg", "ndcg"), "valid")
 
 
-@query("met06_random_baseline")
+@query("met06_random_baseline", P + f", {groups_sql(TEST.replace('*', 'user_id, row_id, long_view, ' + hashed_unit_sql('row_id', 17) + ' AS score'))} SELECT {SUMMARY} FROM per")
 def met06(spark, d):
-    rows = test_rows(spark, d).withColumn("random", F.pmod(F.xxhash64("row_id", F.lit(17)), F.lit(1 << 40)) / float(1 << 40))
-    return rounded_summary(metrics.evaluate(rows, "long_view", "random"))
+    return rounded_summary(metrics.evaluate(test_rows(spark, d).withColumn("random", hashed_unit(F.col("row_id"), 17)), "long_view", "random"))
 
 
 @query("met07_oracles", P + f", {groups_sql(TEST.replace('*', 'user_id, row_id, long_view, CAST(long_view AS DOUBLE) AS score'))} SELECT {SUMMARY} FROM per")
@@ -145,7 +144,15 @@ def cf02(spark, d):
     return cf.causal_scores(log(spark, d), cf.cosine(train_edges(spark, d))).select("row_id", r6("cf_sum", "cf_sum"), "cf_hist_n")
 
 
-@query("cf03_frozen_scores")
+@query(
+    "cf03_frozen_scores",
+    W + ", sch(lo, hi, h) AS (VALUES " + ", ".join(map(str, SCHEDULE)) + """), e AS (SELECT DISTINCT h, user_id AS u, video_id AS i FROM log JOIN sch ON date <= h WHERE long_view = 1), ok AS (SELECT h FROM e GROUP BY 1 HAVING count(*) >= 100),
+    c AS (SELECT h, i, count(*) AS n FROM e GROUP BY ALL), x AS (SELECT a.h, a.i, b.i AS j, count(*) AS n FROM e a JOIN e b ON a.h = b.h AND a.u = b.u AND a.i <> b.i GROUP BY ALL),
+    sim AS (SELECT x.h, x.i, x.j, x.n / sqrt(CAST(a.n * b.n AS DOUBLE)) AS s FROM x JOIN c a ON a.h = x.h AND a.i = x.i JOIN c b ON b.h = x.h AND b.i = x.j), hist AS (SELECT h, u, count(*) AS n FROM e GROUP BY ALL),
+    t AS (SELECT DISTINCT hz AS h, user_id AS u, video_id AS j FROM log), sc AS (SELECT t.h, t.u, t.j, sum(sim.s) AS s FROM t JOIN e ON e.h = t.h AND e.u = t.u JOIN sim ON sim.h = t.h AND sim.i = e.i AND sim.j = t.j GROUP BY ALL),
+    r AS (SELECT row_id, CASE WHEN ok.h IS NULL THEN 0 ELSE coalesce(sc.s, 0) END AS s, CASE WHEN ok.h IS NULL THEN 0 ELSE coalesce(hist.n, 0) END AS n FROM log LEFT JOIN ok ON ok.h = hz LEFT JOIN sc ON sc.h = hz AND sc.u = user_id AND sc.j = video_id LEFT JOIN hist ON hist.h = hz AND hist.u = user_id)
+    SELECT row_id, round(s, 6) AS cf_sum, round(CASE WHEN n > 0 THEN s / n ELSE 0 END, 6) AS cf_mean, CAST(n AS BIGINT) AS history_n FROM r""",
+)
 def cf03(spark, d):
     out = cf.frozen_scores(log(spark, d), SCHEDULE)
     return out.select("row_id", r6("cf_sum", "cf_sum"), r6("cf_mean", "cf_mean"), "history_n")
