@@ -228,3 +228,68 @@ def test_findings_and_better_members(spark):
     rows = [(i, i // 6, y, float(y), float(-y), 0.5 * y + (i % 3) / 3) for i, y in enumerate([1, 0, 0, 1, 0, 1] * 5)]
     df = spark.createDataFrame(rows, "row_id int, user_id int, long_view int, good double, bad double, middling double")
     assert fusion.better_members(df, {"good": 0.0, "bad": 0.0}, "middling", "long_view", ["user_id"]) == ["good"]
+
+
+def plain_primary(rows, score):
+    """GAUC and nDCG@5 by counting, over lists of (user, row, label, ...)."""
+    lists = {}
+    for r in rows:
+        lists.setdefault(r[1], []).append((score(r), r[0], r[2]))
+    won = weight = gain = 0.0
+    for g in lists.values():
+        pos, neg = [s for s, _, y in g if y], [s for s, _, y in g if not y]
+        if pos and neg:
+            won += sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(neg)
+            weight += len(pos)
+        if pos:
+            top = sorted(g, key=lambda x: (-x[0], x[1]))[:5]
+            gain += sum(y / math.log2(i + 2) for i, (_, _, y) in enumerate(top)) / sum(1 / math.log2(i + 2) for i in range(min(5, len(pos))))
+    return ((won / weight if weight else 0.5) + gain / len(lists)) / 2
+
+
+def test_weight_searches_equal_plain_ones(spark):
+    rng = random.Random(14)
+    rows = [(i, i % 9, int(rng.random() < 0.4), *(round(rng.random(), 2) for _ in range(3))) for i in range(90)]
+    rows = [(*r[:3], round(0.4 * r[2] + 0.6 * r[3], 3), round(0.2 * r[2] + 0.8 * r[4], 3), r[5]) for r in rows]
+    df = spark.createDataFrame(rows, "row_id int, user_id int, y int, a double, b double, c double")
+    members = ["a", "b", "c"]
+    value = lambda w: plain_primary(rows, lambda r: sum(r[3 + members.index(m)] * x for m, x in w.items()) / sum(w.values()))
+    best = lambda tries: max(range(len(tries)), key=lambda i: (round(value(tries[i]), 12), -i))
+
+    weights = dict.fromkeys(members, 1.0)
+    trace = [value(weights)]
+    for _ in range(2):
+        start = trace[-1]
+        for m in members:
+            tries = [{**weights, m: max(0.0, weights[m] + s)} for s in (0.4, 0.2, 0.1, -0.1, -0.2)]
+            i = best(tries)
+            if value(tries[i]) > trace[-1] + 1e-6:
+                weights = tries[i]
+                trace.append(value(weights))
+        if trace[-1] <= start + 1e-6:
+            break
+    got, path = fusion.coordinate_ascent(df, members, "y", ["user_id"], rounds=2)
+    assert got == pytest.approx(weights) and path == pytest.approx(trace)
+
+    singles = [{m: 1.0} for m in members]
+    weights = singles[best(singles)]
+    trace = [value(weights)]
+    for _ in range(3):
+        tries = [{**weights, m: weights.get(m, 0.0) + s} for m in members for s in (0.05, 0.1, 0.2)]
+        i = best(tries)
+        if value(tries[i]) <= trace[-1]:
+            break
+        weights = tries[i]
+        trace.append(value(weights))
+    got, path = fusion.greedy_forward(df, members, "y", ["user_id"], rounds=3)
+    assert got == pytest.approx(weights) and path == pytest.approx(trace)
+
+
+def test_shuffled_labels_and_a_leaky_pipeline(spark):
+    rows = [(i, i % 20, int(i % 3 == 0)) for i in range(1_200)]
+    out = selection.shuffled_labels(spark.createDataFrame(rows, "row_id int, user_id int, long_view int"), "long_view", 5)
+    dealt = {r.row_id: r.shuffled for r in out.collect()}
+    assert len(dealt) == 1_200 and sum(dealt.values()) == 400 and sum(dealt[i] == y for i, _, y in rows) < 900
+    primary = plain_primary(rows, lambda r: r[2])
+    one = spark.createDataFrame([(primary,)], "p double").select(selection.shuffle_finding(F.col("p")).alias("f"))
+    assert one.first().f == "BLOCK"
