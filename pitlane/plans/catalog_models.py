@@ -194,7 +194,7 @@ def src07_blocks(spark, d):
     return out.groupBy("run").agg(F.count("*").alias("days"), F.round(F.sum("x.primary"), 6).alias("total"))
 
 
-@query("snk01_submission")
+@query("snk01_submission", f"WITH {POP} SELECT row_id, user_id, video_id, printf('%.6g', score) AS score FROM pop WHERE split = 'test'")
 def snk01(spark, d):
     path = scratch(spark, "submission")
     files.write_submission(OFFICIAL.rows(popularity(spark, d), "test"), "score", path)

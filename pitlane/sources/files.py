@@ -164,7 +164,9 @@ def parse_status(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def submission(df: DataFrame, score: str) -> DataFrame:
-    return df.select("row_id", "user_id", "video_id", F.format_string("%.6g", F.col(score)).alias("score"))
+    """row_id, user_id, video_id, and the score as text of at most six significant digits, without zeros at the end of its fraction."""
+    text = F.regexp_replace(F.format_string("%.6g", F.col(score)), r"(\.[0-9]*?)0+(e|$)", "$1$2")
+    return df.select("row_id", "user_id", "video_id", F.regexp_replace(text, r"\.(e|$)", "$1").alias("score"))
 
 
 def write_submission(df: DataFrame, score: str, path: str) -> None:
