@@ -39,7 +39,7 @@ from .components import components
 from .shingles import mixed, sets_of
 
 COLLECTIONS, ROWS = 16, 4
-BLOCK, STREAM = 256, 4096
+BLOCK, STREAM = 256, 512
 #: Distinct shingles that are minhashed at once.
 MINHASH_CHUNK = 4096
 
