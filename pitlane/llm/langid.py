@@ -6,9 +6,8 @@ knows any of them. The language of the highest sum is predicted; the score is th
 language when the mean log frequencies per word are turned into shares (a softmax).
 
 What is learned: all words and n-grams of at most about ``SAMPLE_DOCS`` documents of each language,
-drawn by a hash of the document id (a bounded sample of labelled rows). The model holds a 64-bit hash
-and a count by language for each, so its size depends on the sample alone, and it can be broadcast.
-Texts are judged where they lie, without a shuffle.
+drawn by a hash of the document id (a bounded sample of labelled rows). So the model's size depends on
+the sample alone, and it can be broadcast. Texts are judged where they lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +44,6 @@ def is_word(run: str) -> bool:
     return any(map(str.isalpha, run))
 
 
-def hash_of(item: str) -> int:
-    return xxhash.xxh3_64_intdigest(item.encode("utf-8", "surrogatepass"))
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether the remainder of crc32 of the id's text by 3 is 1; a null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))
@@ -61,19 +56,11 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass(frozen=True)
 class Level:
-    """Words, or n-grams of one length: sorted hashes, and a row of log frequencies for each."""
+    """Words, or n-grams of one length: the place of each, and there a row of log frequencies."""
 
-    hashes: np.ndarray
+    place: dict[str, int]
     logs: np.ndarray
 
-    def rows(self, items: list[str]) -> np.ndarray:
-        """Places of those of the items that the level knows."""
-        wanted = np.fromiter(map(hash_of, items), np.uint64, len(items))
-        at = np.searchsorted(self.hashes, wanted)
-        inside = at < len(self.hashes)
-        at, wanted = at[inside], wanted[inside]
-        return at[self.hashes[at] == wanted]
-
 
 @dataclass(frozen=True)
 class Model:
@@ -97,32 +84,31 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, sample_docs: int = S
                 seen.update((lang, w) for w in runs_of(text))
         yield pa.RecordBatch.from_pylist([{"lang": lang, "item": w, "c": n} for (lang, w), n in seen.items() if is_word(w)], schema=pa.schema([("lang", pa.string()), ("item", pa.string()), ("c", pa.int64())]))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter = Counter()
             for lang, word, count in zip(*(b.column(c).to_pylist() for c in ("lang", "item", "c")), strict=True):
-                seen[lang, 0, hash_of(word)] += count
+                seen[lang, 0, word] += count
                 for n in range(1, LONGEST + 1):
                     for g in grams_of(word, n):
-                        seen[lang, n, hash_of(g)] += count
+                        seen[lang, n, g] += count
             columns = list(zip(*((*k, c) for k, c in seen.items()), strict=True)) or [[], [], [], []]
-            kinds = (pa.string(), pa.int32(), pa.uint64(), pa.int64())
-            lang, n, h, c = (pa.array(x, t) for x, t in zip(columns, kinds, strict=True))
-            yield pa.RecordBatch.from_arrays([lang, n, h.view(pa.int64()), c], names=["lang", "n", "h", "c"])
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["lang", "n", "item", "c"])
 
     words = sample.mapInArrow(counted, "lang string, item string, c long").groupBy("lang", "item").agg(F.sum("c").alias("c"))
-    kept = words.mapInArrow(hashed, "lang string, n int, h long, c long").groupBy("lang", "n", "h").agg(F.sum("c").alias("c")).toArrow()
-    lang, n, h, c = (kept.column(x).to_numpy(zero_copy_only=False) for x in ("lang", "n", "h", "c"))
-    langs = sorted(set(lang.tolist()))
-    place = np.searchsorted(np.array(langs, object), lang) if langs else np.zeros(0, int)
-    return Model(langs, [_level(h[n == i].view(np.uint64), place[n == i], c[n == i], len(langs)) for i in range(LONGEST + 1)])
+    kept = words.mapInArrow(shorter, "lang string, n int, item string, c long").groupBy("lang", "n", "item").agg(F.sum("c").alias("c")).toArrow()
+    langs = sorted(set(kept.column("lang").unique().to_pylist()))
+    return Model(langs, [_level(kept.filter(pc.equal(kept.column("n"), n)), langs) for n in range(LONGEST + 1)])
 
 
-def _level(hashes: np.ndarray, lang: np.ndarray, counts: np.ndarray, langs: int) -> Level:
-    items, at = np.unique(hashes, return_inverse=True)
-    table = np.zeros((len(items), langs))
-    np.add.at(table, (at, lang), counts)
-    return Level(items, (np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * (len(items) + 1))).astype(np.float32))
+def _level(rows: pa.Table, langs: list[str]) -> Level:
+    items = rows.column("item").unique()
+    at, lang = (pc.index_in(rows.column(c), pa.array(v, pa.string())).to_numpy() for c, v in (("item", items), ("lang", langs)))
+    table = np.zeros((len(items), len(langs)))
+    np.add.at(table, (at, lang), rows.column("c").to_numpy())
+    logs = np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * (len(items) + 1))
+    return Level({w: i for i, w in enumerate(items.to_pylist())}, logs.astype(np.float32))
 
 
 class Scorer(dict):
@@ -134,10 +120,14 @@ class Scorer(dict):
         self.table = np.zeros((CACHE_ENTRIES + 1, len(self.langs) + 1))
 
     def _scored(self, word: str) -> np.ndarray:
-        for n in (0, *range(LONGEST, 0, -1)):
-            known = self.levels[n].rows(grams_of(word, n) if n else [word])
-            if len(known):
-                return self.levels[n].logs[known].mean(axis=0, dtype=float)
+        words = self.levels[0]
+        if (row := words.place.get(word)) is not None:
+            return words.logs[row]
+        for n in range(LONGEST, 0, -1):
+            place = self.levels[n].place
+            known = [place[g] for g in grams_of(word, n) if g in place]
+            if known:
+                return self.levels[n].logs[known].sum(axis=0, dtype=float) / len(known)
         return np.zeros(len(self.langs))
 
     def __missing__(self, run: str) -> int:
