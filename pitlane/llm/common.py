@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,20 @@ def join_counted(rows: DataFrame, by_key: DataFrame, key: str, total: int) -> Da
     added = [c for c in hot.columns if c != key]
     one = marked.where("_hot").drop("_hot")
     return one.unionByName(marked.where("_hot is null").drop("_hot", *added).join(rest, key))
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet in a folder of its own within shared_folder() and read again, and that folder.
+
+    What is read more than once, and must be the same each time, is stored even if a plan could be
+    run again: its rows might come in another order.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that stored() wrote and nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

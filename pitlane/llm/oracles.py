@@ -74,4 +74,57 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM doc_words d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op2_url_filter": _URLS, "op9_minhash_near_dedup": _SHINGLED, "op10_decontamination": _DECONTAMINATED}
+_DIVERGENCE = rf"""
+WITH texts AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM texts),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM texts) GROUP BY lang, term HAVING count(*) >= 30),
+occurring AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM texts) GROUP BY lang, source, term),
+counts AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN occurring o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+of_groups AS (
+  SELECT lang, source, term, n, 1 + CAST((1000000000::HUGEINT * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w) AS BIGINT) AS p
+  FROM counts WINDOW w AS (PARTITION BY lang, source)),
+of_langs AS (
+  SELECT lang, term, 1 + CAST((1000000000::HUGEINT * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w) AS BIGINT) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY lang, term) WINDOW w AS (PARTITION BY lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM of_groups a JOIN of_groups b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+ranked AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM of_groups p JOIN of_langs q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM ranked)
+SELECT lang, source, part, item, value, rank FROM placed WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def _lloyd(rounds: int, k: int) -> str:
+    """Lloyd's rounds one after the other, each with all distances."""
+    steps = [f"""
+kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v AS m FROM kept
+  ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v LIMIT {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} AS MATERIALIZED (SELECT r, c, list_sum(list_transform(range(1, 65), lambda j: (v[j] - m[j]) * (v[j] - m[j]))) AS d FROM kept, c{i}),
+a{i} AS MATERIALIZED (SELECT r, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM d{i} GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} AS (SELECT c, j, CAST(floor_div AS BIGINT) AS x FROM (
+  SELECT c, j, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS floor_div
+  FROM (SELECT a.c, unnest(v) AS x, unnest(range(64)) AS j FROM kept JOIN a{i} a USING (r)) GROUP BY c, j)),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, o.m) AS m FROM c{i} o LEFT JOIN (SELECT c, list(x ORDER BY j) AS m FROM s{i} GROUP BY c) n USING (c))""")
+    return "WITH " + ",".join(steps) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM kept JOIN a{rounds} a USING (r) JOIN c{rounds} USING (c)
+"""
+
+
+SQL: dict[str, str] = {"op2_url_filter": _URLS, "op9_minhash_near_dedup": _SHINGLED, "op10_decontamination": _DECONTAMINATED, "op11_source_divergence": _DIVERGENCE, "op13_centroids": _lloyd(3, 16)}

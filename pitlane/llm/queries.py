@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, neardup, quality, secrets, sentencepieces, urls, wrappers
+from . import centroids, decontaminate, divergence, fingerprints, langid, neardup, packing, quality, secrets, sentencepieces, urls, wrappers
 from .common import shared_folder, table
 from .shards import ShardStore, load_in_arrivals
 
@@ -94,4 +94,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_sentencepiece, op4_secret_scan, op5_html_extraction, op6_language_id, op7_sharding, op8_fingerprints, op9_minhash_near_dedup, op10_decontamination)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank: see divergence.audit()."""
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, prior=5, top=50)
+
+
+def packed_vocabulary_path() -> str:
+    """Place of the public vocabulary of op12 on the machine that asks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece, a null text having the end id alone."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), ["doc_id"], packed_vocabulary_path, size=4096, end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256: a row for each kept vector; see centroids.cluster()."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), ["vec_id"], width=64, scale=64, k=16, rounds=3, seed="1")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_sentencepiece, op4_secret_scan, op5_html_extraction, op6_language_id, op7_sharding, op8_fingerprints, op9_minhash_near_dedup, op10_decontamination, op11_source_divergence, op12_packing, op13_centroids)}
