@@ -45,27 +45,6 @@ def guard_outcomes(df: DataFrame, outcomes: tuple[str, ...] = OUTCOMES) -> DataF
     return df
 
 
-def guard_copies(matrix: DataFrame, log: DataFrame, outcomes: tuple[str, ...] = OUTCOMES, key: str = "row_id") -> DataFrame:
-    """``matrix``, or an error if a column of it separates an outcome's two values exactly, whatever its name.
-
-    A column is taken for a copy (or a renaming of values) if on none of its values both outcomes
-    occur while it has fewer values than a hundredth of the rows.
-    """
-    names = [c for c in matrix.columns if c != key]
-    held = [c for c in outcomes if c in log.columns]
-    rows = matrix.join(log.select(key, *[F.col(o).alias(f"_o_{o}") for o in held]), key)
-    values = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in names])
-    each = rows.select(F.explode(values).alias("x"), *[f"_o_{o}" for o in held]).groupBy("x.name", "x.value")
-    each = each.agg(F.count("*").alias("n"), *[f(f"_o_{o}").alias(f"{n}_{o}") for o in held for n, f in (("low", F.min), ("high", F.max))])
-    mixed = lambda o: F.count_if(F.col(f"low_{o}") < F.col(f"high_{o}"))
-    varied = lambda o: F.min(f"low_{o}") < F.max(f"high_{o}")  # noqa: E731  an outcome of one value can't be told
-    for r in each.groupBy("name").agg(F.count("*").alias("values"), F.sum("n").alias("n"), *[((mixed(o) == 0) & varied(o)).alias(f"told_{o}") for o in held]).collect():  # a row a column
-        bad = [o for o in held if r[f"told_{o}"]]
-        if bad and 1 < r["values"] <= max(2, r.n // 100):
-            raise OutcomeColumnError(f"{r.name} tells the outcome {', '.join(bad)} of its own row")
-    return matrix
-
-
 @dataclass(frozen=True)
 class FieldSpec:
     """A categorical field: its name, and an expression of its values over a row."""

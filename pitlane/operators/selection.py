@@ -29,8 +29,8 @@ def selected(candidates: DataFrame, score: str, truth: str, blocked: str = "bloc
 
 
 def confirmed(valid: Column, test: Column, ceiling: Column, gap: float = 0.035, slack: float = 0.05) -> Column:
-    """Whether a backtest confirms: valid and test are near each other and not above what is attainable; null if any is unknown."""
-    return (F.abs(valid - test) < gap) & (F.greatest(valid, test) < ceiling + slack)
+    """Whether a backtest confirms: valid exceeds test by less than ``gap`` and neither is above what is attainable; null if any is unknown."""
+    return F.when(valid.isNotNull() & test.isNotNull() & ceiling.isNotNull(), (valid - test < gap) & (F.greatest(valid, test) < ceiling + slack))
 
 
 def user_constancy(df: DataFrame, group: list[str], columns: list[str], least: float = 1e-6) -> DataFrame:

@@ -290,9 +290,10 @@ def _context(spark, d) -> candidates.Context:
 
 @query("ctx01_candidate_loop")
 def ctx01(spark, d):
-    """A scripted loop over candidates: popularity, one that tells the label under another name, two that aren't popularity."""
+    """A scripted loop over candidates: popularity, two that the label flows into under another name, two that aren't popularity."""
     leak = candidates.Candidate("leak", "causal", lambda ctx: ctx._log.select("row_id", (1 - F.col("long_view")).alias("watched_seconds")))
-    proposals = [candidates.Candidate("item", "popularity", candidates.popularity), leak, candidates.Candidate("item x tab", "popularity", candidates.by_tab), candidates.Candidate("trees", "popularity", candidates.trees, "features")]
+    noisy = candidates.Candidate("noisy leak", "causal", lambda ctx: ctx._log.select("row_id", (F.col("long_view") + F.hash("row_id") / 1e10).alias("watched_share")))
+    proposals = [candidates.Candidate("item", "popularity", candidates.popularity), leak, noisy, candidates.Candidate("item x tab", "popularity", candidates.by_tab), candidates.Candidate("trees", "popularity", candidates.trees, "features")]
     ledger = candidates.scripted_loop(_context(spark, d), proposals, 0.5)
     rows = [(e["iteration"], e["candidate"], e["family"], e["decision"], e["valid"], e["detail"]) for e in ledger]
     return spark.createDataFrame(rows, "iteration int, candidate string, family string, decision string, valid double, detail string")

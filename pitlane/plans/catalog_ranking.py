@@ -266,7 +266,7 @@ def sel04(spark, d):
     return selection.selected(rows, "robust", "transfer").select("chosen", r6("score", "score"), r6("regret", "regret"))
 
 
-@query("sel05_confirmed", W + f", {_MOVES} SELECT hour, abs(a - b) < 0.035 AND greatest(CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE a END, b) < 0.36::DOUBLE + 0.05 AS confirmed FROM r")
+@query("sel05_confirmed", W + f", {_MOVES} SELECT hour, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a - b < 0.035 AND greatest(a, b) < 0.36::DOUBLE + 0.05 END AS confirmed FROM r")
 def sel05(spark, d):
     return moves(spark, d).select("hour", selection.confirmed(F.col("a"), F.col("b"), F.lit(0.36)).alias("confirmed"))
 

@@ -5,19 +5,36 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import wraps
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import smoothed_rate
 from ..operators import cf, keys, models, pit, windows
+from ..operators.lineage import Lineage
 from ..operators.metrics import evaluate
 from ..sources.impressions import OUTCOMES, Fold
 
 
+def point_in_time(method: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Marks an operator that looks at outcomes up to each row's horizon alone: what it returns may be used."""
+
+    @wraps(method)
+    def approved(self: Context, *args, **kwargs) -> DataFrame:
+        return self.lineage.approve(method(self, *args, **kwargs))
+
+    return approved
+
+
 @dataclass(frozen=True)
 class Context:
-    """``rows`` has no outcome column; outcomes are reached through the methods alone, which know each row's horizon. ``_log`` is the context's own."""
+    """``rows`` has no outcome column; outcomes are reached through the methods alone, which know each row's horizon.
+
+    ``_log`` is the context's own. check() follows a matrix's columns back to their sources, so one that
+    an outcome flows into is refused however it was made, unless by a point-in-time operator.
+    """
 
     _log: DataFrame
     fold: Fold
@@ -25,11 +42,13 @@ class Context:
     user: DataFrame
     label: str = "long_view"
     schedule: list = field(default_factory=list)
+    lineage: Lineage | None = None
 
     @classmethod
     def of(cls, log: DataFrame, fold: Fold, video: DataFrame, user: DataFrame, label: str = "long_view") -> Context:
         schedule = fold.schedule()
-        return cls(fold.with_part(log).withColumn("hz", keys.window_horizon(F.col("date"), schedule)), fold, video, user, label, schedule)
+        rows = fold.with_part(log).withColumn("hz", keys.window_horizon(F.col("date"), schedule))
+        return cls(rows, fold, video, user, label, schedule, Lineage(rows, {*OUTCOMES, label}, (video, user)))
 
     @property
     def rows(self) -> DataFrame:
@@ -50,7 +69,7 @@ class Context:
         return self.rows.select("row_id", "user_id").join(self.user.select("user_id", name), "user_id", "left").select("row_id", name)
 
     def labels_visible(self) -> DataFrame:
-        """row_id, label: -1 after the fold's horizon."""
+        """row_id, label: -1 after the fold's horizon. For a look at the log; a matrix can't be made of it."""
         return self._log.select("row_id", keys.visible_label(F.col(self.label), F.col("date"), self.fold.horizon).alias("label"))
 
     def _with(self, columns: list[str]) -> DataFrame:
@@ -62,6 +81,7 @@ class Context:
                     log = log.join(side.select(key, c), key, "left")
         return log
 
+    @point_in_time
     def frozen_prefix(self, by: list[str]) -> DataFrame:
         """row_id, lab, pos."""
         return pit.frozen_prefix(self._with(by), by, self.label).select("row_id", "lab", "pos")
@@ -69,31 +89,38 @@ class Context:
     def rate(self, by: list[str], name: str, prior: float = 0.4) -> DataFrame:
         return self.frozen_prefix(by).select("row_id", smoothed_rate(F.col("pos"), F.col("lab"), prior).alias(name))
 
+    @point_in_time
     def baseline_score(self, columns: tuple[str, ...] = ("tab", "tag", "author_id"), factors: int = 4) -> DataFrame:
         """row_id, score of factorisation machines, each window's fitted before it."""
         return models.by_window(self._with(list(columns)), self.schedule, models.fm_scores(list(columns), self.label, factors), self.label, self.fit_end, 200)
 
+    @point_in_time
     def auxiliary_signal(self, name: str, columns: tuple[str, ...] = ("tab", "tag"), factors: int = 4) -> DataFrame:
         """row_id, score: the propensity of another feedback, as baseline_score() is that of the label. The feedback itself is an outcome."""
         if name not in OUTCOMES:
             raise ValueError(f"{name} is no feedback of the log")
         return models.by_window(self._with(list(columns)), self.schedule, models.fm_scores(list(columns), name, factors), name, self.fit_end, 200)
 
+    @point_in_time
     def refit_score(self, columns: tuple[str, ...] = ("tab", "tag", "author_id"), strict: bool = True, seeds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
         return models.refit_scores(self._with(list(columns)), models.fm_learner(list(columns), self.label, 4), self.label, seeds, strict=strict)
 
+    @point_in_time
     def din_score(self) -> DataFrame:
         """row_id, score: attention of the row's item over its user's last positives."""
         return models.attention_scores(self._log, self.schedule, self.label)
 
+    @point_in_time
     def expert_score(self, subspace: str, prior: float = 0.4) -> DataFrame:
         log = self._with(["author_id"]).withColumn("dur_bucket", F.floor(F.col("duration_ms") / 25).cast("int"))
         rows, names = models.expert_matrix(log, subspace, prior, self.label)
         return models.expert_scores(rows, names, self.label)
 
+    @point_in_time
     def cf_score(self) -> DataFrame:
         return cf.frozen_scores(self._log, self.schedule, self.label, similarity=cf.idf_cosine)
 
+    @point_in_time
     def mf_score(self) -> DataFrame:
         return models.als_scores(self._log, self.schedule, self.label)
 
@@ -102,9 +129,9 @@ class Context:
         return joined.select("row_id", *columns, *[windows.deviation(["split", "user_id"], c).alias(f"{c}_dev") for c in columns])
 
     def check(self, matrix: DataFrame) -> list[str]:
-        """Names of the columns of a valid matrix: row_id and numbers, no outcome among them by name or by value, a row for each row of the log."""
+        """Names of the columns of a valid matrix: row_id and numbers, none of them named as an outcome or made of one, a row for each row of the log."""
         keys.guard_outcomes(matrix)
-        keys.guard_copies(matrix, self._log)
+        self.lineage.check(matrix)
         names = [c for c in matrix.columns if c != "row_id"]
         bad = keys.matrix_violations(matrix, names, self._log.count()).where("n <> 0").collect()
         if bad:
@@ -125,8 +152,12 @@ class Candidate:
     mode: str = "scores"
 
 
+#: What a lost machine says, which is no candidate's error.
+LOST = ("ExecutorLost", "FetchFailed", "Could not find shuffle", "SparkContext was shut down", "OutOfMemory")
+
+
 def run_candidate(context: Context, candidate: Candidate, part: str = "valid") -> dict:
-    """A ledger entry: the candidate's primary on a part of the fold, or its error as data."""
+    """A ledger entry: the candidate's primary on a part of the fold, or its error as data. A lost machine is no error of the candidate's and is raised."""
     began = time.time()
     entry = {"candidate": candidate.name, "family": candidate.family, "valid": None, "detail": ""}
     try:
@@ -142,7 +173,9 @@ def run_candidate(context: Context, candidate: Candidate, part: str = "valid") -
         else:
             score = names[0]
         entry["valid"] = evaluate(context.fold.rows(rows, part), context.label, score).first().primary
-    except Exception as e:
+    except (ValueError, TypeError, KeyError, AttributeError, ArithmeticError, PySparkException) as e:
+        if any(x in str(e) for x in LOST):
+            raise
         entry["detail"] = f"{type(e).__name__}: {e}"[:800]
     return entry | {"seconds": time.time() - began}
 
