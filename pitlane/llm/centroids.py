@@ -96,12 +96,12 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, width)
 
 
-def _start(kept: DataFrame, k: int, seed: str) -> np.ndarray:
+def _start(kept: DataFrame, k: int, seed: str, width: int) -> np.ndarray:
     """The ``k`` vectors with the smallest hashes of their ids; repeated ids by their components."""
     whole = F.transform("e", lambda x: F.floor(x.cast("double") * F.col("scale")).cast("long"))
     hashed = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
     rows = kept.select(hashed.alias("h"), whole.alias("v")).orderBy("h", "v").limit(k).collect()
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64).reshape(-1, width)
 
 
 def _moved(state: DataFrame, now: np.ndarray) -> np.ndarray:
@@ -149,7 +149,7 @@ def cluster(df: DataFrame, keep: list[str], vec_id: str = "vec_id", embedding: s
     finite = F.forall(embedding, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < LARGEST / scale - 1))
     kept = df.where((F.size(embedding) == width) & F.coalesce(finite, F.lit(False)))
     named = kept.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(vec_id).alias("id"), F.col(embedding).alias("e"), F.lit(scale).alias("scale"))
-    now, spark = _start(named, k, seed), df.sparkSession
+    now, spark = _start(named, k, seed, width), df.sparkSession
     kinds = ", ".join(f"k{i} {named.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))) + ", " * bool(keep)
     schema = f"{kinds}v binary, cluster int, upper double, lower double"
     n_keys = len(keep)

@@ -2,36 +2,86 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain, count
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, stored
 
-#: Runs of letters: all of ASCII but A-Z and a-z separates.
+#: Terms are runs of letters: A-Z count as a-z, and all of ASCII but letters separates.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LETTERS = bytes(b if b > 127 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
+#: Bytes of text that are counted at once, unless one text is longer; terms or counts that a task holds; rows of a batch that it hands on.
+CHUNK_BYTES, MOST_HELD, OUT_ROWS = 4 << 20, 1_000_000, 100_000
 #: Shares are counted in parts of this.
 PARTS = 1_000_000_000
-#: A space, which no term has, before a term stands for a document that has it.
-MARK = " "
 #: Bytes of one source in the vectors of a language, for the size of a broadcast.
 SOURCE_BYTES = 64
 
 
+class _Counts:
+    """Counts of terms by language and source, of some documents."""
+
+    def __init__(self):
+        self.codes: dict[bytes, int] = defaultdict(count().__next__)
+        self.groups: dict[tuple[str, str], int] = defaultdict(count().__next__)
+        self.held = np.zeros((3, 0), np.int64)
+
+    def add(self, langs: list[str], sources: list[str], texts: list[bytes]) -> None:
+        words = [t.translate(LETTERS).split() for t in texts]
+        lengths = list(map(len, words))
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(words)), np.int64, sum(lengths))
+        group = np.fromiter(map(self.groups.__getitem__, zip(langs, sources, strict=True)), np.int64, len(texts))
+        of_doc, n = np.unique(np.repeat(np.arange(len(texts)) << 32, lengths) | codes, return_counts=True)
+        keys = group[of_doc >> 32] << 32 | (of_doc & 0xFFFFFFFF)
+        self.held = self._summed(np.concatenate([self.held, np.stack([keys, n, np.ones_like(n)])], 1))
+
+    @staticmethod
+    def _summed(rows: np.ndarray) -> np.ndarray:
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        starts = np.flatnonzero(np.diff(rows[0], prepend=-1))
+        return np.concatenate([rows[:1, starts], np.add.reduceat(rows[1:], starts, 1)]) if len(starts) else rows
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        terms = pa.array(list(self.codes), pa.binary()).cast(pa.string())
+        langs, sources = (pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1))
+        for at in range(0, self.held.shape[1], OUT_ROWS):
+            keys, n, docs = self.held[:, at : at + OUT_ROWS]
+            group, code = pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), terms.take(code), pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = _Counts()
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)).astype(np.int64)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK_BYTES, "right")))
+            counts.add(*[c.slice(start, stop - start).to_pylist() for c in batch.columns])
+            start = stop
+            if max(len(counts.codes), counts.held.shape[1]) > MOST_HELD:
+                yield from counts.batches()
+                counts = _Counts()
+    yield from counts.batches()
+
+
 def term_counts(texts: DataFrame) -> DataFrame:
     """lang, term, entries (source, n), docs: of each term of a language its count in each source that has it, and how many documents have it.
 
-    ``texts`` has lang, source, text without nulls. The terms of a text and its distinct ones go
-    through one aggregation, told apart by MARK, so texts are neither read nor shuffled twice and a
-    hot source is summed before the shuffle.
+    ``texts`` has lang, source, text without nulls. A task sums its counts before the one shuffle, so a
+    hot source or term is a row of each task.
     """
-    words = texts.select("lang", "source", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("words"))
-    marked = F.concat("words", F.transform(F.array_distinct("words"), lambda w: F.concat(F.lit(MARK), w)))
-    counts = words.select("lang", "source", F.explode(marked).alias("term")).groupBy("lang", "source", "term").agg(F.count("*").alias("n"))
-    of_docs = F.startswith("term", F.lit(MARK))
-    by_source = F.collect_list(F.when(~of_docs, F.struct("source", "n")))  # null for a mark, which the list leaves out
-    return counts.groupBy("lang", F.ltrim("term").alias("term")).agg(by_source.alias("entries"), F.sum(F.when(of_docs, F.col("n"))).alias("docs"))
+    held = texts.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    by_source = held.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return by_source.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("entries"), F.sum("docs").alias("docs"))
 
 
 def wide_vectors(texts: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +94,7 @@ def wide_vectors(texts: DataFrame, least_docs: int) -> tuple[DataFrame, DataFram
     most = sources.agg(F.max(F.size("sources"))).first()[0] or 0
     kept = term_counts(texts).where(F.col("docs") >= least_docs)
     dense = F.transform("sources", lambda s: F.coalesce(F.element_at(F.map_from_entries("entries"), s), F.lit(0).cast("long")))
-    vectors = cut(kept.join(small(sources, most * SOURCE_BYTES), "lang").select("lang", "term", dense.alias("counts")))
+    vectors, _ = stored(kept.join(small(sources, most * SOURCE_BYTES), "lang").select("lang", "term", dense.alias("counts")))
     sums = vectors.select("lang", F.posexplode("counts").alias("at", "n")).groupBy("lang", "at").agg(F.sum("n").alias("n"), F.count("*").alias("n_terms"))
     totals = sums.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("totals"), F.max("n_terms").alias("n_terms"))
     zeros = F.transform("sources", lambda _: F.lit(0).cast("long"))
