@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -15,95 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .wordids import ID_BYTES, loaded
 
 #: Windows that a partition keeps open at once; so many tasks' open windows meet in one merge.
 OPEN, FAN_IN = 32, 64
 #: Bytes of text that are encoded at once, unless one text is longer; bytes of ids in a batch of the result.
 CHUNK_BYTES, OUT_BYTES = 4 << 20, 4 << 20
-#: Words of up to so many bytes are remembered, so many of them in each of two generations.
-CACHED_BYTES, CACHE_ENTRIES = 48, 200_000
-#: Words of one call of the library, and the word between them, which has an id of its own.
-TOGETHER, BETWEEN = 64, "\x01"
-LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Between a letter or digit and a stop.
-STOPS = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
-ID_BYTES = 4
-
-
-class WordEncoder:
-    """Ids of texts by a vocabulary that never joins what white space parts.
-
-    Such a vocabulary gives a text the ids of its words one after the other, so each distinct word
-    is encoded once, many in one call. Words are cut at ASCII white space alone; any other is left to
-    the library. If the vocabulary is of lower case, A-Z are lowered first, and if it parts letters
-    and digits from the ASCII stops after them, so are words: both make fewer of them distinct.
-    Strings of special tokens are ordinary text.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        one = lambda text: self._ids([text])[0].tolist()
-        if one("a b. 1") != [*one("a"), *one("b."), *one("1")]:
-            raise ValueError("the vocabulary encodes white space, so texts can't be encoded by words")
-        self.lowers = one("AbZ") == one("abz")
-        self.parts = all(one(f"{x}{stop}") == [*one(x), *one(stop)] for x in ("a", "9") for stop in ".,;:!?")
-        self.between = one(BETWEEN)
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _of_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word: TOGETHER of them in one text, parted by a word that stands for nothing else."""
-        if len(self.between) != 1:
-            return [x.tobytes() for x in self._ids([w.decode() for w in words])]
-        mark, out = f" {BETWEEN} ".encode(), {}
-        plain = [w for w in words if BETWEEN.encode() not in w]
-        groups = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
-        for group, ids in zip(groups, self._ids([mark.join(g).decode() for g in groups]), strict=True):
-            at = np.flatnonzero(ids == self.between[0]).tolist()
-            if len(at) == len(group) - 1:
-                whole = ids.tobytes()
-                out.update((w, whole[ID_BYTES * a : ID_BYTES * b]) for w, a, b in zip(group, [0, *(i + 1 for i in at)], [*at, len(ids)], strict=True))
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, (x.tobytes() for x in self._ids([w.decode() for w in rest])), strict=True))
-        return [out[w] for w in words]
-
-    def _split(self, text: bytes) -> list[bytes]:
-        text = text.translate(LOWERED) if self.lowers else text
-        return (STOPS.sub(b" ", text) if self.parts else text).split()
-
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text (UTF-8), each of four bytes with the lowest first."""
-        if len(self.young) >= CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-        split = [self._split(t) for t in texts]
-        wanted = set().union(*split)
-        wanted.difference_update(self.young)
-        self.young.update((w, self.old[w]) for w in wanted & self.old.keys())
-        wanted.difference_update(self.young)
-        new = list(wanted)
-        self.young.update(zip(new, self._of_words(new), strict=True))
-        out = [b"".join(map(self.young.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > CACHED_BYTES:
-                del self.young[w]
-        return out
-
-
-_LOADED: dict[str, WordEncoder] = {}
-
-
-def _loaded(tokenizer: str | Callable[[], str]) -> WordEncoder:
-    path = tokenizer if isinstance(tokenizer, str) else tokenizer()
-    if path not in _LOADED:
-        _LOADED[path] = WordEncoder(path)
-    return _LOADED[path]
 
 
 @dataclass
@@ -243,7 +158,7 @@ def pack(df: DataFrame, keep: list[str], tokenizer: str | Callable[[], str], tex
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows, rows = _loaded(tokenizer), BestFit(size, most_open), None
+        encoder, windows, rows = loaded(tokenizer), BestFit(size, most_open), None
         for whole in batches:
             rows = rows or _Rows(whole.schema.types[:-1], 0, TaskContext.get().partitionId())
             for batch in _chunks(whole):

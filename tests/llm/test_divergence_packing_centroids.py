@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitlane.llm import centroids, divergence, oracles, packing, queries
+from pitlane.llm import centroids, divergence, oracles, packing, queries, wordids
 
 from ..compare import connect, same
 from ..conftest import SF
@@ -73,10 +73,12 @@ ODD = [None, "", " \t\n", "One", "don't don 't", "é e ́x", "a\x1cb\x85c d 
 
 
 def test_words_are_encoded_as_whole_texts(library):
-    encoder = packing.WordEncoder(queries.packed_vocabulary_path())
+    encoder = wordids.WordEncoder(queries.packed_vocabulary_path())
     rng = np.random.default_rng(1)
     alphabet = [*"abcXYZ  \n\t.,'\"09éÉßΣσ中́  \x1c\r\v\f|<>", "'s", "'LL", "<|endoftext|>"]
     texts = [t or "" for t in ODD] + ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(3_000)]
+    texts += [" ".join("".join(rng.choice([*"etaoinshrdlu", "th", "ing", "é", "ÿ", "÷", "É"], rng.integers(1, 16))) for _ in range(40)) for _ in range(300)]
+    assert encoder.merges
     got = encoder.encode_all([t.encode() for t in texts])
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
