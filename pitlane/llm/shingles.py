@@ -7,15 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that are hashed at once, unless one text is longer.
 CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+#: The lowest n bytes of eight.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
 
 def _bytes(chosen) -> np.ndarray:
     out = np.zeros(256, bool)
@@ -36,18 +40,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class _Hashes:
-    """Word hashes by prefix sums of a polynomial modulo 2**64, whose odd base has an inverse; A-Z count as a-z."""
+    """Word hashes of 64 bits; A-Z count as a-z.
+
+    Each eight bytes of a word are mixed into its hash in turn, many words side by side; XXH3 hashes
+    the long ones. Neither is linear in the bytes, so no words hash alike by their making.
+    """
 
     def __init__(self, between: np.ndarray):
         self.between = between
-        self.up = self.down = np.ones(1, np.uint64)
 
     def _places(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words begin and end. A word can't go on from one text to the next."""
@@ -65,19 +66,34 @@ class _Hashes:
 
     def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each word, and how many words each text has. Texts are data[bounds[i]:bounds[i+1]]."""
-        n = len(data)
-        if not n:
+        if not len(data):
             return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
-        up, down = self.up, self.down
-        if len(up) <= n:
-            up, down = _powers(n, _BASE), _powers(n, pow(_BASE, -1, 2**64))
-            if n <= CHUNK_BYTES:  # those of one longer text aren't kept
-                self.up, self.down = up, down
         starts, ends = self._places(data, bounds)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-        hashes = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        return hashes, np.diff(np.searchsorted(starts, bounds))
+        return self._hashed(_LOWER[data], starts, ends - starts), np.diff(np.searchsorted(starts, bounds))
+
+    @staticmethod
+    def _hashed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        out = mixed(lengths.astype(np.uint64) + _U(0x9E3779B97F4A7C15))
+        long = lengths > LONG_WORD
+        at, left, rows = starts, lengths, None
+        if long.any():
+            whole = data.tobytes()
+            for i in np.flatnonzero(long).tolist():
+                out[i] = xxhash.xxh3_64_intdigest(whole[starts[i] : starts[i] + lengths[i]])
+            rows = np.flatnonzero(~long)
+            at, left = starts[rows], lengths[rows]
+        while len(at):
+            part = eights[at] & _BYTES[np.minimum(left, 8)]
+            if rows is None:
+                out = mixed(out ^ part)
+            else:
+                out[rows] = mixed(out[rows] ^ part)
+            more = left > 8
+            rows = np.flatnonzero(more) if rows is None else rows[more]
+            at, left = at[more] + 8, left[more] - 8
+        return out
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:

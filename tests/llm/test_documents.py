@@ -436,3 +436,21 @@ def test_op3_digests(spark):
     text = real(spark).where("doc_id = 1").first().text
     ids = sentencepieces.MergeVocabulary(queries.vocabulary_path()).library.encode(text, add_eos=True)
     assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def thue_morse(n):
+    """A word of two letters and its complement, which hash alike by every polynomial modulo a power of two."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [32, 64, 1024, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    one, other = thue_morse(n)
+    rows = spark.createDataFrame([(1, one), (2, other), (3, one.upper()), (4, f"x {one} y"), (5, f"x {other} y")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.classes(rows).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    items = spark.createDataFrame([(7, other)], "item_id long, text string")
+    found = decontaminate.verdicts(decontaminate.find_windows(rows, items, ["doc_id"]), ["doc_id"]).collect()
+    assert {r.doc_id for r in found if r.n_hit} == {2, 5}
