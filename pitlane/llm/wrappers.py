@@ -7,20 +7,23 @@ by one. Where the wrapper and a page part ways, a side that repeats what stands
 repeated part; otherwise the shorter way to a common tag makes the skipped side an optional part.
 There are no alternatives between parts, hence "union-free".
 
-Inference is a fold that runs in three steps, so that no host's pages meet in one task: each partition
-of pages folds what it has of a host, salted groups fold those results, and one group for each host
-folds the rest; what meets is wrappers, which are as large as a template, not as its pages. Pages
+Inference is a fold, so that no host's pages meet in one task: each partition of pages folds what it
+has of a host, then about FAN_IN of those results fold in a task, in as many rounds as it takes; what
+meets is wrappers, which are as large as a template, not as its pages. Pages
 then join their host's wrapper and are parsed where they lie.
 
 Parsing aligns each text with a slot of the wrapper. A text that stands in one slot on most of the
-different pages that fill it is template, whatever its tags; only mismatching text is a field. Texts
-are counted by hash in the whole table, as a repeated part has many in one slot. So hosts of fewer
-than LEAST_PAGES different pages have no template text.
-
-Among fields, rules on tags choose: a field is main text unless an element around it is layout by its
-name, role, class or id (navigation, header, footer, aside, form, advert, notice, comments ...). Where
-the page has an article or main element, its fields lie inside one; where it has none, lists of links
-alone are menus.
+different pages that fill it is template, whatever its tags. Texts are counted by hash in the whole
+table, as a repeated part has many in one slot. So hosts of fewer than LEAST_PAGES different pages have
+no template text.
+
+Wrapper and tags decide together. What lies in an element that is layout by its name, role, class or
+id (navigation, header, footer, aside, form, advert, notice, comments ...) is none of the main text. An
+article or main element outside of those is the page's main block if its text is at least as long as
+the mismatching text beside it; then all of the block is main text, also what other pages of the host
+have too (a byline, a body that several pages carry). On other pages the main text is all that is neither
+layout, nor a list of links alone, nor template; but template in the same element as mismatching text
+belongs to it, as the paragraphs of a body that several pages carry under titles of their own.
 """
 
 from __future__ import annotations
@@ -32,17 +35,19 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, cut
 
-#: Two levels of so many pairs of trees are aligned by the longest common sequence; larger ones in one sweep, which may make more parts optional.
-LCS_PAIRS = 250_000
+#: Levels of up to so many pairs of trees are aligned by a table, larger ones in halves by bits; both are exact.
+TABLE_PAIRS = 4_096
 #: Elements nested deeper than this lend their text to the slots of the last level, so that no page is too deep.
 DEPTH = 150
-SALTS = 16
+#: Wrappers of a host that meet in a task.
+FAN_IN = 16
 #: Text is template if so many different pages, and more than half of those that fill its slot, have it there.
 LEAST_PAGES = 3
 
@@ -54,28 +59,33 @@ RAW = frozenset("script style textarea title noscript template iframe".split())
 LAYOUT = frozenset("nav header footer aside form menu dialog fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MAIN = frozenset("article main".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption caption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adbox adslot banner banners sponsor sponsors sponsored promo promos promotion promotions nav navs navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar aside header masthead footer cookie cookies consent gdpr notice notices alert alerts disclaimer popup modal newsletter subscribe signup login form forms search searchbox share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies widget widgets toolbar pagination pager skip hidden".split())
 #: What a name may have beside those: "site-header", "related-posts", "ad-slot-2", but not "related-work".
 BESIDE = frozenset("a and area article articles bar block bottom box button buttons center column container content cookie desktop fixed float for global google group head icons inner item items label left link links list main medium mega mobile module more news outer page panel pages post posts primary rail right row secondary section site slot small stories sticky text thread title to top unit us user users wrap wrapper zone".split())
 
+#: Names that don't make an element of the main block layout, as its text has them too; and those that make an article one.
+TEXT_NAMES = frozenset("alert alerts disclaimer form forms header".split())
+OTHER_ARTICLES = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion comment comments commentlist reply replies related recommended".split())
+
 _PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</\s*([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _BARE = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.I)
 SLOT = "#"
 
 
-def is_layout_name(names: str) -> bool:
-    """Whether a class or id says that its element is layout: a word of NAMES, alone or beside others of them, of BESIDE and numbers."""
+def is_layout_name(names: str, of: frozenset[str] = NAMES) -> bool:
+    """Whether a class or id says that its element is layout: a word of ``of``, alone or beside others of NAMES, of BESIDE, numbers and words of one or two letters ("js-ad", "ad_300x250")."""
     for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split():
         parts = [p for p in re.split(r"[^a-z]+", name) if p]
-        if not NAMES.isdisjoint(parts) and all(p in NAMES or p in BESIDE for p in parts):
+        if not of.isdisjoint(parts) and all(p in NAMES or p in BESIDE or len(p) < 3 for p in parts):
             return True
     return False
 
 
 class Place(NamedTuple):
-    """What stands around a slot: whether an article or main element, how many layout elements, and how many of these are headers inside the former."""
+    """What stands around a slot: whether an article or main element that isn't inside layout, how many layout elements, and how many of these are headers inside the former."""
 
     main: bool = False
     layout: int = 0
@@ -83,11 +93,11 @@ class Place(NamedTuple):
 
     def within(self, element: str) -> Place:
         layout = element.endswith("!") or element in LAYOUT
-        return Place(self.main or element in MAIN, self.layout + layout, self.inner + (self.main and element == "header"))
+        return Place(self.main or element in MAIN and self.layout == self.inner, self.layout + layout, self.inner + (self.main and element == "header"))
 
 
 class Page:
-    """tokens: "<name" or "<name!" (layout by its attributes), "</name", "#". texts: of the slots, decoded. inside: of each slot, its place. links: whether a slot is a list of links alone."""
+    """tokens: "<name" or "<name!" (layout by its attributes), "</name", "#". texts: of the slots, decoded. inside: of each slot, its place. links: whether a slot is a list of links alone. within: the number of the element that holds the slot's paragraph."""
 
     def __init__(self, source: str):
         self.tokens: list[str] = []
@@ -95,7 +105,9 @@ class Page:
         self.inside: list[Place] = []
         self.links: list[bool] = []
         self.open: list[str] = []
+        self.within: list[int] = []
         self._places = [Place()]
+        self._numbers, self._count = [0], 0
         self._silent = 0
         self._text: list[str] = []
         self._anchors, self._in_link, self._bare = 0, False, False
@@ -108,6 +120,7 @@ class Page:
             self.tokens.append(SLOT)
             self.texts.append(text)
             self.inside.append(self._places[-1])
+            self.within.append(self._numbers[-1 - (self.open[-1:] != [] and self.open[-1].rstrip("!") in PARAGRAPHS)])
             self.links.append(not self._bare and self._anchors > ("li" not in self.open[-1:]))
         self._anchors, self._bare = int(self._in_link), False
 
@@ -116,6 +129,7 @@ class Page:
         while len(self.open) > to:
             name = self.open.pop().rstrip("!")
             self._places.pop()
+            self._numbers.pop()
             self._silent -= name in SILENT
             if name not in INLINE and len(self.open) < DEPTH:
                 self.tokens.append("</" + name)
@@ -129,8 +143,8 @@ class Page:
                 self._flush()
             return
         given = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-        named = is_layout_name(" ".join(given.get(k, "") for k in ("class", "id")))
-        marked = named and name not in ("html", "body", *MAIN) or given.get("role", "").lower() in ROLES or given.get("aria-hidden") == "true" or bool(_BARE.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+        of = frozenset() if name in ("html", "body", "main") else OTHER_ARTICLES if name == "article" else NAMES - TEXT_NAMES if self._places[-1].main else NAMES
+        marked = is_layout_name(" ".join(given.get(k, "") for k in ("class", "id")), of) or given.get("role", "").lower() in ROLES or given.get("aria-hidden") == "true" or bool(_BARE.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
         if name == "a":
             self._anchors, self._in_link = self._anchors + 1, True
         if name in INLINE and not marked:
@@ -144,6 +158,8 @@ class Page:
             self.tokens.append(f"<{name}{'!' * marked}")
         self.open.append(name + "!" * marked)
         self._places.append(self._places[-1].within(self.open[-1]))
+        self._count += 1
+        self._numbers.append(self._count)
         self._silent += name in SILENT
 
     def _implied(self, name: str) -> None:
@@ -285,31 +301,30 @@ def aligned(a: list, b: list) -> list:
 
 
 def _common(xs: list[str], ys: list[str]) -> list[tuple[int, int]]:
-    """Places of a common sequence, in order: the longest one, unless there are more than LCS_PAIRS pairs. Any common sequence gives an expression that both sides match."""
+    """Places of a longest common sequence, in order."""
     head = next((i for i, (x, y) in enumerate(zip(xs, ys, strict=False)) if x != y), min(len(xs), len(ys)))
-    out = [(i, i) for i in range(head)]
-    n, m = len(xs), len(ys)
-    if (n - head) * (m - head) > LCS_PAIRS:
-        where: dict[str, list[int]] = {}
-        for j in range(m - 1, head - 1, -1):
-            where.setdefault(ys[j], []).append(j)  # the next one is last
-        j = head
-        for i in range(head, n):
-            places = where.get(xs[i], [])
-            while places and places[-1] < j:
-                places.pop()
-            if places and places[-1] - j <= n - i:  # no leap that leaves more of the other side out than is left here
-                j = places[-1] + 1
-                out.append((i, j - 1))
-        return out
+    return [(i, i) for i in range(head)] + _longest(xs, ys, head, len(xs), head, len(ys))
+
+
+def _longest(xs: list[str], ys: list[str], a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+    """_common() of xs[a:b] and ys[c:d]. Beyond TABLE_PAIRS the first side is halved, and the other where both halves together have the longest sequence."""
+    if a == b or c == d:
+        return []
+    if b - a > 1 and (b - a) * (d - c) > TABLE_PAIRS:
+        middle = (a + b) // 2
+        before = _lengths(xs[a:middle], ys[c:d])
+        after = _lengths(xs[middle:b][::-1], ys[c:d][::-1])[::-1]
+        cut_at = c + int((before + after).argmax())
+        return _longest(xs, ys, a, middle, c, cut_at) + _longest(xs, ys, middle, b, cut_at, d)
+    n, m = b - a, d - c
     best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, head - 1, -1):
-        for j in range(m - 1, head - 1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if xs[i] == ys[j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = head
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if xs[a + i] == ys[c + j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
     while i < n and j < m:
-        if xs[i] == ys[j]:
-            out.append((i, j))
+        if xs[a + i] == ys[c + j]:
+            out.append((a + i, c + j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
@@ -318,6 +333,21 @@ def _common(xs: list[str], ys: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _lengths(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Of the first 0, 1, ... of ys, how long their longest common sequence with xs is: the zeros in a number that holds a row of the usual table as bits."""
+    where: dict[str, int] = {}
+    for j, y in enumerate(ys):
+        where[y] = where.get(y, 0) | 1 << j
+    full = (1 << len(ys)) - 1
+    row = full
+    for x in xs:
+        if x in where:
+            met = row & where[x]
+            row = (row + met | row - met) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(ys) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(ys)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def joined(a: list | None, b: list) -> list:
     """The wrapper of what both stand for."""
     return reduced(b) if a is None else aligned(a, reduced(b))
@@ -335,23 +365,21 @@ def reduced(nodes: list) -> list:
 
 
 def compiled(wrapper: list) -> list[tuple]:
-    """(kind, number of the slot or None, what the element holds) of each tree, marks aside."""
-    slots = 0
+    """(kind, number of the slot or None, what the element holds) of each tree, marks aside. Slots below the same tags have the same number, as an optional part between two of them may part what is one."""
+    slots: dict[tuple, int] = {}
 
-    def of(nodes: list) -> list[tuple]:
-        nonlocal slots
+    def of(nodes: list, above: tuple) -> list[tuple]:
         out = []
         for tree in _trees(nodes):
             core = _core(tree)
             if core[0] == SLOT:
-                out.append((SLOT, slots, None))
-                slots += 1
+                out.append((SLOT, slots.setdefault(above, len(slots)), None))
             else:
                 closed = len(core) > 1 and isinstance(core[-1], str) and core[-1].startswith("</")
-                out.append((core[0], None, of(core[1:-1] if closed else core[1:])))
+                out.append((core[0], None, of(core[1:-1] if closed else core[1:], (above, core[0]))))
         return out
 
-    return of(wrapper)
+    return of(wrapper, ())
 
 
 def aligned_slots(tokens: list[str], wrapper: list[tuple]) -> list[int | None]:
@@ -377,26 +405,27 @@ def aligned_slots(tokens: list[str], wrapper: list[tuple]) -> list[int | None]:
     return out
 
 
-def main_text(place: Place, has_main: bool, links: bool) -> bool:
-    """Whether a slot at this place is main text, on a page with an article or main element or not. A header of the article itself holds its title."""
-    if has_main:
-        return place.main and place.layout == place.inner
-    return not place.layout and not links
-
-
 def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def extract(source: str | None, wrapper: list[tuple], template: set[tuple[int, int]]) -> str:
-    """Main text of a page: its main fields in page order, joined by one space. template: slots and hashes of text that is none."""
+    """Main text of a page: its main fields in page order, joined by one space. template: slots and hashes of text that most pages of the host have there."""
     page = Page(source or "")
-    has_main = any(p.main for p in page.inside)
-    out = []
-    for text, place, links, slot in zip(page.texts, page.inside, page.links, aligned_slots(page.tokens, wrapper), strict=True):
-        if main_text(place, has_main, links) and not (template and slot is not None and (slot, _hash(text)) in template):
-            out.append(text)
-    return " ".join(out)
+    slots = aligned_slots(page.tokens, wrapper)
+    free = [p.layout == p.inner for p in page.inside]  # a header of the article itself holds its title
+    block = [p.main and f for p, f in zip(page.inside, free, strict=True)]
+    beside = [f and not b and not links for f, b, links in zip(free, block, page.links, strict=True)]
+    constant = [s is not None and (s, _hash(t)) in template for s, t in zip(slots, page.texts, strict=True)] if template else [False] * len(slots)
+    chars = lambda *flags: sum(len(t) for t, *which in zip(page.texts, *flags, strict=True) if all(which))
+    varied = [not c for c in constant]
+    if any(block) and chars(block) >= chars(beside, varied):
+        kept = block
+    else:
+        text = [x or y for x, y in zip(block, beside, strict=True)]
+        own = {within for within, x, y in zip(page.within, text, varied, strict=True) if x and y}
+        kept = [x and (y or within in own) for x, y, within in zip(text, block, page.within, strict=True)]
+    return " ".join(t for t, k in zip(page.texts, kept, strict=True) if k)
 
 
 def _partial(pages: DataFrame) -> DataFrame:
@@ -446,8 +475,12 @@ def _merged(parts: DataFrame, *by: str) -> DataFrame:
 def infer(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """host, w: the wrapper of each host, as JSON. Pages of null or odd URLs share the empty host."""
     rows = pages.select(_host(url), F.col(source).cast("string").alias("html"))
-    parts = _partial(rows).withColumn("salt", F.pmod(F.xxhash64("w"), F.lit(SALTS)).cast("int"))
-    return _merged(_merged(parts, "host", "salt"), "host")
+    parts = cut(_partial(rows))
+    meet, step = parts.groupBy("host").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0], 0
+    while meet > 1:
+        meet, step = -(-meet // FAN_IN), step + 1
+        parts = _merged(parts.withColumn("salt", F.pmod(F.xxhash64("w", F.lit(step)), F.lit(meet)).cast("int")), "host", "salt")
+    return parts
 
 
 def _host(url: str):

@@ -56,10 +56,10 @@ def random_tree(rng, depth):
     return out
 
 
-@pytest.mark.parametrize("pairs", [wrappers.LCS_PAIRS, 0])
+@pytest.mark.parametrize("pairs", [wrappers.TABLE_PAIRS, 0])
 def test_wrappers_match_all_their_pages(monkeypatch, pairs):
     """Whatever the pages and the alignment, the union-free expression accepts each page that it was made of, and folding its parts does so too."""
-    monkeypatch.setattr(wrappers, "LCS_PAIRS", pairs)
+    monkeypatch.setattr(wrappers, "TABLE_PAIRS", pairs)
     rng = random.Random(21)
     for _ in range(150):
         pages = [random_tree(rng, 3) for _ in range(4)]
@@ -70,8 +70,10 @@ def test_wrappers_match_all_their_pages(monkeypatch, pairs):
                 assert re.fullmatch(as_regex(w), "".join(t + " " for t in p))
 
 
-def test_alignment_is_as_long_as_can_be():
-    """The longest common sequence, against trying all of them."""
+@pytest.mark.parametrize("pairs", [wrappers.TABLE_PAIRS, 0])
+def test_alignment_is_as_long_as_can_be(monkeypatch, pairs):
+    """The longest common sequence, against trying all of them; by a table and by bits."""
+    monkeypatch.setattr(wrappers, "TABLE_PAIRS", pairs)
     rng = random.Random(5)
     for _ in range(300):
         xs, ys = ([rng.choice("abc") for _ in range(rng.randint(0, 6))] for _ in range(2))
@@ -81,9 +83,69 @@ def test_alignment_is_as_long_as_can_be():
         assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
 
 
+def test_long_levels_are_aligned_exactly():
+    rng = random.Random(6)
+    xs, ys = ([rng.choice("abcdef") for _ in range(n)] for n in (900, 700))
+    row = [0] * (len(ys) + 1)
+    for x in xs:
+        new = [0]
+        for j, y in enumerate(ys):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    got = wrappers._common(xs, ys)
+    assert [xs[i] for i, _ in got] == [ys[j] for _, j in got] and len(got) == row[-1]
+
+
+def texts_of(spark, sources, host="https://a.example/", parts=3):
+    df = spark.createDataFrame([(i, f"{host}{i}", s) for i, s in enumerate(sources)], "page_id long, url string, html string").repartition(parts)
+    return [r.text for r in wrappers.main_texts(df, ["page_id"]).orderBy("page_id").collect()]
+
+
+def test_articles_keep_what_other_pages_have_too(spark):
+    """A byline, a closing line and a body that several pages of the host carry are theirs."""
+    body = "".join(f"<p>Paragraph {j} of a syndicated story.</p>" for j in range(4))
+    plain = "Paragraph 0 of a syndicated story. Paragraph 1 of a syndicated story. Paragraph 2 of a syndicated story. Paragraph 3 of a syndicated story."
+    article = [f"<body>{MENU}<article><h1>Title {i}</h1><p>By Jane Roe</p>{body}<p>Read on.</p></article>{FOOT}" for i in range(6)]
+    assert texts_of(spark, article) == [f"Title {i} By Jane Roe {plain} Read on." for i in range(6)]
+    division = [f"<body><div><p>Our menu</p></div><div id=content><h1>Title {i}</h1>{body}</div><div><p>Since 1990</p></div></body>" for i in range(6)]
+    assert texts_of(spark, division) == [f"Title {i} {plain}" for i in range(6)]
+
+
+def test_wrappers_of_a_host_fold_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "FAN_IN", 2)
+    sources = [f"<body><div><p>Menu</p></div><div><h1>Title {i}</h1>{'<p>x</p>' * (i % 4)}</div></body>" for i in range(24)]
+    assert texts_of(spark, sources, parts=9) == [" ".join([f"Title {i}", *["x"] * (i % 4)]) for i in range(24)]
+
+
+def random_page(rng, i, frame):
+    """A page and its main text: an article in one of several markups within a host's frame, whose furniture varies."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    blocks = [f"Title {i} {line(3)}"] + [line(rng.randint(5, 30)) for _ in range(rng.randint(1, 8))]
+    inner = f"<h1>{blocks[0]}</h1>" + "".join(rng.choice(["<p>{}</p>", "<p class='lead'>{}</p>", "<blockquote>{}</blockquote>", "<div class='alert'>{}</div>", "<p><b>{}</b></p>", "<div class=form>{}</div>"]).format(b) for b in blocks[1:])
+    furniture = [f"<aside><article>{line(6)}</article></aside>", f"<div class='ad_wrapper_300x250'>{line(4)}</div>", f"<div class='js-ad'>{line(4)}</div>", f"<section id=comments><article class='comment'>{line(9)}</article></section>", f"<div class='cookie-notice'>{line(4)}</div>", f"<form><label>{line(2)}</label></form>", f"<ul class=menu><li>{word()}</li></ul>", f"<article class='comment'><p>{line(5)}</p></article>"]
+    some = rng.sample(furniture, rng.randint(0, 4))
+    holder = {"article": f"<article>{inner}</article>", "main": f"<main class=content>{inner}</main>", "div": f"<div id=content>{inner.replace(chr(39) + 'alert' + chr(39), 'x').replace('class=form', '')}</div>"}[frame]
+    at = rng.randint(0, len(some))
+    return f"<html><body>{MENU}<div><p>Welcome to our site</p></div>{''.join(some[:at])}{holder}{''.join(some[at:])}<div><p>Call us</p></div>{FOOT}", " ".join(blocks)
+
+
+@pytest.mark.parametrize("frame", ["article", "main", "div"])
+def test_generated_hosts(spark, frame):
+    rng = random.Random(17)
+    pages = [random_page(rng, i, frame) for i in range(40)]
+    assert texts_of(spark, [p for p, _ in pages]) == [t for _, t in pages]
+
+
 @pytest.mark.parametrize(
     ("source", "expected"),
     [
+        ("<div id=content><h1>Title</h1><p>The story itself.</p></div><aside><article>A related piece</article></aside>", "Title The story itself."),
+        ("<div id=content><h1>Title</h1><p>The story itself.</p></div><article><p>Card</p></article>", "Title The story itself. Card"),
+        ("<article><p>The story.</p><article class='comment'>Reader says</article></article><article class='comment'>Another</article>", "The story."),
+        ("<article><p>The story.</p><div class='ad_wrapper_300x250'>Buy now</div><div class='js-ad'>Buy</div></article>", "The story."),
+        ("<article><div class='alert'>Storm alert text</div><div class='form'>of verse</div><form><label>Name</label></form></article>", "Storm alert text of verse"),
+        ("<article><div class='article-header'><h1>Title</h1></div><p>Text</p></article>", "Title Text"),
         ("<article><div class='notice-board'>Kept one</div><section class='related-work'>Kept two</section><div class='related-posts'>no</div><p>Then <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>", "Kept one Kept two Then x=1"),
         ("<div class='siteHeader'>no</div><div><a>Home</a><a>About</a></div><ul><li><a>One</a></li><li><a>Two</a></li></ul><div><p>Story with a <a>link</a></p><p><a>A line of its own</a></p></div><div id='ad-slot-2'>no</div>", "Story with a link A line of its own"),
         ("<article><header><h1>Title</h1></header><p>Body &amp; soul</p><ul><li><a>Source</a></li></ul><div class='comments'><p>no</p></div><button>no</button></article><main><p>More</p></main>", "Title Body & soul Source More"),
