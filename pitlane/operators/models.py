@@ -22,100 +22,15 @@ from .diagnostics import pairs
 Schedule = list[tuple[int, int, int]]
 
 
-def by_window(df: DataFrame, schedule: Schedule, fit_score: Callable[[DataFrame, DataFrame], DataFrame], label: str, fit_end: int, least: int) -> DataFrame:
-    """row_id, score: each window's rows scored by what was fitted up to min(horizon, fit_end).
-
-    Fewer than ``least`` rows give 0, labels of one class their mean. ``df`` is read for each window,
-    so a long plan behind it should be stored first.
-    """
-    ends = [min(horizon, fit_end) for _, _, horizon in schedule]
-    seen = df.agg(*[a for i, end in enumerate(ends) for a in (F.count_if(F.col("date") <= end).alias(f"n{i}"), F.avg(F.when(F.col("date") <= end, F.col(label))).alias(f"m{i}"))]).first()
-    out = None
-    for i, (lo, hi, _) in enumerate(schedule):
-        rows, n, mean = df.where(F.col("date").between(lo, hi)), seen[f"n{i}"], seen[f"m{i}"]
-        if n < least or mean in (0.0, 1.0):
-            part = rows.select("row_id", F.lit(0.0 if n < least else float(mean)).alias("score"))
-        else:
-            part = fit_score(df.where(F.col("date") <= ends[i]), rows).select("row_id", F.col("score").cast("double").alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@dataclass(frozen=True)
-class Trained:
-    """model: the best one. budget: its iterations. curve: (budget, primary) of each that was tried."""
-
-    model: PipelineModel
-    budget: int
-    curve: list[tuple[int, float]]
-
-
-#: learner(budget, seed): an unfitted pipeline whose probability column scores.
-Learner = Callable[[int, int], Pipeline]
-
-
-def train(past: DataFrame, valid: DataFrame, learner: Learner, label: str = "long_view", budgets: tuple[int, ...] = (2, 5, 10), patience: int = 4, seed: int = 0, least: float = 1e-5) -> Trained:
-    """Fits with growing numbers of iterations until ``patience`` in a row gain no primary on ``valid``."""
-    best, value, curve = None, -1.0, []
-    known = past.withColumn(label, F.col(label).cast("double"))
-    for budget in budgets:
-        model = learner(budget, seed).fit(known)
-        scored = predict(model, valid).join(valid.select("row_id", "user_id", label), "row_id")
-        primary = metrics.evaluate(scored, label, "score").first().primary
-        curve.append((budget, primary))
-        if primary > value + least:
-            best, value = Trained(model, budget, curve), primary
-        elif len(curve) - 1 - [b for b, _ in curve].index(best.budget) >= patience:
-            break
-    return best
-
-
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """row_id, score."""
     return model.transform(rows).select("row_id", vector_to_array("probability")[1].cast("double").alias("score"))
 
 
-def fm_learner(columns: list[str], label: str = "long_view", factors: int = 8, step: float = 0.05) -> Learner:
-    return lambda budget, seed: Pipeline(stages=[*_categorical(columns), FMClassifier(labelCol=label, factorSize=factors, maxIter=budget, stepSize=step, seed=seed, solver="adamW")])
-
-
 def gbt_learner(features: list[str], label: str = "long_view", depth: int = 4, **params) -> Learner:
     return lambda budget, seed: Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), GBTClassifier(labelCol=label, maxIter=budget, maxDepth=depth, seed=seed, **params)])
 
 
-def mean_scores(parts: list[DataFrame]) -> DataFrame:
-    """row_id, score: the mean over scores of several seeds."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("row_id").agg(F.avg("score").alias("score")) if len(parts) > 1 else out
-
-
-def refit_scores(df: DataFrame, learner: Learner, label: str = "long_view", seeds: tuple[int, ...] = (0, 1, 2), tau: float = 14.0, strict: bool = True, budgets: tuple[int, ...] = (2, 5, 10)) -> DataFrame:
-    """row_id, score of all rows of ``df`` (with split train, valid, test), the mean over seeds.
-
-    Models are fitted on training rows, the later the likelier drawn: exp(-days to the last one / tau),
-    by a hash of the row, as FMClassifier takes no weights. The number of iterations is that of the
-    best primary on the validation rows. Permissive: test rows are scored by models refitted on
-    training and validation rows for the median number of iterations.
-    """
-    day = F.datediff(calendar_date(F.col("date")), F.lit("1970-01-01").cast("date"))
-    last = df.where("split = 'train'").agg(F.max(day)).first()[0] or 0
-
-    def drawn(parts: list[str], seed: int) -> DataFrame:
-        chance = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
-        return df.where(F.col("split").isin(parts) & (chance < F.exp(F.least(day - last, F.lit(0)) / tau)))
-
-    fits = [train(drawn(["train"], s), df.where("split = 'valid'"), learner, label, budgets, seed=s) for s in seeds]
-    scores = mean_scores([predict(f.model, df) for f in fits])
-    if strict:
-        return scores
-    budget, test = sorted(f.budget for f in fits)[len(fits) // 2], df.where("split = 'test'")
-    again = [learner(budget, s).fit(drawn(["train", "valid"], s).withColumn(label, F.col(label).cast("double"))) for s in seeds]
-    late = mean_scores([predict(m, test) for m in again])
-    return scores.join(test.select("row_id"), "row_id", "left_anti").unionByName(late)
-
-
 #: The key families of each expert.
 EXPERTS = {
     "context": {"tab": ["tab"]},
@@ -165,15 +80,6 @@ def expert_scores(rows: DataFrame, names: list[str], label: str = "long_view", b
     return predict(model, rows)
 
 
-def _categorical(columns: list[str]) -> list:
-    return [StringIndexer(inputCols=columns, outputCols=[f"{c}_ix" for c in columns], handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=[f"{c}_ix" for c in columns], outputCols=[f"{c}_hot" for c in columns], handleInvalid="keep"), VectorAssembler(inputCols=[f"{c}_hot" for c in columns], outputCol="features")]
-
-
-def fm_scores(columns: list[str], label: str = "long_view", factors: int = 8, iterations: int = 10, seed: int = 0, step: float = 0.05) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """A factorisation machine over one-hot columns."""
-    return _fitted(fm_learner(columns, label, factors, step), label, iterations, seed)
-
-
 def gbt_scores(features: list[str], label: str = "long_view", iterations: int = 10, depth: int = 4, seed: int = 0, **params) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """Boosted trees over numeric columns."""
     return _fitted(gbt_learner(features, label, depth, **params), label, iterations, seed)
@@ -208,35 +114,6 @@ def als_scores(df: DataFrame, schedule: Schedule, label: str = "long_view", rank
     return out
 
 
-def attention_scores(df: DataFrame, schedule: Schedule, label: str = "long_view", rank: int = 16, length: int = 32, least: int = 500, seed: int = 0) -> DataFrame:
-    """row_id, score: target attention of a row's item over the last ``length`` positives of its user up to the window's horizon.
-
-    Items are vectors of implicit factors. The score is the mean of the item's products with those of
-    the history, weighted by their softmax: what is alike counts most. 0 without a history, for an
-    unknown item, or with fewer than ``least`` positives.
-    """
-    out = None
-    for lo, hi, horizon in schedule:
-        rows = df.where(F.col("date").between(lo, hi)).select("row_id", "user_id", "video_id")
-        past = df.where((F.col("date") <= horizon) & (F.col(label) == 1))
-        known = past.groupBy(F.col("user_id").cast("int").alias("user_id"), "video_id").agg(F.lit(1.0).alias("one"))
-        if known.count() < least:
-            part = rows.select("row_id", F.lit(0.0).alias("score"))
-        else:
-            als = ALS(userCol="user_id", itemCol="video_id", ratingCol="one", implicitPrefs=True, rank=rank, regParam=0.05, alpha=40.0, maxIter=6, seed=seed)
-            items = als.fit(known).itemFactors.select(F.col("id").alias("video_id"), F.col("features").alias("_v"))
-            last = windows.top_k(past, ["user_id"], [F.desc("time_ms"), F.desc("row_id")], length).select("user_id", "video_id")
-            history = last.join(items, "video_id").groupBy("user_id").agg(F.collect_list("_v").alias("_h"))  # ``length`` vectors at most
-            met = rows.join(items, "video_id", "left").join(history, "user_id", "left")
-            alike = F.transform("_h", lambda h: F.aggregate(F.zip_with("_v", h, lambda a, b: (a * b).cast("double")), F.lit(0.0), lambda s, x: s + x))
-            met = met.select("row_id", F.when(F.col("_v").isNotNull(), alike).alias("_a"))
-            e = F.transform("_a", lambda x: F.exp(x - F.array_max("_a")))
-            total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-            part = met.select("row_id", F.coalesce(total(F.zip_with(e, "_a", lambda w, x: w * x)) / total(e), F.lit(0.0)).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def fm_logit(bias: Column, weights: list[Column], vectors: list[Column], k: int) -> Column:
     """bias + sum of weights + half of (square of the summed vectors - sum of their squares)."""
     pairs_ = F.lit(0.0)

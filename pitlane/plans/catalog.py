@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import smoothed_rate
 from ..operators import keys
 from ..sources.impressions import Fold, impressions, users, videos
+from ..sources.scratch import scratch, stored  # noqa: F401  for the catalogs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,9 +32,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-def log(spark: SparkSession, d: str) -> DataFrame:
+def log(spark: SparkSession, d: str, feedback: bool = False) -> DataFrame:
     """The log with its items' attributes, the row's horizon hz, its split and a duration bucket."""
-    rows = impressions(spark, d).join(videos(spark, d), "video_id", "left")
+    rows = impressions(spark, d, feedback).join(videos(spark, d), "video_id", "left")
     rows = rows.withColumn("hz", keys.window_horizon(F.col("date"), SCHEDULE)).withColumn("dur_bucket", F.floor(F.col("duration_ms") / DUR_WIDTH).cast("int"))
     return OFFICIAL.with_part(rows)
 
@@ -50,21 +49,6 @@ def popularity(spark: SparkSession, d: str, alpha: float = 20.0) -> DataFrame:
     return out.withColumn("score", F.coalesce(smoothed_rate(F.col("pos"), F.col("imp"), F.col("g"), alpha), F.col("g")))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of its own, in the one that the cluster shares; a temporary one where none is named and the master is local."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
-    return f"{(shared or tempfile.mkdtemp(prefix='pitlane-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back, for what is read many times: learners and searches."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def day_ledger(spark: SparkSession, d: str) -> DataFrame:
     """A ledger made of the log: each split a run, each of its days an iteration whose score is its rate of positives, NaN on every seventh day."""
     days = log(spark, d).where("split is not null").groupBy(F.col("split").alias("run"), "date").agg(F.round(F.avg("long_view"), 6).alias("rate"), F.count("*").alias("n"))

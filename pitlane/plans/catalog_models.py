@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
-from ..operators import keys, metrics, models, pit, windows
+from ..operators import keys, learners, metrics, models, pit, windows
+from ..operators.nets import OBJECTIVES
 from ..sources import files
-from ..sources.impressions import table, users, videos
+from ..sources.impressions import FEEDBACK, table, users, videos
 from ..streaming.prefix import start_prefix
 from . import context as candidates
 from .catalog import BASE, DAY_LEDGER, OFFICIAL, POP, SCHEDULE, SUMMARY, day_ledger, groups_sql, log, popularity, query, rounded_summary, scratch, stored
@@ -23,9 +24,14 @@ def scored(spark, d, scores: DataFrame) -> DataFrame:
     return rounded_summary(metrics.evaluate(rows.join(scores, "row_id"), "long_view", "score", by=["split"]), "split")
 
 
-def learning_rows(spark, d) -> DataFrame:
+#: Fields of the factorisation machines.
+FIELDS = ["user_id", "video_id", "author_id", "tab", "dur_bucket"]
+
+
+def learning_rows(spark, d, feedback: bool = False) -> DataFrame:
     """The columns that learners of ids read, stored once for all windows."""
-    return stored(log(spark, d).select("row_id", "user_id", "video_id", "date", "time_ms", "split", "tab", "tag", "author_id", "long_view", "is_click"), "learning")
+    more = [f"gave_{kind}" for kind in FEEDBACK] if feedback else []
+    return stored(log(spark, d, feedback).select("row_id", "user_id", "video_id", "date", "time_ms", "split", "tab", "tag", "author_id", "dur_bucket", "long_view", "is_click", *more), "learning")
 
 
 @query("mf01_als")
@@ -40,38 +46,65 @@ def mf02(spark, d):
 
 @query("mod01_fm_early_stopping")
 def mod01_fit(spark, d):
-    """The factorisation machine fitted on the training days for the number of iterations of the best validation primary, scored on all splits."""
+    """The factorisation machine fitted on the training days until the validation primary stops growing, scored on all splits."""
     rows = learning_rows(spark, d)
-    fitted = models.train(rows.where("split = 'train'"), rows.where("split = 'valid'"), models.fm_learner(["tab", "tag", "author_id"], factors=4))
-    return scored(spark, d, models.predict(fitted.model, rows)).withColumn("iterations", F.lit(fitted.budget))
+    stack = learners.fitted_fm(rows.where("split = 'train'"), rows.where("split = 'valid'"), FIELDS)
+    return scored(spark, d, learners.scored_by(stack, rows, FIELDS)).withColumns({"best_pass": F.lit(stack.best[0]), "passes": F.lit(len(stack.curves[0]))})
 
 
 @query("mod02_windowed_fm")
 def mod02(spark, d):
-    fm = models.fm_scores(["tab", "tag", "author_id"], factors=4)
-    return scored(spark, d, models.by_window(learning_rows(spark, d), SCHEDULE, fm, "long_view", FIT_END, 200))
+    return scored(spark, d, learners.windowed_fm(learning_rows(spark, d), SCHEDULE, FIELDS, ["long_view"], FIT_END).withColumnRenamed("long_view", "score"))
+
+
+def by_name(scores: DataFrame, names: list[str], out: str) -> DataFrame:
+    """row_id, ``out``, score: a row for each column of scores."""
+    return scores.unpivot("row_id", names, out, "score")
+
+
+def scored_apart(spark, d, scores: DataFrame, names: list[str], out: str, rows: DataFrame | None = None) -> DataFrame:
+    """The metrics of each split and column of scores, by one evaluation; ``rows`` has the labels of what each column is for."""
+    labels = rows if rows is not None else log(spark, d).select("row_id", "user_id", "split", "long_view")
+    on = ["row_id", *([out] if out in labels.columns else [])]
+    return rounded_summary(metrics.evaluate(labels.join(by_name(scores, names, out), on), "long_view", "score", by=[out, "split"]), out, "split")
 
 
 @query("mod03_propensity")
 def mod03(spark, d):
-    fm = models.fm_scores(["tab", "tag"], "is_click", factors=4)
-    return scored(spark, d, models.by_window(learning_rows(spark, d), SCHEDULE, fm, "is_click", FIT_END, 200))
+    """Machines for the five kinds of feedback side by side, each measured on its own feedback."""
+    rows, names = learning_rows(spark, d, feedback=True), [f"gave_{kind}" for kind in FEEDBACK]
+    scores = learners.windowed_fm(rows, SCHEDULE, FIELDS, names, FIT_END, epochs=6)
+    truth = rows.unpivot(["row_id", "user_id", "split"], names, "target", "long_view")
+    return scored_apart(spark, d, scores, names, "target", truth)
 
 
 @query("mod04_refit")
 def mod04(spark, d):
-    """Refits with recency weights over three seeds, test rows by models of training days alone (strict) or of validation days too."""
-    rows, fm, out = learning_rows(spark, d), models.fm_learner(["tab", "tag", "author_id"], factors=4), None
-    for strict in (True, False):
-        scores = models.refit_scores(rows, fm, strict=strict, budgets=(5, 10))
-        part = scored(spark, d, scores).withColumn("strict", F.lit(strict))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Machines with recency weights over three seeds; test rows by those of the training days alone (strict) or refitted with the validation days too (permissive)."""
+    scores = learners.refit_scores(learning_rows(spark, d), FIELDS)
+    return scored_apart(spark, d, scores, ["strict", "permissive"], "reading")
+
+
+@query("mod05_trained_losses")
+def mod05_trained(spark, d):
+    """Machines of each objective over the lists of a user and day, fitted side by side, each until its validation primary stops growing."""
+    rows = learning_rows(spark, d)
+    stack = learners.fitted_fm(rows.where("split = 'train'"), rows.where("split = 'valid'"), FIELDS, losses=OBJECTIVES, lists=["user_id", "date"])
+    out = stack.scores(rows.select("row_id", learners.slots(FIELDS).alias("x")), ["row_id"])
+    return scored_apart(spark, d, out.select("row_id", *[F.col("score")[i].alias(x) for i, x in enumerate(OBJECTIVES)]), [*OBJECTIVES], "loss")
 
 
 @query("mod07_target_attention")
 def mod07_attention(spark, d):
-    return scored(spark, d, models.attention_scores(learning_rows(spark, d), SCHEDULE))
+    scores = learners.attention_scores(learning_rows(spark, d), SCHEDULE, FIELDS)
+    return scored(spark, d, scores.withColumnRenamed("plain", "score"))
+
+
+@query("mod08_weighted_attention")
+def mod08_attention(spark, d):
+    """Target attention with training rows weighted by their histories in three ways."""
+    modes = [m for m in learners.MODES if m != "plain"]
+    return scored_apart(spark, d, learners.attention_scores(learning_rows(spark, d), SCHEDULE, FIELDS, modes=tuple(modes), seeds=(0,)), modes, "mode")
 
 
 @query("mod07_sequences", f"WITH {BASE}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time_ms DESC, row_id DESC) AS n FROM log WHERE date <= {FIT_END}) SELECT user_id, CAST(count(*) AS BIGINT) AS slen, string_agg(CAST(video_id + 1 AS VARCHAR), ',' ORDER BY n DESC) AS seq FROM x WHERE n <= 32 GROUP BY 1")

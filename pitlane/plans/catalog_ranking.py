@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_below, day_index, hashed_unit, hashed_unit_sql
-from ..operators import cf, diagnostics, fusion, keys, metrics, models, pit, runs, selection, windows
+from ..operators import cf, diagnostics, fusion, keys, learners, metrics, models, pit, runs, selection, windows
 from .catalog import BASE, DAY_LEDGER, OFFICIAL, POP, SCHEDULE, SUMMARY, day_ledger, groups_sql, log, popularity, query, r6, rounded_summary, stored
 from .catalog_features import _COSINE, _TRAIN_EDGES, train_edges
 
@@ -306,10 +306,11 @@ def aud03(spark, d):
 @query("aud04_label_shuffle")
 def aud04(spark, d):
     """The factorisation machine refitted on shuffled training labels, scored on the true validation labels: above 0.52 it reads the answer."""
-    rows = stored(selection.shuffled_labels(log(spark, d), "long_view", 11).select("row_id", "user_id", "split", "tab", "tag", "author_id", "long_view", "shuffled"), "shuffled")
-    fm = models.fm_scores(["tab", "tag", "author_id"], "shuffled", factors=4, iterations=5)
+    fields = ["user_id", "video_id", "author_id", "tab", "dur_bucket"]
+    rows = stored(selection.shuffled_labels(log(spark, d), "long_view", 11).select("row_id", "split", *fields, "long_view", "shuffled"), "shuffled")
     valid = rows.where("split = 'valid'")
-    out = metrics.evaluate(valid.join(fm(rows.where("split = 'train'"), valid), "row_id"), "long_view", "score")
+    stack = learners.fitted_fm(rows.where("split = 'train'"), None, fields, "shuffled", epochs=10)
+    out = metrics.evaluate(valid.join(learners.scored_by(stack, valid, fields), "row_id"), "long_view", "score")
     return rounded_summary(out).withColumn("finding", selection.shuffle_finding(F.col("primary_score")))
 
 

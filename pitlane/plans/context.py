@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import smoothed_rate
-from ..operators import cf, keys, models, pit, windows
+from ..operators import cf, keys, learners, models, pit, windows
 from ..operators.lineage import Lineage
 from ..operators.metrics import evaluate
 from ..sources.impressions import OUTCOMES, Fold
@@ -90,25 +90,26 @@ class Context:
         return self.frozen_prefix(by).select("row_id", smoothed_rate(F.col("pos"), F.col("lab"), prior).alias(name))
 
     @point_in_time
-    def baseline_score(self, columns: tuple[str, ...] = ("tab", "tag", "author_id"), factors: int = 4) -> DataFrame:
+    def baseline_score(self, columns: tuple[str, ...] = ("user_id", "video_id", "author_id", "tab")) -> DataFrame:
         """row_id, score of factorisation machines, each window's fitted before it."""
-        return models.by_window(self._with(list(columns)), self.schedule, models.fm_scores(list(columns), self.label, factors), self.label, self.fit_end, 200)
+        return learners.windowed_fm(self._with(list(columns)), self.schedule, list(columns), [self.label], self.fit_end).withColumnRenamed(self.label, "score")
 
     @point_in_time
-    def auxiliary_signal(self, name: str, columns: tuple[str, ...] = ("tab", "tag"), factors: int = 4) -> DataFrame:
+    def auxiliary_signal(self, name: str, columns: tuple[str, ...] = ("user_id", "video_id", "author_id", "tab")) -> DataFrame:
         """row_id, score: the propensity of another feedback, as baseline_score() is that of the label. The feedback itself is an outcome."""
         if name not in OUTCOMES:
             raise ValueError(f"{name} is no feedback of the log")
-        return models.by_window(self._with(list(columns)), self.schedule, models.fm_scores(list(columns), name, factors), name, self.fit_end, 200)
+        return learners.windowed_fm(self._with(list(columns)), self.schedule, list(columns), [name], self.fit_end, epochs=6).withColumnRenamed(name, "score")
 
     @point_in_time
-    def refit_score(self, columns: tuple[str, ...] = ("tab", "tag", "author_id"), strict: bool = True, seeds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
-        return models.refit_scores(self._with(list(columns)), models.fm_learner(list(columns), self.label, 4), self.label, seeds, strict=strict)
+    def refit_score(self, columns: tuple[str, ...] = ("user_id", "video_id", "author_id", "tab"), strict: bool = True, seeds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+        scores = learners.refit_scores(self._with(list(columns)), list(columns), self.label, seeds, permissive=not strict)
+        return scores.select("row_id", F.col("strict" if strict else "permissive").alias("score"))
 
     @point_in_time
-    def din_score(self) -> DataFrame:
-        """row_id, score: attention of the row's item over its user's last positives."""
-        return models.attention_scores(self._log, self.schedule, self.label)
+    def din_score(self, columns: tuple[str, ...] = ("user_id", "video_id", "tab"), mode: str = "plain") -> DataFrame:
+        """row_id, score: learned attention of the row's item over its user's last positives."""
+        return learners.attention_scores(self._with(list(columns)), self.schedule, list(columns), self.label, (mode,)).withColumnRenamed(mode, "score")
 
     @point_in_time
     def expert_score(self, subspace: str, prior: float = 0.4) -> DataFrame:

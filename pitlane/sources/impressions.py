@@ -28,8 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id, user_id, video_id, date (yyyymmdd), time_ms, hour, tab, duration_ms, and the outcomes long_view and is_click."""
+#: Kinds of feedback, an event type each.
+FEEDBACK = ("click", "error", "purchase", "signup", "view")
+
+
+def impressions(spark: SparkSession, sf_dir: str, feedback: bool = False) -> DataFrame:
+    """row_id, user_id, video_id, date (yyyymmdd), time_ms, hour, tab, duration_ms, and the outcomes long_view and is_click.
+
+    feedback: also gave_<kind> of each of FEEDBACK, which are outcomes too.
+    """
     ts = F.col("ts")
     millis = F.datediff(F.to_date(ts), F.lit(datetime.date(1970, 1, 1))).cast("long") * 86_400_000 + F.hour(ts) * 3_600_000 + F.minute(ts) * 60_000 + F.floor(F.expr("extract(SECOND FROM ts)") * 1000)
     return table(spark, sf_dir, "events").select(
@@ -43,6 +50,7 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("duration_ms"),
         F.col("event_type").isin("view", "purchase").cast("int").alias("long_view"),
         (F.col("event_type") == "click").cast("int").alias("is_click"),
+        *[(F.col("event_type") == kind).cast("int").alias(f"gave_{kind}") for kind in (FEEDBACK if feedback else ())],
     )
 
 

@@ -161,48 +161,6 @@ def test_sealed_split_and_matrix(spark, tmp_path):
         files.read_matrix(spark, str(tmp_path / "m"), 3)
 
 
-def test_refits_know_their_rows(spark, monkeypatch):
-    """Strict fits see training rows alone, permissive ones validation rows too, for test rows only; late rows are drawn more often."""
-    seen = []
-
-    class Learner:
-        def __init__(self, budget, seed):
-            self.budget = budget
-
-        def fit(self, past):
-            seen.append({r["split"]: r["count"] for r in past.groupBy("split").count().collect()} | {"day": past.agg(F.avg("date")).first()[0]})
-            return self.budget
-
-    monkeypatch.setattr(models, "predict", lambda budget, rows: rows.select("row_id", F.lit(float(budget)).alias("score")))
-    rows = [(i, i % 7, 20240101 + i % 28, ["train", "valid", "test"][(i % 28 > 13) + (i % 28 > 20)], i % 2) for i in range(2_800)]
-    df = spark.createDataFrame(rows, "row_id int, user_id int, date int, split string, long_view int")
-    strict = models.refit_scores(df, Learner, seeds=(0, 1), tau=5.0, budgets=(2, 5))
-    assert strict.count() == 2_800 and all(set(s) == {"train", "day"} for s in seen) and all(s["day"] > 20240108 for s in seen)
-    seen.clear()
-    loose = models.refit_scores(df, Learner, seeds=(0, 1), tau=5.0, strict=False, budgets=(2, 5))
-    assert loose.count() == 2_800 and sum("valid" in s for s in seen) == 2 and not any("test" in s for s in seen)
-
-
-def test_attention_by_hand(spark, monkeypatch):
-    vectors = {1: [1.0, 0.0], 2: [0.5, 0.5], 3: [0.0, 2.0]}
-
-    class Als:
-        def __init__(self, **_):
-            pass
-
-        def fit(self, known):
-            self.itemFactors = spark.createDataFrame(list(vectors.items()), "id int, features array<float>")
-            return self
-
-    monkeypatch.setattr(models, "ALS", Als)
-    log = [(1, 7, 1, 1, 20240101, 1), (2, 7, 2, 2, 20240101, 1), (3, 7, 3, 3, 20240102, 1), (4, 7, 1, 4, 20240103, 0), (5, 8, 1, 5, 20240103, 0), (6, 7, 9, 6, 20240103, 0)]
-    df = spark.createDataFrame(log, "row_id int, user_id int, video_id int, time_ms int, date int, long_view int")
-    got = {r.row_id: r.score for r in models.attention_scores(df, [(20240103, 20240103, 20240102)], length=2, least=1).collect()}
-    a = [0.5, 0.0]  # item 1 with the last two, items 2 and 3
-    w = [math.exp(x) for x in a]
-    assert got == pytest.approx({4: sum(x * y for x, y in zip(w, a, strict=True)) / sum(w), 5: 0.0, 6: 0.0})
-
-
 def test_decomposition_adds_up(spark):
     rng = random.Random(8)
     rows = []
