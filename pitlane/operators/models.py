@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import FMClassifier, GBTClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import calendar_date, day_index
+from ..functions.scalars import day_index
+from ..sources.scratch import stored
 from . import metrics, pit, windows
+from .boosting import OBJECTIVES, Boosted
 from .diagnostics import pairs
 
 Schedule = list[tuple[int, int, int]]
@@ -27,6 +28,10 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select("row_id", vector_to_array("probability")[1].cast("double").alias("score"))
 
 
+#: learner(budget, seed): an unfitted pipeline whose probability column scores.
+Learner = Callable[[int, int], Pipeline]
+
+
 def gbt_learner(features: list[str], label: str = "long_view", depth: int = 4, **params) -> Learner:
     return lambda budget, seed: Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), GBTClassifier(labelCol=label, maxIter=budget, maxDepth=depth, seed=seed, **params)])
 
@@ -209,6 +214,34 @@ def tree_params(given: dict) -> dict:
     return out
 
 
+#: What a list is, by the name that a candidate gives.
+GROUPS = {"user_day": ["user_id", "date"], "user": ["user_id"]}
+
+
+def booster_params(given: dict) -> tuple[str, list[str], dict]:
+    """Objective, list keys and arguments of boosting.Boosted for parameters that may name an objective and a group; the others are clipped. Rows are never left out of a tree, so bagging has no effect."""
+    rest = {k: v for k, v in given.items() if k not in ("objective", "group")}
+    objective, group = given.get("objective", "binary"), given.get("group", "user_day")
+    if objective not in OBJECTIVES or group not in GROUPS:
+        raise ValueError(f"objective must be one of {', '.join(OBJECTIVES)} and group one of {', '.join(GROUPS)}")
+    p = clipped_params(rest)
+    out = {k: v for k, v in p.items() if k in ("learning_rate", "min_data_in_leaf", "lambda_l1", "lambda_l2", "min_gain_to_split", "feature_fraction")}
+    if p.get("max_depth", -1) > 0:
+        out["depth"] = min(p["max_depth"], 10)
+    elif "num_leaves" in p:
+        out["depth"] = max(1, math.ceil(math.log2(p["num_leaves"])))
+    return objective, GROUPS[group], out
+
+
+def boosted_scores(rows: DataFrame, names: list[str], objective: str, group: list[str], label: str = "long_view", **params) -> DataFrame:
+    """row_id, score of all rows by trees of this objective, fitted on the rows of split train; as many of them as have the best primary on those of split valid."""
+    booster = Boosted(names, objective, **params)
+    train = rows.where("split = 'train'")
+    booster.start(train)
+    booster.fit(stored(booster.records(train, label, group), "records")).shortened(rows.where("split = 'valid'"), label)
+    return booster.scores(rows, ["row_id"])
+
+
 def late_only(history: Column, least: int = 10) -> Column:
     """Weight 1 for rows whose history has at least ``least`` items, else 0."""
     return (F.coalesce(history, F.lit(0)) >= least).cast("double")

@@ -131,6 +131,13 @@ def mod09(spark, d):
     return scored(spark, d, models.gbt_scores(names)(rows.where("split = 'train'"), rows))
 
 
+@query("mod09_lambdarank")
+def mod09_lambdarank(spark, d):
+    """Trees with pair gradients within the lists of a user and day, as many as have the best validation primary."""
+    names = [*FEATURES, *(f"{c}_dev" for c in FEATURES)]
+    return scored(spark, d, models.boosted_scores(feature_rows(spark, d), names, "lambdarank", models.GROUPS["user_day"], learning_rate=0.1, depth=4))
+
+
 @query("mod10_experts")
 def mod10(spark, d):
     """Trees on each of three families of features apart, fitted on the training days, scored on all splits."""

@@ -144,7 +144,9 @@ class Context:
 class Candidate:
     """build(context) gives row_id and columns, or these and a dict of tree parameters (models.ALLOWED).
 
-    Mode "scores" takes the first column as the score, "features" fits trees on all of them.
+    Mode "scores" takes the first column as the score, "features" fits trees on all of them; an objective
+    (binary or lambdarank) and a group (user_day or user) among the parameters choose trees with an
+    objective over lists.
     """
 
     name: str
@@ -164,12 +166,16 @@ def run_candidate(context: Context, candidate: Candidate, part: str = "valid") -
     try:
         built = candidate.build(context)
         matrix, given = built if isinstance(built, tuple) else (built, {})
-        params = models.tree_params(given)
+        boosted = models.booster_params(given) if "objective" in given else None
+        params = {} if boosted else models.tree_params(given)
         names = context.check(matrix)
         rows = context._log.join(matrix, "row_id")
         if candidate.mode == "features":
-            fit_score = models.gbt_scores(names, context.label, **params)
-            scored = fit_score(context.fold.rows(rows, "train"), context.fold.rows(rows, part))
+            if boosted:
+                scored = models.boosted_scores(rows, names, boosted[0], boosted[1], context.label, **boosted[2])
+            else:
+                fit_score = models.gbt_scores(names, context.label, **params)
+                scored = fit_score(context.fold.rows(rows, "train"), context.fold.rows(rows, part))
             rows, score = rows.join(scored, "row_id"), "score"
         else:
             score = names[0]

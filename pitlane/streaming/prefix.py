@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.pit import CELL_MS, prefix_sums
+
 STATE = "k {kind}, n long, pos long"
 
 
 def batch_prefix(batch: DataFrame, state: DataFrame | None) -> DataFrame:
     """row_id, prior_n, prior_pos of a batch (k, row_id, y, t): counts of the state and of the batch's rows before it by (t, row_id).
 
-    One window over the batch, which spills what a hot key needs; a null key is a key, a null label counts as 0.
+    A hot key of the batch is ordered in cells of time; a null key is a key, a null label counts as 0.
     """
-    before = W.partitionBy("k").orderBy("t", "row_id").rowsBetween(W.unboundedPreceding, -1)
-    rows = batch.select("k", "row_id", F.count("*").over(before).alias("prior_n"), F.coalesce(F.sum(F.coalesce("y", F.lit(0))).over(before), F.lit(0)).alias("prior_pos"))
+    minute = F.floor((F.unix_millis("t") if dict(batch.dtypes)["t"] == "timestamp" else F.col("t").cast("long")) / CELL_MS).cast("long")
+    rows = prefix_sums(batch, ["k"], {"prior_n": F.lit(1).cast("long"), "prior_pos": F.coalesce("y", F.lit(0)).cast("long")}, ("t", "row_id"), minute)
     if state is None:
         return rows.select("row_id", "prior_n", "prior_pos")
     held = state.select(F.col("k").alias("_k"), "n", "pos")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitlane.operators import nets, sgd
+from pitlane.operators import boosting, nets, sgd
 
 
 def lists_of(rng, sizes):
@@ -190,3 +190,93 @@ def test_nothing_to_learn_from(spark):
     rows = sgd.rows_to_learn(df, X(), [F.col("y")], [F.lit(0.0)], 1)
     stack = sgd.Stack(nets.FactorisationMachine(4), [sgd.Member()]).fit(rows, 1, 2)
     assert set(map(tuple, scores(stack, df).values())) == {(0.0,)}
+
+
+def test_lambdas_equal_brute_force():
+    rng = np.random.default_rng(8)
+    lengths = np.array([6, 1, 30, 0, 4, 11])
+    n = int(lengths.sum())
+    s, y = np.round(rng.normal(size=n), 1), (rng.random(n) < 0.4).astype(float)
+    for truncation in (3, 15):
+        g, h = boosting.lambdas(s, y, lengths, truncation)
+        want_g, want_h, at = np.zeros(n), np.zeros(n), 0
+        for m in lengths:
+            rows = list(range(at, at + m))
+            at += m
+            rank = {i: r for r, i in enumerate(sorted(rows, key=lambda i: -s[i]))}
+            pos = [i for i in rows if y[i]]
+            ideal = sum(1 / math.log2(r + 2) for r in range(min(truncation, len(pos))))
+            for i in pos:
+                for j in (j for j in rows if not y[j]):
+                    if min(rank[i], rank[j]) < truncation:
+                        weight = abs(1 / math.log2(rank[i] + 2) - 1 / math.log2(rank[j] + 2)) / ideal
+                        p = 1 / (1 + math.exp(s[i] - s[j]))
+                        want_g[i] -= weight * p
+                        want_g[j] += weight * p
+                        want_h[i] += weight * p * (1 - p)
+                        want_h[j] += weight * p * (1 - p)
+        assert g == pytest.approx(want_g) and h == pytest.approx(want_h)
+
+
+def lists_to_rank(spark, n=900):
+    """The label follows x within a list and the list's own level z across lists."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(n):
+        u = i % 45
+        level = random.Random(u).random()
+        x = rng.random()
+        rows.append((i, u, 20240101 + i % 3, ["train", "train", "valid"][i // (n // 3)], int(0.35 * x + level + 0.25 * rng.random() > 0.85), x if i % 50 else None, level, rng.random()))
+    return spark.createDataFrame(rows, "row_id long, user_id int, date int, split string, long_view int, x double, z double, noise double").repartition(3)
+
+
+@pytest.mark.parametrize("objective", boosting.OBJECTIVES)
+def test_a_tree_equals_brute_force(spark, objective):
+    """The first splits of a tree are those of trying every feature and edge on all rows at once."""
+    df = lists_to_rank(spark, 300)
+    b = boosting.Boosted(["x", "z", "noise"], objective, rounds=1, depth=2, min_data_in_leaf=5, bins=8, lambda_l1=0.05)
+    b.start(df)
+    records = b.records(df, "long_view", ["user_id"])
+    held = records.collect()
+    x, y = np.array([v if v is not None else np.nan for r in held for v in r.x]).reshape(-1, 3), np.array([v for r in held for v in r.y])
+    bins = boosting.binned(x.astype(float), b.edges)
+    if objective == "lambdarank":
+        g, h = boosting.lambdas(np.zeros(len(y)), y, np.array([r.n for r in held]))
+    else:
+        g, h = 0.5 - y, np.full(len(y), 0.25)
+    b.fit(records)
+    (tree,) = b.trees
+
+    def best(of):
+        score = lambda m: max(abs(g[m].sum()) - 0.05, 0) ** 2 / (h[m].sum() + 1.0 + 1e-12)
+        tries = [(score(of & (bins[:, f] <= e)) + score(of & (bins[:, f] > e)) - score(of), f, e) for f in range(3) for e in range(7) if min((of & (bins[:, f] <= e)).sum(), (of & (bins[:, f] > e)).sum()) >= 5]
+        return max(tries, key=lambda t: (round(t[0], 9), -t[1], -t[2]))
+
+    everything = np.ones(len(y), bool)
+    gain, f, e = best(everything)
+    assert gain > 0 and (tree.feature[0], tree.split[0]) == (f, e)
+    for child, of in ((1, bins[:, f] <= e), (2, bins[:, f] > e)):
+        gain, cf, ce = best(of)
+        assert (tree.feature[child] == -1) == (gain <= 1e-12) and (gain <= 1e-12 or (tree.feature[child], tree.split[child]) == (cf, ce))
+        for leaf, part in ((2 * child + 1, of & (bins[:, cf] <= ce)), (2 * child + 2, of & (bins[:, cf] > ce))):
+            total = g[part].sum()
+            assert tree.value[leaf] == pytest.approx(-0.1 * np.sign(total) * max(abs(total) - 0.05, 0) / (h[part].sum() + 1.0), abs=1e-9)
+    got = {r.row_id: r.score for r in b.scores(df, ["row_id"]).collect()}
+    assert sorted(got.values()) == pytest.approx(sorted(tree.value[tree.nodes(bins)]), abs=1e-9)
+
+
+@pytest.mark.parametrize("lists", [["user_id"], ["user_id", "date"]])
+def test_lambdarank_ranks_lists(spark, lists):
+    """Within lists it isn't worse than trees of the binary objective, by primary on validation rows."""
+    df = lists_to_rank(spark).cache()
+    found = {}
+    for objective in boosting.OBJECTIVES:
+        b = boosting.Boosted(["x", "z", "noise"], objective, rounds=6, depth=3, bins=16, min_data_in_leaf=10)
+        train = df.where("split = 'train'")
+        b.start(train)
+        curve = b.fit(b.records(train, "long_view", lists)).shortened(df.where("split = 'valid'"), "long_view", 2)
+        found[objective] = max(p for _, p in curve)
+        assert [n for n, _ in curve] == [2, 4, 6] and len(b.trees) in (2, 4, 6)
+    assert found["lambdarank"] >= found["binary"] - 0.01 and found["lambdarank"] > 0.68
+    with pytest.raises(ValueError, match="none of"):
+        boosting.Boosted(["x"], "other").records(df, "long_view", None)

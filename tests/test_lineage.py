@@ -76,6 +76,13 @@ def test_honest_matrices_pass(context):
         c.lineage.check(rate.join(c._log.select("row_id", F.col("long_view").alias("x")), "row_id"))
 
 
+def test_a_candidate_chooses_objective_and_group(context):
+    for given, error in (({"objective": "lambdarank", "group": "user", "num_leaves": 4, "learning_rate": 9.0}, ""), ({"objective": "lambdarank", "group": "week"}, "group"), ({"objective": "ndcg"}, "objective"), ({"objective": "binary", "rounds": 3}, "rounds")):
+        made = candidates.Candidate("trees", "x", lambda c, g=given: (c.rate(["video_id"], "a"), g), "features")
+        entry = candidates.run_candidate(context, made)
+        assert error in entry["detail"] and (entry["valid"] is None) == bool(error)
+
+
 def test_a_lost_machine_is_no_candidates_error(context):
     def lost(_):
         raise candidates.PySparkException("ExecutorLostFailure (executor 3 exited)")

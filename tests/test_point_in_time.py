@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pitlane.operators import keys, metrics, pit, runs
+from pitlane.operators import cf, keys, metrics, pit, runs
 from pitlane.sources.impressions import Fold
 
 
@@ -127,3 +127,37 @@ def test_cooccurrence_of_heavy_users(spark):
     assert {(r.i, r.j): r.n for r in cf.cooccurrence(e, 5).collect()} == want
     long = spark.range(1_100).selectExpr("1 as u", "id as i")
     assert cf.cooccurrence(long).count() == 1_100 * 1_099
+
+
+@pytest.mark.parametrize("share", [pit.SHARE, 10_000])
+def test_prefix_of_a_hot_key(spark, share):
+    """A key with half of all rows, null keys and times, ties: as by one ordered pass; no cell has more than a share of the rows."""
+    rng = random.Random(7)
+    minute = pit.CELL_MS
+    rows = [(i, rng.choice(["hot", "hot", "hot", "a", None, f"k{i % 40}"]), rng.choice([None, *[rng.randrange(40 * minute)] * 30, 7 * minute]), rng.choice([0, 1, 1, None])) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "row_id long, k string, time_ms long, y int").repartition(5)
+    got = {r.row_id: (r.n, r.s) for r in pit.prefix_sums(df, ["k"], {"n": F.lit(1).cast("long"), "s": F.col("y").cast("long")}, share=share).collect()}
+    seen, want = {}, {}
+    for i, k, t, y in sorted(rows, key=lambda r: (-1 if r[2] is None else r[2], r[0])):
+        n, s = seen.get(k, (0, 0))
+        want[i] = (n, s)
+        seen[k] = (n + 1, s + (y or 0))
+    assert got == want
+    cells = pit.in_cells(df, ["k"], F.floor(F.col("time_ms") / minute).cast("long"), share)
+    sizes = {(r.k, r["_cell"]): r["count"] for r in cells.groupBy("k", "_cell").count().collect()}
+    assert max(n for (k, _), n in sizes.items() if k == "hot") < 200 < sum(n for (k, _), n in sizes.items() if k == "hot")
+    assert (len({k for k, c in sizes if c is not None}) == len(seen)) == (share == 10_000)
+
+
+@pytest.mark.parametrize("block", [2, 1_000])
+def test_histories_in_blocks(spark, block):
+    rng = random.Random(8)
+    history = {(u, i) for u in range(6) for i in range(40) if rng.random() < (0.9 if u == 0 else 0.1)}
+    rows = [(n, rng.randrange(7), rng.randrange(40)) for n in range(120)]
+    sims = {(i, j): rng.random() for i in range(40) for j in range(40) if i != j and rng.random() < 0.5}
+    out = cf.history_scores(spark.createDataFrame(rows, "row_id int, user_id int, video_id int"), spark.createDataFrame(sorted(history), "u int, i int"), spark.createDataFrame([(i, j, s) for (i, j), s in sims.items()], "i int, j int, sim double"), block_items=block)
+    got = {r.row_id: r for r in out.collect()}
+    for n, u, j in rows:
+        mine = [i for v, i in history if v == u]
+        total = sum(sims.get((i, j), 0.0) for i in mine)
+        assert (got[n].cf_sum, got[n].history_n) == (pytest.approx(total), len(mine)) and got[n].cf_mean == pytest.approx(total / len(mine) if mine else 0.0)
