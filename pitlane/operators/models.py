@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -23,6 +26,13 @@ from .diagnostics import pairs
 Schedule = list[tuple[int, int, int]]
 
 
+def side_by_side(f: Callable, jobs) -> list:
+    """f of each of a few jobs, which Spark runs side by side; their stages share the cores."""
+    jobs = list(jobs)
+    with ThreadPoolExecutor(max(1, min(len(jobs), 8))) as pool:
+        return list(pool.map(inheritable_thread_target(f), jobs))
+
+
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """row_id, score."""
     return model.transform(rows).select("row_id", vector_to_array("probability")[1].cast("double").alias("score"))
@@ -67,15 +77,19 @@ def decomposition(rows: DataFrame, sources: dict[str, list[str]], label: str = "
     source and those before it, with their deviations within the group (user and horizon), fitted on
     the training rows. marginal: what the source adds to the cumulative primary, null for the first.
     """
-    valid, out, columns, before = rows.where("split = 'valid'"), [], [], None
-    for i, (source, own) in enumerate(sources.items()):
-        alone = metrics.evaluate(valid, label, own[0]).first().primary
-        columns += own
-        matrix = rows.select("row_id", "user_id", "split", label, *columns, *[windows.deviation(group or ["user_id", "hz"], c).alias(f"{c}_dev") for c in columns])
-        scores = expert_scores(matrix, [*columns, *(f"{c}_dev" for c in columns)], label, budget)
-        both = metrics.evaluate(valid.join(scores, "row_id"), label, "score").first().primary
-        out.append((source, i, alone, both, None if before is None else both - before))
-        before = both
+    columns = [c for own in sources.values() for c in own]
+    matrix = stored(rows.select("row_id", "user_id", "split", label, *columns, *[windows.deviation(group or ["user_id", "hz"], c).alias(f"{c}_dev") for c in columns]), "deviations")
+    valid, starts = matrix.where("split = 'valid'"), [own[0] for own in sources.values()]
+    scores = valid.select("row_id", "user_id", label, F.posexplode(F.array(*[F.col(c).cast("double") for c in starts])).alias("place", "score"))
+    alone = {r.place: r.primary for r in metrics.evaluate(scores, label, "score", by=["place"]).collect()}
+
+    def upto(i: int) -> float:
+        some = [c for own in list(sources.values())[: i + 1] for c in own]
+        scores = expert_scores(matrix, [*some, *(f"{c}_dev" for c in some)], label, budget)
+        return metrics.evaluate(valid.select("row_id", "user_id", label).join(scores, "row_id"), label, "score").first().primary
+
+    both = side_by_side(upto, range(len(sources)))
+    out = [(source, i, alone.get(i), both[i], both[i] - both[i - 1] if i else None) for i, source in enumerate(sources)]
     return rows.sparkSession.createDataFrame(out, "source string, place int, standalone double, cumulative double, marginal double")
 
 
@@ -105,18 +119,21 @@ def importances(past: DataFrame, features: list[str], label: str = "long_view",
 
 def als_scores(df: DataFrame, schedule: Schedule, label: str = "long_view", rank: int = 16, reg: float = 0.05, alpha: float = 40.0, iterations: int = 6, least: int = 500, seed: int = 0) -> DataFrame:
     """row_id, score: dot products of implicit factors of the positives up to each window's horizon; 0 for what they don't know."""
-    out = None
-    for lo, hi, horizon in schedule:
-        rows = df.where(F.col("date").between(lo, hi)).select("row_id", F.col("user_id").cast("int").alias("user_id"), "video_id")
-        known = df.where((F.col("date") <= horizon) & (F.col(label) == 1)).groupBy(F.col("user_id").cast("int").alias("user_id"), "video_id").agg(F.lit(1.0).alias("one"))
-        if known.count() < least:
-            part = rows.select("row_id", F.lit(0.0).alias("score"))
-        else:
-            als = ALS(userCol="user_id", itemCol="video_id", ratingCol="one", implicitPrefs=True, rank=rank, regParam=reg, alpha=alpha, maxIter=iterations, seed=seed, coldStartStrategy="nan")
-            scored = als.fit(known).transform(rows)
-            part = scored.select("row_id", F.coalesce(F.nanvl(F.col("prediction").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    user = F.col("user_id").cast("int").alias("user_id")
+    # an edge is known from its first day on, so the edges of a window are a filter on one table
+    first = stored(df.where(F.col(label) == 1).groupBy(user, "video_id").agg(F.min("date").alias("date"), F.lit(1.0).alias("one")), "edges")
+    sizes = first.agg(*[F.count_if(F.col("date") <= h).alias(f"n{i}") for i, (_, _, h) in enumerate(schedule)]).first()
+
+    def window(i: int) -> DataFrame:
+        lo, hi, horizon = schedule[i]
+        rows = df.where(F.col("date").between(lo, hi)).select("row_id", user, "video_id")
+        if sizes[i] < least:
+            return rows.select("row_id", F.lit(0.0).alias("score"))
+        als = ALS(userCol="user_id", itemCol="video_id", ratingCol="one", implicitPrefs=True, rank=rank, regParam=reg, alpha=alpha, maxIter=iterations, seed=seed, coldStartStrategy="nan")
+        scored = als.fit(first.where(F.col("date") <= horizon)).transform(rows)
+        return scored.select("row_id", F.coalesce(F.nanvl(F.col("prediction").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("score"))
+
+    return reduce(DataFrame.unionByName, side_by_side(window, range(len(schedule))))
 
 
 def fm_logit(bias: Column, weights: list[Column], vectors: list[Column], k: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, count_below, day_index, hashed_unit_sql
-from ..operators import cf, diagnostics, keys, models, pit, windows
+from ..operators import cf, diagnostics, keys, models, pit, quantiles, windows
 from ..sources import files
 from ..sources.impressions import impressions, table, users, videos
 from .catalog import BASE, OFFICIAL, POP, SCHEDULE, log, popularity, query, r6
@@ -292,6 +292,13 @@ def agg07(spark, d):
     return log(spark, d).groupBy("tab").agg(r6(F.percentile("duration_ms", F.lit(0.95)), "p95"), r6(F.percentile("duration_ms", F.lit(0.05)), "p05"), r6(F.percentile(pos, F.lit(0.5)), "median_pos"), F.count("*").alias("n"))
 
 
+@query("agg07_thresholds", W + """, t AS (SELECT hour, CAST(count(*) AS BIGINT) AS n, count(*) FILTER (long_view = 0) AS n0, count(*) FILTER (long_view = 1) AS n1, quantile_cont(duration_ms, 0.5) AS m, quantile_cont(duration_ms, 0.95) FILTER (long_view = 0) AS low, quantile_cont(duration_ms, 0.05) FILTER (long_view = 1) AS high FROM log WHERE split = 'train' GROUP BY 1)
+    SELECT hour, n, round(CASE WHEN n < 100 OR n0 < 20 OR n1 < 20 THEN m ELSE (low + high) / 2 END, 6) AS threshold FROM t""")
+def agg07_thresholds(spark, d):
+    """By hour of the training days, the duration that parts negatives from positives."""
+    return quantiles.class_thresholds(OFFICIAL.rows(log(spark, d), "train"), "hour", "duration_ms", "long_view").select("hour", "n", r6("threshold", "threshold"))
+
+
 @query("agg08_mean_std", W + "SELECT video_id, round(avg(duration_ms), 6) AS mean, round(stddev_pop(duration_ms), 6) AS std FROM log GROUP BY 1")
 def agg08(spark, d):
     return log(spark, d).groupBy("video_id").agg(r6(F.avg("duration_ms"), "mean"), r6(F.stddev_pop("duration_ms"), "std"))
@@ -307,6 +314,22 @@ def agg10(spark, d):
     return log(spark, d).groupBy("split").agg(F.countDistinct("user_id").alias("n_users"), F.countDistinct("video_id").alias("n_items"))
 
 
+_HORIZONS = sorted({h for _, _, h in SCHEDULE})
+
+
+@query("agg10_sketches", W + f""", h AS (SELECT unnest({_HORIZONS}) AS horizon), x AS (SELECT tab, horizon, user_id FROM log JOIN h ON date <= horizon)
+    SELECT tab, CAST(horizon AS INTEGER) AS horizon, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS n_users, true AS users_close, true AS median_close FROM x GROUP BY 1, 2""")
+def agg10_sketches(spark, d):
+    """By tab and horizon of the schedule, from daily sketches: whether the number of users is within three standard errors, and the median's rank within three times its bound, beside the exact numbers."""
+    rows = log(spark, d).select("tab", "date", "user_id", "duration_ms")
+    horizons = spark.createDataFrame([(h,) for h in _HORIZONS], "horizon int")
+    merged = quantiles.up_to(quantiles.daily_sketches(rows, ["tab"], "user_id", "duration_ms"), ["tab"], horizons, [0.5])
+    past = rows.join(F.broadcast(horizons), F.col("date") <= F.col("horizon")).join(F.broadcast(merged.select("tab", "horizon", "n", "distinct", F.col("quantiles")[0].alias("median"))), ["tab", "horizon"])  # a row for each tab and horizon
+    exact = past.groupBy("tab", "horizon", "n", "distinct").agg(F.countDistinct("user_id").alias("n_users"), F.avg((F.col("duration_ms") <= F.col("median")).cast("double")).alias("rank"))
+    close = F.abs(F.col("distinct") - F.col("n_users")) <= 3 * quantiles.COUNT_ERROR * F.col("n_users") + 1
+    return exact.select("tab", "horizon", "n", "n_users", close.alias("users_close"), (F.abs(F.col("rank") - 0.5) <= 3 * quantiles.QUANTILE_ERROR + 1 / F.col("n")).alias("median_close"))
+
+
 @query(
     "agg11_histogram_ratio",
     W + """, t AS (SELECT dur_bucket, count(*) AS t FROM log WHERE split = 'train' GROUP BY 1), v AS (SELECT dur_bucket, count(*) AS v FROM log WHERE split = 'valid' GROUP BY 1),

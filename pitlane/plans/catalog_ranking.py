@@ -195,10 +195,10 @@ def fus03(spark, d):
     return members(spark, d).select("row_id", r6(fusion.power({"a": 2.0, "b": 1.0}, 0.75), "fused"))
 
 
-@query("fus04_grid", _MEMBERS + f""", g AS (SELECT CAST(i AS DOUBLE) / 10 AS weight, m.user_id, m.row_id, m.long_view, (a * (CAST(i AS DOUBLE) / 10) + b * (1 - CAST(i AS DOUBLE) / 10)) / (CAST(i AS DOUBLE) / 10 + (1 - CAST(i AS DOUBLE) / 10)) AS score FROM m CROSS JOIN range(11) t(i)), {groups_sql("SELECT * FROM g", "weight, user_id")}
+@query("fus04_grid", _MEMBERS + f""", g AS (SELECT CAST(i AS DOUBLE) / 50 AS weight, m.user_id, m.row_id, m.long_view, (a * (CAST(i AS DOUBLE) / 50) + b * (1 - CAST(i AS DOUBLE) / 50)) / (CAST(i AS DOUBLE) / 50 + (1 - CAST(i AS DOUBLE) / 50)) AS score FROM m CROSS JOIN range(51) t(i)), {groups_sql("SELECT * FROM g", "weight, user_id")}
     SELECT round(weight, 6) AS weight, round((sum(CASE WHEN valid THEN npos * auc END) / sum(CASE WHEN valid THEN npos END) + avg(ndcg)) / 2, 3) AS primary_score FROM per GROUP BY 1""")
 def fus04(spark, d):
-    out = fusion.grid(members(spark, d), "a", "b", "long_view", ["user_id"], points=11)
+    out = fusion.grid(_searched(spark, d), "a", "b", "long_view", ["user_id"])
     return out.select(r6("weight", "weight"), F.round("primary", 3).alias("primary_score"))
 
 
@@ -208,13 +208,13 @@ def _searched(spark, d):
 
 @query("fus05_coordinate_ascent")
 def fus05(spark, d):
-    weights, trace = fusion.coordinate_ascent(_searched(spark, d), ["a", "b", "c"], "long_view", ["user_id"], rounds=1)
+    weights, trace = fusion.coordinate_ascent(_searched(spark, d), ["a", "b", "c"], "long_view", ["user_id"])
     return spark.createDataFrame([(m, float(w), trace[-1]) for m, w in weights.items()], "member string, weight double, value double")
 
 
 @query("fus06_greedy_forward")
 def fus06(spark, d):
-    weights, trace = fusion.greedy_forward(_searched(spark, d), ["a", "b", "c"], "long_view", ["user_id"], rounds=3)
+    weights, trace = fusion.greedy_forward(_searched(spark, d), ["a", "b", "c"], "long_view", ["user_id"])
     return spark.createDataFrame([(m, float(w), trace[-1]) for m, w in weights.items()], "member string, weight double, value double")
 
 
