@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut
+from .common import BROADCAST_BYTES, cut, stored
 
 #: Levels of up to so many pairs of trees are aligned by a table, larger ones in halves by bits; both are exact.
 TABLE_PAIRS = 4_096
@@ -72,6 +72,8 @@ OTHER_ARTICLES = frozenset("ad ads advert adverts advertisement advertisements a
 _PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</\s*([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _BARE = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.I)
+#: Attributes without any of these make no element layout.
+_TELLING = re.compile(r"class|id|role|hidden", re.I)
 SLOT = "#"
 
 
@@ -142,9 +144,7 @@ class Page:
             if name == "hr":
                 self._flush()
             return
-        given = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-        of = frozenset() if name in ("html", "body", "main") else OTHER_ARTICLES if name == "article" else NAMES - TEXT_NAMES if self._places[-1].main else NAMES
-        marked = is_layout_name(" ".join(given.get(k, "") for k in ("class", "id")), of) or given.get("role", "").lower() in ROLES or given.get("aria-hidden") == "true" or bool(_BARE.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+        marked = bool(_TELLING.search(attributes)) and self._marked(name, attributes)
         if name == "a":
             self._anchors, self._in_link = self._anchors + 1, True
         if name in INLINE and not marked:
@@ -162,6 +162,13 @@ class Page:
         self._numbers.append(self._count)
         self._silent += name in SILENT
 
+    def _marked(self, name: str, attributes: str) -> bool:
+        """Whether an element's class, id or role makes it layout, or it is hidden."""
+        given = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+        of = frozenset() if name in ("html", "body", "main") else OTHER_ARTICLES if name == "article" else NAMES - TEXT_NAMES if self._places[-1].main else NAMES
+        named = is_layout_name(" ".join(given.get(k, "") for k in ("class", "id")), of)
+        return named or given.get("role", "").lower() in ROLES or given.get("aria-hidden") == "true" or bool(_BARE.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+
     def _implied(self, name: str) -> None:
         """Closes a paragraph, list item or cell that a new one ends."""
         ends = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(name, ("p",))
@@ -204,6 +211,11 @@ class Page:
         self._close(0)
 
 
+#: Paths by the one above and the tag, of which layouts have few; more than so many are forgotten at once.
+_PATHS: dict[tuple[int, str], int] = {}
+MOST_PATHS = 100_000
+
+
 # A wrapper is a list of nodes: a token, or ["?", nodes] or ["+", nodes].
 
 
@@ -364,22 +376,42 @@ def reduced(nodes: list) -> list:
     return [node for tree in _folded(out) for node in tree]
 
 
+def _below(path: int, tag: str) -> int:
+    """The path of what stands in an element, as a hash."""
+    return _hash(f"{path} {tag}")
+
+
+def slots_of(tokens: list[str]) -> list[int]:
+    """Of each text of a page the path of tags to it, which is its slot's number in every wrapper that knows it."""
+    out, path, around = [], 0, []
+    if len(_PATHS) > MOST_PATHS:
+        _PATHS.clear()
+    for t in tokens:
+        if t == SLOT:
+            out.append(path)
+        elif t.startswith("</"):
+            path = around.pop()[1] if around else 0
+        else:
+            around.append((t, path))
+            path = _PATHS.get((path, t)) or _PATHS.setdefault((path, t), _below(path, t))
+    return out
+
+
 def compiled(wrapper: list) -> list[tuple]:
     """(kind, number of the slot or None, what the element holds) of each tree, marks aside. Slots below the same tags have the same number, as an optional part between two of them may part what is one."""
-    slots: dict[tuple, int] = {}
 
-    def of(nodes: list, above: tuple) -> list[tuple]:
+    def of(nodes: list, path: int) -> list[tuple]:
         out = []
         for tree in _trees(nodes):
             core = _core(tree)
             if core[0] == SLOT:
-                out.append((SLOT, slots.setdefault(above, len(slots)), None))
+                out.append((SLOT, path, None))
             else:
                 closed = len(core) > 1 and isinstance(core[-1], str) and core[-1].startswith("</")
-                out.append((core[0], None, of(core[1:-1] if closed else core[1:], (above, core[0]))))
+                out.append((core[0], None, of(core[1:-1] if closed else core[1:], _below(path, core[0]))))
         return out
 
-    return of(wrapper, ())
+    return of(wrapper, 0)
 
 
 def aligned_slots(tokens: list[str], wrapper: list[tuple]) -> list[int | None]:
@@ -428,26 +460,40 @@ def extract(source: str | None, wrapper: list[tuple], template: set[tuple[int, i
     return " ".join(t for t, k in zip(page.texts, kept, strict=True) if k)
 
 
-def _partial(pages: DataFrame) -> DataFrame:
-    """host, part, w: a wrapper for each partition's pages of each host."""
+def _parsed(pages: DataFrame) -> DataFrame:
+    """Of pages (host, html): rows (host, w), a wrapper for each partition's pages of a host; and rows (host, slot, text, page) of hashes of the texts, with a null text once for each slot that a page fills."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list | None, set[int]]] = {}
         for b in batches:
+            found: set[tuple] = set()
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 w, seen = held.get(host, (None, set()))
-                stream = reduced(Page(source or "").tokens)
+                page = Page(source or "")
+                stream = reduced(page.tokens)
                 if (h := hash(json.dumps(stream))) not in seen:
                     w = joined(w, stream)
                     if len(seen) < 1_000:  # streams that the wrapper knows need no alignment
                         seen.add(h)
                 held[host] = w, seen
+                key = _hash("\0".join(page.texts))
+                for text, slot in zip(page.texts, slots_of(page.tokens), strict=True):
+                    found.add((host, slot, _hash(text), key))
+                    found.add((host, slot, None, key))
             if len(held) > 10_000:
-                yield _rows(held)
+                yield _mixed_rows(held, set())
                 held = {}
-        yield _rows(held)
+            yield _mixed_rows({}, found)
+        yield _mixed_rows(held, set())
+
+    return pages.mapInArrow(run, "host string, w string, slot long, text long, page long")
+
 
-    return pages.mapInArrow(run, "host string, w string")
+def _mixed_rows(held: dict, found: set[tuple]) -> pa.RecordBatch:
+    n, m = len(held), len(found)
+    hosts, slots, texts, keys = zip(*found, strict=True) if found else [()] * 4
+    columns = [[*held, *hosts], [*(json.dumps(w) for w, _ in held.values()), *[None] * m], [*[None] * n, *slots], [*[None] * n, *texts], [*[None] * n, *keys]]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), *[pa.int64()] * 3), strict=True)], names=["host", "w", "slot", "text", "page"])
 
 
 def _rows(held: dict) -> pa.RecordBatch:
@@ -472,10 +518,8 @@ def _merged(parts: DataFrame, *by: str) -> DataFrame:
     return parts.repartition(*by).sortWithinPartitions(*by, "w").select(*by, "w").mapInArrow(run, "host string, w string")
 
 
-def infer(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """host, w: the wrapper of each host, as JSON. Pages of null or odd URLs share the empty host."""
-    rows = pages.select(_host(url), F.col(source).cast("string").alias("html"))
-    parts = cut(_partial(rows))
+def infer(parts: DataFrame) -> DataFrame:
+    """host, w: the wrapper of each host, as JSON, of those of its partitions."""
     meet, step = parts.groupBy("host").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0], 0
     while meet > 1:
         meet, step = -(-meet // FAN_IN), step + 1
@@ -509,28 +553,13 @@ class _Known:
         return self.held[w, template]
 
 
-def templates(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """host, w, template: with each wrapper the (slot, hash) of text that is template, as JSON, or null. rows: host, html."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known()
-        for b in batches:
-            out: set[tuple] = set()
-            for host, source, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                page = Page(source or "")
-                key = _hash("\0".join(page.texts))
-                for text, slot in zip(page.texts, aligned_slots(page.tokens, known(w)[0]), strict=True):
-                    if slot is not None:
-                        out.add((host, slot, _hash(text), key))
-                        out.add((host, slot, None, key))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["host", "slot", "text", "page"])
-
-    # copies of a page count once
-    met = _with_wrapper(rows, wrappers, _size(wrappers), ["host", "html", "w"]).mapInArrow(run, "host string, slot int, text long, page long").distinct()
+def templates(texts: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, w, template: with each wrapper the (slot, hash) of text that is template, as JSON, or null. A slot has one text at most that is in more than half of its pages, for each time that a page fills it."""
+    met = texts.distinct()  # copies of a page count once
     counts = cut(met.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES))
     whole = counts.where("text is null").select("host", "slot", F.col("n").alias("pages"))
     same = counts.where("text is not null").join(whole, ["host", "slot"]).where(F.col("n") * 2 > F.col("pages"))
-    found = same.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("slot").cast("long"), "text")))).alias("template"))
+    found = same.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "text")))).alias("template"))
     return wrappers.join(found, "host", "left").select("host", "w", "template")
 
 
@@ -543,7 +572,9 @@ def main_texts(pages: DataFrame, keep: list[str], url: str = "url", source: str
     ``keep`` are dropped, so their names can't clash.
     """
     plain = pages.select(_host(url), F.col(source).cast("string").alias("html"))
-    wrappers = cut(templates(plain, cut(infer(pages, url, source))))
+    parsed, _ = stored(_parsed(plain))
+    found = infer(parsed.where("w is not null").select("host", "w"))
+    wrappers = cut(templates(parsed.where("w is null").select("host", "slot", "text", "page"), found))
     names = [f"k{i}" for i in range(len(keep))]
     rows = pages.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], _host(url), F.col(source).cast("string").alias("html"))
     rows = _with_wrapper(rows, wrappers, _size(wrappers), [*names, "html", "w", "template"])
