@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, count_below
 from ..sources.impressions import OUTCOMES
+from ..sources.scratch import stored
 
 
 def visible_label(label: Column, date: Column, horizon: int | Column) -> Column:
@@ -109,20 +110,30 @@ def factorised(df: DataFrame, keys: list[str], out: str = "key_id") -> DataFrame
     return join_on(df, numbered(df.select(*keys).distinct(), keys, out), keys)
 
 
-def vocabulary(train: DataFrame, column: str) -> DataFrame:
-    """value, code: the sorted distinct values of the training rows but null, numbered from 0."""
-    values = train.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
-    return numbered(values, ["value"], "code")
+#: A vocabulary of more values joins by a shuffle.
+BROADCAST_VALUES = 200_000
+
+
+def vocabularies(train: DataFrame, columns: list[str]) -> DataFrame:
+    """place, value, code: the sorted distinct values of the training rows but null, of each column and numbered from 0 over all of them in the columns' order."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)]))
+    values = train.select(pairs.alias("x")).select("x.*").where("value is not null").distinct()
+    return numbered(stored(values, "values"), ["place", "value"], "code")
 
 
 def encoded(df: DataFrame, train: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
-    """``df`` with <column>_id: codes fitted on ``train``, each column after the ones before it, its last slot for unseen values; and the number of slots."""
+    """``df`` with <column>_id: codes fitted on ``train``, each column after the ones before it, its last slot for unseen values; and the number of slots.
+
+    The values of all columns are gathered in one pass and numbered together.
+    """
+    codes = stored(vocabularies(train, columns), "codes")
+    sizes = {r.place: r["count"] for r in codes.groupBy("place").count().collect()}  # a row a column
     offset = 0
-    for c in columns:
-        codes = vocabulary(train, c)
-        size = codes.count()
-        named = codes.select(F.col("value").alias(f"_{c}"), F.col("code").alias(f"{c}_id"))
-        df = df.join(named, df[c].cast("string") == named[f"_{c}"], "left").drop(f"_{c}").withColumn(f"{c}_id", F.coalesce(f"{c}_id", F.lit(size)) + F.lit(offset))
+    for i, c in enumerate(columns):
+        size = sizes.get(i, 0)
+        named = codes.where(F.col("place") == i).select(F.col("value").alias(f"_{c}"), (F.col("code") + i).alias(f"{c}_id"))  # an unseen slot for each column before
+        named = F.broadcast(named) if size <= BROADCAST_VALUES else named
+        df = df.join(named, df[c].cast("string") == named[f"_{c}"], "left").drop(f"_{c}").withColumn(f"{c}_id", F.coalesce(f"{c}_id", F.lit(offset + size)))
         offset += size + 1
     return df, offset
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pitlane.operators import cf, fusion, keys, models, pit, selection
+from pitlane.operators import cf, fusion, keys, metrics, models, pit, selection
 from pitlane.plans import catalog
 from pitlane.plans import context as candidates
 from pitlane.sources import files
@@ -161,6 +161,33 @@ def test_sealed_split_and_matrix(spark, tmp_path):
         files.read_matrix(spark, str(tmp_path / "m"), 3)
 
 
+def test_real_experts_and_importances(spark):
+    """Small trees on each family of a log whose label follows from the item; the telling feature is the most important one."""
+    rng = random.Random(3)
+    liked = {v: rng.random() for v in range(20)}
+    rows = []
+    for i in range(2_000):
+        v = rng.randrange(20)
+        rows.append((i, i % 40, v, f"a{v % 5}", i % 3, 20240101 + i % 28, rng.random() * 60, i % 24, int(rng.random() < liked[v]), rng.random()))
+    df = spark.createDataFrame(rows, "row_id int, user_id int, video_id int, author_id string, tab int, date int, duration_ms double, hour int, long_view int, noise double")
+    fold = Fold("official")
+    df = fold.with_part(df).withColumn("hz", keys.window_horizon(F.col("date"), fold.schedule())).withColumn("dur_bucket", F.floor(F.col("duration_ms") / 25).cast("int"))
+    primary = {}
+    for name in models.EXPERTS:
+        matrix, names = models.expert_matrix(df, name, 0.4)
+        matrix = matrix.cache()
+        scores = models.expert_scores(matrix, names, budget=3)
+        assert scores.count() == 2_000 and scores.where("score is null or isnan(score)").count() == 0
+        scored = matrix.where("split = 'valid'").join(scores, "row_id")
+        primary[name] = metrics.evaluate(scored, "long_view", "score").first().primary
+    assert primary["item"] > max(primary["user"], primary["context"]) + 0.02
+    matrix, names = models.expert_matrix(df.where("split = 'train'"), "item", 0.4)
+    top = models.importances(matrix.join(df.select("row_id", "noise"), "row_id"), [*names[:2], "noise"], top=3, iterations=3).collect()
+    assert len(top) == 3 and sum(r.importance for r in top) == pytest.approx(1.0) and [r.importance for r in top] == sorted((r.importance for r in top), reverse=True)
+    told = df.withColumn("told", F.col("long_view") + 0.1 * F.col("noise"))
+    assert models.importances(told, ["noise", "told", "tab"], top=1, iterations=2).first().feature == "told"
+
+
 def test_decomposition_adds_up(spark):
     rng = random.Random(8)
     rows = []
