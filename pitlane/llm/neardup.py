@@ -242,7 +242,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     owners = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(roots, "node")
     least = owners.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("_n"))
     owners = join_counted(owners.select("node", "root"), least, "root", signed.count()).select("node", "component_id")
-    out = signed.join(owners, "node", "left")
+    found = signed.where("node is not null").join(owners, "node", "left")
+    out = found.unionByName(signed.where("node is null").withColumn("component_id", F.lit(None).cast("long")))  # texts without words don't meet
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 

@@ -118,7 +118,8 @@ class ShardStore:
             last, files = (self.versions() or [0])[-1], None
             if fs.exists(self._at(staged, f"{name}={i}")):
                 run = self._new_run(last + 1)
-                fs.rename(self._at(staged, f"{name}={i}"), self._at("data", run))
+                if not fs.rename(self._at(staged, f"{name}={i}"), self._at("data", run)):
+                    raise OSError(f"arrival {i} can't be moved to its place")
                 files = self._files(run)
             self._append(files, last)
             version = self.compact()
