@@ -9,7 +9,7 @@ from ..functions.scalars import dot
 from ..operators import keys, learners, metrics, models, pit, windows
 from ..operators.nets import OBJECTIVES
 from ..sources import files
-from ..sources.impressions import FEEDBACK, table, users, videos
+from ..sources.impressions import FEEDBACK, Fold, table, users, videos
 from ..streaming.prefix import start_prefix
 from . import context as candidates
 from .catalog import BASE, DAY_LEDGER, OFFICIAL, POP, SCHEDULE, SUMMARY, day_ledger, groups_sql, log, popularity, query, rounded_summary, scratch, stored
@@ -324,17 +324,21 @@ def snk08(spark, d):
 # the candidate API, its loop, the stream
 
 
-def _context(spark, d) -> candidates.Context:
-    return candidates.Context.of(stored(log(spark, d).drop("hz", "split", "author_id", "tag", "video_type"), "log"), OFFICIAL, videos(spark, d), users(spark, d))
+def _context(spark, d, *folds: Fold):
+    """The context of the official fold, or those of some folds, over one stored log."""
+    rows = stored(log(spark, d).drop("hz", "split", "author_id", "tag", "video_type"), "log")
+    found = [candidates.Context.of(rows, fold, videos(spark, d), users(spark, d)) for fold in folds or (OFFICIAL,)]
+    return found if folds else found[0]
 
 
 @query("ctx01_candidate_loop")
 def ctx01(spark, d):
-    """A scripted loop over candidates: popularity, two that the label flows into under another name, two that aren't popularity."""
+    """A scripted loop over candidates, confirmed on a backtest: popularity, two that the label flows into under another name, two that aren't popularity."""
     leak = candidates.Candidate("leak", "causal", lambda ctx: ctx._log.select("row_id", (1 - F.col("long_view")).alias("watched_seconds")))
     noisy = candidates.Candidate("noisy leak", "causal", lambda ctx: ctx._log.select("row_id", (F.col("long_view") + F.hash("row_id") / 1e10).alias("watched_share")))
     proposals = [candidates.Candidate("item", "popularity", candidates.popularity), leak, noisy, candidates.Candidate("item x tab", "popularity", candidates.by_tab), candidates.Candidate("trees", "popularity", candidates.trees, "features")]
-    ledger = candidates.scripted_loop(_context(spark, d), proposals, 0.5)
+    context, backtest = _context(spark, d, OFFICIAL, Fold("backtest_a"))
+    ledger = candidates.scripted_loop(context, proposals, 0.4, backtest=backtest)
     rows = [(e["iteration"], e["candidate"], e["family"], e["decision"], e["valid"], e["detail"]) for e in ledger]
     return spark.createDataFrame(rows, "iteration int, candidate string, family string, decision string, valid double, detail string")
 

@@ -16,6 +16,7 @@ from ..operators import cf, keys, learners, models, pit, windows
 from ..operators.lineage import Lineage
 from ..operators.metrics import evaluate
 from ..sources.impressions import OUTCOMES, Fold
+from ..sources.scratch import stored
 
 
 def point_in_time(method: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -159,44 +160,81 @@ class Candidate:
 LOST = ("ExecutorLost", "FetchFailed", "Could not find shuffle", "SparkContext was shut down", "OutOfMemory")
 
 
+ERRORS = (ValueError, TypeError, KeyError, AttributeError, ArithmeticError, PySparkException)
+#: The best primary that honest candidates reach on a backtest's parts, and what may come on top.
+CEILINGS, OTHER_CEILING, SLACK, GAP = {"backtest_a": 0.60}, 0.62, 0.05, 0.035
+
+
+def scored_candidate(context: Context, candidate: Candidate) -> DataFrame:
+    """The fold's rows with the candidate's score."""
+    built = candidate.build(context)
+    matrix, given = built if isinstance(built, tuple) else (built, {})
+    boosted = models.booster_params(given) if "objective" in given else None
+    params = {} if boosted else models.tree_params(given)
+    names = context.check(matrix)
+    rows = context._log.join(matrix, "row_id")
+    if candidate.mode != "features":
+        return rows.withColumn("score", F.col(names[0]).cast("double"))
+    if boosted:
+        scores = models.boosted_scores(rows, names, boosted[0], boosted[1], context.label, **boosted[2])
+    else:
+        scores = models.gbt_scores(names, context.label, **params)(context.fold.rows(rows, "train"), rows)
+    return rows.join(scores, "row_id")
+
+
+def _detail(e: Exception) -> str:
+    """What a candidate's error says; a lost machine is raised again."""
+    if any(x in str(e) for x in LOST):
+        raise e
+    return f"{type(e).__name__}: {e}"[:800]
+
+
 def run_candidate(context: Context, candidate: Candidate, part: str = "valid") -> dict:
     """A ledger entry: the candidate's primary on a part of the fold, or its error as data. A lost machine is no error of the candidate's and is raised."""
     began = time.time()
     entry = {"candidate": candidate.name, "family": candidate.family, "valid": None, "detail": ""}
     try:
-        built = candidate.build(context)
-        matrix, given = built if isinstance(built, tuple) else (built, {})
-        boosted = models.booster_params(given) if "objective" in given else None
-        params = {} if boosted else models.tree_params(given)
-        names = context.check(matrix)
-        rows = context._log.join(matrix, "row_id")
-        if candidate.mode == "features":
-            if boosted:
-                scored = models.boosted_scores(rows, names, boosted[0], boosted[1], context.label, **boosted[2])
-            else:
-                fit_score = models.gbt_scores(names, context.label, **params)
-                scored = fit_score(context.fold.rows(rows, "train"), context.fold.rows(rows, part))
-            rows, score = rows.join(scored, "row_id"), "score"
-        else:
-            score = names[0]
-        entry["valid"] = evaluate(context.fold.rows(rows, part), context.label, score).first().primary
-    except (ValueError, TypeError, KeyError, AttributeError, ArithmeticError, PySparkException) as e:
-        if any(x in str(e) for x in LOST):
-            raise
-        entry["detail"] = f"{type(e).__name__}: {e}"[:800]
+        rows = scored_candidate(context, candidate)
+        entry["valid"] = evaluate(context.fold.rows(rows, part), context.label, "score").first().primary
+    except ERRORS as e:
+        entry["detail"] = _detail(e)
     return entry | {"seconds": time.time() - began}
 
 
-def scripted_loop(context: Context, proposals: list[Candidate], baseline: float, patience: int = 3, epsilon: float = 0.002) -> list[dict]:
-    """Runs proposals in turn until ``patience`` in a row bring no gain over the best; crashes neither count nor reset."""
+def confirm(context: Context, candidate: Candidate, ceiling: float | None = None) -> dict:
+    """valid, test, confirmed, detail: the candidate fitted and scored on the context's fold, a backtest whose test days may be seen.
+
+    A leak of the window's own labels shows as a valid primary above the test one by GAP or more, one that
+    knows no folds as either above the fold's ceiling by SLACK or more. confirmed is None if the candidate
+    can't run on the fold.
+    """
+    out = {"valid": None, "test": None, "confirmed": None, "detail": ""}
+    try:
+        rows = stored(scored_candidate(context, candidate).select("row_id", "user_id", "date", context.label, "score"), "backtest")
+        out |= {part: evaluate(context.fold.rows(rows, part), context.label, "score").first().primary for part in ("valid", "test")}
+    except ERRORS as e:
+        return out | {"detail": f"could not run on {context.fold.name}: {_detail(e)}"}
+    most = (CEILINGS.get(context.fold.name, OTHER_CEILING) if ceiling is None else ceiling) + SLACK
+    gap = out["valid"] - out["test"]
+    return out | {"confirmed": gap < GAP and max(out["valid"], out["test"]) < most, "detail": f"{context.fold.name}: gap {gap:+.4f} of {GAP}, best {max(out['valid'], out['test']):.4f} of {most:.2f}"}
+
+
+def scripted_loop(context: Context, proposals: list[Candidate], baseline: float, patience: int = 3, epsilon: float = 0.002, backtest: Context | None = None) -> list[dict]:
+    """Runs proposals in turn until ``patience`` in a row bring no gain over the best; crashes neither count nor reset.
+
+    With a ``backtest`` a candidate with a gain is accepted only if it is confirmed there; one that isn't,
+    or can't be, is rejected with the reason and is no new best.
+    """
     best, stall, ledger = baseline, 0, []
     for i, c in enumerate(proposals):
         entry = run_candidate(context, c) | {"iteration": i}
         if entry["valid"] is not None:
             gain = entry["valid"] - best
-            stall = 0 if gain > epsilon else stall + 1
-            best = max(best, entry["valid"])
-            entry["decision"] = "accept" if gain > 0 else "reject"
+            checked = confirm(backtest, c) if backtest and gain > 0 else {"confirmed": gain > 0, "detail": entry["detail"]}
+            accepted = checked["confirmed"] is True
+            stall = 0 if accepted and gain > epsilon else stall + 1
+            best = entry["valid"] if accepted else best
+            entry |= {"decision": "accept" if accepted else "reject", "detail": checked["detail"]}
         else:
             entry["decision"] = "error"
         ledger.append(entry)

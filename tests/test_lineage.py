@@ -83,6 +83,23 @@ def test_a_candidate_chooses_objective_and_group(context):
         assert error in entry["detail"] and (entry["valid"] is None) == bool(error)
 
 
+def test_backtests_confirm_candidates(spark, context, monkeypatch):
+    log = catalog.log(spark, SF).drop("hz", "split", "author_id", "tag", "video_type")
+    backtest = candidates.Context.of(log, Fold("backtest_a"), *catalog.dimensions(spark, SF))
+    honest = candidates.Candidate("item", "popularity", candidates.popularity)
+    got = candidates.confirm(backtest, honest, ceiling=0.9)
+    assert 0 < got["valid"] < 1 and 0 < got["test"] < 1 and got["confirmed"] == (got["valid"] - got["test"] < candidates.GAP)
+    assert candidates.confirm(backtest, honest, ceiling=0.1)["confirmed"] is False
+    leak = candidates.Candidate("leak", "x", FLOWS["label"])
+    assert candidates.confirm(backtest, leak)["confirmed"] is None
+    # without the walk over plans the backtest catches the label: far above the ceiling on both parts
+    monkeypatch.setattr(candidates.Lineage, "check", lambda *_: None)
+    assert candidates.confirm(backtest, leak)["confirmed"] is False
+    ledger = candidates.scripted_loop(context, [leak, honest], 0.0, backtest=backtest)
+    assert ledger[0]["decision"] == "reject" and ledger[0]["valid"] > 0.9 and "gap" in ledger[0]["detail"]
+    assert ledger[1]["decision"] in ("accept", "reject") and ledger[1]["valid"] < 0.9
+
+
 def test_a_lost_machine_is_no_candidates_error(context):
     def lost(_):
         raise candidates.PySparkException("ExecutorLostFailure (executor 3 exited)")
