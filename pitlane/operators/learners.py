@@ -10,7 +10,7 @@ from ..sources.scratch import stored
 from . import models, windows
 from .keys import join_on
 from .nets import FactorisationMachine, TargetAttention
-from .sgd import Member, Stack, code, rows_to_learn
+from .sgd import BITS, Member, Stack, bits_for, code, rows_to_learn
 
 Schedule = list[tuple[int, int, int]]
 
@@ -23,9 +23,9 @@ HISTORY_BINS = [1, 3, 6, 10, 16, 24]
 MODES = ("plain", "late_only", "recency", "hist_match")
 
 
-def slots(fields: list[str]) -> Column:
+def slots(fields: list[str], bits: int = BITS) -> Column:
     """The codes of a row's fields."""
-    return F.array(*[code(i, F.col(c)) for i, c in enumerate(fields)])
+    return F.array(*[code(i, F.col(c), bits) for i, c in enumerate(fields)])
 
 
 def window_of(date: Column, schedule: Schedule) -> Column:
@@ -57,10 +57,11 @@ def windowed_fm(df: DataFrame, schedule: Schedule, fields: list[str], targets: l
     ends, date = [min(horizon, fit_end) for _, _, horizon in schedule], F.col("date")
     labels = [F.coalesce(F.col(t).cast("double"), F.lit(0.0)) for t in targets]
     seen = df.agg(*[a for i, end in enumerate(ends) for a in (F.count_if(date <= end).alias(f"n{i}"), *[F.avg(F.when(date <= end, y)).alias(f"m{i}_{j}") for j, y in enumerate(labels)])]).first()
-    rows = rows_to_learn(df, slots(fields), labels, [(date <= end).cast("int") for end in ends], batches)
-    stack = Stack(FactorisationMachine(k), [Member(j, i, seed) for i in range(len(ends)) for j in range(len(targets))], rate=rate)
+    bits = bits_for(len(ends) * len(targets))
+    rows = rows_to_learn(df, slots(fields, bits), labels, [(date <= end).cast("int") for end in ends], batches)
+    stack = Stack(FactorisationMachine(k), [Member(j, i, seed) for i in range(len(ends)) for j in range(len(targets))], rate=rate, bits=bits)
     _learned(stack, rows, batches, epochs)
-    asked = df.select("row_id", slots(fields).alias("x"), window_of(date, schedule).alias("_w")).where("_w is not null")
+    asked = df.select("row_id", slots(fields, bits).alias("x"), window_of(date, schedule).alias("_w")).where("_w is not null")
     out = stack.scores(asked, ["row_id", "_w"], "_w", len(targets))
     columns = []
     for j, target in enumerate(targets):
@@ -80,17 +81,18 @@ def fitted_fm(train: DataFrame, valid: DataFrame | None, fields: list[str], labe
     that of its best one. losses: some of nets.OBJECTIVES; all but bce are over ``lists`` of rows.
     """
     weights = weights or [F.lit(1.0)]
-    rows = rows_to_learn(train, slots(fields), [F.coalesce(F.col(label), F.lit(0))], weights, batches, lists)
-    stack = Stack(FactorisationMachine(k), [Member(0, i, s, loss) for loss in losses for i in range(len(weights)) for s in seeds], rate=rate)
+    bits = bits_for(len(losses) * len(weights) * len(seeds))
+    rows = rows_to_learn(train, slots(fields, bits), [F.coalesce(F.col(label), F.lit(0))], weights, batches, lists)
+    stack = Stack(FactorisationMachine(k), [Member(0, i, s, loss) for loss in losses for i in range(len(weights)) for s in seeds], rate=rate, bits=bits)
     if valid is None:
         return _learned(stack, rows, batches, epochs)
-    asked = _dealt(valid.select("row_id", "user_id", label, slots(fields).alias("x")), "valid")
+    asked = _dealt(valid.select("row_id", "user_id", label, slots(fields, bits).alias("x")), "valid")
     return _learned(stack, rows, batches, epochs, valid=lambda s: s.primaries(asked, label), patience=patience)
 
 
 def scored_by(stack: Stack, df: DataFrame, fields: list[str]) -> DataFrame:
     """row_id, score: the mean over the stack's models."""
-    out = stack.scores(df.select("row_id", slots(fields).alias("x")), ["row_id"])
+    out = stack.scores(df.select("row_id", slots(fields, stack.bits).alias("x")), ["row_id"])
     return out.select("row_id", _mean(F.col("score")).alias("score"))
 
 
@@ -120,11 +122,11 @@ def refit_scores(df: DataFrame, fields: list[str], label: str = "long_view", see
     return out.join(late, "row_id", "left").select("row_id", "strict", F.coalesce("late", "strict").alias("permissive"))
 
 
-def histories(df: DataFrame, schedule: Schedule, label: str = "long_view", length: int = 32) -> DataFrame:
+def histories(df: DataFrame, schedule: Schedule, label: str = "long_view", length: int = 32, bits: int = BITS) -> DataFrame:
     """user_id, _w, history: codes of a user's last ``length`` positives up to each window's horizon, the oldest first. Only so many rows of a user and window are gathered."""
     past = df.where(F.col(label) == 1)
     seen = F.filter(F.array(*[F.struct(F.lit(i).alias("w"), F.lit(h).alias("h")) for i, (_, _, h) in enumerate(schedule)]), lambda x: F.col("date") <= x["h"])
-    rows = past.select("user_id", code(ITEM, F.col("video_id")).alias("code"), "time_ms", "row_id", F.explode(seen).alias("x")).withColumn("_w", F.col("x.w"))
+    rows = past.select("user_id", code(ITEM, F.col("video_id"), bits).alias("code"), "time_ms", "row_id", F.explode(seen).alias("x")).withColumn("_w", F.col("x.w"))
     return windows.tail_history(rows, ["user_id", "_w"], "code", ["time_ms", "row_id"], length)
 
 
@@ -158,14 +160,15 @@ def attention_scores(df: DataFrame, schedule: Schedule, fields: list[str], label
         if m not in MODES:
             raise ValueError(f"{m} is none of {', '.join(MODES)}")
     rows = df.withColumn("_w", window_of(F.col("date"), schedule))
-    rows = join_on(rows, histories(df, schedule, label, length), ["user_id", "_w"], "left")
+    bits = bits_for(4 * len(modes) * len(seeds))  # two tables of twice the machines' width
+    rows = join_on(rows, histories(df, schedule, label, length, bits), ["user_id", "_w"], "left")
     past = F.coalesce("history", F.array().cast("array<int>"))
-    x = F.concat(slots(fields), F.array(code(ITEM, F.col("video_id"))), past, F.array_repeat(F.lit(-1), length - F.size(past)))
+    x = F.concat(slots(fields, bits), F.array(code(ITEM, F.col("video_id"), bits)), past, F.array_repeat(F.lit(-1), length - F.size(past)))
     rows = rows.select("row_id", "user_id", "split", F.coalesce(F.col(label), F.lit(0)).alias(label), x.alias("x"), F.size(past).alias("history_n"))
     rows = _dealt(rows, "histories")
     weighted = history_weights(rows, F.col("split") == "train", F.col("split") == "valid").where("split = 'train'")
     learn = rows_to_learn(weighted, F.col("x"), [F.col(label)], [F.col(m) for m in modes], batches)
-    stack = Stack(TargetAttention(len(fields), k, hidden), [Member(0, i, s) for i in range(len(modes)) for s in seeds], rate=rate, decay=0.0)
+    stack = Stack(TargetAttention(len(fields), k, hidden), [Member(0, i, s) for i in range(len(modes)) for s in seeds], rate=rate, decay=0.0, bits=bits)
     valid = rows.where("split = 'valid'")
     _learned(stack, learn, batches, epochs, valid=lambda s: s.primaries(valid, label), patience=patience)
     n = len(seeds)

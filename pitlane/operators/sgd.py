@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from . import metrics
 from .nets import Params, Totals, objective, totals
 
-#: Values of fields are hashed to so many bits, which bounds the tables of embeddings.
-BITS = 20
+#: Values of fields are hashed to so many bits, and all models of a stack together have at most so many rows of embeddings: the driver holds them, and each step sends them to the tasks.
+BITS, MOST_ROWS = 20, 1 << 21
 #: Partial gradients that meet on the driver; if there are more, they are summed in tasks first, by blocks of so many rows of a table.
 FAN_IN, BLOCK = 64, 1 << 16
 #: Rows that a task computes at once.
@@ -27,9 +27,14 @@ ROWS_AT_ONCE = 2048
 LONGEST = 32
 
 
-def code(place: int, value: Column) -> Column:
+def code(place: int, value: Column, bits: int = BITS) -> Column:
     """The hashed code of a field's value; the field's place keeps equal values of different fields apart."""
-    return F.pmod(F.xxhash64(F.lit(place), value), F.lit(1 << BITS)).cast("int")
+    return F.pmod(F.xxhash64(F.lit(place), value), F.lit(1 << bits)).cast("int")
+
+
+def bits_for(models: int) -> int:
+    """How many bits the codes may have, so that the tables of so many models stay below MOST_ROWS."""
+    return max(1, min(BITS, (MOST_ROWS // max(models, 1)).bit_length() - 1))
 
 
 @dataclass(frozen=True)
@@ -160,13 +165,14 @@ class Stack:
     members: list[Member]
     rate: float = 0.02
     decay: float = 1e-6
+    bits: int = BITS
     codes: np.ndarray | None = None
     models: list[Adam] = field(default_factory=list)
     curves: list[list[float]] = field(default_factory=list)
     best: list[int] = field(default_factory=list)
 
     def begin(self, rows: DataFrame) -> dict[tuple[int, int], Totals]:
-        """Starts the models; of each batch and model what its losses are divided by. The driver gets the codes that occur, of which there are 2**BITS at most."""
+        """Starts the models; of each batch and model what its losses are divided by. The driver gets the codes that occur, of which there are 2**bits at most."""
         found = rows.select(F.explode(F.array_distinct("x")).alias("c")).distinct().where("c >= 0").toArrow().column("c").to_numpy()
         self.codes = np.sort(found)
         self.models = [Adam(self.net.start(self.codes, m.seed), self.rate, self.decay) for m in self.members]

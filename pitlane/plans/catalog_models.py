@@ -90,7 +90,7 @@ def mod05_trained(spark, d):
     """Machines of each objective over the lists of a user and day, fitted side by side, each until its validation primary stops growing."""
     rows = learning_rows(spark, d)
     stack = learners.fitted_fm(rows.where("split = 'train'"), rows.where("split = 'valid'"), FIELDS, losses=OBJECTIVES, lists=["user_id", "date"])
-    out = stack.scores(rows.select("row_id", learners.slots(FIELDS).alias("x")), ["row_id"])
+    out = stack.scores(rows.select("row_id", learners.slots(FIELDS, stack.bits).alias("x")), ["row_id"])
     return scored_apart(spark, d, out.select("row_id", *[F.col("score")[i].alias(x) for i, x in enumerate(OBJECTIVES)]), [*OBJECTIVES], "loss")
 
 

@@ -12,18 +12,24 @@ LOG_SCHEMA = "user_id long, video_id int, date int, time_ms long, tab int, durat
 
 
 def read_log(spark: SparkSession, paths: list[str], schema: str = LOG_SCHEMA) -> DataFrame:
-    """CSV files with a header, one after the other, rows numbered by (file, line).
+    """CSV files with a header, one after the other, rows numbered by (file, line); a folder's files in the order of their names.
 
-    Each file's partitions are in line order; their sizes, a row for each partition, make the offsets.
+    All files are read at once. The rows of a block of a file are in the order of its lines; the sizes
+    of the blocks, a row for each, make the offsets. A path that is given twice is an error.
     """
-    out = None
-    for i, path in enumerate(paths):
-        part = spark.read.csv(path, header=True, schema=schema).withColumn("file_ord", F.lit(i)).withColumn("_m", F.monotonically_increasing_id())
-        out = part if out is None else out.unionByName(part)
-    rows = out.withColumn("_p", F.shiftright("_m", 33).cast("int")).withColumn("_l", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = rows.groupBy("file_ord", "_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("file_ord", "_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return rows.join(F.broadcast(before), ["file_ord", "_p"]).withColumn("row_id", F.col("_l") + F.col("_before")).drop("_m", "_p", "_l", "_before", "file_ord")
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    places = [(path_of(p).toUri().getRawPath().rstrip("/"), i) for i, p in enumerate(paths)]
+    if len({p for p, _ in places}) < len(places):
+        raise ValueError("a path is given twice")
+    rows = spark.read.csv(paths, header=True, schema=schema).select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"))
+    place = spark.createDataFrame(places, "path string, place int")
+    file = F.regexp_replace("_f", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    blocks = rows.groupBy("_f", "_s").agg(F.count("*").alias("_n"), F.min("_m").alias("_first")).withColumns({"_file": file, "_folder": F.regexp_replace(file, "/[^/]*$", "")})
+    for name in ("_file", "_folder"):
+        blocks = blocks.join(F.broadcast(place.select(F.col("path").alias(name), F.col("place").alias(f"{name}_place"))), name, "left")  # the paths that were given
+    order = W.orderBy(F.coalesce("_file_place", "_folder_place"), "_f", "_s").rowsBetween(W.unboundedPreceding, -1)  # over blocks
+    before = blocks.select("_f", "_s", "_first", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), ["_f", "_s"]).withColumn("row_id", F.col("_m") - F.col("_first") + F.col("_before")).drop("_f", "_s", "_m", "_first", "_before")
 
 
 def parts(spark: SparkSession, path: str) -> list[str]:

@@ -185,6 +185,11 @@ def test_early_stopping(spark, tmp_path):
     assert again == pytest.approx([max(c) for c in stack.curves], abs=1e-9)
 
 
+def test_tables_of_a_stack_are_bounded():
+    assert [sgd.bits_for(n) for n in (1, 2, 3, 35, 10**9)] == [20, 20, 19, 15, 1]
+    assert all(n << sgd.bits_for(n) <= sgd.MOST_ROWS for n in range(2, 300))
+
+
 def test_nothing_to_learn_from(spark):
     df = log(spark, 30)
     rows = sgd.rows_to_learn(df, X(), [F.col("y")], [F.lit(0.0)], 1)

@@ -140,6 +140,29 @@ def test_logs_as_csv(spark, tmp_path):
     assert rows_of(out, "row_id", "user_id", "video_id", "duration_ms") == [(0, 5, 50, 1.5), (1, 6, None, None), (2, 7, 70, 2.5)]
 
 
+def test_logs_of_many_blocks(spark, tmp_path):
+    """Files that are read in blocks, a folder of them, names with blanks; rows are numbered in the order of paths and lines."""
+    head = "user_id,video_id,date,time_ms,tab,duration_ms,long_view\n"
+    counts = {"z.csv": 400, "f/part 2.csv": 150, "f/part-1.csv": 3, "a b.csv": 1}
+    (tmp_path / "f").mkdir()
+    for n, (name, rows) in enumerate(counts.items()):
+        (tmp_path / name).write_text(head + "".join(f"{n},{i},20240101,{i},0,1.0,1\n" for i in range(rows)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1k")
+        out = files.read_log(spark, [str(tmp_path / p) for p in ("z.csv", "f", "a b.csv")])
+        assert out.rdd.getNumPartitions() > 8
+        got = [(r.user_id, r.video_id) for r in out.orderBy("row_id").collect()]
+        ids = [r.row_id for r in out.select("row_id").orderBy("row_id").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(n, i) for n in (0, 1, 2, 3) for i in range(list(counts.values())[n])] and ids == list(range(554))
+    with pytest.raises(ValueError, match="twice"):
+        files.read_log(spark, [str(tmp_path / "z.csv")] * 2)
+
+
 def test_json_over_many_lines(spark, tmp_path):
     cases = {"a": 'x {"y": {"n": 1}}\n"tokens": {\n "m}": {"in": 1,\n "s": "\\"{"}\n}\nrest }', "b": "nothing", "c": '"tokens": {"open": {', "d": '"tokens": 3'}
     for name, text in cases.items():
