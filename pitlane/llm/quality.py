@@ -179,14 +179,16 @@ def judge(docs: DataFrame, model: Model, keep: list[str], text: str = "text", ke
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     names = [f"k{i}" for i in range(len(keep))]
-    source = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).cast("string").alias("t"))
+    kept = text in keep and docs.schema[text].dataType.simpleString() == "string"  # then texts go to Python once
+    source = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *([] if kept else [F.col(text).cast("string").alias("t")]))
+    at = keep.index(text) if kept else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = Model(*shared.value), Tokens()
         for b in batches:
-            score = np.array([model.weights[known.of(t.as_py())].sum(dtype=float) for t in b.column("t")], float)
+            score = np.array([model.weights[known.of(t.as_py())].sum(dtype=float) for t in b.column(at)], float)
             expected, tail = model.judged(score, keep_from)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(expected), pa.array(tail)], names=[*names, "expected_grade", "tail_probability"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(expected), pa.array(tail)], names=[*names, "expected_grade", "tail_probability"])
 
     kinds = "".join(f"{n} {source.schema[n].dataType.simpleString()}, " for n in names)
     out = source.mapInArrow(run, f"{kinds}expected_grade double, tail_probability double")

@@ -233,14 +233,16 @@ def encode_decode(df: DataFrame, keep: list[str], model: str | Callable[[], str]
     empty string. Repeated rows stay. An empty table gives an empty table. Columns outside ``keep``
     are dropped, so their names can't clash.
     """
-    source = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    kept = text in keep and df.schema[text].dataType.simpleString() == "string"  # then texts go to Python once
+    source = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if kept else [F.col(text).cast("string").alias("t")]))
+    place = keep.index(text) if kept else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _loaded(model)
         tail = np.array([vocabulary.eos] if end_id else [], np.int32).tobytes()
         for whole in batches:
             start = 0
-            lengths = pc.utf8_length(whole.column("t")).to_pylist() if whole.num_rows else []
+            lengths = [n or 0 for n in pc.utf8_length(whole.column(place)).to_pylist()] if whole.num_rows else []
             while start < whole.num_rows:
                 stop, chars = start, 0
                 while stop < whole.num_rows and (stop == start or chars + lengths[stop] <= CHUNK_CHARS):
@@ -248,7 +250,7 @@ def encode_decode(df: DataFrame, keep: list[str], model: str | Callable[[], str]
                     stop += 1
                 batch = whole.slice(start, stop - start)
                 start = stop
-                texts = batch.column("t").to_pylist()
+                texts = [t or "" for t in batch.column(place).to_pylist()]
                 made = [x + tail for x in vocabulary.encode_all(texts)]
                 ends = np.cumsum([0, *map(len, made)]) // 4
                 flat = np.frombuffer(b"".join(made), np.int32)
@@ -256,7 +258,7 @@ def encode_decode(df: DataFrame, keep: list[str], model: str | Callable[[], str]
                 agrees = [a == b for a, b in zip(ids, vocabulary.library.encode(texts, add_eos=end_id, num_threads=1), strict=True)] if check else [None] * len(ids)
                 decoded = vocabulary.library.decode(ids, num_threads=1)
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], listed, pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], names=[*batch.schema.names[:-1], "ids", "decoded", "agrees"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], listed, pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], names=[*batch.schema.names[: len(keep)], "ids", "decoded", "agrees"])
 
     kinds = ", ".join(f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     out = source.mapInArrow(run, f"{kinds}{', ' * bool(keep)}ids array<int>, decoded string, agrees boolean")
