@@ -21,30 +21,40 @@ SHARE = 4
 CELL_MS = 60_000
 
 
-def in_cells(df: DataFrame, keys: list[str], at: Column, share: int = SHARE) -> DataFrame:
-    """``df`` with _cell: ``at`` for rows of hot keys, whose rows of one cell are ordered together; null for others.
-
-    Hot keys are broadcast: there are at most ``share`` for each shuffle partition.
-    """
+def _hot_keys(df: DataFrame, keys: list[str], share: int) -> DataFrame:
+    """keys, _hot: of which there are at most ``share`` for each shuffle partition."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"))
-    hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * (share * tasks) > F.col("_all")).select(*keys, F.lit(True).alias("_hot"))  # one row
+    return counts.crossJoin(F.broadcast(total)).where(F.col("_n") * (share * tasks) > F.col("_all")).select(*keys, F.lit(True).alias("_hot"))  # one row
+
+
+def _in_cells(df: DataFrame, hot: DataFrame, keys: list[str], at: Column) -> DataFrame:
     return join_on(df, F.broadcast(hot), keys, "left").withColumn("_cell", F.when(F.col("_hot"), F.coalesce(at, F.lit(-(1 << 62))))).drop("_hot")
 
 
-def prefix_sums(df: DataFrame, keys: list[str], values: dict[str, Column], order: tuple[str, str] = ("time_ms", "row_id"), at: Column | None = None, share: int = SHARE) -> DataFrame:
+def in_cells(df: DataFrame, keys: list[str], at: Column, share: int = SHARE) -> DataFrame:
+    """``df`` with _cell: ``at`` for rows of hot keys, whose rows of one cell are ordered together; null for others."""
+    return _in_cells(df, _hot_keys(df, keys, share), keys, at)
+
+
+def prefix_sums(df: DataFrame, keys: list[str], values: dict[str, Column], order: tuple[str, str] = ("time_ms", "row_id"), at: Column | None = None, share: int = SHARE, base: DataFrame | None = None) -> DataFrame:
     """``df`` with, for each name, the sum of its value over the key's strictly earlier rows, by (time, row); 0 without any.
 
     In two levels: a hot key's rows are ordered within cells of time, by as many tasks, and the sums of
     the cells before are added. So no task gets all rows of a key. ``at``: the cell of a row, which must
-    not fall as the order rises; by default the minute.
+    not fall as the order rises; by default the minute. ``base``: the same rows with a shorter plan, of
+    which hot keys and cells are made; for several prefixes one after the other, whose plan would double
+    with each.
     """
     at = F.floor(F.col(order[0]) / CELL_MS).cast("long") if at is None else at
-    rows = in_cells(df.withColumns({f"_v_{n}": v for n, v in values.items()}), keys, at, share)
+    base = df if base is None else base
+    hot = _hot_keys(base, keys, share)
+    named = {f"_v_{n}": v for n, v in values.items()}
+    rows, short = (_in_cells(x.withColumns(named), hot, keys, at) for x in (df, base))
     within = W.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     before = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = rows.where("_cell is not null").groupBy(*keys, "_cell").agg(*[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in values])
+    cells = short.where("_cell is not null").groupBy(*keys, "_cell").agg(*[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in values])
     offsets = cells.select(*keys, "_cell", *[F.sum(f"_c_{n}").over(before).alias(f"_o_{n}") for n in values])
     inside = rows.withColumns({f"_i_{n}": F.sum(f"_v_{n}").over(within) for n in values}).drop(*[f"_v_{n}" for n in values])
     zero = F.lit(0)
@@ -52,10 +62,10 @@ def prefix_sums(df: DataFrame, keys: list[str], values: dict[str, Column], order
     return out.select(*df.columns, *values)
 
 
-def causal_prefix(df: DataFrame, keys: list[str], label: str, labelled: Column, order: tuple[str, str] = ("time_ms", "row_id")) -> DataFrame:
+def causal_prefix(df: DataFrame, keys: list[str], label: str, labelled: Column, order: tuple[str, str] = ("time_ms", "row_id"), base: DataFrame | None = None) -> DataFrame:
     """``df`` with prior_n, prior_labelled, prior_pos over strictly earlier rows of the key, by (time, row)."""
     known = labelled.cast("long")
-    return prefix_sums(df, keys, {"prior_n": F.lit(1).cast("long"), "prior_labelled": known, "prior_pos": F.when(labelled, F.col(label)).otherwise(0).cast("long")}, order)
+    return prefix_sums(df, keys, {"prior_n": F.lit(1).cast("long"), "prior_labelled": known, "prior_pos": F.when(labelled, F.col(label)).otherwise(0).cast("long")}, order, base=base)
 
 
 def _daily(df: DataFrame, keys: list[str], values: dict[str, Column], date: str) -> DataFrame:

@@ -167,12 +167,14 @@ class Stack:
     decay: float = 1e-6
     bits: int = BITS
     codes: np.ndarray | None = None
+    tasks: int = 0
     models: list[Adam] = field(default_factory=list)
     curves: list[list[float]] = field(default_factory=list)
     best: list[int] = field(default_factory=list)
 
     def begin(self, rows: DataFrame) -> dict[tuple[int, int], Totals]:
         """Starts the models; of each batch and model what its losses are divided by. The driver gets the codes that occur, of which there are 2**bits at most."""
+        self.tasks = rows.rdd.getNumPartitions()  # a batch has no more
         found = rows.select(F.explode(F.array_distinct("x")).alias("c")).distinct().where("c >= 0").toArrow().column("c").to_numpy()
         self.codes = np.sort(found)
         self.models = [Adam(self.net.start(self.codes, m.seed), self.rate, self.decay) for m in self.members]
@@ -219,7 +221,7 @@ class Stack:
             yield _as_batch({k: v[0] for k, v in held.items()})
 
         parts = rows.select("n", "x", "y", "w").mapInArrow(partial, _GRADIENT)
-        if parts.rdd.getNumPartitions() > FAN_IN:
+        if self.tasks > FAN_IN:
             parts = parts.groupBy("model", "name", "block").applyInArrow(_added, _GRADIENT)
         losses, out = [0.0] * len(members), [{} for _ in members]
         for r in parts.toArrow().to_pylist():

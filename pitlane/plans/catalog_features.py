@@ -519,10 +519,10 @@ def pit06(spark, d):
 
 @query("pit07_causal_families", W + "SELECT row_id, " + ", ".join(f"CAST(coalesce(sum(long_view) OVER ({p}), 0) AS BIGINT) AS {n}_pos, CAST(count(*) OVER ({p}) AS BIGINT) AS {n}_n" for n, k in list(pit.FAMILIES.items())[:7] for p in [f"PARTITION BY {', '.join(k)} ORDER BY time_ms, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"]) + " FROM log")
 def pit07(spark, d):
-    rows = log(spark, d)
+    rows = base = log(spark, d)
     names = list(pit.FAMILIES)[:7]
     for n in names:
-        rows = pit.causal_prefix(rows, pit.FAMILIES[n], "long_view", F.lit(True)).withColumnsRenamed({"prior_pos": f"{n}_pos", "prior_n": f"{n}_n"}).drop("prior_labelled")
+        rows = pit.causal_prefix(rows, pit.FAMILIES[n], "long_view", F.lit(True), base=base).withColumnsRenamed({"prior_pos": f"{n}_pos", "prior_n": f"{n}_n"}).drop("prior_labelled")
     return rows.select("row_id", *[c for n in names for c in (f"{n}_pos", f"{n}_n")])
 
 

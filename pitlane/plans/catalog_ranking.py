@@ -85,12 +85,18 @@ def dia02(spark, d):
     return diagnostics.inversions(test_rows(spark, d), ["user_id"], "long_view", "score", "tab").select("tab", r6("loss", "loss"))
 
 
-@query("dia03_digest")
+@query("dia03_digest", P + f""", {groups_sql(TEST)}, s AS (SELECT CAST(least(size, 12) AS BIGINT) AS bucket, count(*) AS users, avg(ndcg) AS ndcg_mean, avg(CASE WHEN npos > 0 THEN 1.0::DOUBLE ELSE 0 END) AS ceiling FROM per GROUP BY 1),
+  h AS (SELECT bucket, users / sum(users) OVER () * (ceiling - ndcg_mean) AS headroom FROM s ORDER BY headroom DESC, bucket LIMIT 4), {_INV}, l AS (SELECT tab, loss FROM inv ORDER BY loss DESC, tab LIMIT 4),
+  m AS (SELECT coalesce(sum(CASE WHEN valid THEN npos * auc END) / sum(CASE WHEN valid THEN npos END), 0.5) AS gauc, avg(ndcg) AS ndcg FROM per)
+  SELECT 'gauc' AS part, '' AS name, round(gauc, 4) AS value FROM m UNION ALL SELECT 'ndcg5', '', round(ndcg, 4) FROM m UNION ALL SELECT 'slice', CAST(bucket AS VARCHAR), round(headroom, 4) FROM h UNION ALL SELECT 'inversion', CAST(tab AS VARCHAR), round(loss, 4) FROM l""")
 def dia03(spark, d):
+    """The digest as rows: part (gauc, ndcg5, slice or inversion), name, value."""
     rows = test_rows(spark, d)
     groups = metrics.per_group(rows, ["user_id"], "long_view", "score")
     out = diagnostics.digest(metrics.summary(groups), diagnostics.headroom(groups, F.least("size", F.lit(12))), diagnostics.inversions(rows, ["user_id"], "long_view", "score", "tab"), "tab")
-    return out.select(F.to_json(F.struct(*out.columns)).alias("digest"))
+    row = lambda part, name, value: F.struct(F.lit(part).alias("part"), name.alias("name"), value.alias("value"))
+    lists = [F.array(row("gauc", F.lit(""), F.col("gauc")), row("ndcg5", F.lit(""), F.col("ndcg"))), F.transform("slices", lambda x: row("slice", x["bucket"], x["headroom"])), F.transform("inversions", lambda x: row("inversion", x["value"], x["loss"]))]
+    return out.select(F.inline(F.concat(*lists)))
 
 
 @query("dia04_picked_slice", P + f", {_SLICED}, h AS (SELECT *, users / sum(users) OVER () * (ceiling - ndcg_mean) AS headroom FROM s ORDER BY headroom DESC, bucket LIMIT 4) SELECT round(min(ndcg_mean), 6) AS picked FROM h")

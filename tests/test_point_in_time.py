@@ -161,3 +161,15 @@ def test_histories_in_blocks(spark, block):
         mine = [i for v, i in history if v == u]
         total = sum(sims.get((i, j), 0.0) for i in mine)
         assert (got[n].cf_sum, got[n].history_n) == (pytest.approx(total), len(mine)) and got[n].cf_mean == pytest.approx(total / len(mine) if mine else 0.0)
+
+
+def test_plans_of_prefixes_grow_in_proportion(spark):
+    df = spark.range(10).select(F.col("id").alias("row_id"), F.col("id").alias("time_ms"), *[(F.col("id") % i).alias(f"k{i}") for i in range(1, 9)], F.lit(1).alias("y"))
+
+    def size(n):
+        out = df
+        for i in range(1, n + 1):
+            out = pit.causal_prefix(out, [f"k{i}"], "y", F.lit(True), base=df).withColumnsRenamed({c: f"{c}{i}" for c in ("prior_n", "prior_labelled", "prior_pos")})
+        return out._jdf.queryExecution().analyzed().toString().count("Range")
+
+    assert size(8) - size(4) <= 1.5 * (size(4) - size(1)) * 4 / 3
