@@ -167,18 +167,20 @@ def find_windows(docs: DataFrame, bench: DataFrame, keep: list[str], text: str =
     equal rarity are filed under their first shingle. Columns outside ``keep`` are dropped, so their
     names can't clash.
     """
-    source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
+    t = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t")
+    kept = text in keep and docs.schema[text].dataType.simpleString() == "string"  # then texts go to Python once
+    source, at = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if kept else [t])), keep.index(text) if kept else len(keep)
     windows = cut(_windows(bench, item_id, item_text, window))
-    occurrences = _all_occurrences(source, windows, filter_shingles)
+    occurrences = _all_occurrences(docs.select(t), windows, filter_shingles)
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, digests = [], []
-            for data, bounds in chunks(b.column("t")):
+            for data, bounds in chunks(b.column(at).cast(pa.binary())):
                 counts += WORDS.counts(data, bounds).tolist()
                 digests += [xxhash.xxh3_128_digest(data[i:j].tobytes()) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts, pa.int64()), pa.array(digests, pa.binary())], names=[*names, "n_words", "d"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(digests, pa.binary())], names=[*names, "n_words", "d"])
 
     kinds = "".join(f"{n} {source.schema[n].dataType.simpleString()}, " for n in names)
     rows = source.mapInArrow(run, f"{kinds}n_words long, d binary")
