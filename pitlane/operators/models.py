@@ -274,4 +274,4 @@ def history_match(train: DataFrame, evaluated: DataFrame, bucket: str, low: floa
     ratio = (F.col("_e") / F.greatest("_all", F.lit(1))) / (F.col("_t") / F.sum("_t").over(whole))
     both = both.withColumn("_r", F.least(F.greatest(ratio, F.lit(low)), F.lit(high)))
     mean = F.sum(F.col("_r") * F.col("_t")).over(whole) / F.sum("_t").over(whole)
-    return both.select(bucket, (F.col("_r") / mean).alias("weight"))
+    return both.select(bucket, (F.col("_r") / F.greatest(mean, F.lit(1e-6))).alias("weight"))  # all 0 where no bucket is in both
