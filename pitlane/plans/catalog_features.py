@@ -9,7 +9,7 @@ from ..functions.scalars import clip, count_below, day_index, hashed_unit_sql
 from ..operators import cf, diagnostics, keys, models, pit, quantiles, windows
 from ..sources import files
 from ..sources.impressions import impressions, table, users, videos
-from .catalog import BASE, OFFICIAL, POP, SCHEDULE, log, popularity, query, r6
+from .catalog import BASE, OFFICIAL, POP, SCHEDULE, log, popularity, query, r6, stored
 
 W = f"WITH {BASE} "
 
@@ -519,8 +519,10 @@ def pit06(spark, d):
 
 @query("pit07_causal_families", W + "SELECT row_id, " + ", ".join(f"CAST(coalesce(sum(long_view) OVER ({p}), 0) AS BIGINT) AS {n}_pos, CAST(count(*) OVER ({p}) AS BIGINT) AS {n}_n" for n, k in list(pit.FAMILIES.items())[:7] for p in [f"PARTITION BY {', '.join(k)} ORDER BY time_ms, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"]) + " FROM log")
 def pit07(spark, d):
-    rows = base = log(spark, d)
+    """The log is stored once: made anew for each family, its items are broadcast as many times, side by side."""
     names = list(pit.FAMILIES)[:7]
+    used = dict.fromkeys(["row_id", "time_ms", "long_view", *(k for n in names for k in pit.FAMILIES[n])])
+    rows = base = stored(log(spark, d).select(*used), "families")
     for n in names:
         rows = pit.causal_prefix(rows, pit.FAMILIES[n], "long_view", F.lit(True), base=base).withColumnsRenamed({"prior_pos": f"{n}_pos", "prior_n": f"{n}_n"}).drop("prior_labelled")
     return rows.select("row_id", *[c for n in names for c in (f"{n}_pos", f"{n}_n")])

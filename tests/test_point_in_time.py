@@ -173,3 +173,13 @@ def test_plans_of_prefixes_grow_in_proportion(spark):
         return out._jdf.queryExecution().analyzed().toString().count("Range")
 
     assert size(8) - size(4) <= 1.5 * (size(4) - size(1)) * 4 / 3
+
+
+def test_families_join_items_once(spark):
+    """The prefixes of seven families read the stored log: none of them joins, and so broadcasts, the items anew."""
+    from pitlane.plans import catalog
+
+    from .conftest import SF
+
+    read = catalog.QUERIES["pit07_causal_families"](spark, SF).inputFiles()
+    assert read and not any("part.parquet" in f or "events.parquet" in f for f in read)
