@@ -285,3 +285,39 @@ def test_lambdarank_ranks_lists(spark, lists):
     assert found["lambdarank"] >= found["binary"] - 0.01 and found["lambdarank"] > 0.68
     with pytest.raises(ValueError, match="none of"):
         boosting.Boosted(["x"], "other").records(df, "long_view", None)
+
+
+@pytest.mark.parametrize(("losses", "lists"), [(("bce",), None), (("bce", "primary"), ["user_id"])])
+def test_tables_in_parts_fit_the_same(spark, tmp_path, monkeypatch, losses, lists):
+    """Where gradients would be too many for the driver, tables lie in parts: the same models, and only shared codes reach it."""
+    df = log(spark, 900).withColumn("user_id", (F.col("user_id") + F.col("row_id") % 10 * 12).cast("int"))
+    train, valid = df.where("split = 'train'"), df.where("split = 'valid'").withColumn("x", X())
+    members = [sgd.Member(label, 0, seed, loss) for loss in losses for label, seed in ((0, 1), (1, 4))]
+    rows = stored(sgd.rows_to_learn(train, X(), [F.col("y"), F.col("z")], [F.col("twice")], 2, lists), tmp_path, "rows")
+    found = []
+    for most in (sgd.DRIVER_BYTES, 0):
+        monkeypatch.setattr(sgd, "DRIVER_BYTES", most)
+        stack = sgd.Stack(nets.FactorisationMachine(4), members, rate=0.1).fit(rows, 2, 3, lambda s: s.primaries(valid, "y"), patience=1)
+        new = df.withColumn("x", F.array(sgd.code(0, F.col("user_id") + 6), sgd.code(1, F.col("video_id") + 9)))  # some users and items are new
+        strange = df.withColumn("x", F.array(sgd.code(0, F.col("user_id")), sgd.code(0, F.lit(3))))  # an item whose code is that of a user
+        found.append((stack, scores(stack, df), *({r.row_id: list(r.score) for r in stack.scores(x, ["row_id"]).collect()} for x in (new, strange))))
+    (plain, *want), (parted, *got) = found
+    assert plain.parts is None and parted.parts is not None
+    assert set(parted.codes) >= {r.c for r in df.select(sgd.code(1, F.col("video_id")).alias("c")).distinct().collect()} and len(parted.codes) < len(plain.codes)
+    assert parted.best == plain.best and all(a == pytest.approx(b, abs=1e-9) for a, b in zip(parted.curves, plain.curves, strict=True))
+    for a, b in zip(got, want, strict=True):
+        assert len(a) == len(b) == 900 and all(a[i] == pytest.approx(b[i], abs=1e-9) for i in b)
+
+
+def test_attention_in_parts_fits_the_same(spark, tmp_path, monkeypatch):
+    """Histories name shared codes; a leading code of a large share of the rows is dealt by chance and shared."""
+    df = log(spark, 300).withColumn("user_id", F.when(F.col("row_id") % 2 == 0, 1).otherwise(F.col("row_id").cast("int") % 40))
+    x = F.concat(X(), F.array(sgd.code(2, F.col("video_id")), sgd.code(2, F.col("video_id") + 1), F.lit(-1)))
+    rows = stored(sgd.rows_to_learn(df, x, [F.col("y")], [F.lit(1.0)], 2), tmp_path, "rows")
+    found = []
+    for most in (sgd.DRIVER_BYTES, 0):
+        monkeypatch.setattr(sgd, "DRIVER_BYTES", most)
+        stack = sgd.Stack(nets.TargetAttention(2, k=3, hidden=6), [sgd.Member(seed=i) for i in range(2)], rate=0.05).fit(rows, 2, 3)
+        found.append({r.row_id: list(r.score) for r in stack.scores(df.withColumn("x", x), ["row_id"]).collect()})
+    assert stack.parts.hot == [r.c for r in df.where("user_id = 1").select(sgd.code(0, F.col("user_id")).alias("c")).distinct().collect()]
+    assert len(found[0]) == 300 and all(found[1][i] == pytest.approx(found[0][i], abs=1e-9) for i in found[0])
