@@ -321,3 +321,21 @@ def test_attention_in_parts_fits_the_same(spark, tmp_path, monkeypatch):
         found.append({r.row_id: list(r.score) for r in stack.scores(df.withColumn("x", x), ["row_id"]).collect()})
     assert stack.parts.hot == [r.c for r in df.where("user_id = 1").select(sgd.code(0, F.col("user_id")).alias("c")).distinct().collect()]
     assert len(found[0]) == 300 and all(found[1][i] == pytest.approx(found[0][i], abs=1e-9) for i in found[0])
+
+
+def test_gradients_are_made_once_a_tree(spark, tmp_path):
+    """What is stored before a tree: each row's score by the trees so far, and the gradients of the whole list at it."""
+    df = lists_to_rank(spark, 300)
+    b = boosting.Boosted(["x", "z", "noise"], "lambdarank", rounds=2, depth=2, min_data_in_leaf=5, bins=8)
+    b.start(df)
+    rows = b.records(df, "long_view", ["user_id"])
+    for i in range(3):
+        rows = b.graded(rows, str(tmp_path / f"graded{i}"))
+        seen = 0
+        for batch in rows.toArrow().to_batches():
+            for bins, y, s, g, h, lengths in boosting._graded_parts(batch, ("y", "s", "g", "h", "lengths")):
+                seen += len(y)
+                assert s == pytest.approx(b.raw(bins), abs=1e-12)
+                assert (g, h) == tuple(pytest.approx(v, abs=1e-12) for v in boosting.lambdas(s, y, lengths))
+        assert seen == 300 and len(b.trees) == i
+        b.trees.append(b.grow(rows, np.random.default_rng(0)))
