@@ -126,11 +126,13 @@ _SOURCES = {"context": ["tab"], "item": ["video_id"], "item_tab": ["video_id", "
 @query("dia06_decomposition")
 def dia06(spark, d):
     """Each source's frozen rate alone on the validation days, trees over it and all sources before it, and what it adds."""
-    rows = pit.frozen_prefixes(log(spark, d), _SOURCES)
-    rows = rows.select("row_id", "user_id", "split", "hz", "long_view", F.log1p("duration_ms").alias("log_duration"), *pit.rate_columns(_SOURCES, 0.4)).where("split in ('train', 'valid')")
+    known = dict.fromkeys(["row_id", "user_id", "split", "hz", "date", "long_view", "duration_ms", *(k for by in _SOURCES.values() for k in by)])
+    past = stored(log(spark, d).where("split in ('train', 'valid')").select(*known), "log")  # no horizon of these days sees a later one
+    rows = pit.frozen_prefixes(past, _SOURCES)
+    rows = rows.select("row_id", "user_id", "split", "hz", "long_view", F.log1p("duration_ms").alias("log_duration"), *pit.rate_columns(_SOURCES, 0.4))
     columns = {n: [f"{n}_rate"] for n in _SOURCES}
     columns["item"].append("log_duration")
-    return models.decomposition(stored(rows, "sources"), columns)
+    return models.decomposition(rows, columns)
 
 
 # collaborative filtering

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitlane.operators import cf, fusion, keys, metrics, models, pit, selection
-from pitlane.plans import catalog
+from pitlane.plans import catalog, catalog_ranking
 from pitlane.plans import context as candidates
 from pitlane.sources import files
 from pitlane.sources.impressions import Fold
@@ -222,6 +222,16 @@ def test_decomposition_adds_up(spark):
     assert x.marginal is None and y.marginal == pytest.approx(y.cumulative - x.cumulative) and y.marginal > 0.02 and x.standalone > 0.5
 
 
+def test_decomposition_reads_the_log_once(spark, monkeypatch):
+    logs, scored = [], []
+    prefixes, predict = catalog_ranking.pit.frozen_prefixes, models.predict
+    monkeypatch.setattr(catalog_ranking.pit, "frozen_prefixes", lambda df, *a: logs.append(df) or prefixes(df, *a))
+    monkeypatch.setattr(models, "predict", lambda model, rows, *a: scored.append(rows) or predict(model, rows, *a))
+    assert catalog_ranking.dia06(spark, SF).count() == len(catalog_ranking._SOURCES) == len(scored)
+    assert "get_json_object" not in logs[0]._jdf.queryExecution().optimizedPlan().toString()  # stored, as each source reads it
+    assert all(rows.where("split <> 'valid'").isEmpty() for rows in scored)
+
+
 def test_findings_and_better_members(spark):
     one = spark.createDataFrame([(0.51,), (0.53,)], "p double").select(selection.shuffle_finding(F.col("p")).alias("f"))
     assert [r.f for r in one.collect()] == ["OK", "BLOCK"]
