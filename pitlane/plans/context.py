@@ -132,8 +132,16 @@ class Context:
 
     def check(self, matrix: DataFrame) -> list[str]:
         """Names of the columns of a valid matrix: row_id and numbers, none of them named as an outcome or made of one, a row for each row of the log."""
+        self.check_sources(matrix)
+        return self.check_values(matrix)
+
+    def check_sources(self, matrix: DataFrame) -> None:
+        """An error if a column is named as an outcome or made of one."""
         keys.guard_outcomes(matrix)
         self.lineage.check(matrix)
+
+    def check_values(self, matrix: DataFrame) -> list[str]:
+        """Names of the columns of a matrix of numbers with a row for each row of the log."""
         names = [c for c in matrix.columns if c != "row_id"]
         bad = keys.matrix_violations(matrix, names, self._log.count()).where("n <> 0").collect()
         if bad:
@@ -166,20 +174,24 @@ CEILINGS, OTHER_CEILING, SLACK, GAP = {"backtest_a": 0.60}, 0.62, 0.05, 0.035
 
 
 def scored_candidate(context: Context, candidate: Candidate) -> DataFrame:
-    """The fold's rows with the candidate's score."""
+    """row_id, user_id, date, the label and the candidate's score. The matrix is made once and stored: its check, fits and metrics read it many times."""
     built = candidate.build(context)
     matrix, given = built if isinstance(built, tuple) else (built, {})
     boosted = models.booster_params(given) if "objective" in given else None
     params = {} if boosted else models.tree_params(given)
-    names = context.check(matrix)
-    rows = context._log.join(matrix, "row_id")
+    context.check_sources(matrix)
+    matrix = stored(matrix, "matrix")
+    names = context.check_values(matrix)
+    keep = ("row_id", "user_id", "date", context.label)
+    log = context._log.select(*keep, "split")
     if candidate.mode != "features":
-        return rows.withColumn("score", F.col(names[0]).cast("double"))
+        return log.join(matrix.select("row_id", F.col(names[0]).cast("double").alias("score")), "row_id").select(*keep, "score")
+    rows = stored(log.join(matrix, "row_id"), "features")
     if boosted:
         scores = models.boosted_scores(rows, names, boosted[0], boosted[1], context.label, **boosted[2])
     else:
-        scores = models.gbt_scores(names, context.label, **params)(context.fold.rows(rows, "train"), rows)
-    return rows.join(scores, "row_id")
+        return models.gbt_scores(names, context.label, keep=keep, **params)(context.fold.rows(rows, "train"), rows)
+    return rows.select(*keep).join(scores, "row_id")
 
 
 def _detail(e: Exception) -> str:

@@ -100,6 +100,13 @@ def test_backtests_confirm_candidates(spark, context, monkeypatch):
     assert ledger[1]["decision"] in ("accept", "reject") and ledger[1]["valid"] < 0.9
 
 
+def test_a_candidates_matrix_is_made_once(context):
+    for build, mode in ((candidates.popularity, "scores"), (candidates.trees, "features")):
+        rows = candidates.scored_candidate(context, candidates.Candidate("x", "x", build, mode))
+        assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()  # stored, as its check, fit and metrics read it
+        assert rows.count() == context._log.count()
+
+
 def test_a_lost_machine_is_no_candidates_error(context):
     def lost(_):
         raise candidates.PySparkException("ExecutorLostFailure (executor 3 exited)")
