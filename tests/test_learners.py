@@ -339,3 +339,38 @@ def test_gradients_are_made_once_a_tree(spark, tmp_path):
                 assert (g, h) == tuple(pytest.approx(v, abs=1e-12) for v in boosting.lambdas(s, y, lengths))
         assert seen == 300 and len(b.trees) == i
         b.trees.append(b.grow(rows, np.random.default_rng(0)))
+
+
+@pytest.mark.parametrize(("losses", "lists", "most"), [(("bce",), None, 0), (("bce", "primary"), ["user_id"], 12_000)])
+def test_parts_lend_each_other_what_the_driver_cannot_hold(spark, tmp_path, monkeypatch, losses, lists, most):
+    """Items are held by the driver only as far as their gradients fit; the fit is the same."""
+    df = log(spark, 900).withColumn("user_id", (F.col("user_id") + F.col("row_id") % 10 * 12).cast("int"))
+    train, valid = df.where("split = 'train'"), df.where("split = 'valid'").withColumn("x", X())
+    members = [sgd.Member(label, 0, seed, loss) for loss in losses for label, seed in ((0, 1), (1, 4))]
+    rows = stored(sgd.rows_to_learn(train, X(), [F.col("y"), F.col("z")], [F.col("twice")], 2, lists), tmp_path, "rows")
+    monkeypatch.setattr(sgd, "SHARED_BYTES", most)
+    found = []
+    for driver in (sgd.DRIVER_BYTES, 0):
+        monkeypatch.setattr(sgd, "DRIVER_BYTES", driver)
+        stack = sgd.Stack(nets.FactorisationMachine(4), members, rate=0.1).fit(rows, 2, 3, lambda s: s.primaries(valid, "y"), patience=1)
+        new = df.withColumn("x", F.array(sgd.code(0, F.col("user_id") + 6), sgd.code(1, F.col("video_id") + 9)))
+        found.append((stack, scores(stack, df), {r.row_id: list(r.score) for r in stack.scores(new, ["row_id"]).collect()}))
+    (plain, *want), (parted, *got) = found
+    assert len(parted.codes) == most // (len(members) * 6 * (8 * 4 + 8 + 8 + 8)) < 15 and parted.parts.needs is not None
+    assert parted.best == plain.best and all(a == pytest.approx(b, abs=1e-9) for a, b in zip(parted.curves, plain.curves, strict=True))
+    for a, b in zip(got, want, strict=True):
+        assert len(a) == len(b) == 900 and all(a[i] == pytest.approx(b[i], abs=1e-9) for i in b)
+
+
+def test_attention_over_lent_histories(spark, tmp_path, monkeypatch):
+    df = log(spark, 300).withColumn("user_id", F.when(F.col("row_id") % 2 == 0, 1).otherwise(F.col("row_id").cast("int") % 40))
+    x = F.concat(X(), F.array(sgd.code(2, F.col("video_id")), sgd.code(2, F.col("video_id") + 1), F.lit(-1)))
+    rows = stored(sgd.rows_to_learn(df, x, [F.col("y")], [F.lit(1.0)], 2), tmp_path, "rows")
+    monkeypatch.setattr(sgd, "SHARED_BYTES", 0)
+    found = []
+    for most in (sgd.DRIVER_BYTES, 0):
+        monkeypatch.setattr(sgd, "DRIVER_BYTES", most)
+        stack = sgd.Stack(nets.TargetAttention(2, k=3, hidden=6), [sgd.Member(seed=i) for i in range(2)], rate=0.05).fit(rows, 2, 3)
+        found.append({r.row_id: list(r.score) for r in stack.scores(df.withColumn("x", x), ["row_id"]).collect()})
+    assert list(stack.codes) == [c for c in stack.parts.hot] and len(found[0]) == 300
+    assert all(found[1][i] == pytest.approx(found[0][i], abs=1e-9) for i in found[0])
