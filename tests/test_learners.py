@@ -341,6 +341,29 @@ def test_gradients_are_made_once_a_tree(spark, tmp_path):
         b.trees.append(b.grow(rows, np.random.default_rng(0)))
 
 
+@pytest.mark.parametrize("longest", [boosting.LONGEST, 10])
+def test_long_lists_are_whole(spark, tmp_path, monkeypatch, longest):
+    """Sums of gradients are those of whole lists, however long: a pair isn't lost because its rows lie in two records."""
+    monkeypatch.setattr(boosting, "LONGEST", longest)
+    rng = random.Random(4)
+    rows = [(i, 0 if i < 700 else 1 + i % 2 if i < 1300 else i % 40, int(rng.random() < 0.2), rng.random(), rng.random()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "row_id long, user_id int, long_view int, x double, z double").repartition(5)
+    b = boosting.Boosted(["x", "z"], "lambdarank", rounds=3, depth=3, min_data_in_leaf=5, bins=8)
+    b.start(df)
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    bins = boosting.binned(np.array([np.float32(r[3:]) for r in rows]).astype(float), b.edges)
+    y, lengths = np.array([float(r[2]) for r in rows]), np.unique([r[1] for r in rows], return_counts=True)[1]
+    held = b.records(df, "long_view", ["user_id"])
+    for i in range(3):  # scores are all alike at first, and of few values later
+        held = b.graded(held, str(tmp_path / f"graded{i}"))
+        g, h = boosting.lambdas(b.raw(bins), y, lengths)
+        (got,) = b.sums(held, boosting.Tree.of(2)).values()
+        for f in range(2):
+            for j, v in enumerate((g, h, np.ones(1500))):
+                assert got[j, f] == pytest.approx(np.bincount(bins[:, f], v, 8), abs=1e-9)
+        b.trees.append(b.grow(held, np.random.default_rng(0)))
+
+
 @pytest.mark.parametrize(("losses", "lists", "most"), [(("bce",), None, 0), (("bce", "primary"), ["user_id"], 12_000)])
 def test_parts_lend_each_other_what_the_driver_cannot_hold(spark, tmp_path, monkeypatch, losses, lists, most):
     """Items are held by the driver only as far as their gradients fit; the fit is the same."""
