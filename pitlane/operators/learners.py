@@ -36,11 +36,11 @@ def window_of(date: Column, schedule: Schedule) -> Column:
     return out
 
 
-def _dealt(rows: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """``rows`` stored so that every pass over them has work for all cores."""
+def _dealt(rows: DataFrame, name: str, by: list[str] | None = None, key: str | None = None) -> DataFrame:
+    """``rows`` stored so that every pass over them has work for all cores; dealt by the hash of a key, which saves the sort of dealing in turn."""
     spark = rows.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return stored(rows.repartition(tasks), name, by)
+    return stored(rows.repartition(tasks, *([key] if key else [])), name, by)
 
 
 def _learned(stack: Stack, rows: DataFrame, batches: int, epochs: int, **more) -> Stack:
@@ -165,11 +165,12 @@ def attention_scores(df: DataFrame, schedule: Schedule, fields: list[str], label
     past = F.coalesce("history", F.array().cast("array<int>"))
     x = F.concat(slots(fields, bits), F.array(code(ITEM, F.col("video_id"), bits)), past, F.array_repeat(F.lit(-1), length - F.size(past)))
     rows = rows.select("row_id", "user_id", "split", F.coalesce(F.col(label), F.lit(0)).alias(label), x.alias("x"), F.size(past).alias("history_n"))
-    rows = _dealt(rows, "histories")
+    rows = _dealt(rows, "histories", key="row_id")
     weighted = history_weights(rows, F.col("split") == "train", F.col("split") == "valid").where("split = 'train'")
     learn = rows_to_learn(weighted, F.col("x"), [F.col(label)], [F.col(m) for m in modes], batches)
     stack = Stack(TargetAttention(len(fields), k, hidden), [Member(0, i, s) for i in range(len(modes)) for s in seeds], rate=rate, decay=0.0, bits=bits)
     valid = rows.where("split = 'valid'")
     _learned(stack, learn, batches, epochs, valid=lambda s: s.primaries(valid, label), patience=patience)
     n = len(seeds)
-    return stack.scores(rows, ["row_id"]).select("row_id", *[_mean(F.slice("score", i * n + 1, n)).alias(m) for i, m in enumerate(modes)])
+    scores = stack.scores(rows, ["row_id"]).select("row_id", *[_mean(F.slice("score", i * n + 1, n)).alias(m) for i, m in enumerate(modes)])
+    return stored(scores, "scores")  # metrics read them twice

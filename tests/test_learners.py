@@ -397,3 +397,52 @@ def test_attention_over_lent_histories(spark, tmp_path, monkeypatch):
         found.append({r.row_id: list(r.score) for r in stack.scores(df.withColumn("x", x), ["row_id"]).collect()})
     assert list(stack.codes) == [c for c in stack.parts.hot] and len(found[0]) == 300
     assert all(found[1][i] == pytest.approx(found[0][i], abs=1e-9) for i in found[0])
+
+
+def test_pairs_of_items_are_made_once(monkeypatch):
+    """The hidden layer sees each distinct pair of a row's item and a past one once, whichever way sums are made, and scores and gradients are those of rows apart."""
+    net, rng = nets.TargetAttention(2, k=3, hidden=6), np.random.default_rng(6)
+    x = rng.integers(-1, 9, (200, 12))
+    p = {n: v + 0.3 * rng.normal(size=v.shape) for n, v in net.start(np.arange(9), 1).items()}
+    g, seen = rng.normal(size=200), []
+    layer = nets.TargetAttention._layer
+
+    def counted(self, p, x, some, *more):
+        found = layer(self, p, x, some, *more)
+        seen.append(len(found[1]))
+        return found
+
+    monkeypatch.setattr(nets.TargetAttention, "_layer", counted)
+    for dense, pairs in ((256, 2048), (0, 7)):
+        monkeypatch.setattr(nets, "MOST_DENSE", dense)
+        monkeypatch.setattr(nets, "PAIRS_AT_ONCE", pairs)
+        seen.clear()
+        s, kept = net.forward(p, net.seen(x))
+        assert sum(seen) == len({(a, b) for a, *past in x[:, 2:].tolist() for b in past if b >= 0}) <= 90
+        want = {n: np.zeros_like(v) for n, v in p.items()}
+        for i in range(200):
+            one, of_one = net.forward(p, x[i : i + 1])
+            assert one[0] == pytest.approx(s[i], abs=1e-12)
+            for n, (at, v) in net.backward(p, x[i : i + 1], of_one, g[i : i + 1]).items():
+                want[n][slice(None) if at is None else at] += v.reshape(want[n].shape) if at is None else v
+        for n, (at, v) in net.backward(p, x, kept, g).items():
+            got = np.zeros_like(p[n])
+            got[slice(None) if at is None else at] += v.reshape(got.shape) if at is None else v
+            assert got == pytest.approx(want[n], abs=1e-12)
+
+
+def test_untouched_rows_take_no_room():
+    """Rows of a table that no gradient has reached are as they started: they aren't stored, and come back."""
+    net, members, codes = nets.TargetAttention(2, k=3, hidden=6), [sgd.Member(seed=5)], np.arange(10, 110, dtype=np.int32)
+    p = {n: v for n, v in net.start(codes, 5).items() if n in net.tables}
+    m = sgd.Adam(p, 0.1, first={n: np.zeros_like(v) for n, v in p.items()}, second={n: np.zeros_like(v) for n, v in p.items()})
+    g = {n: np.zeros_like(v) for n, v in p.items()}
+    g["I"][3], g["E"][40:] = 0.5, -0.25
+    m.move(g)
+    held = sgd._as_state(0, codes, {0: m})
+    assert {r["name"]: len(r["sums"]) // 24 for r in held} == {"I": 1, "E": 60}
+    got_codes, got = sgd._from_state(held, net, members)
+    assert (got_codes == codes).all()
+    for n in p:
+        for a, b in ((got[0].params, m.params), (got[0].first, m.first), (got[0].second, m.second)):
+            assert (a[n] == b[n]).all()
